@@ -1,9 +1,11 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import media, warc
+from . import media, packing, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_packing": packing.op3_packing,
+    "op7_quality": quality.op7_quality,
     "op10_media": media.op10_media,
 }
 
