@@ -1,9 +1,10 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import media, near_dup, packing, quality, warc
+from . import media, near_dup, packing, quality, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_repeats": repeats.op2_repeats,
     "op3_packing": packing.op3_packing,
     "op7_quality": quality.op7_quality,
     "op8_near_dup": near_dup.op8_near_dup,
