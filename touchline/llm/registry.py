@@ -1,11 +1,12 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import media, near_dup, packing, quality, repeats, warc
+from . import media, near_dup, packing, pii, quality, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_repeats": repeats.op2_repeats,
     "op3_packing": packing.op3_packing,
+    "op4_pii": pii.op4_pii,
     "op7_quality": quality.op7_quality,
     "op8_near_dup": near_dup.op8_near_dup,
     "op10_media": media.op10_media,
