@@ -1,6 +1,6 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import media, near_dup, packing, pii, quality, repeats, warc
+from . import media, near_dup, packing, pieces, pii, quality, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op7_quality": quality.op7_quality,
     "op8_near_dup": near_dup.op8_near_dup,
+    "op9_pieces": pieces.op9_pieces,
     "op10_media": media.op10_media,
 }
 
