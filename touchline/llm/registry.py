@@ -1,12 +1,13 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import licences, media, near_dup, packing, pieces, pii, quality, repeats, warc
+from . import licences, media, near_dup, packing, pieces, pii, quality, repeats, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_repeats": repeats.op2_repeats,
     "op3_packing": packing.op3_packing,
     "op4_pii": pii.op4_pii,
+    "op5_vectors": vectors.op5_vectors,
     "op6_licences": licences.op6_licences,
     "op7_quality": quality.op7_quality,
     "op8_near_dup": near_dup.op8_near_dup,
