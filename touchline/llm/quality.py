@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -56,7 +57,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     """The columns ``keep`` of each row (all by default) and ``_stats``: the values of ``STATS``."""
     keep = docs.columns if keep is None else keep
     df = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = docs.select(*keep).schema.add("_stats", "array<double>")
+    schema = docs.select(*keep).schema.add("_stats", T.ArrayType(T.DoubleType()))
     return df.mapInArrow(_with_stats, schema)
 
 
