@@ -42,11 +42,27 @@ def tidy_shuffles(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """Tables that ``written`` makes inside go at the end, but for those that are kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            removed(spark, path)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder: computed once, with its lineage cut."""
     path = scratch(spark, name)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     with tidy_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +82,12 @@ def utf8(col: str):
     return F.encode(F.coalesce(F.col(col), F.lit("")), "utf-8")
 
 
+def like(out: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``out`` with the columns of ``docs``, in their order; ``n_chars``, where there is one, counts the text it has now."""
+    cols = {"n_chars": F.char_length(text_col).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns(cols).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def batches(rows: dict, schema: pa.Schema, size: int = 4096):
     """A dict of equally long lists as Arrow batches of at most ``size`` rows."""
     n = len(next(iter(rows.values())))

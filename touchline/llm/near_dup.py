@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, tidy_shuffles, utf8, written
+from .common import components, table, utf8, workspace, written
 from .shingles import mixed, seeds, shingle_sets
 
 TREES, LEAST, DEPTHS, K, NEXT = 24, 5, (5, 8, 12), 128, 3
@@ -173,6 +173,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document; see the module's text."""
+    with workspace(docs.sparkSession):
+        return written(docs.sparkSession, _near_duplicates(docs, percent, id_col, text_col), "forest-result", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("bytes"))
     sigs = written(spark, texts.mapInArrow(_signed, SIG), "forest-sig")
@@ -213,6 +218,5 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more stays, that with the smallest id."""
-    with tidy_shuffles(spark):
-        kept = written(spark, near_duplicates(docs, 80).filter("kept").select("doc_id"), "forest-kept")
+    kept = near_duplicates(docs, 80).filter("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import like, table
 
 KINDS = ("secret", "email", "iban", "date", "ip", "ssn", "card", "phone")
 ROUNDS = 8
@@ -230,4 +230,4 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms."""
-    return pseudonymise(docs).select(*docs.columns)
+    return like(pseudonymise(docs), docs)
