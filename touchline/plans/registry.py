@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relational  # noqa: F401
+from .core import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["q1_closing_line_ledger"](spark, sf_dir)
+    return QUERIES["q01_closing_line_ledger"](spark, sf_dir)
