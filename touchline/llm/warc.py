@@ -140,40 +140,42 @@ def _member(record: bytes) -> bytes:
     return out
 
 
-_MEMBERS = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("member", pa.binary())])
+_ARCHIVE = pa.schema([("archive", pa.string()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("record_ids", pa.list_(pa.string())), ("members", pa.list_(pa.binary()))])
+ARCHIVE = "archive string, offsets array<long>, lengths array<long>, record_ids array<string>, members array<binary>"
 
 
 def _members(it):
     for batch in it:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            name, offset, rows, held = path.rpartition("/")[2], 0, [], 0
-            for seq, rec in enumerate(_Stream(data.as_py())):
+            offset, rows = 0, []
+            for rec in _Stream(data.as_py()):
                 m = _member(rec)
-                rows.append((name, seq, offset, len(m), _fields(rec[: rec.find(b"\r\n\r\n")]).get("warc-record-id"), m))
-                offset, held = offset + len(m), held + len(m)
-                if held > 1 << 22:
-                    yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _MEMBERS, strict=True)], schema=_MEMBERS)
-                    rows, held = [], 0
+                rows.append((offset, len(m), _fields(rec[: rec.find(b"\r\n\r\n")]).get("warc-record-id"), m))
+                offset += len(m)
             if rows:
-                yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _MEMBERS, strict=True)], schema=_MEMBERS)
+                cols = [[path.rpartition("/")[2]], *([list(x)] for x in zip(*rows, strict=True))]
+                yield pa.record_batch([pa.array(x, t.type) for x, t in zip(cols, _ARCHIVE, strict=True)], schema=_ARCHIVE)
 
 
-def normalise(spark: SparkSession, source: str, archives: str, index: str) -> None:
+def normalise(spark: SparkSession, source: str, archives: str, index: str, drop_source: bool = False) -> None:
     """Rewrites whole-file gzip WARCs under ``source`` with a member for each record, and writes their index.
 
-    A file is one row of at most ``spark.sql.sources.binaryFile.maxLength`` bytes and becomes one file. Spark's text
-    sink writes the members as they are: each ends in the zero byte that stands as the line separator.
+    A file is one row of at most ``spark.sql.sources.binaryFile.maxLength`` bytes and becomes one file, so its members
+    stay in order without a shuffle. Spark's text sink writes the members as they are: each ends in the zero byte that
+    stands as the line separator. ``drop_source`` removes the source once all its records are staged.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(source)
     staged = scratch(spark, "warc-members")
-    schema = f"{INDEX}, member binary"
     with tidy_shuffles(spark):
-        files.select("path", "content").mapInArrow(_members, schema).write.option("compression", "none").parquet(staged)
-        members = spark.read.schema(schema).parquet(staged)
-        members.drop("member").write.parquet(index)
+        files.select("path", "content").mapInArrow(_members, ARCHIVE).write.option("compression", "none").parquet(staged)
+        if drop_source:
+            removed(spark, source)
+        rows = spark.read.schema(ARCHIVE).parquet(staged)
+        at = rows.select("archive", F.posexplode(F.arrays_zip("offsets", "lengths", "record_ids")).alias("seq", "at"))
+        at.select("archive", "seq", F.col("at.offsets").alias("offset"), F.col("at.lengths").alias("length"), F.col("at.record_ids").alias("record_id")).write.parquet(index)
         line = F.expr("cast(substring(member, 1, length(member) - 1) as string)")
-        lines = members.select("archive", "seq", line.alias("line")).repartition("archive").sortWithinPartitions("archive", "seq")
-        lines.drop("seq").write.partitionBy("archive").option("lineSep", "\0").text(archives)
+        lines = rows.select("archive", F.explode("members").alias("member")).select("archive", line.alias("line"))
+        lines.write.partitionBy("archive").option("lineSep", "\0").text(archives)
     removed(spark, staged)
 
 
@@ -225,8 +227,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, archives, index = (scratch(spark, f"warc-{x}") for x in ("raw", "archives", "index"))
     with tidy_shuffles(spark):
         write_archives(records(table(spark, sf_dir, "pages")), raw)
-    normalise(spark, raw, archives, index)
-    removed(spark, raw)
+    normalise(spark, raw, archives, index, drop_source=True)
     return resolve(read_archives(spark, archives, index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
