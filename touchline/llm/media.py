@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table, tidy_shuffles, utf8
 
-UNIT, RATE = 192, 8000
+UNIT, RATE, WAVES = 192, 8000, 3
 LEAST, MASK, MOST = 1 << 10, (1 << 12) - 1, 1 << 14
 #: Gear values by a rule: the low 32 bits of SplitMix64 from each byte value.
 _Z = (np.arange(1, 257, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
@@ -92,14 +93,15 @@ _STORE = pa.schema([("digest", pa.binary()), ("size", pa.int32()), ("data", pa.b
 STORE = "digest binary, size int, data binary"
 
 
-def _bodies(it):
+def _bodies(it, wave: int = 0, waves: int = 1):
+    """The chunks of a wave: those whose digest's last byte leaves ``wave``."""
     z, seen = zstandard.ZstdCompressor(level=3), set()
     for batch in it:
         rows, held = [], 0
         for text in batch.column(1):
             for c in _chunks(media_of(text.as_py())):
                 d = hashlib.sha256(c).digest()
-                if d in seen:
+                if d[-1] % waves != wave or d in seen:
                     continue
                 if len(seen) > 200_000:  # only what a task sends twice depends on this
                     seen.clear()
@@ -122,17 +124,19 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _payloads(docs, id_col, text_col).mapInArrow(_lists, LISTED)
 
 
-def write_chunks(docs: DataFrame, store: str, existing: DataFrame | None = None, text_col: str = "text", buckets: int = 1) -> DataFrame:
+def write_chunks(docs: DataFrame, store: str, existing: DataFrame | None = None, text_col: str = "text", buckets: int = 1, waves: int = WAVES) -> DataFrame:
     """Writes the chunks that ``existing`` lacks, one row a digest, bucketed by digest; returns the new ones.
 
-    ``store`` is a table name. A task sends a chunk once, so a chunk that many rows share makes few rows.
+    ``store`` is a table name. A task sends a chunk once, so a chunk that many rows share makes few rows. Chunks are
+    shuffled in ``waves`` by their digest, one after another, so that only a part of them is on disk twice.
     """
-    docs = docs.withColumn("doc_id", F.lit(None).cast("long")).select("doc_id", text_col)
-    new = _payloads(docs, "doc_id", text_col).mapInArrow(_bodies, STORE)
-    if existing is not None:
-        new = new.join(existing.select("digest"), "digest", "left_anti")
-    new = new.repartition(buckets, "digest").mapInArrow(_once, STORE)
-    new.write.option("compression", "none").bucketBy(buckets, "digest").mode("overwrite").saveAsTable(store)
+    docs = _payloads(docs.withColumn("doc_id", F.lit(None).cast("long")).select("doc_id", text_col), "doc_id", text_col)
+    for wave in range(waves):
+        new = docs.mapInArrow(partial(_bodies, wave=wave, waves=waves), STORE)
+        if existing is not None:
+            new = new.join(existing.select("digest"), "digest", "left_anti")
+        new = new.repartition(buckets, "digest").mapInArrow(_once, STORE)
+        new.write.option("compression", "none").bucketBy(buckets, "digest").mode("append" if wave else "overwrite").saveAsTable(store)
     return docs.sparkSession.table(store)
 
 
@@ -228,7 +232,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = write_chunks(docs, name, buckets=buckets)
         lists = spark.read.schema(LISTED).parquet(kept)
         got = scratch(spark, "media-features")
-        rebuild(lists, store).mapInArrow(_features, FEATURES).write.parquet(got)
+        for wave in range(WAVES):
+            part = lists.filter(F.pmod(F.crc32("media_key"), F.lit(WAVES)) == wave)
+            rebuild(part, store).mapInArrow(_features, FEATURES).write.mode("append").parquet(got)
     features = spark.read.schema(FEATURES).parquet(got)
     spark.sql(f"drop table {name}")
     out = lists.select("doc_id", "n_bytes", "media_bytes", "media_key").join(features, "media_key")
