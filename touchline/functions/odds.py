@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -137,28 +137,35 @@ def log_loss(prob_of_outcome, floor: float = 1e-12) -> Column:
     return -F.ln(F.greatest(col(prob_of_outcome), F.lit(floor)))
 
 
-def shin(odds: Column, steps: int = 60) -> Column:
-    """struct(p, z) for an array of decimal odds: probabilities without margin by Shin's model.
+def shin_z(odds: Column, steps: int = 60) -> Column:
+    """Shin's share of insiders for an array of decimal odds; 0 for a book without margin.
 
-    Where the book has no margin z is 0 and p proportional. Otherwise z is bisected within Catalyst: the sum of the
-    probabilities falls as z grows. Null if a price is no price.
+    The sum of the probabilities falls as z grows, so z is bisected within Catalyst.
     """
-    pi = F.transform(odds, lambda o: 1 / o)
+    pi = F.transform(odds, lambda x: 1 / x)
     book = F.aggregate(pi, F.lit(0.0), lambda a, x: a + x)
 
-    def prob(x: Column, b: Column, z: Column) -> Column:
-        return (F.sqrt(z * z + 4 * (1 - z) * x * x / b) - z) / (2 * (1 - z))
+    def step(at: Column, _) -> Column:
+        z = (at["lo"] + at["hi"]) / 2
+        total = F.aggregate(at["pi"], F.lit(0.0), lambda a, x: a + shin_prob(x, at["book"], z))
+        return F.struct(F.when(total > 1, z).otherwise(at["lo"]).alias("lo"), F.when(total > 1, at["hi"]).otherwise(z).alias("hi"), at["pi"].alias("pi"), at["book"].alias("book"))
 
-    def total(p: Column, b: Column, z: Column) -> Column:
-        return F.aggregate(p, F.lit(0.0), lambda a, x: a + prob(x, b, z))
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(0.999999).alias("hi"), pi.alias("pi"), book.alias("book"))
+    return F.when(book <= 1, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda at: (at["lo"] + at["hi"]) / 2))
 
-    def step(at: Column, _) -> Column:
-        mid = (at["lo"] + at["hi"]) / 2
-        high = total(pi, book, mid) > 1
-        return F.struct(F.when(high, mid).otherwise(at["lo"]).alias("lo"), F.when(high, at["hi"]).otherwise(mid).alias("hi"))
-
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(0.999999).alias("hi")), step, lambda at: (at["lo"] + at["hi"]) / 2)
-    z = F.when(book <= 1, F.lit(0.0)).otherwise(z)
-    raw = F.when(book <= 1, F.transform(pi, lambda x: x / book)).otherwise(F.transform(pi, lambda x: prob(x, book, z)))
-    p = F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
-    return F.when(F.forall(odds, lambda o: o > 1), F.struct(p.alias("p"), z.alias("z")))
+
+def shin_prob(pi: Column, book: Column, z: Column) -> Column:
+    return (F.sqrt(z * z + 4 * (1 - z) * pi * pi / book) - z) / (2 * (1 - z))
+
+
+def with_shin(df: DataFrame, cols: list[str], z: str = "z", prefix: str = "p_") -> DataFrame:
+    """``df`` with Shin's z and, for each column of odds, its probability without margin; null where one is no price.
+
+    Each step is a column of its own, so that the bisection runs once a row.
+    """
+    ok = reduce(Column.__and__, [is_price(c) for c in cols])
+    df = df.withColumn(z, F.when(ok, shin_z(F.array(*cols))))
+    book = reduce(Column.__add__, [1 / F.col(c) for c in cols])
+    df = df.withColumns({f"_{c}": F.when(book <= 1, 1 / F.col(c) / book).otherwise(shin_prob(1 / F.col(c), book, F.col(z))) for c in cols})
+    total = reduce(Column.__add__, [F.col(f"_{c}") for c in cols])
+    return df.withColumns({f"{prefix}{c}": F.col(f"_{c}") / total for c in cols}).drop(*[f"_{c}" for c in cols])
