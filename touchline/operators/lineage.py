@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/touchline-scratch"
+    return f"{base.rstrip('/')}/{name}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/touchline-scratch"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in that folder."""
+    path = folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
