@@ -174,9 +174,11 @@ def _near_vectors(rows: DataFrame, cosine: float, id_col: str, vec_col: str, lab
     # a pair further apart on the first line than this has, at the limit, probability 1e-9: 6.1 deviations of its projection
     reach = F.least(F.lit(6.1 * float(np.sqrt(2 - 2 * cosine))) / F.sqrt("dim"), F.lit(float(np.sqrt(2 - 2 * cosine)))) * (1 + 1e-9)
     other = cells.select(*[F.col(c).alias(f"{c}2" if c not in ("label", "dim") else c) for c in cells.columns])
-    index = cells.select("cell", "label", "dim", "low", "high").withColumn("reach", reach)
-    other_index = other.select("cell2", "label", "dim", "low2", "high2")
-    close = index.join(other_index, ["label", "dim"]).filter("cell <= cell2 and low2 <= high + reach and high2 >= low - reach").select("cell", "cell2")
+    slot = lambda x: F.floor(x / reach)  # noqa: E731  slots as wide as the reach make it an equi-join
+    index = cells.select("cell", "label", "dim", "low", "high", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))).alias("slot"))
+    other_index = other.select("cell2", "label", "dim", "low2", "high2", F.explode(F.sequence(slot(F.col("low2")) - 1, slot(F.col("high2")) + 1)).alias("slot"))
+    near = (F.col("low2") <= F.col("high") + reach) & (F.col("high2") >= F.col("low") - reach)
+    close = index.join(other_index, ["label", "dim", "slot"]).filter((F.col("cell") <= F.col("cell2")) & near).select("cell", "cell2").distinct()
     meet = close.repartition("cell", "cell2").join(cells.select("cell", "dim", "ids", "vecs", "weights"), "cell").join(other.select("cell2", "ids2", "vecs2", "weights2"), "cell2")
     met = written(spark, meet.mapInArrow(_met(cosine), "id long, links long, to long"), "vectors-met")
 
