@@ -1,11 +1,13 @@
 """Removal of repeated strings: suffix arrays over buckets, and interval expansion on their Burrows-Wheeler transforms.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a document with a smaller id. Equal strings
-are brought together by their minimizer: the least of the hashes of their 16-byte substrings. The windows of a text that
-share one form a stretch, and every window is in one stretch.
-  1. Texts are written as blocks of ``BLOCK`` bytes or so.
-  2. Each block sends the hashes of its minimizers, dealt into buckets; those that come from one document only drop out.
-  3. Each block sends its remaining stretches, each distinct one once with its smallest id. A minimizer in more than
+are brought together by what they hold: of the hashes of a string's 16-byte parts the least, its minimizer, and the 16
+bytes after it or, if those reach out of the string, before it. Windows of a text that have both in common form a
+stretch, and every window is in one stretch.
+  1. Texts are written as blocks of ``BLOCK`` bytes or so, in a table bucketed by block, so that they needn't move again.
+     Whole texts equal to that of a smaller id go as they are.
+  2. Each block sends the hashes of its stretches' common parts, dealt into buckets; those of one document drop out.
+  3. Each block sends its remaining stretches, each distinct one once with its smallest id. A common part in more than
      ``HOT`` blocks is dealt by whole windows instead, so that no bucket gathers what surrounds a frequent string.
   4. Each bucket sorts its suffixes, takes the transform, and extends all intervals backward, breadth first: prefixes
      shared by neighbours come out by increasing length, intervals of one suffix drop out, and expansion ends at
@@ -20,60 +22,77 @@ go along whole, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy_shuffles, total, utf8, written
+from .common import like, table, tidy_shuffles, total, utf8, workspace, written
 from .shingles import mixed, seeds
 
 LENGTH, K = 50, 16
-BLOCK, HOT = 1 << 21, 256
+BLOCK, HOT = 1 << 22, 256
 #: Bytes that a bucket gathers, of hashes and of stretches.
 KEYS, STRETCHES = 1 << 22, 3 << 20
 LAST = np.iinfo("i8").max
 _BYTE, _STEP = seeds(256, 31), seeds(8, 32)
+PIECE = 1 << 16
+_LOW = np.uint64((1 << 20) - 1)
 
 
 def stretches(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
-    """(first window, windows, minimizer hash, text number) of each stretch of texts that lie one after another."""
+    """(first window, windows, hash of the common part, text number) of each stretch of texts one after another."""
     n, w = len(raw), length - K + 1
     none = np.zeros(0, "i8")
     if n < length:
         return none, none, np.zeros(0, "u8"), none
-    h, size = _BYTE[raw], 1
-    while size < K:
-        h = h[:-size] * _STEP[0] + h[size:] * _STEP[1]
-        h ^= h >> np.uint64(32)
-        size *= 2
-    h = mixed(h)
-    low = np.uint64((1 << int(n).bit_length()) - 1)
-    v = (h & ~low) | np.arange(len(h), dtype="u8")
-    width = 1
-    while 2 * width <= w:
-        v = np.minimum(v[:-width], v[width:])
-        width *= 2
-    if w > width:
-        v = np.minimum(v[: -(w - width)], v[w - width :])
-    at = (v & low).astype("i8")
+    h, at = np.empty(n - K + 1, "u8"), np.empty(n - length + 1, "i8")
+    for a in range(0, n - length + 1, PIECE):  # pieces that stay in a core's cache
+        x, size = _BYTE[raw[a : a + PIECE + length - 1]], 1
+        while size < K:
+            x = x[:-size] * _STEP[0] + x[size:] * _STEP[1]
+            x ^= x >> np.uint64(32)
+            size *= 2
+        x = mixed(x)
+        h[a : a + len(x)] = x
+        v = (x & ~_LOW) | np.arange(len(x), dtype="u8")
+        width = 1
+        while 2 * width <= w:
+            v = np.minimum(v[:-width], v[width:])
+            width *= 2
+        if w > width:
+            v = np.minimum(v[: -(w - width)], v[w - width :])
+        at[a : a + len(v)] = (v & _LOW).astype("i8") + a
     doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     whole = doc[: len(at)] == doc[length - 1 :]
     new = whole.copy()
     new[1:] &= ~whole[:-1] | (at[1:] != at[:-1])
-    start = np.flatnonzero(new)
     over = whole.copy()
     over[:-1] &= ~whole[1:] | (at[1:] != at[:-1])
-    return start, np.flatnonzero(over) - start + 1, h[at[start]], doc[start]
+    start, end = np.flatnonzero(new), np.flatnonzero(over) + 1
+    at, doc = at[start], doc[start]
+    turn = np.clip(at - (length - 2 * K), start, end)  # windows from here on hold what follows the minimizer
+    left, right = turn > start, turn < end
+    before = h[at[left] - K] * _STEP[2] + h[at[left]] * _STEP[3]
+    after = h[at[right]] * _STEP[4] + h[at[right] + K] * _STEP[5]
+    return np.r_[start[left], turn[right]], np.r_[(turn - start)[left], (end - turn)[right]], mixed(np.r_[before, after]), np.r_[doc[left], doc[right]]
 
 
-def _cat(parts: list) -> bytes:
-    return b"".join(parts)
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(numbers.astype("i8"), prepend=0).astype("i8").tobytes())
 
 
-_BLOCK_COLS = [("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())]
+def _restored(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "i8"))
+
+
+_BLOCK_COLS = [("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("digests", pa.list_(pa.binary()))]
 
 
 def _blocks(it):
@@ -84,7 +103,7 @@ def _blocks(it):
     def block():
         ids, texts, rest = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
         sizes = [len(t.as_buffer()) for t in texts]
-        cols = [[number], [sum(sizes)], [ids.to_pylist()], [sizes], [_cat([t.as_py() for t in texts])]]
+        cols = [[number], [sum(sizes)], [ids.to_pylist()], [sizes], [b"".join([t.as_py() for t in texts])], [[hashlib.sha256(t.as_buffer()).digest() for t in texts]]]
         arrays = [pa.array(x, t) for x, (_, t) in zip(cols, _BLOCK_COLS, strict=True)] + [pa.ListArray.from_arrays([0, len(rest)], rest)]
         return pa.record_batch(arrays, names=[*(n for n, _ in _BLOCK_COLS), "rest"])
 
@@ -102,54 +121,80 @@ def _blocks(it):
         yield block()
 
 
-def _block_of(row: dict):
-    return np.frombuffer(row["data"], "u1"), np.cumsum(np.array(row["sizes"], "i8"))
+def _block_of(blocks: pa.Table, copies: list[int]):
+    """(bytes, text ends, ids, which texts are copies) of a block."""
+    row = blocks.select(["ids", "sizes", "data"]).slice(0, 1).to_pylist()[0]
+    ids = np.array([LAST if x is None else x for x in row["ids"]], "i8")
+    is_copy = np.zeros(len(ids), "?")
+    is_copy[copies] = True
+    return np.frombuffer(row["data"], "u1"), np.cumsum(np.array(row["sizes"], "i8")), ids, is_copy
+
+
+def _copies(side: pa.Table) -> list[int]:
+    return [i for x in side["copies"].to_pylist() if x is not None for i in x]
+
+
+def _bucket(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, so that high zero bytes lie together."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T).tobytes()
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("u8").ravel(), dtype="u8")
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
+SENT = "bucket int, block long, keys binary, several binary"
+#: Bits of a hash that are sent.
+SENT_BITS = 48
 
 
 def _send_keys(buckets: int, length: int):
-    def run(it):
-        for batch in it:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                _, _, keys, doc = stretches(*_block_of(row), length)
-                if not len(keys):
-                    continue
-                o = np.argsort(keys, kind="stable")
-                keys, doc = keys[o], doc[o]
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                several = doc[first] != doc[np.r_[first[1:], len(doc)] - 1]
-                keys = keys[first]
-                cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                spans = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.record_batch([pa.array([b for b, _, _ in spans], pa.int32()), pa.array([row["block"]] * len(spans), pa.int64()), pa.array([keys[i:j].tobytes() for _, i, j in spans], pa.binary()), pa.array([np.packbits(several[i:j]).tobytes() for _, i, j in spans], pa.binary())], schema=_SENT)
+    def run(blocks: pa.Table, side: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return _SENT.empty_table()
+        raw, ends, _, is_copy = _block_of(blocks, _copies(side))
+        _, _, keys, doc = stretches(raw, ends, length)
+        keys, doc = keys[~is_copy[doc]] >> np.uint64(64 - SENT_BITS), doc[~is_copy[doc]]
+        if not len(keys):
+            return _SENT.empty_table()
+        o = np.argsort(keys)
+        keys, doc = keys[o], doc[o]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        keys = keys[first]
+        cut = np.searchsorted(_bucket(keys, buckets, SENT_BITS), np.arange(buckets + 1))
+        spans = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pa.table([pa.array([b for b, _, _ in spans], pa.int32()), pa.array([blocks["block"][0].as_py()] * len(spans), pa.int64()), pa.array([_packed(keys[i:j]) for _, i, j in spans], pa.binary()), pa.array([np.packbits(several[i:j]).tobytes() for _, i, j in spans], pa.binary())], schema=_SENT)
 
     return run
 
 
-_FOUND = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
+_FOUND = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
+FOUND = "block long, n long, keys binary, hot binary"
 
 
 def _repeated(group: pa.Table) -> pa.Table:
     """Of one bucket's hashes, those that come from several documents, for each block that sent them."""
-    keys = [np.frombuffer(x.as_py(), "u8") for x in group["keys"]]
+    keys = [_unpacked(x.as_py()) for x in group["keys"]]
     several = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=len(k)) for x, k in zip(group["several"], keys, strict=True)]).astype("?")
     sizes = np.array([len(k) for k in keys])
     every = np.concatenate(keys)
-    _, number, counts = np.unique(every, return_inverse=True, return_counts=True)
-    apart = np.bincount(number, several) > 0
-    keep, hot = ((counts > 1) | apart)[number], (counts > HOT)[number]
+    o = np.argsort(every)
+    first = np.flatnonzero(np.r_[True, np.diff(every[o]) != 0])
+    counts = np.diff(np.r_[first, len(o)])
+    kept = (counts > 1) | np.logical_or.reduceat(several[o], first)
+    keep, hot = np.empty(len(o), "?"), np.empty(len(o), "?")
+    keep[o], hot[o] = np.repeat(kept, counts), np.repeat(counts > HOT, counts)
     out, at = [], 0
     for block, n in zip(group["block"].to_pylist(), sizes.tolist(), strict=True):
         k = keep[at : at + n]
         if k.any():
-            out.append((block, every[at : at + n][k].tobytes(), np.packbits(hot[at : at + n][k]).tobytes()))
+            out.append((block, int(k.sum()), _packed(every[at : at + n][k]), np.packbits(hot[at : at + n][k]).tobytes()))
         at += n
     return pa.table([pa.array([x[i] for x in out], t.type) for i, t in enumerate(_FOUND)], schema=_FOUND)
 
@@ -159,27 +204,27 @@ STRETCH = "block long, bucket int, lens binary, data binary, least binary, start
 
 
 def _send_stretches(buckets: int, length: int):
-    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, side: pa.Table) -> pa.Table:
         out: dict[int, tuple] = {}
+        found = side.filter(pc.is_valid(side["keys"]))
         if not (blocks.num_rows and found.num_rows):
             return _STRETCH.empty_table()
-        row = blocks.slice(0, 1).to_pylist()[0]
-        raw, ends = _block_of(row)
-        ids = np.array([LAST if x is None else x for x in row["ids"]], "i8")
-        keys = [np.frombuffer(x.as_py(), "u8") for x in found["keys"]]
+        raw, ends, ids, is_copy = _block_of(blocks, _copies(side))
+        keys = [_unpacked(x.as_py()) for x in found["keys"]]
         hot = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=len(k)) for x, k in zip(found["hot"], keys, strict=True)]).astype("?")
         keys = np.concatenate(keys)
         o = np.argsort(keys)
         keys, hot = keys[o], hot[o]
         start, windows, key, doc = stretches(raw, ends, length)
-        where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        is_in = keys[where] == key
+        short = key >> np.uint64(64 - SENT_BITS)
+        where = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+        is_in = (keys[where] == short) & ~is_copy[doc]
         start, windows, key, doc, is_hot = start[is_in], windows[is_in], key[is_in], doc[is_in], hot[where[is_in]]
         many = np.where(is_hot, windows, 1)
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         start, key, doc, by_window = np.repeat(start, many) + place, np.repeat(key, many), np.repeat(doc, many), np.repeat(is_hot, many)
         windows = np.where(by_window, 1, np.repeat(windows, many))
-        to, data = _bucket(mixed(key), buckets).astype("i8"), row["data"]
+        to, data, block = _bucket(mixed(key), buckets).astype("i8"), raw.tobytes(), blocks["block"][0].as_py()
         for s, n, b, d, single in zip(start.tolist(), windows.tolist(), to.tolist(), ids[doc].tolist(), by_window.tolist(), strict=True):
             text = data[s : s + n + length - 1]
             if single:
@@ -194,7 +239,8 @@ def _send_stretches(buckets: int, length: int):
                 least[i] = d
             starts.append(s)
             which.append(i)
-        rows = [(row["block"], b, np.array([len(t) for t in seen], "i4").tobytes(), _cat(list(seen)), np.array(least, "i8").tobytes(), np.array(starts, "i4").tobytes(), np.array(which, "i4").tobytes()) for b, (seen, least, starts, which) in out.items()]
+        z = zstandard.ZstdCompressor(level=1)
+        rows = [(block, b, _squeezed(np.array([len(t) for t in seen])), z.compress(b"".join(seen)), _squeezed(np.array(least)), _squeezed(np.array(starts)), _squeezed(np.array(which))) for b, (seen, least, starts, which) in out.items()]
         return pa.table([pa.array([x[i] for x in rows], t.type) for i, t in enumerate(_STRETCH)], schema=_STRETCH)
 
     return run
@@ -238,17 +284,24 @@ def intervals(s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """
     sa = suffix_array(s, length)
     bwt = s[sa - 1]
-    back = np.argsort(bwt, kind="stable")
+    back = np.argsort(bwt, kind="stable").astype("i4")
     first = bwt[back]
     new = np.r_[True, first[1:] != first[:-1]]
-    live = np.flatnonzero(~new)
+    live = None
     for _ in range(length - 1):
         group = np.cumsum(new, dtype="i4")
-        part = group[back[live]] != group[back[live - 1]]
+        if live is None:
+            to = group[back]
+            part = ~new[1:] & (to[1:] != to[:-1])
+            new[1:] |= part
+            if 8 * np.count_nonzero(new) > 7 * len(new):  # few are open: from now on only those are looked at
+                live = np.flatnonzero(~new)
+        else:
+            part = group[back[live]] != group[back[live - 1]]
+            new[live[part]] = True
+            live = live[~part]
         if not part.any():
             break
-        new[live[part]] = True
-        live = live[~part]
     return sa, np.cumsum(new) - 1
 
 
@@ -260,10 +313,10 @@ def _expand(length: int):
         """The smallest id that each window's string starts in, run by run, for the stretches of each block."""
         seen: dict[bytes, int] = {}
         least: list[int] = []
-        asked = []
+        asked, z = [], zstandard.ZstdDecompressor()
         for lens, data, ids in zip(*(group[c].to_pylist() for c in ("lens", "data", "least")), strict=True):
-            at, mine = 0, []
-            for n, d in zip(np.frombuffer(lens, "i4").tolist(), np.frombuffer(ids, "i8").tolist(), strict=True):
+            at, mine, data = 0, [], z.decompress(data)
+            for n, d in zip(_restored(lens).tolist(), _restored(ids).tolist(), strict=True):
                 i = seen.setdefault(data[at : at + n], len(least))
                 if i == len(least):
                     least.append(d)
@@ -296,7 +349,7 @@ def _expand(length: int):
             n = windows[which]
             v = value[np.repeat(off[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             cut = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            out.append((block, bucket, np.diff(np.r_[cut, len(v)]).astype("i4").tobytes(), v[cut].tobytes()))
+            out.append((block, bucket, _squeezed(np.diff(np.r_[cut, len(v)])), _squeezed(v[cut])))
         return pa.table([pa.array([x[i] for x in out], t.type) for i, t in enumerate(_ANSWER)], schema=_ANSWER)
 
     return run
@@ -307,30 +360,31 @@ def _remove(length: int, schema: pa.Schema):
         if not blocks.num_rows:
             return schema.empty_table()
         rest = blocks["rest"].combine_chunks().flatten()
-        row = blocks.select(["ids", "sizes", "data"]).slice(0, 1).to_pylist()[0]
-        raw, ends = _block_of(row)
-        ids = np.array([LAST if x is None else x for x in row["ids"]], "i8")
-        marks = np.zeros(len(raw) + 1, "i4")
+        raw, ends, ids, is_copy = _block_of(blocks, _copies(side))
+        side = side.filter(pc.is_valid(side["bucket"]))
+        hit = np.zeros(len(raw), "?")
         sent, said = {}, {}
         for bucket, lens, starts, which, runs, least in zip(*(side[c].to_pylist() for c in ("bucket", "lens", "starts", "which", "runs", "least")), strict=True):
             if runs is None:
-                sent[bucket] = [np.frombuffer(x, "i4") for x in (lens, starts, which)]
+                sent[bucket] = [_restored(x) for x in (lens, starts, which)]
             else:
-                said[bucket] = np.repeat(np.frombuffer(least, "i8"), np.frombuffer(runs, "i4"))
+                said[bucket] = np.repeat(_restored(least), _restored(runs))
         for bucket, (lens, starts, which) in sent.items():
-            windows = (lens - length + 1).astype("i8")
+            windows = lens - length + 1
             off = np.cumsum(windows) - windows
             n = windows[which]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(starts.astype("i8"), n) + step
+            at = np.repeat(starts, n) + step
             least = said[bucket][np.repeat(off[which], n) + step]
             at = at[least < ids[np.searchsorted(ends, at, "right")]]
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + length, -1)
-        gone = np.cumsum(marks[:-1]) > 0
+            hit[at] = True
+        begun = np.cumsum(hit, dtype="i4")
+        gone = begun > 0
+        gone[length:] = begun[length:] > begun[:-length]  # windows end within their text
         out, a = [], 0
-        for b in ends.tolist():
+        for b, copy in zip(ends.tolist(), is_copy.tolist(), strict=True):
             g = gone[a:b]
+            g[:] |= copy and b - a >= length
             kept = raw[a:b][~g].tobytes()
             out.append((b - a, int(g.sum()), int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0]), kept, hashlib.sha256(kept).hexdigest()))
             a = b
@@ -340,8 +394,12 @@ def _remove(length: int, schema: pa.Schema):
     return run
 
 
-def _bytes_in(df: DataFrame, col: str) -> int:
-    return total(df, F.octet_length(col).cast("long"))
+def _bucketed(spark: SparkSession, df: DataFrame, col: str, buckets: int) -> tuple[DataFrame, str]:
+    """``df`` as a table in the warehouse, dealt into buckets as its tasks write; what is grouped by ``col`` stays."""
+    name = f"touchline_{uuid.uuid4().hex}"
+    with tidy_shuffles(spark):
+        df.write.option("compression", "zstd").bucketBy(buckets, col).saveAsTable(name)
+    return spark.table(name), name
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -352,36 +410,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
-    blocks = written(spark, rows.mapInArrow(_blocks, f"block long, n_bytes long, ids array<long>, sizes array<long>, data binary, rest array<{kind}>"), "repeat-blocks")
-
-    buckets = max(1, -(-total(blocks, "n_bytes") * 8 // 17 // KEYS))
-    sent = blocks.select("block", "sizes", "data").mapInArrow(_send_keys(buckets, length), "bucket int, block long, keys binary, several binary")
-    found = written(spark, sent.groupBy("bucket").applyInArrow(_repeated, "block long, keys binary, hot binary"), "repeat-keys")
-
-    buckets = max(1, -(-_bytes_in(found, "keys") // 8 * (length + 19) // STRETCHES))
-    texts = blocks.select("block", "ids", "sizes", "data")
-    sent = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_send_stretches(buckets, length), STRETCH)
-    sent = written(spark, sent, "repeat-stretches")
-    said = sent.select("block", "bucket", "lens", "data", "least").groupBy("bucket").applyInArrow(_expand(length), "block long, bucket int, runs binary, least binary")
-    said = written(spark, said, "repeat-answers")
-
-    none = F.lit(None).cast("binary")
-    side = sent.select("block", "bucket", "lens", "starts", "which", none.alias("runs"), none.alias("least"))
-    side = side.unionByName(said.select("block", "bucket", none.alias("lens"), none.alias("starts"), none.alias("which"), "runs", "least"))
+    size = total(docs, F.octet_length(text_col).cast("long"))
+    made = rows.mapInArrow(_blocks, f"block long, n_bytes long, ids array<long>, sizes array<long>, data binary, digests array<binary>, rest array<{kind}>")
+    blocks, name = _bucketed(spark, made, "block", max(8, -(-size // (8 * BLOCK))))
     schema = rows.select("rest").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("kept_sha256", "string")
-    arrow = to_arrow_schema(schema)
-    return blocks.select("block", "ids", "sizes", "data", "rest").groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_remove(length, arrow), schema)
+
+    with workspace(spark):
+        texts = blocks.select("block", "ids", "sizes", "data").groupBy("block")
+        each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("i", "x"))
+        each = each.select("block", "i", F.coalesce("x.ids", F.lit(LAST)).alias("id"), F.col("x.digests").alias("digest"))
+        first = each.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        copies = each.join(first, "digest").filter("id > first").groupBy("block").agg(F.collect_list("i").alias("copies"))
+        copies = written(spark, copies, "repeat-copies")
+
+        buckets = max(1, size * 4 // 9 // KEYS)
+        sent = texts.cogroup(copies.groupBy("block")).applyInArrow(_send_keys(buckets, length), SENT)
+        found = written(spark, sent.groupBy("bucket").applyInArrow(_repeated, FOUND), "repeat-keys")
+
+        buckets = max(1, total(found, "n") * (length + 9) // STRETCHES)
+        side = found.select("block", "keys", "hot").unionByName(copies, allowMissingColumns=True)
+        sent = texts.cogroup(side.groupBy("block")).applyInArrow(_send_stretches(buckets, length), STRETCH)
+        sent = written(spark, sent, "repeat-stretches")
+        said = sent.select("block", "bucket", "lens", "data", "least").groupBy("bucket").applyInArrow(_expand(length), "block long, bucket int, runs binary, least binary")
+        said = written(spark, said, "repeat-answers")
+
+        side = sent.select("block", "bucket", "lens", "starts", "which").unionByName(said, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
+        texts = blocks.select("block", "ids", "sizes", "data", "rest").groupBy("block")
+        out = texts.cogroup(side.groupBy("block")).applyInArrow(_remove(length, to_arrow_schema(schema)), schema)
+        out = written(spark, out, "repeat-result", keep=True)
+    spark.sql(f"drop table {name}")
+    return out
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes from each text of ``documents``, and the digest of what stays."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = out.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    with tidy_shuffles(spark):
-        return written(spark, out, "repeat-result")
+    return out.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; what is left of a character cut in two goes as well."""
     out = remove_repeats(docs).select("rest.*", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
-    return out.select(*docs.columns)
+    return like(out, docs)
