@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, feeds, models, relational  # noqa: F401
+from . import analytics, feeds, models, more, relational  # noqa: F401
 from .core import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
