@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 P = 2147483647
 
 
@@ -26,9 +28,26 @@ def draw_sql(r: str, k: str, n: str) -> str:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``i`` from 0 in the given order and the count ``n`` of all rows; meant for tables of clusters or blocks."""
-    w = Window.orderBy(*order)
-    return df.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(df.agg(F.count("*").alias("n"))))
+    """``df`` with ``i`` from 0 in the given order, and ``n``, the count of all rows.
+
+    Rows are dealt by ranges and written, so that a second reading finds them in the same part; ranks are taken within
+    parts and raised by the counts of the parts before. Only the counts of parts are in one task.
+    """
+    d = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    parts = d.groupBy("_part").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", before.alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return d.withColumn("_r", rank).join(F.broadcast(parts), "_part").withColumn("i", F.col("_before") + F.col("_r") - 1).drop("_part", "_r", "_before")
+
+
+def prefix_sums(df: DataFrame, i: str, value: str, chunk: int = 4096) -> DataFrame:
+    """``df`` with ``c``, the sum of ``value`` up to and with row ``i``: sums of chunks first, then within chunks."""
+    d = df.withColumn("_chunk", F.floor(F.col(i) / chunk))
+    sums = d.groupBy("_chunk").agg(F.sum(value).alias("_s"))
+    sums = sums.select("_chunk", F.coalesce(F.sum("_s").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_chunk").orderBy(i))
+    return d.withColumn("_in", inside).join(sums, "_chunk").withColumn("c", F.col("_before") + F.col("_in")).drop("_chunk", "_in", "_before")
 
 
 def bootstrap_mean(clusters: DataFrame, order: str, reps: int) -> DataFrame:

@@ -383,7 +383,7 @@ select round((select avg(rps) from l), 6) mean, round(quantile_cont(v, 25e-3), 6
 def g10(spark, sf):
     """Moving blocks of 21 matches. Prefix sums make a block a difference of two rows."""
     x = resample.numbered(losses(spark, sf).select("price_id", "rps"), "price_id").select("i", "n", "rps")
-    c = x.withColumn("c", F.sum("rps").over(Window.orderBy("i")))
+    c = resample.prefix_sums(x, "i", "rps")
     ends = c.select((F.col("i") - 20).alias("i"), F.col("c").alias("z"))
     blocks = c.join(ends, "i").select("i", "n", (F.col("z") - F.col("c") + F.col("rps")).alias("s"))
     size = blocks.agg(F.count("*").alias("nb"), F.floor(F.max("n") / 21).alias("slots"))

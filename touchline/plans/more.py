@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import grid as g
 from touchline.functions import odds as o
-from touchline.operators import asof, resample
+from touchline.operators import asof, fit, resample
 from touchline.sources import feeds
 from touchline.sources.fixtures import fixture, with_fixtures
 
@@ -248,3 +248,44 @@ def r07(spark, sf):
     prob = F.when(F.col("selection") == "home", 0.42).when(F.col("selection") == "draw", 0.28).otherwise(0.3)
     q = fixture(spark, sf, "quote").withColumn("prob", prob)
     return q.filter((o.edge("prob", "odd") >= 0.02) & (F.col("odd") > 1)).select("quote_id", "selection", r6(o.edge("prob", "odd")).alias("edge"), r6(o.kelly("prob", "odd")).alias("stake"))
+
+
+@query("m21_team_strengths")
+def m21(spark, sf):
+    """Attack, defence and home edge of each season's teams, fitted on earlier seasons."""
+    return fit.strengths_by_fold(fixture(spark, sf, "match").filter("home_score is not null"), "season")
+
+
+@query("m20_count_model", S + ", y as (select event_id % 6 fold, value from fx_stat where period = 'ALL'), f as (select distinct fold from y), t as (select f.fold, count(*) n, avg(value) m, avg(value * value) q from f join y on y.fold < f.fold group by 1) select fold, n, round(m, 6) mean, round(greatest(0, (q - m * m - m) / (m * m)), 6) alpha from t")
+def m20(spark, sf):
+    y = fixture(spark, sf, "stat").filter("period = 'ALL'").select((F.col("event_id") % 6).alias("fold"), "value")
+    return fit.count_model_by_fold(y, "fold", "value").select("fold", "n", r6("mean").alias("mean"), r6("alpha").alias("alpha"))
+
+
+@query("q11_cohort", with_fixtures("match", "bet") + """, b as (select b.*, m.home_score hs, row_number() over (partition by game_id, market order by line_no, odd, model_prob) n from fx_bet b left join fx_match m on m.event_id = b.game_id),
+r as (select *, case when n > 1 then 'duplicate' when hs is null then 'open' when odd < 13e-1 then 'price' else 'settled' end status from b) select status, count(*) n, round(avg(case when status = 'settled' then """ + PNL + """ end), 6) roi from r group by 1""")
+def q11(spark, sf):
+    b = bets(spark, sf).join(fixture(spark, sf, "match").select(F.col("event_id").alias("game_id"), F.col("home_score").alias("hs")), "game_id", "left")
+    n = F.row_number().over(Window.partitionBy("game_id", "market").orderBy("line_no", "odd", "model_prob"))
+    status = F.when(F.col("n") > 1, "duplicate").when(F.col("hs").isNull(), "open").when(F.col("odd") < 1.3, "price").otherwise("settled")
+    r = b.withColumn("n", n).withColumn("status", status)
+    return r.groupBy("status").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("status") == "settled", F.col("pnl")))).alias("roi"))
+
+
+@query("q13_survival", MP + ", b as (select season, avg(brier) model, count(*) n from l group by 1), c as (select season, y, count(*) k from l group by 1, 2), s as (select season, sum(k * k) / pow(sum(k), 2) sq, sum(k) t from c group by 1) select season, n, round(model, 6) model, round(1 - sq, 6) base, case when model < 1 - sq then 'SURVIVES' else 'FAILS' end verdict from b join s using (season)")
+def q13(spark, sf):
+    """Each season's Brier score against that of its own class shares, whose mean is 1 - sum of squares."""
+    x = losses(spark, sf)
+    b = x.groupBy("season").agg(F.avg("brier").alias("model"), F.count("*").alias("n"))
+    c = x.groupBy("season", "y").agg(F.count("*").alias("k")).groupBy("season").agg((1 - F.sum(F.col("k") * F.col("k")) / F.sum("k") / F.sum("k")).alias("base"))
+    return b.join(c, "season").select("season", "n", r6("model").alias("model"), r6("base").alias("base"), F.when(F.col("model") < F.col("base"), "SURVIVES").otherwise("FAILS").alias("verdict"))
+
+
+@query("q15_half_life_sweep", M + ", l as (select max(match_date) d from fx_match), p as (select 30 * (k + 1) half from range(0, 6) r(k)), w as (select half, home, sum(pow(5e-1, date_diff('day', match_date, d) / cast(half as double)) * home_score) / sum(pow(5e-1, date_diff('day', match_date, d) / cast(half as double))) rate from fx_match, l, p where home_score is not null group by 1, 2) select half, count(*) teams, round(avg(rate), 6) mean_rate, round(stddev_pop(rate), 6) spread from w group by 1")
+def q15(spark, sf):
+    """Weighted rates under every half-life of a bounded grid in one pass."""
+    m = fixture(spark, sf, "match")
+    m = m.join(F.broadcast(m.agg(F.max("match_date").alias("d")))).filter("home_score is not null").withColumn("half", F.explode(F.array(*[F.lit(30 * (k + 1)) for k in range(6)])))
+    weight = o.half_life(F.datediff("d", "match_date"), F.col("half"))
+    w = m.groupBy("half", "home").agg((F.sum(weight * F.col("home_score")) / F.sum(weight)).alias("rate"))
+    return w.groupBy("half").agg(F.count("*").alias("teams"), r6(F.avg("rate")).alias("mean_rate"), r6(F.stddev_pop("rate")).alias("spread"))
