@@ -14,6 +14,8 @@ alike; an empty table gives no rows; all other columns stay. ``_pii`` columns re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _digest(key: str, *parts) -> Column:
     """60 bits of a keyed SHA-256 as a number."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p if isinstance(p, Column) else F.lit(p) for p in parts]), 256), 1, 15), 16, 10).cast("long")
@@ -63,9 +70,14 @@ def _ten_to(n: Column) -> Column:
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A digit string of at most 18 places to another of as many."""
-    n = F.length(digits)
-    a, b = _ten_to(n - F.call_function("div", n, F.lit(2)).cast("int")), _ten_to(F.call_function("div", n, F.lit(2)).cast("int"))
-    return F.lpad(permuted(digits.cast("long"), a, b, key, kind).cast("string"), n, F.lit("0"))
+
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        half = F.call_function("div", n, F.lit(2)).cast("int")
+        p = let(_ten_to(n - half), lambda a: let(_ten_to(half), lambda b: permuted(d.cast("long"), a, b, key, kind)))
+        return F.lpad(p.cast("string"), n, F.lit("0"))
+
+    return let(digits, of)
 
 
 def permuted_chars(s: Column, key: str, kind: str) -> Column:
@@ -73,11 +85,11 @@ def permuted_chars(s: Column, key: str, kind: str) -> Column:
 
     def moved(half: Column, other: Column, r: Column) -> Column:
         def one(i: Column) -> Column:
-            c = F.substring(half, i, F.lit(1))
-            h, code = _digest(key, kind, r, other, i), F.ascii(c)
+            return let(F.substring(half, i, F.lit(1)), lambda c: turned(c, i))
 
+        def turned(c: Column, i: Column) -> Column:
             def turn(first: int, size: int) -> Column:
-                return F.char((code - first + h % size) % size + first)
+                return F.char((F.ascii(c) - first + _digest(key, kind, r, other, i) % size) % size + first)
 
             return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[A-Z]$"), turn(65, 26)).when(c.rlike("^[a-z]$"), turn(97, 26)).otherwise(c)
 
@@ -87,9 +99,12 @@ def permuted_chars(s: Column, key: str, kind: str) -> Column:
         odd = r % 2 == 1
         return F.struct(F.when(odd, moved(at["x"], at["y"], r)).otherwise(at["x"]).alias("x"), F.when(odd, at["y"]).otherwise(moved(at["y"], at["x"], r)).alias("y"))
 
-    half = F.call_function("div", F.length(s) + 1, F.lit(2)).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), half).alias("x"), F.substring(s, half + 1, F.length(s)).alias("y"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda at: F.concat(at["x"], at["y"]))
+    def of(v: Column) -> Column:
+        half = F.call_function("div", F.length(v) + 1, F.lit(2)).cast("int")
+        start = F.struct(F.substring(v, F.lit(1), half).alias("x"), F.substring(v, half + 1, F.length(v)).alias("y"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda at: F.concat(at["x"], at["y"]))
+
+    return let(s, of)
 
 
 def _digits(s: Column) -> Column:
@@ -99,31 +114,40 @@ def _digits(s: Column) -> Column:
 def _filled(template: Column, digits: Column) -> Column:
     """``template`` with its digits replaced by ``digits``, one after another."""
 
-    def step(at: Column, i: Column) -> Column:
-        c = F.substring(template, i, F.lit(1))
-        is_digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(at["s"], F.when(is_digit, F.substring(digits, at["n"], F.lit(1))).otherwise(c)).alias("s"), F.when(is_digit, at["n"] + 1).otherwise(at["n"]).alias("n"))
+    def of(t: Column, d: Column) -> Column:
+        def step(at: Column, i: Column) -> Column:
+            c = F.substring(t, i, F.lit(1))
+            is_digit = c.rlike("^[0-9]$")
+            return F.struct(F.concat(at["s"], F.when(is_digit, F.substring(d, at["n"], F.lit(1))).otherwise(c)).alias("s"), F.when(is_digit, at["n"] + 1).otherwise(at["n"]).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(template)), F.struct(F.lit("").alias("s"), F.lit(1).alias("n")), step, lambda at: at["s"])
+        return F.aggregate(F.sequence(F.lit(1), F.length(t)), F.struct(F.lit("").alias("s"), F.lit(1).alias("n")), step, lambda at: at["s"])
+
+    return let(template, lambda t: let(digits, lambda d: of(t, d)))
 
 
 def luhn_digit(body: Column) -> Column:
     """The check digit that follows ``body``."""
 
-    def step(total: Column, i: Column) -> Column:
-        d = F.substring(body, F.length(body) + 1 - i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when(i % 2 == 1, twice).otherwise(d)
+    def of(v: Column) -> Column:
+        def step(total: Column, i: Column) -> Column:
+            d = F.substring(v, F.length(v) + 1 - i, F.lit(1)).cast("int")
+            twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+            return total + F.when(i % 2 == 1, twice).otherwise(d)
+
+        return ((10 - F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), step) % 10) % 10).cast("string")
 
-    return ((10 - F.aggregate(F.sequence(F.lit(1), F.length(body)), F.lit(0), step) % 10) % 10).cast("string")
+    return let(body, of)
 
 
 def mod97(s: Column) -> Column:
-    def step(m: Column, i: Column) -> Column:
-        c = F.substring(s, i, F.lit(1))
-        return F.when(c.rlike("^[0-9]$"), m * 10 + c.cast("long")).otherwise(m * 100 + F.ascii(c) - 55) % 97
+    def of(v: Column) -> Column:
+        def step(m: Column, i: Column) -> Column:
+            c = F.substring(v, i, F.lit(1))
+            return F.when(c.rlike("^[0-9]$"), m * 10 + c.cast("long")).otherwise(m * 100 + F.ascii(c) - 55) % 97
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0).cast("long"), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0).cast("long"), step)
+    return let(s, of)
 
 
 def _head(s: Column, n: int) -> Column:
@@ -166,33 +190,37 @@ def kind_of(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     """The pseudonym of a value of a kind; ``m`` itself where the kind is null."""
     d = _digits(m)
-    body = permuted_digits(_head(d, 1), key, "card")
-    account = permuted_chars(F.substring(m, 5, 99), key, "iban")
-    check = F.lpad((98 - mod97(F.concat(account, F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0")
-    ssn = F.aggregate(F.sequence(F.lit(1), F.lit(60)), permuted_digits(d, key, "ssn"), lambda x, _: F.when(_valid_ssn(x), x).otherwise(permuted_digits(x, key, "ssn")))
+    card = let(permuted_digits(_head(d, 1), key, "card"), lambda b: F.concat(b, luhn_digit(b)))
+
+    def iban(account: Column) -> Column:
+        check = 98 - mod97(F.concat(account, F.substring(m, 1, 2), F.lit("00")))
+        return F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
+
+    again = lambda x, _: F.when(_valid_ssn(x), x).otherwise(permuted_digits(x, key, "ssn"))
+    ssn = F.aggregate(F.sequence(F.lit(1), F.lit(60)), permuted_digits(d, key, "ssn"), again)
     code = F.regexp_extract(m, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    octets = F.split(m, r"\.")
-    number = sum((octets[i].cast("long") * 256 ** (3 - i) for i in range(1, 4)), octets[0].cast("long") * 256**3)
-    ip = permuted(number, 65536, 65536, key, "ip")
-    dotted = F.concat_ws(".", *[F.call_function("div", ip, F.lit(256**i)) % 256 for i in (3, 2, 1, 0)])
-    day = F.aggregate(F.sequence(F.lit(1), F.lit(12)), permuted(_day(m), 271, 270, key, "date"), lambda x, _: F.when(x < DAYS, x).otherwise(permuted(x, 271, 270, key, "date")))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
-    slashed = F.translate(m, ".", "/")
-    day_first = F.try_to_timestamp(slashed, F.lit("dd/MM/yyyy")).isNotNull()
-    dd, mm, yyyy = (F.date_format(new, x) for x in ("dd", "MM", "yyyy"))
-    sep = F.substring(m, 3, 1)
-    date = F.when(m.rlike("^[0-9]{4}-"), F.date_format(new, "yyyy-MM-dd")).when(day_first, F.concat(dd, sep, mm, sep, yyyy)).otherwise(F.concat(mm, sep, dd, sep, yyyy))
+    phone = let(code, lambda c: let(F.substring(m, F.length(c) + 1, F.length(m)), lambda rest: F.concat(c, _filled(rest, permuted_digits(_digits(rest), key, "phone")))))
+    number = let(F.split(m, r"\."), lambda x: sum((x[i].cast("long") * 256 ** (3 - i) for i in range(1, 4)), x[0].cast("long") * 256**3))
+    ip = let(permuted(number, 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", *[F.call_function("div", n, F.lit(256**i)) % 256 for i in (3, 2, 1, 0)]))
+    in_range = lambda x, _: F.when(x < DAYS, x).otherwise(permuted(x, 271, 270, key, "date"))
+    day = F.aggregate(F.sequence(F.lit(1), F.lit(12)), permuted(_day(m), 271, 270, key, "date"), in_range)
+    day_first = F.try_to_timestamp(F.translate(m, ".", "/"), F.lit("dd/MM/yyyy")).isNotNull()
+
+    def date(new: Column) -> Column:
+        dd, mm, yyyy = (F.date_format(new, x) for x in ("dd", "MM", "yyyy"))
+        sep = F.substring(m, 3, 1)
+        return F.when(m.rlike("^[0-9]{4}-"), F.date_format(new, "yyyy-MM-dd")).when(day_first, F.concat(dd, sep, mm, sep, yyyy)).otherwise(F.concat(mm, sep, dd, sep, yyyy))
+
     name = F.regexp_extract(m, f"^(?:AKIA(?=[0-9A-Z]{{16}}$)|{SECRET})", 0)
     new_of = {
-        "secret": F.concat(name, permuted_chars(F.substring(m, F.length(name) + 1, F.length(m)), key, "secret")),
+        "secret": let(name, lambda x: F.concat(x, permuted_chars(F.substring(m, F.length(x) + 1, F.length(m)), key, "secret"))),
         "email": F.concat(permuted_chars(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)),
-        "iban": F.concat(F.substring(m, 1, 2), check, account),
-        "date": date,
-        "ip": dotted,
+        "iban": let(permuted_chars(F.substring(m, 5, 99), key, "iban"), iban),
+        "date": let(F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")), date),
+        "ip": ip,
         "ssn": _filled(m, ssn),
-        "card": _filled(m, F.concat(body, luhn_digit(body))),
-        "phone": F.concat(code, _filled(rest, permuted_digits(_digits(rest), key, "phone"))),
+        "card": _filled(m, card),
+        "phone": phone,
     }
     out = m
     for k, value in new_of.items():
@@ -206,7 +234,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     A text is cut at each match and put together again with pseudonyms; no row leaves its partition.
     """
     t = F.col(f"`{text_col}`")
-    may = F.coalesce(t.rlike("[0-9@]") | t.rlike("password|passwd|secret|token|api_?key"), F.lit(False))
+    may = F.coalesce(t.rlike("[0-9@]") | reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in ("password", "passwd", "secret", "token", "api_key", "apikey")]), F.lit(False))
     empty = F.array().cast("array<string>")
     hits = F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(empty)
     hits = F.transform(hits, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
