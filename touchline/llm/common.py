@@ -63,7 +63,14 @@ def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -
         _OPEN[-1].append(path)
     with tidy_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def done_with(df: DataFrame) -> None:
+    """Deletes a table of ``written`` before its workspace ends: nothing reads it any more."""
+    removed(df.sparkSession, df.scratch_path)
 
 
 def removed(spark: SparkSession, path: str) -> None:

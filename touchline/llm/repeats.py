@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import like, table, tidy_shuffles, total, utf8, workspace, written
+from .common import done_with, like, table, tidy_shuffles, total, utf8, workspace, written
 from .shingles import mixed, seeds
 
 LENGTH, K = 50, 16
@@ -431,6 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         side = found.select("block", "keys", "hot").unionByName(copies, allowMissingColumns=True)
         sent = texts.cogroup(side.groupBy("block")).applyInArrow(_send_stretches(buckets, length), STRETCH)
         sent = written(spark, sent, "repeat-stretches")
+        done_with(found)
         said = sent.select("block", "bucket", "lens", "data", "least").groupBy("bucket").applyInArrow(_expand(length), "block long, bucket int, runs binary, least binary")
         said = written(spark, said, "repeat-answers")
 
