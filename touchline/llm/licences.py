@@ -51,7 +51,11 @@ NOT_LETTERS = r"[^\p{L}\p{N}]+"
 
 def normalised(text: Column) -> Column:
     """``text`` as it is compared; empty if nothing is left."""
-    t = F.regexp_replace(F.lower(text), f"(?dm){COPYRIGHT}", " ")
+    return _plain(F.lower(text))
+
+
+def _plain(t: Column) -> Column:
+    t = F.regexp_replace(t, f"(?dm){COPYRIGHT}", " ")
     for a, b in SPELLINGS.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.btrim(F.regexp_replace(t, NOT_LETTERS, " "))
@@ -77,9 +81,12 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "do
     k = known(docs.sparkSession, texts)
     names = F.create_map(*[F.lit(x) for r in k.collect() for x in (r["digest"], r["name"])])
     t = F.col(f"`{text_col}`")
-    d = docs.select(F.col(id_col).alias("doc_id"), digest(t).alias("digest"), t.alias("_text"))
+    # no rule reaches over a line's end, so the normalised text is its normalised lines with blanks between
+    d = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(F.lower(t), "\n"), _plain).alias("_lines"))
+    whole = F.array_join(F.filter("_lines", lambda x: x != ""), " ")
+    d = d.select("doc_id", F.when(whole != "", F.sha2(whole, 256)).alias("digest"), "_lines")
     d = d.join(F.broadcast(k.withColumnRenamed("name", "licence")), "digest", "left")
-    hits = F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.try_element_at(names, F.coalesce(digest(x), F.lit(""))).alias("name")))
+    hits = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line"), F.try_element_at(names, F.when(x == "", "").otherwise(F.sha2(x, 256))).alias("name")))
     hits = F.filter(hits, lambda x: x["name"].isNotNull())
     return d.select("doc_id", "digest", "licence", F.coalesce(hits, F.array().cast("array<struct<line:int,name:string>>")).alias("notices"))
 
