@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -195,17 +196,18 @@ def test_quality_of_hostile_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
-def naive_chunk(v, chunk, salt, dropout):
+def naive_part(v, chunk, salt, dropout):
     """Every waiting candidate is looked at again at each step."""
     import xxhash
 
-    sym = {i: c for i, c in enumerate(chunk)}
+    sym = dict(enumerate(chunk))
     waiting, bar = [], int(dropout * 2**64)
+    score = {p: v.merges[k] >> 16 for k in v.merges for p in [v.pieces[k >> 16] + v.pieces[k & 0xFFFF]]}
 
     def offer(i, j):
-        s = v.scores.get(sym[i] + sym[j])
+        s = score.get(sym[i] + sym[j])
         if s is not None:
-            waiting.append((-s, i, j, len(sym[i]) + len(sym[j])))
+            waiting.append((s, i, j, len(sym[i]) + len(sym[j])))
 
     for i in range(len(chunk) - 1):
         offer(i, i + 1)
@@ -216,7 +218,7 @@ def naive_chunk(v, chunk, salt, dropout):
         keys = sorted(sym)
         if i not in sym or j not in sym or keys.index(j) != keys.index(i) + 1 or len(sym[i]) + len(sym[j]) != size:
             continue
-        if bar and xxhash.xxh64_intdigest(b"%b|%d|%d|%d" % (salt + chunk.encode(), i, j, size)) < bar:
+        if bar and xxhash.xxh64_intdigest(struct.pack("<III", i, j, i + size), xxhash.xxh64_intdigest(salt + chunk.encode())) < bar:
             continue
         sym[i] += sym.pop(j)
         keys = sorted(sym)
@@ -245,8 +247,8 @@ def test_pieces_with_dropout_are_those_of_brute_force_and_lossless(spark):
     v = pieces.vocabulary(pieces.MODEL)
     for chunk in ("▁internationalisation", "▁thethatthen", "▁aa日b"):
         for k in range(4):
-            assert v.encode_chunk(chunk, b"7|%d|" % k, 0.3) == naive_chunk(v, chunk, b"7|%d|" % k, 0.3)
-    assert len({tuple(v.encode_chunk("▁internationalisation", b"7|%d|" % k, 0.3)) for k in range(8)}) > 1
+            assert v.encode_part(chunk, b"7|%d|" % k, 0.3) == naive_part(v, chunk, b"7|%d|" % k, 0.3)
+    assert len({tuple(v.encode_part("▁internationalisation", b"7|%d|" % k, 0.3)) for k in range(8)}) > 1
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*TEXTS, None])] + [(None, "a b", 1)], "doc_id long, text string, ids int")
     rows = pieces.encode(df).collect()
     assert len(rows) == len(TEXTS) + 2 and all(r["lossless"] for r in rows)

@@ -2,12 +2,13 @@
 
 Texts become ids of a public BPE vocabulary by merging neighbours, best score first, leftmost first among equals. The
 candidate merges wait in an agenda; each that comes up is skipped with probability ``dropout``. Whether it is depends only
-on a keyed hash of seed, variant, chunk and the candidate's place and size, so equal input gives equal output on any
+on a keyed hash of seed, variant, part and the candidate's place and size, so equal input gives equal output on any
 cluster and after any retry. A document's variant is a keyed hash of its id, so documents are cut in ``VARIANTS`` ways.
 Without dropout the ids are those of the library's own encoder.
 
 Blanks become U+2581 and one is put in front, as the vocabulary wants it. No piece holds U+2581 after another character,
-so texts fall into chunks that are encoded by themselves; a task remembers the chunks it has met. Characters that are no
+so texts fall into parts there, and also around punctuation and line ends where the vocabulary allows it; parts are
+encoded by themselves, and a worker remembers the parts it has met. Characters that are no
 piece, and U+2581 itself, become byte pieces, so that decoding gives exactly the text.
 
 Defined results: a null or empty text has no ids and decodes to an empty one; rows that repeat are encoded alike; a null
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +32,15 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 2024, 4
-#: Chunks that a task remembers of each variant.
-REMEMBERED = 200_000
+#: Parts that a worker remembers of each variant.
+REMEMBERED = 300_000
 BLANK = "▁"
-_CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+PLACE = struct.Struct("<III").pack
+LETTER, STOPS = r"[^\W\d_¹²³]", ".,!?;:"
+#: Parts of any vocabulary in which no piece holds a blank after another character, and more parts where no piece holds
+#: a letter and a stop, a stop and a line end, or a line end and a letter, one after the other.
+PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+MORE_PARTS = re.compile(f"{BLANK}*{LETTER}+(?=[{STOPS}\n])|[{STOPS}]+(?=\n)|\n+(?={LETTER})|{PARTS.pattern}")
 
 
 class Vocabulary:
@@ -49,54 +56,67 @@ class Vocabulary:
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
-
-    def encode_chunk(self, chunk: str, salt: bytes, dropout: float) -> list[int]:
-        """Ids of a chunk; candidates come from the agenda by score and place, and keyed hashes skip some."""
-        scores = self.scores
-        sym = list(chunk)
-        n = len(sym)
+        self.texts = [self.bytes_of.get(i) or p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        ranks = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: -sp.get_score(self.ids[p])))}
+        #: (left id, right id) to (rank, merged id), each pair as one number
+        self.merges = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    self.merges[a << 16 | b] = ranks[p] << 16 | i
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        crossed = re.compile(f"{LETTER}[{STOPS}\n]|[{STOPS}]\n|\n{LETTER}")
+        self.parts = PARTS if any(crossed.fullmatch(p) for p in pairs) else MORE_PARTS
+
+    def encode_part(self, part: str, salt: bytes, dropout: float) -> list[int]:
+        """Ids of a part; candidates come from the agenda by score and place, and keyed hashes skip some.
+
+        A candidate is one number: its merge, the start of its left and the start of its right symbol.
+        """
+        merges, n = self.merges, len(part)
+        sym = [self.ids.get(c, -1) for c in part]
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
-            s = scores.get(sym[i] + sym[i + 1])
-            if s is not None:
-                agenda.append((-s, i, i + 1, 2))
+            m = merges.get(sym[i] << 16 | sym[i + 1])
+            if m is not None:
+                agenda.append(m << 48 | i << 24 | i + 1)
         heapq.heapify(agenda)
         bar = int(dropout * 2**64)
-        key = salt + chunk.encode() if bar else b""
+        key = xxhash.xxh64_intdigest(salt + part.encode()) if bar else 0
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            if sym[i] is None or sym[j] is None or len(sym[i]) + len(sym[j]) != size or right[i] != j:
+            c = heapq.heappop(agenda)
+            i, j, m = c >> 24 & 0xFFFFFF, c & 0xFFFFFF, c >> 48
+            if right[i] != j or merges.get(sym[i] << 16 | sym[j]) != m:
                 continue
-            if bar and xxhash.xxh64_intdigest(b"%b|%d|%d|%d" % (key, i, j, size)) < bar:
+            k = right[j]
+            if bar and xxhash.xxh64_intdigest(PLACE(i, j, k), key) < bar:
                 continue
-            sym[i] += sym[j]
-            sym[j] = None
-            k = right[i] = right[j]
+            sym[i] = s = m & 0xFFFF
+            right[i], right[j] = k, -1
             if k < n:
                 left[k] = i
-                s = scores.get(sym[i] + sym[k])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, i, k, len(sym[i]) + len(sym[k])))
+                m = merges.get(s << 16 | sym[k])
+                if m is not None:
+                    heapq.heappush(agenda, m << 48 | i << 24 | k)
             k = left[i]
             if k >= 0:
-                s = scores.get(sym[k] + sym[i])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, k, i, len(sym[k]) + len(sym[i])))
-        out = []
-        for x in sym:
-            if x is not None:
-                i = self.ids.get(x)
-                if i is None:
-                    out += [self.byte_ids[b] for b in x.encode()]
-                else:
-                    out.append(i)
+                m = merges.get(sym[k] << 16 | s)
+                if m is not None:
+                    heapq.heappush(agenda, m << 48 | k << 24 | i)
+        out, i = [], 0
+        while i < n:
+            if sym[i] >= 0:
+                out.append(sym[i])
+            else:
+                out += [self.byte_ids[b] for b in part[i].encode()]
+            i = right[i]
         return out
 
     def decode(self, ids) -> str:
-        parts = [self.bytes_of.get(i) or self.pieces[i].replace(BLANK, " ").encode() for i in ids]
-        return b"".join(parts)[1:].decode()
+        texts = self.texts
+        return b"".join([texts[i] for i in ids])[1:].decode()
 
 
 @lru_cache(4)
@@ -113,14 +133,14 @@ class Encoder:
 
     def _run(self, text: str, out: list[int]) -> None:
         seen = self.seen
-        for chunk in _CHUNK.findall(text):
-            ids = seen.get(chunk)
+        for part in self.v.parts.findall(text):
+            ids = seen.get(part)
             if ids is None:
-                ids = self.v.encode_chunk(chunk, self.salt, self.dropout)
-                if len(chunk) <= 64:
+                ids = self.v.encode_part(part, self.salt, self.dropout)
+                if len(part) <= 64:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[chunk] = ids
+                    seen[part] = ids
             out += ids
 
     def encode(self, text: str) -> list[int]:
