@@ -61,6 +61,26 @@ def test_near_duplicates_with_a_hub_and_hostile_rows(spark):
     check_near(spark, docs)
 
 
+@pytest.mark.parametrize(("percent", "edits", "shared"), [(85, 19, 4), (80, 26, 5)])
+def test_near_duplicates_within_a_family_without_a_centre(spark, percent, edits, shared):
+    rng = random.Random(percent)
+    base = [f"w{k}" for k in range(2000)]
+
+    def text(own, at):
+        w = list(base)
+        for k, new in at.items():
+            w[5 * k] = f"{new}x{k}"
+        for k in rng.sample(sorted(set(range(400)) - set(at)), edits - len(at)):
+            w[5 * k] = f"{own}x{k}"
+        return " ".join(w)
+
+    docs = []
+    for k in range(100):  # all pairs lie just below the threshold, 30 pairs of two texts just above it
+        at = dict.fromkeys(rng.sample(range(400), shared), f"both{k}") if k < 30 else {}
+        docs += [(2 * k, text(2 * k, at)), (2 * k + 1, text(2 * k + 1, at))]
+    check_near(spark, docs, percent)
+
+
 def test_near_duplicates_of_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(df).count() == 0
