@@ -150,6 +150,17 @@ def test_pseudonyms_are_those_of_brute_force(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_long_secrets_any_case_and_grouped_accounts(spark):
+    jwt = "aB3" * 267
+    rows = [f"token={jwt} x", "Password: hunter22", "API_KEY=abcdef", "TOKEN=abcdef", "GB82 WEST 1234 5698 7654 32 PAID", "ES91 2100 0418 4502 0005 1332 EUR", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 33"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["_pii"] for r in got] == [["secret"]] * 4 + [["iban"]] * 3 + [[]]
+    new = [r["text"] for r in got]
+    assert len(new[0]) == len(rows[0]) and new[0][-2:] == " x" and sum(a == b for a, b in zip(new[0][206:-2], jwt[200:], strict=True)) < 150
+    assert all(a != b and a.split("=")[0].split(":")[0] == b.split("=")[0].split(":")[0] for a, b in zip(new[1:4], rows[1:4], strict=True))
+    assert new[4].replace(" ", "") == new[6] + "PAID" and [len(x) for x in new[4].split(" ")] == [4, 4, 4, 4, 4, 2, 4] and new[5].endswith(" EUR") and new[5] != rows[5] and new[7] == rows[7]
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(73049).select(pii.permuted(F.col("id"), 271, 270, "k", "date").alias("p")).distinct().count()
     assert n == 73049

@@ -14,8 +14,6 @@ alike; an empty table gives no rows; all other columns stay. ``_pii`` columns re
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +24,15 @@ ROUNDS = 8
 KEY = "touchline"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-SECRET = r"(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?"
+SECRET = r"(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?"
+#: Lengths of bank account numbers by country, so that one in groups of four ends where it does.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FO FI FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA", 23: "GI IQ IL OM SO TL AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "PT ST LY", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [0-9A-Z]{{4}}){{{n // 4 - 1}}}" + (f" [0-9A-Z]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
 #: What may be a value of each kind; the kinds are tried in this order at each place.
 PATTERNS = {
-    "secret": rf"{_LEFT}AKIA[0-9A-Z]{{16}}{_RIGHT}|{SECRET}[0-9A-Za-z_+/.-]{{6,200}}",
+    "secret": rf"{_LEFT}AKIA[0-9A-Z]{{16}}{_RIGHT}|{SECRET}[0-9A-Za-z_+/.-]{{6,}}+",
     "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}@[0-9A-Za-z-]{1,63}(?:\.[0-9A-Za-z-]{1,63})+",
-    "iban": rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]{{11,30}}{_RIGHT}",
+    "iban": rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]{{11,30}}{_RIGHT}|{_LEFT}(?:{_GROUPED}){_RIGHT}",
     "date": rf"{_LEFT}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}){_RIGHT}",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z]|-[0-9])",
@@ -84,16 +85,18 @@ def permuted_chars(s: Column, key: str, kind: str) -> Column:
     """A string to another: digits stay digits, capitals capitals, small letters small letters; the rest stays."""
 
     def moved(half: Column, other: Column, r: Column) -> Column:
-        def one(i: Column) -> Column:
-            return let(F.substring(half, i, F.lit(1)), lambda c: turned(c, i))
+        def one(i: Column, other: Column) -> Column:
+            return let(F.substring(half, i, F.lit(1)), lambda c: turned(c, i, other))
 
-        def turned(c: Column, i: Column) -> Column:
+        def turned(c: Column, i: Column, other: Column) -> Column:
             def turn(first: int, size: int) -> Column:
                 return F.char((F.ascii(c) - first + _digest(key, kind, r, other, i) % size) % size + first)
 
             return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[A-Z]$"), turn(65, 26)).when(c.rlike("^[a-z]$"), turn(97, 26)).otherwise(c)
 
-        return F.when(F.length(half) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), ""))
+        # a long half counts by its digest, so that the work grows with the length and not with its square
+        other = F.when(F.length(other) > 100, F.sha2(other, 256)).otherwise(other)
+        return F.when(F.length(half) == 0, F.lit("")).otherwise(let(other, lambda o: F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), lambda i: one(i, o)), "")))
 
     def step(at: Column, r: Column) -> Column:
         odd = r % 2 == 1
@@ -170,10 +173,10 @@ def _day(m: Column) -> Column:
 
 def kind_of(m: Column) -> Column:
     """The kind that ``m``, a match of ``ANY``, is a valid value of, or null."""
-    d = _digits(m)
+    d, c = _digits(m), F.replace(m, F.lit(" "), F.lit(""))
     valid = {
         "email": m.contains("@"),
-        "iban": m.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}$") & (mod97(F.concat(F.substring(m, 5, 99), F.substring(m, 1, 4))) == 1),
+        "iban": c.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}$") & (mod97(F.concat(F.substring(c, 5, 99), F.substring(c, 1, 4))) == 1),
         "date": m.rlike("^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\\1[0-9]{4})$") & _day(m).between(0, DAYS - 1),
         "ip": m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
         "ssn": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & _valid_ssn(d),
@@ -194,7 +197,8 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 
     def iban(account: Column) -> Column:
         check = 98 - mod97(F.concat(account, F.substring(m, 1, 2), F.lit("00")))
-        return F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
+        new = F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
+        return F.when(m.contains(" "), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
 
     again = lambda x, _: F.when(_valid_ssn(x), x).otherwise(permuted_digits(x, key, "ssn"))
     ssn = F.aggregate(F.sequence(F.lit(1), F.lit(60)), permuted_digits(d, key, "ssn"), again)
@@ -215,7 +219,7 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     new_of = {
         "secret": let(name, lambda x: F.concat(x, permuted_chars(F.substring(m, F.length(x) + 1, F.length(m)), key, "secret"))),
         "email": F.concat(permuted_chars(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)),
-        "iban": let(permuted_chars(F.substring(m, 5, 99), key, "iban"), iban),
+        "iban": let(permuted_chars(F.substring(F.replace(m, F.lit(" "), F.lit("")), 5, 99), key, "iban"), iban),
         "date": let(F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")), date),
         "ip": ip,
         "ssn": _filled(m, ssn),
@@ -234,7 +238,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     A text is cut at each match and put together again with pseudonyms; no row leaves its partition.
     """
     t = F.col(f"`{text_col}`")
-    may = F.coalesce(t.rlike("[0-9@]") | reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in ("password", "passwd", "secret", "token", "api_key", "apikey")]), F.lit(False))
+    may = F.coalesce(t.rlike("[0-9@]") | t.rlike(SECRET), F.lit(False))
     empty = F.array().cast("array<string>")
     hits = F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(empty)
     hits = F.transform(hits, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
