@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline.operators.lineage import folder
+from touchline.operators.lineage import scratch
 
 LATE = "60 days"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -23,7 +21,7 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 16) -> Dat
 
 def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it put out; a restart goes on from its checkpoint."""
-    spark, path = stream.sparkSession, folder(stream.sparkSession, f"stream-{name}-{uuid.uuid4().hex}")
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, f"stream-{name}")
 
     def put(batch: DataFrame, number: int) -> None:
         where = f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}"
