@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from touchline.llm import near_dup, packing, pii, quality, repeats
-from touchline.llm.common import table, written
+from touchline.llm.common import table
+from touchline.operators.lineage import written
 
 STAGES = [
     ("quality", quality.stage),

@@ -2,7 +2,7 @@
 
 import datetime as dt
 import hashlib
-import struct
+import re
 import zlib
 
 import numpy as np
@@ -108,15 +108,163 @@ def chars(s, key, kind):
     return x + y
 
 
+KEY = "a key"
+
+
+def valid_date(m):
+    for f in ("%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y"):
+        try:
+            d = dt.datetime.strptime(m.replace("/", "-").replace(".", "-"), f).date()
+        except ValueError:
+            continue
+        return f, (d - dt.date(1900, 1, 1)).days
+    return None, -1
+
+
+def hexes(s, key, kind):
+    x, y = s[:16], s[16:]
+
+    def moved(a, b, r):
+        return "".join(f"{(int(c, 16) + _digest(key, kind, r, b, i) % 16) % 16:x}" for i, c in enumerate(a, 1))
+
+    for r in range(1, pii.ROUNDS + 1):
+        x, y = (moved(x, y, r), y) if r % 2 else (x, moved(y, x, r))
+    return x + y
+
+
+def filled(template, new):
+    new = iter(new)
+    return "".join(next(new) if c.isdigit() else c for c in template)
+
+
+def bank(c):
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+
+
+def pseudonym_of(m, k):
+    """(kind, pseudonym) of a match, step by step; (None, m) where it isn't valid."""
+    d, c = re.sub("[^0-9]", "", m), m.replace(" ", "")
+    start = re.match(pii.SECRET, m)
+    token = next((a for a, b in pii.TOKENS.items() if re.fullmatch(a + b, m)), None)
+    if token or start:
+        n = len(re.match(token, m)[0]) if token else start.end()
+        return "secret", m[:n] + chars(m[n:], k, "secret")
+    if "@" in m:
+        name, _, host = m.partition("@")
+        return "email", f"{chars(name, k, 'email')}@{host}"
+    if re.fullmatch("[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}", c):
+        if bank(c) != 1:
+            return None, m
+        new = chars(c[4:], k, "iban")
+        new = f"{c[:2]}{98 - bank(c[:2] + '00' + new):02d}{new}"
+        return "iban", " ".join(new[i : i + 4] for i in range(0, len(new), 4)) if " " in m else new
+    f, day = valid_date(m) if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}", m) else (None, -1)
+    if 0 <= day < pii.DAYS:
+        while True:
+            day = feistel(day, 271, 270, k, "date")
+            new = dt.date(1900, 1, 1) + dt.timedelta(day)
+            if day < pii.DAYS and (f != "%m-%d-%Y" or new.day > 12):
+                return "date", new.strftime(f.replace("-", m[2]) if m[2] in "/." else f)
+    if ":" in m:
+        a, _, b = m.partition("::")
+        a, b = ([x for x in y.split(":") if x] for y in (a, b))
+        n = len(a) + len(b)
+        if not re.search("[0-9]", m) or n < 3 or ("::" in m and n > 7):
+            return None, m
+        new = hexes("".join(x.lower().zfill(4) for x in a + ["0"] * (8 - n) + b), k, "ipv6")
+        return "ip", ":".join(f"{int(new[i : i + 4], 16):x}" for i in range(0, 32, 4))
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", m):
+        n = feistel(int.from_bytes(map(int, m.split(".")), "big"), 65536, 65536, k, "ip")
+        return "ip", ".".join(map(str, n.to_bytes(4, "big")))
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", m):
+        ok = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
+        if not ok(d):
+            return None, m
+        d = digits(d, k, "ssn")
+        while not ok(d):
+            d = digits(d, k, "ssn")
+        return "ssn", filled(m, d)
+    if re.fullmatch("[0-9][0-9 -]+[0-9]", m) and 13 <= len(d) <= 19 and d.strip("0") and luhn(d[:-1]) == d[-1]:
+        new = digits(d[:-1], k, "card")
+        return "card", filled(m, new + luhn(new))
+    if re.fullmatch("[+(0-9][0-9 ().-]+", m) and (m[0] == "+" or re.fullmatch(r"\(?[0-9]{3}[). -]+[0-9]{3}[.-][0-9]{4}", m)) and 7 <= len(d) <= 15:
+        code = re.match(r"\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])|", m)[0]
+        rest = m[len(code) :]
+        return "phone", code + filled(rest, digits(re.sub("[^0-9]", "", rest), k, "phone"))
+    return None, m
+
+
+def brute_pii(text, k):
+    found = []
+
+    def one(m):
+        kind, new = pseudonym_of(m[0], k)
+        found.append(kind)
+        return new
+
+    return re.sub(pii.ANY, one, text), [x for x in found if x]
+
+
+def test_pii_query(spark):
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        got = {r["doc_id"]: r for r in pii.op4_pii(spark, DATA).collect()}
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert sorted(got) == sorted(texts)
+    every = set()
+    for i, text in texts.items():
+        new, kinds = brute_pii(text, KEY)
+        assert (got[i]["text"], got[i]["n_found"]) == (new, len(kinds))
+        assert all(got[i][f"n_{x}"] == kinds.count(x) for x in pii.KINDS)
+        every |= set(kinds)
+    assert len(every) > 3
+    assert pii.key_of(spark) != pii.key_of(spark)  # none is in the source
+
+
+def test_values_of_each_kind_are_those_of_brute_force(spark):
+    rows = [
+        "a GB82WEST12345698765432 b ES91 2100 0418 4502 0005 1332 EUR", "ip 2001:db8::1, FE80:0:0:0:1:2:3:4 and 1::2:3:4:5:6:7:8 at 12:30:45", "std::abs a::b 2001:DB8:0:0::1",
+        "ghp_0123456789abcdefghijABCDEFGHIJ012345 xoxb-1234567890-abc eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "password: hunter2!xyzzy, Secret: p@ssword1; TOKEN=abc/def+==",
+        "12/31/1999 31/12/1999 01.02.2003 13/13/2000 1899-12-31 2099-12-31", "(988) 555-2485 988-555-2485 +44 20 7946 0958", "4111 1111 1111 1111 3782 822463 10005",
+    ]
+    got = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert [(r["text"], r["_pii"]) for r in got] == [brute_pii(t, KEY) for t in rows]
+    assert all(r["_pii"] for r in got)
+
+
+def test_long_texts_neither_overflow_nor_keep_tails(spark):
+    n = 1 << 20
+    rows = ["a@b" + ".c" * (n // 2), "1-" * (n // 2), "@" * n, "a." * (n // 2), "1:" * (n // 2), "+1 " * (n // 3), "token=" + "aB3" * 20_000 + " end", "1.2.3.4 " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, KEY).collect()}
+    assert [len(got[i]["text"]) == len(t) for i, t in enumerate(rows[:7])] == [True] * 7
+    new = got[6]["text"]
+    assert new.endswith(" end") and sum(a == b for a, b in zip(new[6:-4], rows[6][6:-4], strict=True)) < 5000
+    assert got[0]["_pii"] == ["email"] and got[7]["_pii"] == ["ip"] * 5000
+
+
+def test_pii_stage_keeps_other_columns(spark):
+    rows = [(1, "x@y.zz", "p", "d", "h", 6), (None, None, None, None, None, None), (2, "", "p", "d", "h", 0), (2, "", "p", "d", "h", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _pii string, `a.b` string, _hits string, n_chars long")
+    got = pii.stage(spark, df, "")
+    assert got.columns == df.columns and got.count() == 4 and got.filter("doc_id = 1").first()["_pii"] == "p"
+    assert pii.stage(spark, df.limit(0), "").count() == 0
+
+
 def test_pseudonyms_are_those_of_brute_force(spark):
-    k = pii.KEY
+    k = KEY
     card = "4041894974608795"
     new_card = digits(card[:-1], k, "card")
     new_card += luhn(new_card)
     day = feistel((dt.date(2024, 2, 29) - dt.date(1900, 1, 1)).days, 271, 270, k, "date")
     while day >= pii.DAYS:
         day = feistel(day, 271, 270, k, "date")
-    date = dt.date(1900, 1, 1) + dt.timedelta(day)
+    date = american = dt.date(1900, 1, 1) + dt.timedelta(day)
+    while day >= pii.DAYS or american.day <= 12:  # stays a date that can only be read month first
+        day = feistel(day, 271, 270, k, "date")
+        american = dt.date(1900, 1, 1) + dt.timedelta(day)
     ip = feistel((70 << 24) + (123 << 16) + (182 << 8) + 155, 65536, 65536, k, "ip")
     phone = digits("9885552485", k, "phone")
     ssn = digits("123456789", k, "ssn")
@@ -128,7 +276,7 @@ def test_pseudonyms_are_those_of_brute_force(spark):
         "4041894974608796": "4041894974608796",
         "on 2024-02-29.": f"on {date}.",
         "29/02/2024": date.strftime("%d/%m/%Y"),
-        "02/29/2024": date.strftime("%m/%d/%Y"),
+        "02/29/2024": american.strftime("%m/%d/%Y"),
         "31.02.2024": "31.02.2024",
         "ip 70.123.182.155 x": "ip " + ".".join(str(ip >> s & 255) for s in (24, 16, 8, 0)) + " x",
         "256.1.1.1": "256.1.1.1",
@@ -143,17 +291,17 @@ def test_pseudonyms_are_those_of_brute_force(spark):
         "plain 2.0 and 3": "plain 2.0 and 3",
     }
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate([*cases, None])], "doc_id long, text string, m int")
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, k).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[len(cases)] is None
-    iban = pii.pseudonymise(spark.createDataFrame([("GB82WEST12345698765432",)], "text string")).first()
+    iban = pii.pseudonymise(spark.createDataFrame([("GB82WEST12345698765432",)], "text string"), k).first()
     assert iban["_pii"] == ["iban"] and int("".join(str(int(c, 36)) for c in iban["text"][4:] + iban["text"][:4])) % 97 == 1
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), k).count() == 0
 
 
 def test_long_secrets_any_case_and_grouped_accounts(spark):
     jwt = "aB3" * 267
     rows = [f"token={jwt} x", "Password: hunter22", "API_KEY=abcdef", "TOKEN=abcdef", "GB82 WEST 1234 5698 7654 32 PAID", "ES91 2100 0418 4502 0005 1332 EUR", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 33"]
-    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     assert [r["_pii"] for r in got] == [["secret"]] * 4 + [["iban"]] * 3 + [[]]
     new = [r["text"] for r in got]
     assert len(new[0]) == len(rows[0]) and new[0][-2:] == " x" and sum(a == b for a, b in zip(new[0][206:-2], jwt[200:], strict=True)) < 150
@@ -207,38 +355,32 @@ def test_quality_of_hostile_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
-def naive_part(v, chunk, salt, dropout):
-    """Every waiting candidate is looked at again at each step."""
-    import xxhash
-
-    sym = dict(enumerate(chunk))
-    waiting, bar = [], int(dropout * 2**64)
-    score = {p: v.merges[k] >> 16 for k in v.merges for p in [v.pieces[k >> 16] + v.pieces[k & 0xFFFF]]}
+def naive_pieces(v, text, key, bar):
+    """All neighbours of a whole text are looked at again at each step."""
+    if not text:
+        return []
+    b = (" " + text).encode()
+    ids, at = v.symbols(b)
+    skipped = set()
+    while True:
+        pairs = [(m[0], i, m[1]) for i in range(len(ids) - 1) if (at[i], at[i + 1], at[i + 2]) not in skipped and (m := v.merges.get((ids[i], ids[i + 1])))]
+        if not pairs:
+            return v.spelled(ids, at, b)
+        _, i, new = min(pairs)
+        if pieces.candidate_hash(key, at[i], at[i + 1] - at[i], at[i + 2] - at[i + 1]) < bar:
+            skipped.add((at[i], at[i + 1], at[i + 2]))
+        else:
+            ids[i : i + 2] = [new]
+            del at[i + 1]
 
-    def offer(i, j):
-        s = score.get(sym[i] + sym[j])
-        if s is not None:
-            waiting.append((s, i, j, len(sym[i]) + len(sym[j])))
 
-    for i in range(len(chunk) - 1):
-        offer(i, i + 1)
-    while waiting:
-        best = min(waiting)
-        waiting.remove(best)
-        _, i, j, size = best
-        keys = sorted(sym)
-        if i not in sym or j not in sym or keys.index(j) != keys.index(i) + 1 or len(sym[i]) + len(sym[j]) != size:
-            continue
-        if bar and xxhash.xxh64_intdigest(struct.pack("<III", i, j, i + size), xxhash.xxh64_intdigest(salt + chunk.encode())) < bar:
-            continue
-        sym[i] += sym.pop(j)
-        keys = sorted(sym)
-        k = keys.index(i)
-        if k + 1 < len(keys):
-            offer(i, keys[k + 1])
-        if k:
-            offer(keys[k - 1], i)
-    return [x for k in sorted(sym) for x in ([v.ids[sym[k]]] if sym[k] in v.ids else [v.byte_ids[b] for b in sym[k].encode()])]
+def encoded(e, texts, ids):
+    keys = pieces.document_keys(np.array(ids), np.ones(len(ids), "?"), e.seed)
+    out = []
+    for _, got, counts, lossless in e.encode([t.encode() for t in texts], keys):
+        assert lossless.all()
+        out += [x.tolist() for x in np.split(got, np.cumsum(counts)[:-1])]
+    return out, keys.tolist()
 
 
 TEXTS = ["The quick  brown fox", " lead and trail ", "x ▁ y▁", "▁", "日本語 é 😀\n\n\ttab", "", "a" * 3000, "of the and ingthe tionthe", "\x00\x01"]
@@ -248,26 +390,53 @@ def test_pieces_without_dropout_are_those_of_the_library():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    e = pieces.Encoder(pieces.MODEL, 1, 0, 0.0)
-    for t in TEXTS:
-        if pieces.BLANK not in t and "\x00" not in t:
-            assert e.encode(t) == sp.encode(t)
-
-
-def test_pieces_with_dropout_are_those_of_brute_force_and_lossless(spark):
-    v = pieces.vocabulary(pieces.MODEL)
-    for chunk in ("▁internationalisation", "▁thethatthen", "▁aa日b"):
-        for k in range(4):
-            assert v.encode_part(chunk, b"7|%d|" % k, 0.3) == naive_part(v, chunk, b"7|%d|" % k, 0.3)
-    assert len({tuple(v.encode_part("▁internationalisation", b"7|%d|" % k, 0.3)) for k in range(8)}) > 1
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*TEXTS, None])] + [(None, "a b", 1)], "doc_id long, text string, ids int")
+    texts = [t for t in TEXTS if pieces.BLANK not in t and "\x00" not in t]
+    got, _ = encoded(pieces.Encoder(pieces.MODEL, 1, 0.0), texts, range(len(texts)))
+    assert got == [sp.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize(("piece", "short"), [(1 << 19, 64), (40, 64), (40, 8), (20, 3)])
+def test_pieces_with_dropout_are_those_of_brute_force(monkeypatch, piece, short):
+    monkeypatch.setattr(pieces, "PIECE", piece)
+    monkeypatch.setattr(pieces, "SHORT", short)
+    texts = [t[:150] for t in TEXTS] + ["internationalisation thethatthen, e.g.this 12345 67,8"] * 2
+    for dropout in (0.1, 0.5, 1.0):
+        e = pieces.Encoder(pieces.MODEL, 7, dropout)
+        got, keys = encoded(e, texts, range(-2, len(texts) - 2))
+        assert got == [naive_pieces(e.v, t, k, e.bar) for t, k in zip(texts, keys, strict=True)]
+
+
+def test_pieces_vary_with_document_and_place():
+    e = pieces.Encoder(pieces.MODEL, 7, 0.3)
+    got, _ = encoded(e, ["internationalisation"] * 40 + ["internationalisation " * 40], range(41))
+    assert len({tuple(x) for x in got[:40]}) > 10
+    words = b"|".join(e.v.texts[i] for i in got[40]).split(b" ")
+    assert len(set(words)) > 10
+
+
+def test_pieces_of_hostile_rows(spark):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*TEXTS, None, "long " * 400_000])] + [(None, "a b", 1), (0, TEXTS[0], 1), (0, TEXTS[0], 1)], "doc_id long, text string, ids int")
     rows = pieces.encode(df).collect()
-    assert len(rows) == len(TEXTS) + 2 and all(r["lossless"] for r in rows)
+    assert len(rows) == len(TEXTS) + 5 and all(r["lossless"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert len({tuple(r["ids"]) for r in rows if r["doc_id"] == 0}) == 1
     back = {r["doc_id"]: r["text"] for r in pieces.decode(spark.createDataFrame(rows)).collect()}
-    assert [back[i] for i in range(len(TEXTS))] == TEXTS and back[len(TEXTS)] == ""
+    assert [back[i] for i in range(len(TEXTS))] == TEXTS and back[len(TEXTS)] == "" and back[len(TEXTS) + 1] == "long " * 400_000
     assert pieces.encode(df.limit(0)).count() == 0
 
 
+def test_pieces_query(spark):
+    """Every text as one part: an agenda that is a heap, over the whole text."""
+    v, bar = pieces.vocabulary(pieces.MODEL), pieces.skip_bar(pieces.DROPOUT)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = pieces.op9_pieces(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        b = texts[r["doc_id"]].encode()
+        key = pieces.document_keys(np.array([r["doc_id"]]), np.ones(1, "?"), pieces.SEED)
+        assert (r["n_bytes"], r["lossless"]) == (len(b), True)
+        assert r["ids"] == (v.run_long(b" " + b, int(key[0]), 0, bar) if b else [])
+
+
 def test_media_are_rebuilt(spark):
     rng = np.random.default_rng(4)
     long = "".join(map(chr, rng.integers(32, 127, 200_000)))

@@ -2,81 +2,30 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from touchline.operators.lineage import written
+
+#: Parts that the rows of one key are summed up in before they meet.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Those ``rows`` whose ``key`` others have too, with ``least``: the smallest ``value`` of the key.
 
-    Only where that setting is missing (local tests) a temporary folder is used.
+    Keys are summed up in ``SALTS`` parts of their rows first, and the parts meet instead of the rows, so a key that a
+    third of all rows share is dealt over as many tasks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/touchline-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def tidy_shuffles(spark: SparkSession):
-    """Shuffle files of each query that runs inside go when that query ends."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
-
-_OPEN: list[list[str]] = []
-
-
-@contextlib.contextmanager
-def workspace(spark: SparkSession):
-    """Tables that ``written`` makes inside go at the end, but for those that are kept."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        for path in _OPEN.pop():
-            removed(spark, path)
-
-
-def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared scratch folder: computed once, with its lineage cut."""
-    path = scratch(spark, name)
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
-    with tidy_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def done_with(df: DataFrame) -> None:
-    """Deletes a table of ``written`` before its workspace ends: nothing reads it any more."""
-    removed(df.sparkSession, df.scratch_path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that this package wrote."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_low"), F.count("*").alias("_n"))
+    keys = parts.groupBy(key).agg(F.min("_low").alias("least"), F.sum("_n").alias("_n")).filter("_n > 1")
+    return salted.join(parts.drop("_low", "_n").join(keys.drop("_n"), key), [key, "_salt"]).drop("_salt")
 
 
 def total(df: DataFrame, expr) -> int:
@@ -89,6 +38,14 @@ def utf8(col: str):
     return F.encode(F.coalesce(F.col(col), F.lit("")), "utf-8")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with ``_`` added until no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def like(out: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``out`` with the columns of ``docs``, in their order; ``n_chars``, where there is one, counts the text it has now."""
     cols = {"n_chars": F.char_length(text_col).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}

@@ -22,7 +22,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, tidy_shuffles, utf8
+from touchline.operators.lineage import scratch, tidy_shuffles
+
+from .common import table, utf8
 
 UNIT, RATE, WAVES = 192, 8000, 3
 LEAST, MASK, MOST = 1 << 10, (1 << 12) - 1, 1 << 14

@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, components, table, utf8, workspace, written
+from touchline.operators.lineage import workspace, written
+
+from .common import batches, components, table, utf8
 from .shingles import mixed, seeds, shingle_sets
 
 K, DEPTH, NEXT, SMALL, MISS = 128, 12, 3, 8, 1e-6

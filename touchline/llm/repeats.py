@@ -32,7 +32,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import done_with, like, table, tidy_shuffles, total, utf8, workspace, written
+from touchline.operators.lineage import done_with, tidy_shuffles, workspace, written
+
+from .common import like, table, total, utf8
 from .shingles import mixed, seeds
 
 LENGTH, K = 50, 16

@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, workspace, written
+from touchline.operators.lineage import workspace, written
+
+from .common import components, table
 
 LINES, CELL, MISS, WIDTH = 48, 1024, 1e-9, 2.0
 COSINE = 0.98

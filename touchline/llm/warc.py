@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, scratch, table, tidy_shuffles, written
+from touchline.operators.lineage import removed, scratch, tidy_shuffles, written
+
+from .common import table
 
 CRLF = "\r\n"
 RECORDS_A_FILE = 1000
