@@ -14,8 +14,9 @@ Pairs are confirmed on their full sets; nothing but confirmed pairs is linked. T
 are compared once.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows that repeat a doc_id count as
-one document with the union of their classes; rows with a null doc_id are left out; an empty table gives no rows. Only
-the id and the text are read, so other columns can't clash.
+one document with the union of their classes; a row with a null doc_id is given back by itself, kept and without a
+component, as nothing can be linked with it by name; an empty table gives no rows. Only the id and the text are read, so
+other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.lineage import workspace, written
 
-from .common import batches, components, table, utf8
+from .common import batches, components, table, utf8, with_least
 from .shingles import mixed, seeds, shingle_sets
 
 K, DEPTH, NEXT, SMALL, MISS = 128, 12, 3, 8, 1e-6
@@ -282,11 +283,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("bytes"))
-    sigs = written(spark, texts.mapInArrow(_signed(percent), SIG), "forest-sig")
-    classes = sigs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    members = written(spark, sigs.filter("n > 0").select("digest", "doc_id").join(classes.filter("rows > 1"), "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "forest-members")
-    reps = sigs.filter("n > 0").join(members.filter("a <> b").select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), utf8(text_col).alias("bytes"))
+    every = written(spark, texts.mapInArrow(_signed(percent), SIG), "forest-sig")
+    sigs, texts = every.filter("doc_id is not null"), texts.filter("doc_id is not null")
+    members = with_least(sigs.filter("n > 0").select("digest", "doc_id"), "digest", "doc_id").filter("least <> doc_id")
+    members = written(spark, members.select(F.col("least").alias("a"), F.col("doc_id").alias("b")), "forest-members")
+    reps = sigs.filter("n > 0").join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.first("sig").alias("sig"))
 
     keys = written(spark, reps.select("doc_id", "sig").mapInArrow(_first_keys(percent), "k long, doc long"), "forest-keys")
     dense = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
@@ -320,7 +322,8 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str)
     found = components(spark, members.union(links).union(far)).withColumnRenamed("id", "doc_id")
     each = sigs.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = each.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nameless = every.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +332,16 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 or more stays, that with the smallest id."""
-    kept = near_duplicates(docs, 80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of similarity 0.8 or more stays, that with the smallest id.
+
+    Rows with a null id are nobody's copies and stay. Of rows that repeat both id and text one stays, that whose columns
+    as JSON are the least; rows that share an id with different texts stay or go together.
+    """
+    kept = near_duplicates(docs, 80).filter("kept and doc_id is not null").select("doc_id")
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = named.join(again, "doc_id", "left_semi").groupBy("doc_id", F.md5(utf8("text")), F.col("text").isNull())
+    repeated = repeated.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.join(again, "doc_id", "left_anti").select(*columns).union(repeated).union(docs.filter("doc_id is null"))
