@@ -36,11 +36,25 @@ def test_handicap_quarter_line_is_the_mean_of_its_neighbours(grid3):
     assert mid["win"] + mid["push"] + mid["lose"] == pytest.approx(1)
 
 
-def test_grids_sum_to_one(spark):
+def test_grids_in_the_row_are_those_of_their_cells(spark):
     m = spark.createDataFrame([(1, 1.7, 0.9), (2, 0.3, 3.1)], "k int, lam double, mu double")
     for alpha in (None, 0.2):
-        sums = g.score_grid(m, "k", 10, -0.05, alpha=alpha).groupBy("k").agg(F.sum("p").alias("s")).collect()
-        assert [r["s"] for r in sums] == pytest.approx([1, 1])
+        df, grid = g.with_grid(m, 10, -0.05, alpha=alpha)
+        cells = grid.cells(df, "k")
+        assert [r["s"] for r in cells.groupBy("k").agg(F.sum("p").alias("s")).collect()] == pytest.approx([1, 1])
+        of_rows = {r["k"]: r for r in g.markets(cells, "k").collect()}
+        for r in df.select("k", *[c.alias(n) for n, c in grid.markets().items()]).collect():
+            assert [r[n] for n in g.PICKS] == pytest.approx([of_rows[r["k"]][n] for n in g.PICKS], abs=1e-12)
+        half, quarter = (g.handicap_market(cells, "k", x).orderBy("k").collect() for x in (-0.5, 0.25))
+        got = df.select("k", *[c.alias(n) for n, c in grid.handicap_market(-0.5).items()]).orderBy("k").collect()
+        more = df.select("k", *[c.alias(n) for n, c in grid.handicap_market(0.25).items()]).orderBy("k").collect()
+        assert [tuple(r) for r in got] == [pytest.approx(tuple(r), abs=1e-12) for r in half]
+        assert [tuple(r) for r in more] == [pytest.approx(tuple(r), abs=1e-12) for r in quarter]
+        want = cells.groupBy("k").agg(F.sum(F.col("p") * F.col("p")).alias("sq"), F.sum(F.col("p") * (F.col("i") + F.col("j"))).alias("goals")).orderBy("k").collect()
+        got = df.select("k", grid.squares().alias("sq"), grid.mean(lambda i, j: i + j).alias("goals"), grid.top(3).alias("top")).orderBy("k").collect()
+        assert [(r["sq"], r["goals"]) for r in got] == [pytest.approx((r["sq"], r["goals"]), abs=1e-12) for r in want]
+        best = {k: sorted((-r["p"], r["i"], r["j"]) for r in cells.collect() if r["k"] == k)[:3] for k in (1, 2)}
+        assert [[(x["i"], x["j"]) for x in r["top"]] for r in got] == [[x[1:] for x in best[k]] for k in (1, 2)]
 
 
 def test_shin(spark):

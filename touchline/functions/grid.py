@@ -1,12 +1,31 @@
-"""Goal distributions and score grids. A grid is rows (match, i, j, p): markets are sums over them, in codegen."""
+"""Goal distributions and score grids.
+
+A grid of two independent marginals whose four low scores depend on each other is known from its marginals, so it stays in
+its row (``with_grid``): a market is a sum over runs of cells, one product for each home score, without a row for each cell
+and without a shuffle. Grids of any other kind are rows (key, i, j, p), and markets are sums over them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .odds import col
 
+#: Whether the cell of i home and j away goals is in a market; for numbers and for columns.
+PICKS = {
+    "win": lambda i, j: i > j,
+    "draw": lambda i, j: i == j,
+    "loss": lambda i, j: i < j,
+    "over15": lambda i, j: i + j > 1,
+    "over25": lambda i, j: i + j > 2,
+    "over35": lambda i, j: i + j > 3,
+    "btts": lambda i, j: (i > 0) & (j > 0),
+    "dc_1x": lambda i, j: i >= j,
+    "dc_x2": lambda i, j: i <= j,
+    "dc_12": lambda i, j: i != j,
+}
+
 
 def nb_pmf(mean, alpha: float, most: int) -> Column:
     """Array of negative-binomial probabilities of 0 to ``most`` with the given mean and dispersion, by recursion."""
@@ -33,28 +52,106 @@ def rho_range(lam, mu) -> tuple[Column, Column]:
     return F.greatest(-1 / lam, -1 / mu), F.least(1 / (lam * mu), F.lit(1.0))
 
 
-def score_grid(means: DataFrame, key: str, most: int = 12, rho: Column | float = 0.0, home: str = "lam", away: str = "mu", alpha: float | None = None) -> DataFrame:
-    """(key, i, j, p) for each row of (key, lam, mu): both marginals exploded, corrected at low scores, summing to 1.
+def with_grid(df: DataFrame, most: int = 12, rho: Column | float = 0.0, home: str = "lam", away: str = "mu", alpha: float | None = None) -> tuple[DataFrame, Grid]:
+    """``df`` with the parts of a grid for the means of each row, and the ``Grid`` that reads them.
 
-    The marginals are arrays beside their row, so the grid grows within its task; only the normalisation groups by key,
-    and it adds the grid's sum to the row before exploding, without a shuffle.
+    Each part is a column of its own, so that it is worked out once a row.
     """
+    name = "_g"
+    while any(c.startswith(name) for c in df.columns):
+        name += "g"
     pmf = (lambda m: poisson_pmf(m, most)) if alpha is None else (lambda m: nb_pmf(m, alpha, most))
-    d = means.select(key, home, away, (rho if isinstance(rho, Column) else F.lit(float(rho))).alias("_rho"), pmf(home).alias("_x"), pmf(away).alias("_y"))
-    d = d.select("*", F.posexplode("_x").alias("i", "_px")).select("*", F.posexplode("_y").alias("j", "_py"))
-    d = d.withColumn("_p", F.greatest(F.col("_px") * F.col("_py") * tau("i", "j", home, away, "_rho"), F.lit(0.0)))
-    # only the four low cells differ from the product, so the grid's sum needs no second pass
-    a, b = (F.aggregate(c, F.lit(0.0), lambda s, v: s + v) for c in ("_x", "_y"))
-    low = [((x, y), F.col("_x")[x] * F.col("_y")[y]) for x in (0, 1) for y in (0, 1)]
-    total = a * b + sum((F.greatest(p * tau(F.lit(x), F.lit(y), home, away, "_rho"), F.lit(0.0)) - p for (x, y), p in low), F.lit(0.0))
-    return d.select(key, "i", "j", (F.col("_p") / total).alias("p"))
+    df = df.withColumns({f"{name}_x": pmf(home), f"{name}_y": pmf(away), f"{name}_rho": col(rho) if isinstance(rho, (Column, str)) else F.lit(float(rho))})
+    x, y = F.col(f"{name}_x"), F.col(f"{name}_y")
+    running = lambda a: F.aggregate(a, F.array(F.lit(0.0)), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
+    low = [(i, j) for i in (0, 1) for j in (0, 1)]
+    more = [F.greatest(x[i] * y[j] * tau(F.lit(i), F.lit(j), home, away, f"{name}_rho"), F.lit(0.0)) - x[i] * y[j] for i, j in low]
+    df = df.withColumns({f"{name}_c": running(y), f"{name}_a": F.element_at(running(x), -1), f"{name}_d": F.array(*more)})
+    d = F.col(f"{name}_d")
+    total = F.col(f"{name}_a") * F.element_at(f"{name}_c", -1) + d[0] + d[1] + d[2] + d[3]
+    return df.withColumn(f"{name}_t", total), Grid(name, most)
+
+
+class Grid:
+    """What a grid in the row gives: probabilities of sets of cells, means, single cells, or its cells as rows."""
+
+    def __init__(self, name: str, most: int):
+        self.most, self.columns = most, [f"{name}_{x}" for x in ("x", "y", "rho", "c", "a", "d", "t")]
+        self.x, self.y, _, self.c, _, self.d, self.total = map(F.col, self.columns)
+
+    def probability(self, pick) -> Column:
+        """Of the cells (i, j) with ``pick(i, j)``: for each i, runs of j are differences of running sums."""
+        terms = []
+        for i in range(self.most + 1):
+            inside = [bool(pick(i, j)) for j in range(self.most + 1)]
+            starts = [j for j in range(self.most + 1) if inside[j] and (j == 0 or not inside[j - 1])]
+            ends = [j + 1 for j in range(self.most + 1) if inside[j] and (j == self.most or not inside[j + 1])]
+            runs = [self.c[b] - self.c[a] for a, b in zip(starts, ends, strict=True)]
+            if runs:
+                terms.append(self.x[i] * sum(runs[1:], runs[0]))
+        terms += [self.d[2 * i + j] for i in (0, 1) for j in (0, 1) if pick(i, j)]
+        return sum(terms, F.lit(0.0)) / self.total
+
+    def mean(self, value) -> Column:
+        """Of ``value(i, j)``, a number for each cell."""
+        rows = [self.x[i] * sum((float(value(i, j)) * self.y[j] for j in range(self.most + 1)), F.lit(0.0)) for i in range(self.most + 1)]
+        low = [self.d[2 * i + j] * float(value(i, j)) for i in (0, 1) for j in (0, 1)]
+        return sum(rows + low, F.lit(0.0)) / self.total
+
+    def cell(self, i, j) -> Column:
+        """The probability of one score."""
+        if isinstance(i, int) and isinstance(j, int):
+            more = self.d[2 * i + j] if i < 2 and j < 2 else F.lit(0.0)
+            return (self.x[i] * self.y[j] + more) / self.total
+        i, j = col(i), col(j)
+        more = F.when((i < 2) & (j < 2), F.get(self.d, 2 * i + j)).otherwise(0.0)
+        return (F.get(self.x, i) * F.get(self.y, j) + more) / self.total
+
+    def squares(self) -> Column:
+        """The sum of the squares of all cells."""
+        both = [sum((v[k] * v[k] for k in range(self.most + 1)), F.lit(0.0)) for v in (self.x, self.y)]
+        low = [(2 * self.x[i] * self.y[j] + self.d[2 * i + j]) * self.d[2 * i + j] for i in (0, 1) for j in (0, 1)]
+        return (both[0] * both[1] + sum(low, F.lit(0.0))) / (self.total * self.total)
+
+    def markets(self) -> dict[str, Column]:
+        """Result, totals, both-score and double-chance probabilities."""
+        return {n: self.probability(pick) for n, pick in PICKS.items()}
+
+    def total_market(self, line: float) -> dict[str, Column]:
+        """Over, push and under of the goals of both sides at a line."""
+        return {n: self.probability(p) for n, p in (("over", lambda i, j: i + j > line), ("push", lambda i, j: i + j == line), ("under", lambda i, j: i + j < line))}
+
+    def handicap_market(self, line: float) -> dict[str, Column]:
+        """Win, push and lose of the home side at a handicap; a quarter line is the mean of the two beside it."""
+        lines = _lines(line)
+        of = lambda test: sum((self.probability(lambda i, j, x=x: test(i - j + x)) for x in lines), F.lit(0.0)) / len(lines)
+        return {"win": of(lambda m: m > 0), "push": of(lambda m: m == 0), "lose": of(lambda m: m < 0)}
+
+    def draw_no_bet(self) -> Column:
+        """Win of the home side where a draw returns the stake."""
+        win, loss = self.probability(PICKS["win"]), self.probability(PICKS["loss"])
+        return F.try_divide(win, win + loss)
+
+    def top(self, k: int = 5) -> Column:
+        """The ``k`` likeliest scores as an array of (i, j, p), ties in the order of i and j."""
+        every = [F.struct(F.round(-self.cell(i, j), 12).alias("less"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(self.most + 1) for j in range(self.most + 1)]
+        return F.slice(F.sort_array(F.array(*every)), 1, k)
+
+    def cells(self, df: DataFrame, *keys: str) -> DataFrame:
+        """(keys, i, j, p): every cell as a row."""
+        d = df.select(*keys, *self.columns).select("*", F.posexplode(self.x).alias("i", "_px")).select("*", F.posexplode(self.y).alias("j", "_py"))
+        more = F.when((F.col("i") < 2) & (F.col("j") < 2), F.get(self.d, 2 * F.col("i") + F.col("j"))).otherwise(0.0)
+        return d.select(*keys, "i", "j", ((F.col("_px") * F.col("_py") + more) / self.total).alias("p"))
+
+
+def _lines(line: float) -> list[float]:
+    return [line] if (line * 2) % 1 == 0 else [line - 0.25, line + 0.25]
 
 
 def markets(grid: DataFrame, key: str) -> DataFrame:
-    """Result, totals, both-score and double-chance probabilities of each grid."""
+    """Result, totals, both-score and double-chance probabilities of each grid of rows."""
     i, j, p = F.col("i"), F.col("j"), F.col("p")
-    pick = {"win": i > j, "draw": i == j, "loss": i < j, "over15": i + j > 1, "over25": i + j > 2, "over35": i + j > 3, "btts": (i > 0) & (j > 0), "dc_1x": i >= j, "dc_x2": i <= j, "dc_12": i != j}
-    return grid.groupBy(key).agg(*[F.sum(F.when(c, p).otherwise(0.0)).alias(n) for n, c in pick.items()])
+    return grid.groupBy(key).agg(*[F.sum(F.when(c(i, j), p).otherwise(0.0)).alias(n) for n, c in PICKS.items()])
 
 
 def total_market(grid: DataFrame, key: str, line: float) -> DataFrame:
@@ -64,17 +161,6 @@ def total_market(grid: DataFrame, key: str, line: float) -> DataFrame:
 
 def handicap_market(grid: DataFrame, key: str, line: float) -> DataFrame:
     """Win, push and lose of the home side at a handicap; a quarter line is the mean of the two beside it."""
-    lines = [line] if (line * 2) % 1 == 0 else [line - 0.25, line + 0.25]
-    d = F.col("i") - F.col("j")
+    lines, d = _lines(line), F.col("i") - F.col("j")
     share = lambda test: sum((F.when(test(d + x), F.col("p")).otherwise(0.0) for x in lines), F.lit(0.0)) / len(lines)
     return grid.groupBy(key).agg(F.sum(share(lambda m: m > 0)).alias("win"), F.sum(share(lambda m: m == 0)).alias("push"), F.sum(share(lambda m: m < 0)).alias("lose"))
-
-
-def top_scores(grid: DataFrame, key: str, k: int = 5) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.round("p", 12).desc(), "i", "j")
-    return grid.withColumn("rank_no", F.row_number().over(w)).filter(F.col("rank_no") <= k)
-
-
-def blended(a: DataFrame, b: DataFrame, key: str, w: float) -> DataFrame:
-    """w A + (1 - w) B of two grids that each sum to 1."""
-    return a.join(b.withColumnRenamed("p", "q"), [key, "i", "j"]).select(key, "i", "j", (w * F.col("p") + (1 - w) * F.col("q")).alias("p"))

@@ -1,10 +1,14 @@
-"""Seeded resampling as joins: draws are a rule of replicate and slot, so any engine replays them.
+"""Seeded resampling: how often a replicate takes a cluster is a rule of both, so any engine replays it.
 
-Clusters are summed up first; a replicate then needs only the sums of the clusters it draws.
+Clusters are summed up first. A replicate takes each of them a Poisson number of times, as often as drawing with
+replacement does in the limit of many clusters; so it needs no join, and what it keeps are sums that are combined before
+the shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,34 @@ def draw_sql(r: str, k: str, n: str) -> str:
     return f"(((({y} * {y} + 362437069) % {P}) // 97) % {n})"
 
 
+UNITS = 1_000_000
+
+
+def _thresholds(rate: float) -> list[int]:
+    """The Poisson distribution function in ``UNITS``, up to where it is 1."""
+    out, p, total, k = [], math.exp(-rate), 0.0, 0
+    while not out or out[-1] < UNITS:
+        total += p
+        out.append(round(total * UNITS))
+        k += 1
+        p *= rate / k
+    return out
+
+
+def times(r: Column, k: Column, rate: float = 1.0) -> Column:
+    """How often replicate ``r`` takes cluster ``k``."""
+    u, out = draw(r, k, F.lit(UNITS)), F.lit(0)
+    for n, bound in enumerate(_thresholds(rate)[:-1]):
+        out = F.when(u >= bound, n + 1).otherwise(out)
+    return out
+
+
+def times_sql(r: str, k: str, rate: float = 1.0) -> str:
+    bounds = _thresholds(rate)[:-1]
+    whens = " ".join(f"when u >= {b} then {n + 1}" for n, b in reversed(list(enumerate(bounds))))
+    return f"(select case {whens} else 0 end from (select {draw_sql(r, k, str(UNITS))} u))"
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``i`` from 0 in the given order, and ``n``, the count of all rows.
 
@@ -50,15 +82,33 @@ def prefix_sums(df: DataFrame, i: str, value: str, chunk: int = 4096) -> DataFra
     return d.withColumn("_in", inside).join(sums, "_chunk").withColumn("c", F.col("_before") + F.col("_in")).drop("_chunk", "_in", "_before")
 
 
-def bootstrap_mean(clusters: DataFrame, order: str, reps: int) -> DataFrame:
-    """One row: mean, and the 2.5 and 97.5 percentiles over ``reps`` resamples of clusters with (s, m): sum and count.
+def bootstrap(clusters: DataFrame, key: str, reps: int, rate: float = 1.0) -> DataFrame:
+    """(r, v): the mean of each of ``reps`` resamples of clusters with (s, m): sum and count."""
+    each = clusters.select("s", "m", F.col(key).cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("r"))
+    each = each.select("r", "s", "m", times(F.col("r"), F.col("k"), rate).alias("w")).filter("w > 0")
+    return each.groupBy("r").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("m") * F.col("w"))).alias("v"))
 
-    A replicate is as many draws as there are clusters; draws meet the sums in a join on the index, and what a replicate
-    keeps is two sums, combined before the shuffle.
-    """
-    c = numbered(clusters.select(order, "s", "m"), order).select("i", "n", "s", "m")
-    slots = c.select(F.col("i").alias("k"), "n").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    drawn = slots.select("r", draw(F.col("r"), F.col("k"), F.col("n")).alias("i")).groupBy("r", "i").agg(F.count("*").alias("times"))
-    each = drawn.join(c.select("i", "s", "m"), "i").groupBy("r").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("m") * F.col("times"))).alias("v"))
-    ends = each.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+
+def bootstrap_mean(clusters: DataFrame, key: str, reps: int, rate: float = 1.0) -> DataFrame:
+    """One row: mean, and the 2.5 and 97.5 percentiles of ``bootstrap``."""
+    ends = bootstrap(clusters, key, reps, rate).agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     return clusters.agg((F.sum("s") / F.sum("m")).alias("mean")).join(F.broadcast(ends)).select("mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+
+
+def moving_blocks(rows: DataFrame, order: str, value: str, length: int = 21) -> DataFrame:
+    """(k, s, m): sum and count of each run of ``length`` rows in order. Prefix sums make a run a difference of two rows."""
+    x = numbered(rows.select(order, value), order).select("i", value)
+    c = prefix_sums(x, "i", value)
+    ends = c.select((F.col("i") - (length - 1)).alias("i"), F.col("c").alias("_z"))
+    return c.join(ends, "i").select(F.col("i").alias("k"), (F.col("_z") - F.col("c") + F.col(value)).alias("s"), F.lit(length).alias("m"))
+
+
+def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``r``, from 0 in the given order within its group, and ``n``, the group's count of rows.
+
+    All rows are numbered by ranges of (group, order), so a large group is sorted in many tasks; a group's first number is
+    taken off.
+    """
+    d = numbered(df, group, *order).drop("n")
+    first = d.groupBy(group).agg(F.min("i").alias("_first"), F.count("*").alias("n"))
+    return d.join(first, group).withColumn("r", F.col("i") - F.col("_first")).drop("i", "_first")

@@ -194,8 +194,7 @@ def a27(spark, sf):
 
 @query("a28_rank_latency", "select event_type, max(case when r = floor(n * 5e-1) then value end) p50, max(case when r = floor(n * 95e-2) then value end) p95, max(value) most from (select *, row_number() over (partition by event_type order by value, event_id) - 1 r, count(*) over (partition by event_type) n from events) group by 1")
 def a28(spark, sf):
-    w = Window.partitionBy("event_type")
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("r", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(w))
+    e = resample.ranked(spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value", "event_id"), "event_type", "value", "event_id")
     pick = [F.max(F.when(F.col("r") == F.floor(F.col("n") * x), F.col("value"))).alias(a) for x, a in ((0.5, "p50"), (0.95, "p95"))]
     return e.groupBy("event_type").agg(*pick, F.max("value").alias("most"))
 
@@ -279,9 +278,8 @@ def w05(spark, sf):
 
 @query("w06_half_season", M + " select event_id, case when r <= n // 2 then 'T1' else 'T2' end half from (select event_id, row_number() over (partition by season order by match_date, event_id) r, count(*) over (partition by season) n from fx_match)")
 def w06(spark, sf):
-    w = Window.partitionBy("season")
-    m = fixture(spark, sf, "match").withColumn("r", F.row_number().over(w.orderBy("match_date", "event_id"))).withColumn("n", F.count("*").over(w))
-    return m.select("event_id", F.when(F.col("r") <= F.floor(F.col("n") / 2), "T1").otherwise("T2").alias("half"))
+    m = resample.ranked(fixture(spark, sf, "match").select("season", "match_date", "event_id"), "season", "match_date", "event_id")
+    return m.select("event_id", F.when(F.col("r") + 1 <= F.floor(F.col("n") / 2), "T1").otherwise("T2").alias("half"))
 
 
 @query("w07_vintage", O + ", h as (select entity_id, payload, max(published_at) p, count(*) n from fx_obs group by 1, 2) select entity_id, payload, n from (select *, row_number() over (partition by entity_id order by p desc, payload) r from h) where r = 1")
@@ -355,8 +353,8 @@ REPS = 200
 
 
 def _boot_sql(cluster: str) -> str:
-    return f""", c as ({cluster}), i as (select *, row_number() over (order by k) - 1 i, count(*) over () n from c), r as (select r, {resample.draw_sql('r', 'i', 'n')} i from i, range({REPS}) t(r)),
-v as (select r.r, sum(s) / sum(m) v from r join i using (i) group by 1) select round((select sum(s) / sum(m) from c), 6) mean, round(quantile_cont(v, 25e-3), 6) lo, round(quantile_cont(v, 975e-3), 6) hi from v"""
+    return f""", c as ({cluster}), w as (select r, s, m, {resample.times_sql('r', 'k')} w from c, range({REPS}) t(r)), v as (select r, sum(s * w) / sum(m * w) v from w where w > 0 group by 1)
+select round((select sum(s) / sum(m) from c), 6) mean, round(quantile_cont(v, 25e-3), 6) lo, round(quantile_cont(v, 975e-3), 6) hi from v"""
 
 
 def _boot(clusters: DataFrame) -> DataFrame:
@@ -371,27 +369,25 @@ def g08(spark, sf):
     return _boot(bets(spark, sf).groupBy(day.alias("k")).agg(F.sum("pnl").alias("s"), F.count("*").alias("m")))
 
 
-@query("g09_cluster_bootstrap", B + _boot_sql(f"select game_id k, sum({PNL}) s, count(*) m from fx_bet where game_id % 25 = 1 group by 1"))
+@query("g09_cluster_bootstrap", B + _boot_sql(f"select game_id k, sum({PNL}) s, count(*) m from fx_bet group by 1"))
 def g09(spark, sf):
-    """ROI with games as clusters, for one bookmaker segment of games."""
-    return _boot(bets(spark, sf).filter("game_id % 25 = 1").groupBy(F.col("game_id").alias("k")).agg(F.sum("pnl").alias("s"), F.count("*").alias("m")))
+    """ROI with games as clusters."""
+    return _boot(bets(spark, sf).groupBy(F.col("game_id").alias("k")).agg(F.sum("pnl").alias("s"), F.count("*").alias("m")))
 
 
-@query("g10_block_bootstrap", MP + f""", x as (select rps, row_number() over (order by price_id) - 1 i, count(*) over () n from l), pp as (select i, n, sum(rps) over (order by i) c, rps from x), b as (select a.i, a.n, (z.c - a.c + a.rps) s, 21 m from pp a join pp z on z.i = a.i + 20),
-k as (select *, count(*) over () nb from b), r as (select r, {resample.draw_sql('r', 'j', '(select max(nb) from k)')} i from range({REPS}) t(r), range((select cast(max(n) // 21 as bigint) from k)) u(j)), v as (select r.r, sum(s) / sum(m) v from r join k using (i) group by 1)
-select round((select avg(rps) from l), 6) mean, round(quantile_cont(v, 25e-3), 6) lo, round(quantile_cont(v, 975e-3), 6) hi from v""")
+def blocks_sql(rows: str, order: str, value: str, name: str = "") -> str:
+    """Sums of runs of 21 rows, and the mean of each replicate of them."""
+    return f"""x{name} as (select {value} x, row_number() over (order by {order}) - 1 i from {rows}), c{name} as (select i, x, sum(x) over (order by i) c from x{name}),
+b{name} as (select a.i k, z.c - a.c + a.x s, 21 m from c{name} a join c{name} z on z.i = a.i + 20), w{name} as (select r, s, m, {resample.times_sql('r', 'k', 1 / 21)} w from b{name}, range({REPS}) t(r)),
+v{name} as (select r, sum(s * w) / sum(m * w) v from w{name} where w > 0 group by 1)"""
+
+
+@query("g10_block_bootstrap", MP + ", " + blocks_sql("l", "price_id", "rps") + " select round((select avg(rps) from l), 6) mean, round(quantile_cont(v, 25e-3), 6) lo, round(quantile_cont(v, 975e-3), 6) hi from v")
 def g10(spark, sf):
-    """Moving blocks of 21 matches. Prefix sums make a block a difference of two rows."""
-    x = resample.numbered(losses(spark, sf).select("price_id", "rps"), "price_id").select("i", "n", "rps")
-    c = resample.prefix_sums(x, "i", "rps")
-    ends = c.select((F.col("i") - 20).alias("i"), F.col("c").alias("z"))
-    blocks = c.join(ends, "i").select("i", "n", (F.col("z") - F.col("c") + F.col("rps")).alias("s"))
-    size = blocks.agg(F.count("*").alias("nb"), F.floor(F.max("n") / 21).alias("slots"))
-    draws = spark.range(REPS).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("slots").cast("int") - 1)))
-    draws = draws.select("r", resample.draw(F.col("r"), F.col("j"), F.col("nb")).alias("i"))
-    v = draws.join(blocks, "i").groupBy("r").agg((F.sum("s") / F.sum(F.lit(21))).alias("v"))
-    ends = v.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    return x.agg(r6(F.avg("rps")).alias("mean")).join(F.broadcast(ends)).select("mean", r6(F.col("p")[0]).alias("lo"), r6(F.col("p")[1]).alias("hi"))
+    """Moving blocks of 21 matches."""
+    x = losses(spark, sf).select("price_id", "rps")
+    b = resample.bootstrap_mean(resample.moving_blocks(x, "price_id", "rps"), "k", REPS, 1 / 21)
+    return x.agg(r6(F.avg("rps")).alias("mean")).join(F.broadcast(b.select(r6("lo").alias("lo"), r6("hi").alias("hi"))))
 
 
 @query("g11_moments", B + f", d as (select bet_date, sum({PNL}) x from fx_bet group by 1), m as (select count(*) n, avg(x) m, avg(x*x) m2, avg(x*x*x) m3, avg(x*x*x*x) m4 from d), c as (select n, m, m2 - m*m v, m3 - 3*m*m2 + 2*m*m*m k3, m4 - 4*m*m3 + 6*m*m*m2 - 3*m*m*m*m k4 from m) select n, round(m / sqrt(v), 4) sharpe, round(k3 / pow(v, 15e-1), 4) skew, round(k4 / (v * v) - 3, 4) excess from c")

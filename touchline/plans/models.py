@@ -21,8 +21,8 @@ def r6(c):
     return F.round(c, 6)
 
 
-#: Goal means of a slice of fixtures from a difference that the two names and the id fix.
-MEANS = "e as (select event_id, exp(2e-1 + 3e-1 * d / 400) lam, exp(2e-1 - 3e-1 * d / 400) mu from (select event_id, 100e0 + (event_id * 37 % 401) - 200 d from fx_match where event_id % 10 = 0))"
+#: Goal means of all fixtures from a difference that the id fixes.
+MEANS = "e as (select event_id, exp(2e-1 + 3e-1 * d / 400) lam, exp(2e-1 - 3e-1 * d / 400) mu from (select event_id, 100e0 + (event_id * 37 % 401) - 200 d from fx_match))"
 NB = f"exp(lgamma(k + 1/{ALPHA}) - lgamma(1/{ALPHA}) - lgamma(k + 1) + (1/{ALPHA}) * ln((1/{ALPHA}) / (1/{ALPHA} + m)) + k * ln(m / (1/{ALPHA} + m)))"
 POISSON = "exp(k * ln(m) - m - lgamma(k + 1))"
 
@@ -35,16 +35,19 @@ def _grid_sql(pmf: str, most: int = MOST, name: str = "gr") -> str:
 
 def means(spark: SparkSession, sf: str) -> DataFrame:
     d = 100.0 + (F.col("event_id") * 37 % 401) - 200
-    m = fixture(spark, sf, "match").filter("event_id % 10 = 0")
+    m = fixture(spark, sf, "match")
     return m.select("event_id", F.exp(0.2 + 0.3 * d / 400).alias("lam"), F.exp(0.2 - 0.3 * d / 400).alias("mu"))
 
 
-def nb_grid(spark, sf) -> DataFrame:
-    return g.score_grid(means(spark, sf), "event_id", MOST, RHO, alpha=ALPHA)
+def priced(df: DataFrame, alpha: float | None = ALPHA) -> tuple[DataFrame, g.Grid]:
+    """Grids of the plans' fixed parameters in the rows of ``df``."""
+    return g.with_grid(df, MOST, RHO, alpha=alpha)
 
 
-def poisson_grid(spark, sf) -> DataFrame:
-    return g.score_grid(means(spark, sf), "event_id", MOST, RHO)
+def columns(grid: g.Grid, *names: str) -> list:
+    """Markets of a grid by name, rounded."""
+    every = grid.markets()
+    return [r6(every[n]).alias(n) for n in names]
 
 
 MN, MPO = M + ", " + MEANS + ", " + _grid_sql(NB), M + ", " + MEANS + ", " + _grid_sql(POISSON)
@@ -57,7 +60,8 @@ def m01(spark, sf):
 
 @query("m04_score_grid", MN + " select event_id, i, j, round(p, 9) p from gr")
 def m04(spark, sf):
-    return nb_grid(spark, sf).select("event_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("p", 9).alias("p"))
+    df, grid = priced(means(spark, sf))
+    return grid.cells(df, "event_id").select("event_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("p", 9).alias("p"))
 
 
 MARKETS = "round(sum(case when i > j then p else 0 end), 6) win, round(sum(case when i = j then p else 0 end), 6) draw, round(sum(case when i + j > 2 then p else 0 end), 6) over25, round(sum(case when i > 0 and j > 0 then p else 0 end), 6) btts, round(sum(case when i >= j then p else 0 end), 6) dc_1x"
@@ -65,20 +69,22 @@ MARKETS = "round(sum(case when i > j then p else 0 end), 6) win, round(sum(case
 
 @query("m05_grid_markets", MN + f" select event_id, {MARKETS} from gr group by 1")
 def m05(spark, sf):
-    return g.markets(nb_grid(spark, sf), "event_id").select("event_id", *[r6(c).alias(c) for c in ("win", "draw", "over25", "btts", "dc_1x")])
+    df, grid = priced(means(spark, sf))
+    return df.select("event_id", *columns(grid, "win", "draw", "over25", "btts", "dc_1x"))
 
 
 @query("m06_remaining_time", M + ", " + MEANS.replace("exp(2e-1 +", "4e-1 * exp(2e-1 +").replace("exp(2e-1 -", "4e-1 * exp(2e-1 -") + ", " + _grid_sql(NB) + " select event_id, round(sum(case when i + 1 > j then p else 0 end), 6) win, round(sum(case when i + 1 = j then p else 0 end), 6) draw from gr group by 1")
 def m06(spark, sf):
     """From 1-0 with two fifths of the match to play."""
-    m = means(spark, sf).withColumns({"lam": 0.4 * F.col("lam"), "mu": 0.4 * F.col("mu")})
-    gr = g.score_grid(m, "event_id", MOST, RHO, alpha=ALPHA)
-    return gr.groupBy("event_id").agg(r6(F.sum(F.when(F.col("i") + 1 > F.col("j"), F.col("p")).otherwise(0.0))).alias("win"), r6(F.sum(F.when(F.col("i") + 1 == F.col("j"), F.col("p")).otherwise(0.0))).alias("draw"))
+    df, grid = priced(means(spark, sf).withColumns({"lam": 0.4 * F.col("lam"), "mu": 0.4 * F.col("mu")}))
+    win, draw = (grid.probability(lambda i, j, test=test: test(i + 1, j)) for test in (g.PICKS["win"], g.PICKS["draw"]))
+    return df.select("event_id", r6(win).alias("win"), r6(draw).alias("draw"))
 
 
 @query("m07_poisson_markets", MPO + f" select event_id, {MARKETS} from gr group by 1")
 def m07(spark, sf):
-    return g.markets(poisson_grid(spark, sf), "event_id").select("event_id", *[r6(c).alias(c) for c in ("win", "draw", "over25", "btts", "dc_1x")])
+    df, grid = priced(means(spark, sf), alpha=None)
+    return df.select("event_id", *columns(grid, "win", "draw", "over25", "btts", "dc_1x"))
 
 
 @query("m08_rho_range", M + ", " + MEANS + " select event_id, round(greatest(-1/lam, -1/mu), 6) low, round(least(1/(lam*mu), 1), 6) high, round(least(greatest(9e-1, greatest(-1/lam, -1/mu) + 1e-6), least(1/(lam*mu), 1) - 1e-6), 6) clamped from e")
@@ -89,18 +95,31 @@ def m08(spark, sf):
 
 @query("m09_totals_with_push", MN + " select event_id, round(sum(case when i + j > 3 then p else 0 end), 6) p_over, round(sum(case when i + j = 3 then p else 0 end), 6) push, round(sum(case when i + j < 3 then p else 0 end), 6) p_under from gr group by 1")
 def m09a(spark, sf):
-    return g.total_market(nb_grid(spark, sf), "event_id", 3.0).select("event_id", r6("over").alias("p_over"), r6("push").alias("push"), r6("under").alias("p_under"))
+    df, grid = priced(means(spark, sf))
+    return df.select("event_id", *[r6(c).alias(n) for n, c in zip(("p_over", "push", "p_under"), grid.total_market(3.0).values(), strict=True)])
 
 
 @query("m09_quarter_handicap", MN + """ select event_id, round(sum(p * ((case when i - j > 1 then 1 else 0 end) + (case when i - j > 5e-1 then 1 else 0 end)) / 2), 6) win, round(sum(p * (case when i - j = 1 then 5e-1 else 0 end)), 6) push, round(sum(p * ((case when i - j < 1 then 1 else 0 end) + (case when i - j < 5e-1 then 1 else 0 end)) / 2), 6) lose from gr group by 1""")
 def m09b(spark, sf):
-    return g.handicap_market(nb_grid(spark, sf), "event_id", -0.75).select("event_id", *[r6(c).alias(c) for c in ("win", "push", "lose")])
+    df, grid = priced(means(spark, sf))
+    return df.select("event_id", *[r6(c).alias(n) for n, c in grid.handicap_market(-0.75).items()])
+
+
+@query("m09_draw_no_bet", MN + """ select event_id, round(sum(case when i > j then p else 0 end) / sum(case when i <> j then p else 0 end), 6) draw_no_bet, round(sum(case when i = 2 and j = 1 then p else 0 end), 6) p_2_1,
+round(sum(case when i >= 4 and i > j then p else 0 end), 6) any_other_home from gr group by 1""")
+def m09c(spark, sf):
+    """Draw no bet, one exact score, and all home wins by four goals or more together."""
+    df, grid = priced(means(spark, sf))
+    other = grid.probability(lambda i, j: i >= 4 and i > j)
+    return df.select("event_id", r6(grid.draw_no_bet()).alias("draw_no_bet"), r6(grid.cell(2, 1)).alias("p_2_1"), r6(other).alias("any_other_home"))
 
 
 @query("m10_blend", M + ", " + MEANS + ", " + _grid_sql(NB) + ", " + _grid_sql(POISSON, name="po") + " select gr.event_id, round(sum(case when gr.i > gr.j then 7e-1 * gr.p + 3e-1 * po.p else 0 end), 6) win from gr join po on gr.event_id = po.event_id and gr.i = po.i and gr.j = po.j group by 1")
 def m10(spark, sf):
-    mixed = g.blended(nb_grid(spark, sf), poisson_grid(spark, sf), "event_id", 0.7)
-    return g.markets(mixed, "event_id").select("event_id", r6("win").alias("win"))
+    df, nb = priced(means(spark, sf))
+    df, po = priced(df, alpha=None)
+    win = lambda grid: grid.probability(g.PICKS["win"])
+    return df.select("event_id", r6(0.7 * win(nb) + 0.3 * win(po)).alias("win"))
 
 
 @query("m12_count_over", M + ", " + MEANS + f" select event_id, round(1 - sum({POISSON.replace('ln(m)', 'ln(lam + mu)').replace('- m -', '- (lam + mu) -')}), 6) p_over from e, range(10) t(k) group by 1, lam, mu")
@@ -112,13 +131,16 @@ def m12(spark, sf):
 
 @query("t01_top_scores", MN + " select event_id, i, j, r rank_no from (select *, row_number() over (partition by event_id order by round(p, 12) desc, i, j) r from gr) where r <= 5")
 def t01(spark, sf):
-    return g.top_scores(nb_grid(spark, sf), "event_id").select("event_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("rank_no").cast("long").alias("rank_no"))
+    df, grid = priced(means(spark, sf))
+    best = df.select("event_id", F.posexplode(grid.top()).alias("n", "x"))
+    return best.select("event_id", F.col("x.i").cast("long").alias("i"), F.col("x.j").cast("long").alias("j"), (F.col("n") + 1).cast("long").alias("rank_no"))
 
 
 @query("m16_fair_odds", MN + ", w as (select event_id, sum(case when i > j then p else 0 end) w from gr group by 1) select event_id, case when w > 1e-6 then round(1 / w, 4) end fair from w")
 def m16(spark, sf):
-    w = g.markets(nb_grid(spark, sf), "event_id")
-    return w.select("event_id", F.when(F.col("win") > 1e-6, F.round(1 / F.col("win"), 4)).alias("fair"))
+    df, grid = priced(means(spark, sf))
+    w = grid.probability(g.PICKS["win"])
+    return df.select("event_id", F.when(w > 1e-6, F.round(1 / w, 4)).alias("fair"))
 
 
 @query("m17_objective", M + f", e as (select event_id, home_score hs, away_score aws, exp(2e-1 + 3e-1 * d / 400) lam, exp(2e-1 - 3e-1 * d / 400) mu from (select *, 100e0 + (event_id * 37 % 401) - 200 d from fx_match where home_score is not null)) select count(*) n, round(-sum(ln({NB.replace('(k', '(hs').replace('k *', 'hs *').replace('m)', 'lam)').replace('ln(m /', 'ln(lam /')}) + ln({NB.replace('(k', '(aws').replace('k *', 'aws *').replace('m)', 'mu)').replace('ln(m /', 'ln(mu /')})), 3) nll from e")

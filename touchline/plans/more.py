@@ -13,7 +13,7 @@ from touchline.sources.fixtures import fixture, with_fixtures
 
 from .analytics import MP, PNL, bets, losses
 from .core import query
-from .models import ALPHA, MEANS, MN, MOST, NB, RHO, _grid_sql, means, nb_grid
+from .models import MEANS, MN, MOST, NB, _grid_sql, means, priced
 
 M, Q, B, S, P = (with_fixtures(n) for n in ("match", "quote", "bet", "stat", "price"))
 
@@ -79,10 +79,10 @@ def j20(spark, sf):
     return a.join(b, ["event_id", "home", "away"]).agg(F.count("*").alias("pairs"), F.sum(F.col("x") - F.col("y")).alias("diff")).join(F.broadcast(n))
 
 
-@query("j23_rating_lookup", M + ", d as (select home team, season + 1 season, round(1500 + avg(home_score - away_score) * 100, 6) rating from fx_match where home_score is not null and event_id % 4 = 0 group by 1, 2) select event_id, coalesce(h.rating, 1500e0) home_rating, coalesce(a.rating, 1500e0) away_rating from fx_match m left join d h on h.team = m.home and h.season = m.season left join d a on a.team = m.away and a.season = m.season")
+@query("j23_rating_lookup", M + ", d as (select home team, season + 1 season, round(1500 + avg(home_score - away_score) * 100, 6) rating from fx_match where home_score is not null group by 1, 2) select event_id, coalesce(h.rating, 1500e0) home_rating, coalesce(a.rating, 1500e0) away_rating from fx_match m left join d h on h.team = m.home and h.season = m.season left join d a on a.team = m.away and a.season = m.season")
 def j23(spark, sf):
     m = fixture(spark, sf, "match")
-    d = m.filter("home_score is not null and event_id % 4 = 0").groupBy(F.col("home").alias("team"), (F.col("season") + 1).alias("season")).agg(r6(1500 + F.avg(F.col("home_score") - F.col("away_score")) * 100).alias("rating"))
+    d = m.filter("home_score is not null").groupBy(F.col("home").alias("team"), (F.col("season") + 1).alias("season")).agg(r6(1500 + F.avg(F.col("home_score") - F.col("away_score")) * 100).alias("rating"))
     for side in ("home", "away"):
         m = m.join(d.withColumnsRenamed({"team": side, "rating": f"{side}_rating"}), [side, "season"], "left")
     return m.select("event_id", *[F.coalesce(f"{s}_rating", F.lit(1500.0)).alias(f"{s}_rating") for s in ("home", "away")])
@@ -121,10 +121,9 @@ def a31(spark, sf):
 
 @query("g05_matrix_loss", MN + f", r as (select event_id, least(home_score, {MOST}) hs, least(away_score, {MOST}) aws from fx_match where home_score is not null), s as (select event_id, sum(p * p) sq from gr group by 1) select count(*) n, round(avg(-ln(greatest(gr.p, 1e-12))), 6) logloss, round(avg(s.sq - 2 * gr.p + 1), 6) brier from r join gr on gr.event_id = r.event_id and gr.i = r.hs and gr.j = r.aws join s on s.event_id = r.event_id")
 def g05(spark, sf):
-    gr = nb_grid(spark, sf)
-    r = fixture(spark, sf, "match").filter("home_score is not null").select("event_id", F.least("home_score", F.lit(MOST)).alias("i"), F.least("away_score", F.lit(MOST)).alias("j"))
-    sq = gr.groupBy("event_id").agg(F.sum(F.col("p") * F.col("p")).alias("sq"))
-    x = r.join(gr, ["event_id", "i", "j"]).join(sq, "event_id")
+    m = fixture(spark, sf, "match").filter("home_score is not null").select("event_id", F.least("home_score", F.lit(MOST)).alias("i"), F.least("away_score", F.lit(MOST)).alias("j"))
+    df, grid = priced(means(spark, sf).join(m, "event_id"))
+    x = df.select(grid.cell("i", "j").alias("p"), grid.squares().alias("sq"))
     return x.agg(F.count("*").alias("n"), r6(F.avg(o.log_loss("p"))).alias("logloss"), r6(F.avg(F.col("sq") - 2 * F.col("p") + 1)).alias("brier"))
 
 
@@ -147,12 +146,12 @@ def g15(spark, sf):
     return b.groupBy("has_edge").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("won"), F.col("odd") - 1).otherwise(-1.0))).alias("roi"))
 
 
-@query("m11_attack_defence", M + ", a as (select home team, ln((sum(home_score) + 1) / (count(*) + 1)) atk, ln((sum(away_score) + 1) / (count(*) + 1)) def from fx_match where home_score is not null and event_id % 5 = 0 and home <> 'T7' group by 1) select event_id, round(exp(1e-1 + coalesce(h.atk, 0) + coalesce(w.def, 0)), 6) lam from fx_match m left join a h on h.team = m.home left join a w on w.team = m.away")
+@query("m11_attack_defence", M + ", a as (select home team, ln((sum(home_score) + 1) / (count(*) + 1)) atk, ln((sum(away_score) + 1) / (count(*) + 1)) def from fx_match where home_score is not null and home <> 'T7' group by 1) select event_id, round(exp(1e-1 + coalesce(h.atk, 0) + coalesce(w.def, 0)), 6) lam from fx_match m left join a h on h.team = m.home left join a w on w.team = m.away")
 def m11(spark, sf):
     """Team strengths from a small table; a team that isn't in it counts as average."""
     m = fixture(spark, sf, "match")
     rate = lambda c: F.ln((F.sum(c) + 1) / (F.count("*") + 1))
-    a = m.filter("home_score is not null and event_id % 5 = 0 and home <> 'T7'").groupBy(F.col("home").alias("team")).agg(rate("home_score").alias("atk"), rate("away_score").alias("def"))
+    a = m.filter("home_score is not null and home <> 'T7'").groupBy(F.col("home").alias("team")).agg(rate("home_score").alias("atk"), rate("away_score").alias("def"))
     j = m.join(a.select(F.col("team").alias("home"), "atk"), "home", "left").join(a.select(F.col("team").alias("away"), "def"), "away", "left")
     return j.select("event_id", r6(F.exp(0.1 + F.coalesce("atk", F.lit(0.0)) + F.coalesce("def", F.lit(0.0)))).alias("lam"))
 
@@ -164,15 +163,15 @@ def m13(spark, sf):
     return m.join(F.broadcast(t), "tournament").join(F.broadcast(m.agg(goals.alias("b")))).select("event_id", r6(1.35 * F.col("a") / F.col("b")).alias("lam"))
 
 
-@query("m27_slope_sweep", M + ", s as (select k / 4e0 slope from range(0, 9) r(k)), e as (select event_id * 100 + cast(slope * 4 as bigint) event_id, slope, exp(2e-1 + slope * 3e-1 * d / 400) lam, exp(2e-1 - slope * 3e-1 * d / 400) mu from (select event_id, 100e0 + (event_id * 37 % 401) - 200 d from fx_match where event_id % 50 = 0), s), " + _grid_sql(NB) + " select slope, count(distinct e.event_id) n, round(sum(case when i > j then p else 0 end) / count(distinct e.event_id), 6) mean_win from gr join e using (event_id) group by 1")
+@query("m27_slope_sweep", M + ", s as (select k / 4e0 slope from range(0, 9) r(k)), e as (select event_id * 100 + cast(slope * 4 as bigint) event_id, slope, exp(2e-1 + slope * 3e-1 * d / 400) lam, exp(2e-1 - slope * 3e-1 * d / 400) mu from (select event_id, 100e0 + (event_id * 37 % 401) - 200 d from fx_match), s), " + _grid_sql(NB) + " select slope, count(distinct e.event_id) n, round(sum(case when i > j then p else 0 end) / count(distinct e.event_id), 6) mean_win from gr join e using (event_id) group by 1")
 def m27(spark, sf):
     """The same fixtures under each slope: a cross of a bounded parameter table, then one grid."""
     d = 100.0 + (F.col("event_id") * 37 % 401) - 200
-    m = fixture(spark, sf, "match").filter("event_id % 50 = 0").select("event_id", d.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    m = fixture(spark, sf, "match").select("event_id", d.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
     m = m.withColumn("slope", F.col("k") / 4)
-    e = m.select(F.struct("event_id", "slope").alias("key"), F.exp(0.2 + F.col("slope") * 0.3 * F.col("d") / 400).alias("lam"), F.exp(0.2 - F.col("slope") * 0.3 * F.col("d") / 400).alias("mu"))
-    w = g.markets(g.score_grid(e, "key", MOST, RHO, alpha=ALPHA), "key")
-    return w.groupBy("key.slope").agg(F.count("*").alias("n"), r6(F.avg("win")).alias("mean_win"))
+    m = m.select("slope", F.exp(0.2 + F.col("slope") * 0.3 * F.col("d") / 400).alias("lam"), F.exp(0.2 - F.col("slope") * 0.3 * F.col("d") / 400).alias("mu"))
+    df, grid = priced(m)
+    return df.groupBy("slope").agg(F.count("*").alias("n"), r6(F.avg(grid.probability(g.PICKS["win"]))).alias("mean_win"))
 
 
 def blocks(m: DataFrame, size: int = 190) -> DataFrame:
@@ -187,14 +186,21 @@ t as (select f.block, count(*) n, avg(m.home_score) gh, avg(m.away_score) ga fro
 def q02(spark, sf):
     """Blocks of 190 after a burn-in, each under means of the four years strictly before its first day.
 
-    Training sums come from daily totals, so a block reads days, not matches.
+    Training sums are differences of running sums over the days of the calendar, so a block meets two days, not all
+    before it. The calendar's days are the only rows in one task.
     """
     m = fixture(spark, sf, "match")
     b = blocks(m)
     first = b.groupBy("block").agg(F.min("match_date").alias("first"))
-    days = m.filter("home_score is not null").groupBy(F.col("match_date").alias("day")).agg(F.count("*").alias("n"), F.sum("home_score").alias("h"), F.sum("away_score").alias("a"))
-    t = days.join(F.broadcast(first), (F.col("day") < F.col("first")) & (F.col("day") >= F.date_sub("first", 1461))).groupBy("block").agg(F.sum("n").alias("n_train"), (F.sum("h") / F.sum("n")).alias("gh"), (F.sum("a") / F.sum("n")).alias("ga")).filter("n_train >= 100")
-    x = b.filter("block > 0 and home_score is not null").join(F.broadcast(t), "block")
+    days = m.groupBy(F.col("match_date").alias("day")).agg(F.count("home_score").alias("n"), F.sum("home_score").alias("h"), F.sum("away_score").alias("a"))
+    # running sums over a calendar without gaps: a block's training sums are those of two days
+    calendar = days.agg(F.min("day").alias("low"), F.max("day").alias("high")).select(F.explode(F.sequence(F.date_sub("low", 1463), "high")).alias("day"))
+    until = Window.orderBy("day")
+    sums = calendar.join(days, "day", "left").select("day", *[F.sum(F.coalesce(c, F.lit(0))).over(until).alias(c) for c in ("n", "h", "a")])
+    last, before = (sums.select(F.date_add("day", k).alias("first"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "h", "a")]) for x, k in ((1, 1), (0, 1462)))
+    t = first.join(last, "first").join(before, "first").select("block", *[(F.col(f"{c}1") - F.col(f"{c}0")).alias(c) for c in ("n", "h", "a")])
+    t = t.filter("n >= 100").select("block", F.col("n").alias("n_train"), (F.col("h") / F.col("n")).alias("gh"), (F.col("a") / F.col("n")).alias("ga"))
+    x = b.filter("block > 0 and home_score is not null").join(t, "block")
     return x.groupBy("block", "n_train", r6("gh").alias("home_mean"), r6("ga").alias("away_mean")).agg(F.count("*").alias("n_test"), r6(F.avg(F.abs(F.col("home_score") - F.col("gh")))).alias("error"))
 
 
@@ -224,16 +230,19 @@ def q09(spark, sf):
 
 @query("q16_bias_audit", MN + " select m.home_score - m.away_score = 0 is_draw, count(*) n, round(avg(w), 6) mean_win, round(avg(l), 6) mean_total, round(avg(home_score + away_score), 6) goals from (select event_id, sum(case when i > j then p else 0 end) w, sum(p * (i + j)) l from gr group by 1) x join fx_match m using (event_id) where home_score is not null group by 1")
 def q16(spark, sf):
-    x = nb_grid(spark, sf).groupBy("event_id").agg(F.sum(F.when(F.col("i") > F.col("j"), F.col("p")).otherwise(0.0)).alias("w"), F.sum(F.col("p") * (F.col("i") + F.col("j"))).alias("l"))
-    m = fixture(spark, sf, "match").filter("home_score is not null").join(x, "event_id")
-    return m.groupBy((F.col("home_score") == F.col("away_score")).alias("is_draw")).agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_win"), r6(F.avg("l")).alias("mean_total"), r6(F.avg(F.col("home_score") + F.col("away_score"))).alias("goals"))
+    m = fixture(spark, sf, "match").filter("home_score is not null").select("event_id", "home_score", "away_score")
+    df, grid = priced(means(spark, sf).join(m, "event_id"))
+    x = df.select("home_score", "away_score", grid.probability(g.PICKS["win"]).alias("w"), grid.mean(lambda i, j: i + j).alias("l"))
+    return x.groupBy((F.col("home_score") == F.col("away_score")).alias("is_draw")).agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_win"), r6(F.avg("l")).alias("mean_total"), r6(F.avg(F.col("home_score") + F.col("away_score"))).alias("goals"))
 
 
 @query("q17_serving", with_fixtures("match", "price") + ", " + MEANS + ", " + _grid_sql(NB) + ", w as (select event_id, sum(case when i > j then p else 0 end) w, sum(case when i + j > 2 then p else 0 end) o from gr group by 1) select m.event_id, round(w, 6) win, round(o, 6) over25, round(w - (1/odd_home) / (1/odd_home + 1/odd_draw + 1/odd_away), 6) versus_market from fx_match m join w using (event_id) left join fx_price p on p.price_id = m.event_id where m.home_score is null")
 def q17(spark, sf):
     """Open fixtures priced in one batch and held against the market where there is one."""
-    w = g.markets(g.score_grid(means(spark, sf), "event_id", MOST, RHO, alpha=ALPHA), "event_id")
-    m = fixture(spark, sf, "match").filter("home_score is null").select("event_id").join(w, "event_id")
+    open_ = fixture(spark, sf, "match").filter("home_score is null").select("event_id")
+    df, grid = priced(means(spark, sf).join(open_, "event_id"))
+    every = grid.markets()
+    m = df.select("event_id", every["win"].alias("win"), every["over25"].alias("over25"))
     p = fixture(spark, sf, "price").select(F.col("price_id").alias("event_id"), ((1 / F.col("odd_home")) / (1 / F.col("odd_home") + 1 / F.col("odd_draw") + 1 / F.col("odd_away"))).alias("market"))
     return m.join(p, "event_id", "left").select("event_id", r6("win").alias("win"), r6("over25").alias("over25"), r6(F.col("win") - F.col("market")).alias("versus_market"))
 

@@ -303,13 +303,13 @@ def j13(spark, sf):
     return q.groupBy("match_id", "selection").agg(F.max("odd").alias("best"), F.max(F.struct("odd", "book"))["book"].alias("book"), F.count_distinct("book").alias("books"))
 
 
-@query("j14_interval", Q + """, k as (select distinct match_id, kickoff_at from fx_quote), f as (select match_id fixture_id, match_id % 4 grp, kickoff_at start_at from k), q as (select quote_id, match_id % 4 grp, captured_at from fx_quote where quote_id % 10 = 0)
+@query("j14_interval", Q + """, k as (select distinct match_id, kickoff_at from fx_quote), f as (select match_id fixture_id, match_id % 4 grp, kickoff_at start_at from k), q as (select quote_id, match_id % 4 grp, captured_at from fx_quote)
 select q.quote_id, count(f.fixture_id) n, min(f.fixture_id) fixture_id, case when count(f.fixture_id) = 0 then 'no fixture' when count(f.fixture_id) = 1 then 'matched' else 'ambiguous' end status
 from q left join f on q.grp = f.grp and abs(date_diff('second', q.captured_at, f.start_at)) <= 36 * 3600 group by 1""")
 def j14(spark, sf):
     q = fixture(spark, sf, "quote")
     f = q.select(F.col("match_id").alias("fixture_id"), (F.col("match_id") % 4).alias("grp"), F.col("kickoff_at").alias("start_at")).distinct()
-    left = q.filter("quote_id % 10 = 0").select("quote_id", (F.col("match_id") % 4).alias("grp"), "captured_at")
+    left = q.select("quote_id", (F.col("match_id") % 4).alias("grp"), "captured_at")
     got = asof.within(left, f, ["grp"], "captured_at", "start_at", 36).groupBy("quote_id").agg(F.count("*").alias("n"), F.min("fixture_id").alias("fixture_id"))
     out = left.select("quote_id").join(got, "quote_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return out.withColumn("status", F.when(F.col("n") == 0, "no fixture").when(F.col("n") == 1, "matched").otherwise("ambiguous"))

@@ -83,6 +83,28 @@ def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return rows.select(key, "row_no", cells.alias("cells")).filter("size(cells) > 0")
 
 
+def plain_number(text) -> Column:
+    """'12,345' as 12345; null where it is no number."""
+    return F.regexp_replace(F.trim(text), ",", "").try_cast("double")
+
+
+def table_records(pages: DataFrame, names: dict[str, list[str]], key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, row_no, record) of table rows, also those in comments: a map from the column's name to the cell's text.
+
+    ``names`` has for each column what its header may be, in lower case without punctuation. Rows of headers, wherever they
+    stand, are left out; a row is read by the first header of its page.
+    """
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), "<!--|-->", "")
+    text = lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", ""))
+    cells = lambda kind, row: F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<{kind}\b[^>]*>(.*?)</{kind}>"), F.lit(1)), text)
+    alias = F.create_map(*[F.lit(x) for name, heads in names.items() for h in heads for x in (h, name)])
+    head = F.transform(cells("th", t), lambda h: F.try_element_at(alias, F.regexp_replace(F.lower(h), r"[^a-z0-9 ]", "")))
+    rows = pages.select(key, head.alias("_head"), F.posexplode(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "_row"))
+    rows = rows.select(key, "row_no", "_head", cells("td", F.col("_row")).alias("_cells")).filter("size(_cells) > 0")
+    pairs = F.filter(F.arrays_zip(F.slice("_head", 1, F.size("_cells")), "_cells"), lambda x: x["0"].isNotNull())
+    return rows.select(key, "row_no", F.map_from_entries(pairs).alias("record"))
+
+
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, n_links, n_paragraphs) of each page."""
     h = F.coalesce(html, F.lit(""))

@@ -64,21 +64,31 @@ def fresh(fair: DataFrame, market: DataFrame, age: str) -> DataFrame:
     return f.join(m, F.expr(f"u = user_id and ts >= fair_ts - interval {age} and ts <= fair_ts")).select("fair_id", "market_id")
 
 
+WAIT_MS = 6 * 3600 * 1000
+
+
 def _both(key, batches, state: GroupState):
-    """A row once both sides of a match have been seen."""
+    """A row once both sides of a match have been seen; a side is forgotten when the other hasn't come in time."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     home, away, told = state.get if state.exists else (False, False, False)
+    last = 0
     for b in batches:
-        home |= bool((b["event_id"] % 2 == 0).any())
-        away |= bool((b["event_id"] % 2 == 1).any())
+        home |= bool(b["is_home"].any())
+        away |= bool((~b["is_home"]).any())
+        last = max(last, int(b["ts"].max().timestamp() * 1000))
     if home and away and not told:
         told = True
-        yield pd.DataFrame({"match_id": [key[0]], "home": [True], "away": [True]})
+        yield pd.DataFrame({"match_id": [key[0]]})
     state.update((home, away, told))
+    state.setTimeoutTimestamp(max(last + WAIT_MS, state.getCurrentWatermarkMs() + 1))
 
 
 def assembled(stream: DataFrame) -> DataFrame:
-    """Matches both of whose sides have arrived, each once."""
-    return stream.groupBy("user_id").applyInPandasWithState(_both, "match_id long, home boolean, away boolean", "home boolean, away boolean, told boolean", "append", GroupStateTimeout.NoTimeout)
+    """Matches both of whose sides (is_home) have arrived, each once; state goes ``WAIT_MS`` after its last row."""
+    s = stream.withWatermark("ts", LATE).groupBy("match_id")
+    return s.applyInPandasWithState(_both, "match_id long", "home boolean, away boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _deadline(key, batches, state: GroupState):
@@ -91,8 +101,8 @@ def _deadline(key, batches, state: GroupState):
     home, away = state.get if state.exists else (False, False)
     last = None
     for b in batches:
-        home |= bool((b["event_id"] % 2 == 0).any())
-        away |= bool((b["event_id"] % 2 == 1).any())
+        home |= bool(b["is_home"].any())
+        away |= bool((~b["is_home"]).any())
         last = b["ts"].max() if last is None else max(last, b["ts"].max())
     if home and away:
         if state.exists:
@@ -104,4 +114,4 @@ def _deadline(key, batches, state: GroupState):
 
 
 def watched(stream: DataFrame) -> DataFrame:
-    return stream.withWatermark("ts", "0 seconds").groupBy("user_id").applyInPandasWithState(_deadline, "match_id long, missing string, factor double", "home boolean, away boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", "0 seconds").groupBy("match_id").applyInPandasWithState(_deadline, "match_id long, missing string, factor double", "home boolean, away boolean", "append", GroupStateTimeout.EventTimeTimeout)
