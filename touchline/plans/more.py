@@ -181,25 +181,31 @@ def blocks(m: DataFrame, size: int = 190) -> DataFrame:
     return m.withColumn("r", r).join(days.select("match_date", "before"), "match_date").withColumn("block", F.floor((F.col("before") + F.col("r") - 1) / size)).drop("r", "before")
 
 
+def training_sums(m: DataFrame, sums: dict[str, str], days: int = 1461, size: int = 190) -> DataFrame:
+    """(block, n, sums) over what was played in the ``days`` before a block's first day.
+
+    They are differences of running sums over the calendar, so a block meets two days, not all before it. The calendar's
+    days are the only rows in one task.
+    """
+    first = blocks(m, size).groupBy("block").agg(F.min("match_date").alias("first"))
+    each = m.filter("home_score is not null").groupBy(F.col("match_date").alias("day")).agg(F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    ends = m.agg(F.min("match_date").alias("low"), F.max("match_date").alias("high"))
+    calendar = ends.select(F.explode(F.sequence(F.date_sub("low", days + 2), "high")).alias("day"))
+    names, until = ["n", *sums], Window.orderBy("day")
+    total = calendar.join(each, "day", "left").select("day", *[F.sum(F.coalesce(c, F.lit(0))).over(until).alias(c) for c in names])
+    last, before = (total.select(F.date_add("day", k).alias("first"), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x, k in ((1, 1), (0, days + 1)))
+    t = first.join(last, "first").join(before, "first")
+    return t.select("block", *[(F.col(f"{c}_1") - F.col(f"{c}_0")).alias(c) for c in names])
+
+
 @query("q02_walk_forward", M + """, b as (select *, (row_number() over (order by match_date, event_id) - 1) // 190 block from fx_match), f as (select block, min(match_date) first from b group by 1),
 t as (select f.block, count(*) n, avg(m.home_score) gh, avg(m.away_score) ga from f join fx_match m on m.match_date < f.first and m.match_date >= f.first - 1461 and m.home_score is not null group by 1 having count(*) >= 100) select b.block, t.n n_train, round(gh, 6) home_mean, round(ga, 6) away_mean, count(*) n_test, round(avg(abs(b.home_score - gh)), 6) error from b join t using (block) where b.block > 0 and b.home_score is not null group by 1, 2, 3, 4""")
 def q02(spark, sf):
-    """Blocks of 190 after a burn-in, each under means of the four years strictly before its first day.
-
-    Training sums are differences of running sums over the days of the calendar, so a block meets two days, not all
-    before it. The calendar's days are the only rows in one task.
-    """
+    """Blocks of 190 after a burn-in, each under means of the four years strictly before its first day."""
     m = fixture(spark, sf, "match")
     b = blocks(m)
-    first = b.groupBy("block").agg(F.min("match_date").alias("first"))
-    days = m.groupBy(F.col("match_date").alias("day")).agg(F.count("home_score").alias("n"), F.sum("home_score").alias("h"), F.sum("away_score").alias("a"))
-    # running sums over a calendar without gaps: a block's training sums are those of two days
-    calendar = days.agg(F.min("day").alias("low"), F.max("day").alias("high")).select(F.explode(F.sequence(F.date_sub("low", 1463), "high")).alias("day"))
-    until = Window.orderBy("day")
-    sums = calendar.join(days, "day", "left").select("day", *[F.sum(F.coalesce(c, F.lit(0))).over(until).alias(c) for c in ("n", "h", "a")])
-    last, before = (sums.select(F.date_add("day", k).alias("first"), *[F.col(c).alias(f"{c}{x}") for c in ("n", "h", "a")]) for x, k in ((1, 1), (0, 1462)))
-    t = first.join(last, "first").join(before, "first").select("block", *[(F.col(f"{c}1") - F.col(f"{c}0")).alias(c) for c in ("n", "h", "a")])
-    t = t.filter("n >= 100").select("block", F.col("n").alias("n_train"), (F.col("h") / F.col("n")).alias("gh"), (F.col("a") / F.col("n")).alias("ga"))
+    t = training_sums(m, {"h": "home_score", "a": "away_score"}).filter("n >= 100")
+    t = t.select("block", F.col("n").alias("n_train"), (F.col("h") / F.col("n")).alias("gh"), (F.col("a") / F.col("n")).alias("ga"))
     x = b.filter("block > 0 and home_score is not null").join(t, "block")
     return x.groupBy("block", "n_train", r6("gh").alias("home_mean"), r6("ga").alias("away_mean")).agg(F.count("*").alias("n_test"), r6(F.avg(F.abs(F.col("home_score") - F.col("gh")))).alias("error"))
 
