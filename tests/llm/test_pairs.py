@@ -85,7 +85,7 @@ def test_near_duplicates_of_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(df).count() == 0
     df = spark.createDataFrame([(None, "a"), (1, "a b"), (1, "c d")], "doc_id long, text string")
-    assert [(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()] == [(1, 1)]
+    assert [(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).orderBy("doc_id").collect()] == [(None, None), (1, 1)]
 
 
 def test_near_duplicates_of_the_documents(spark):
@@ -125,6 +125,8 @@ def test_repeats_with_hostile_rows(spark, monkeypatch, small):
         monkeypatch.setattr(repeats, "HOT", 2)
         monkeypatch.setattr(repeats, "KEYS", 2000)
         monkeypatch.setattr(repeats, "STRETCHES", 4000)
+        monkeypatch.setattr(repeats, "FAN_BITS", 2)
+        monkeypatch.setattr(repeats, "GATHER", 1000)
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     common_passage = text(90)
@@ -145,6 +147,10 @@ def test_repeats_of_no_rows_and_the_stage(spark):
     p = "é" * 60
     df = spark.createDataFrame([(1, p + "a", "s", 61), (2, "b" + p, "s", 61)], "doc_id long, text string, source string, n_chars long")
     assert [tuple(r) for r in repeats.stage(spark, df, "").orderBy("doc_id").collect()] == [(1, p + "a", "s", 61), (2, "b", "s", 1)]
+    cut = "z" + "q" * 60  # removal leaves the first byte of a character before it
+    rows = [(1, "\u00e9" + cut, 0), (2, "\u00e8\u00a9" + cut, 0), (3, "\ufffd stays", 0)]
+    got = {r["doc_id"]: r["text"] for r in repeats.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()}
+    assert got == {1: rows[0][1], 2: "\u00e8", 3: "\ufffd stays"}
 
 
 def brute_vectors(rows, cosine=0.98):

@@ -7,12 +7,14 @@ stretch, and every window is in one stretch.
   1. Texts are written as blocks of ``BLOCK`` bytes or so, in a table bucketed by block, so that they needn't move again.
      Whole texts equal to that of a smaller id go as they are.
   2. Each block sends the hashes of its stretches' common parts, dealt into buckets; those of one document drop out.
-  3. Each block sends its remaining stretches, each distinct one once with its smallest id. A common part in more than
-     ``HOT`` blocks is dealt by whole windows instead, so that no bucket gathers what surrounds a frequent string.
+  3. Each block sends its remaining stretches, each distinct one once with its smallest id. A common part of more than
+     ``HOT`` stretches is dealt by whole windows instead, so that no bucket gathers what surrounds a frequent string.
   4. Each bucket sorts its suffixes, takes the transform, and extends all intervals backward, breadth first: prefixes
      shared by neighbours come out by increasing length, intervals of one suffix drop out, and expansion ends at
      ``LENGTH``. Each interval left is a repeated string; its smallest id goes back to the blocks.
   5. Each block marks what is covered and removes it.
+Whatever goes from blocks to buckets or back is dealt ``FAN`` ways at a time, in as many rounds as that needs, and every
+row gathers what many senders have for one group. So rows and work follow the bytes, not blocks times buckets.
 
 Defined results: a null text is an empty one; texts shorter than ``LENGTH`` stay as they are; rows with equal ids don't
 affect each other and each give a row; a null id is larger than any other; an empty table gives no rows; other columns
@@ -27,18 +29,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.lineage import done_with, tidy_shuffles, workspace, written
 
-from .common import like, table, total, utf8
+from .common import like, table, total, utf8, with_least
 from .shingles import mixed, seeds
 
 LENGTH, K = 50, 16
-BLOCK, HOT = 1 << 22, 256
+BLOCK, HOT = 1 << 22, 4096
+#: Bits of a destination that a round deals by, and bytes that a row of a later round gathers.
+FAN_BITS, GATHER = 9, 1 << 23
 #: Bytes that a bucket gathers, of hashes and of stretches.
 KEYS, STRETCHES = 1 << 22, 3 << 20
 LAST = np.iinfo("i8").max
@@ -85,13 +87,82 @@ def stretches(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     return np.r_[start[left], turn[right]], np.r_[(turn - start)[left], (end - turn)[right]], mixed(np.r_[before, after]), np.r_[doc[left], doc[right]]
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers as compressed differences."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(numbers.astype("i8"), prepend=0).astype("i8").tobytes())
+def _packed(table: pa.Table) -> bytes:
+    """A table in Arrow's stream format; ``key``, mostly in order, as differences."""
+    if "key" in table.column_names:
+        key = np.diff(table["key"].to_numpy(), prepend=np.uint64(0))
+        table = table.set_column(table.column_names.index("key"), "key", pa.array(key, pa.uint64()))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.ChunkedArray) -> pa.Table | None:
+    """The tables of a column, one after another."""
+    tables = []
+    for x in data:
+        if x.is_valid:
+            t = pa.ipc.open_stream(x.as_buffer()).read_all()
+            if "key" in t.column_names:
+                t = t.set_column(t.column_names.index("key"), "key", pa.array(np.cumsum(t["key"].to_numpy(), dtype="u8"), pa.uint64()))
+            tables.append(t)
+    return pa.concat_tables(tables).combine_chunks() if tables else None
+
+
+#: Rows that are dealt: the group that they are for, and what is for it.
+_DEALT = pa.schema([("group", pa.int64()), ("data", pa.binary())])
+DEALT = "group long, data binary"
+
+
+def rounds(homes: int) -> int:
+    """How many rounds deal ``homes`` destinations."""
+    return max(1, -(-(homes - 1).bit_length() // FAN_BITS))
+
+
+def _dealt(table: pa.Table, home: np.ndarray, homes: int, level: int = 1, schema: pa.Schema = _DEALT, **more) -> pa.Table:
+    """Rows of a round: in the last one a row for each home, before that one for each value of some bits of its hash."""
+    group = home if level >= rounds(homes) else (mixed(home.astype("u8")) >> np.uint64(64 - FAN_BITS * level)).astype("i8")
+    o = np.argsort(group, kind="stable")
+    table, group = table.take(pa.array(o)), group[o]
+    cut = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(group)] if len(group) else np.zeros(1, "i8")
+    data = [_packed(table.slice(a, b - a)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    cols = {"group": pa.array(group[cut[:-1]], pa.int64()), "data": pa.array(data, pa.binary()), **{k: pa.array([v] * len(data), schema.field(k).type) for k, v in more.items()}}
+    return pa.table([cols[n] for n in schema.names], schema=schema)
+
+
+def _again(homes: int, level: int, home_of):
+    def run(it):
+        held, size, group = [], 0, None
+
+        def out():
+            table = _unpacked(pa.chunked_array([pa.array(held, pa.binary())]))
+            return _dealt(table, home_of(table), homes, level).to_batches()
+
+        for batch in it:
+            for g, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (g != group or size > GATHER):
+                    yield from out()
+                    held, size = [], 0
+                group = g
+                held.append(data)
+                size += len(data)
+        if held:
+            yield from out()
+
+    return run
 
 
-def _restored(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "i8"))
+def deal(rows: DataFrame, homes: int, home_of) -> DataFrame:
+    """Rows of the first round to one or more rows for each home.
+
+    A later round takes the rows of a group together, but not all in one task: they are salted as the homes' count asks.
+    """
+    for level in range(2, rounds(homes) + 1):
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), homes // 64)
+        salt = F.pmod(F.xxhash64("data"), F.lit(max(1, tasks >> (FAN_BITS * (level - 1)))))
+        rows = rows.repartition(tasks, "group", salt).sortWithinPartitions("group").mapInArrow(_again(homes, level, home_of), DEALT)
+    return rows
 
 
 _BLOCK_COLS = [("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("digests", pa.list_(pa.binary()))]
@@ -140,81 +211,75 @@ def _bucket(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, so that high zero bytes lie together."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T).tobytes()
+#: Bits of a hash that are sent.
+SENT_BITS = 48
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("u8").ravel(), dtype="u8")
+def _key_home(buckets: int):
+    return lambda table: _bucket(table["key"].to_numpy(), buckets, SENT_BITS).astype("i8")
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
-SENT = "bucket int, block long, keys binary, several binary"
-#: Bits of a hash that are sent.
-SENT_BITS = 48
+def _home(table: pa.Table) -> np.ndarray:
+    return table["home"].to_numpy()
 
 
 def _send_keys(buckets: int, length: int):
     def run(blocks: pa.Table, side: pa.Table) -> pa.Table:
         if not blocks.num_rows:
-            return _SENT.empty_table()
+            return _DEALT.empty_table()
         raw, ends, _, is_copy = _block_of(blocks, _copies(side))
         _, _, keys, doc = stretches(raw, ends, length)
         keys, doc = keys[~is_copy[doc]] >> np.uint64(64 - SENT_BITS), doc[~is_copy[doc]]
         if not len(keys):
-            return _SENT.empty_table()
+            return _DEALT.empty_table()
         o = np.argsort(keys)
         keys, doc = keys[o], doc[o]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        keys = keys[first]
-        cut = np.searchsorted(_bucket(keys, buckets, SENT_BITS), np.arange(buckets + 1))
-        spans = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
-        return pa.table([pa.array([b for b, _, _ in spans], pa.int32()), pa.array([blocks["block"][0].as_py()] * len(spans), pa.int64()), pa.array([_packed(keys[i:j]) for _, i, j in spans], pa.binary()), pa.array([np.packbits(several[i:j]).tobytes() for _, i, j in spans], pa.binary())], schema=_SENT)
+        n = np.diff(np.r_[first, len(keys)]).astype("i4")
+        table = pa.table({"key": keys[first], "home": np.full(len(first), blocks["block"][0].as_py()), "n": n, "several": several})
+        return _dealt(table, _key_home(buckets)(table), buckets)
 
     return run
 
 
-_FOUND = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
-FOUND = "block long, n long, keys binary, hot binary"
+_FOUND = pa.schema([*_DEALT, ("n", pa.int64())])
+FOUND = f"{DEALT}, n long"
+
 
+def _repeated(blocks: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Of one bucket's hashes, those that come from several documents, for each block that sent them."""
+        table = _unpacked(group["data"])
+        keys, n = table["key"].to_numpy(), table["n"].to_numpy()
+        o = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(keys[o]) != 0])
+        counts = np.diff(np.r_[first, len(o)])
+        kept = (counts > 1) | np.logical_or.reduceat(table["several"].to_numpy()[o], first)
+        keep, hot = np.empty(len(o), "?"), np.empty(len(o), "?")
+        keep[o], hot[o] = np.repeat(kept, counts), np.repeat(np.add.reduceat(n[o].astype("i8"), first) > HOT, counts)
+        table = table.select(["key", "home"]).append_column("hot", pa.array(hot)).filter(pa.array(keep))
+        if not table.num_rows:
+            return _FOUND.empty_table()
+        out = _dealt(table, _home(table), blocks)
+        return out.append_column("n", pa.array([table.num_rows] + [0] * (out.num_rows - 1), pa.int64()))
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """Of one bucket's hashes, those that come from several documents, for each block that sent them."""
-    keys = [_unpacked(x.as_py()) for x in group["keys"]]
-    several = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=len(k)) for x, k in zip(group["several"], keys, strict=True)]).astype("?")
-    sizes = np.array([len(k) for k in keys])
-    every = np.concatenate(keys)
-    o = np.argsort(every)
-    first = np.flatnonzero(np.r_[True, np.diff(every[o]) != 0])
-    counts = np.diff(np.r_[first, len(o)])
-    kept = (counts > 1) | np.logical_or.reduceat(several[o], first)
-    keep, hot = np.empty(len(o), "?"), np.empty(len(o), "?")
-    keep[o], hot[o] = np.repeat(kept, counts), np.repeat(counts > HOT, counts)
-    out, at = [], 0
-    for block, n in zip(group["block"].to_pylist(), sizes.tolist(), strict=True):
-        k = keep[at : at + n]
-        if k.any():
-            out.append((block, int(k.sum()), _packed(every[at : at + n][k]), np.packbits(hot[at : at + n][k]).tobytes()))
-        at += n
-    return pa.table([pa.array([x[i] for x in out], t.type) for i, t in enumerate(_FOUND)], schema=_FOUND)
+    return run
 
 
-_STRETCH = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("lens", pa.binary()), ("data", pa.binary()), ("least", pa.binary()), ("starts", pa.binary()), ("which", pa.binary())])
-STRETCH = "block long, bucket int, lens binary, data binary, least binary, starts binary, which binary"
+_STRETCH = pa.schema([*_DEALT, ("block", pa.int64())])
+STRETCH = f"{DEALT}, block long"
+#: The group of what a block keeps for itself.
+OWN = -1
 
 
 def _send_stretches(buckets: int, length: int):
     def run(blocks: pa.Table, side: pa.Table) -> pa.Table:
-        out: dict[int, tuple] = {}
-        found = side.filter(pc.is_valid(side["keys"]))
-        if not (blocks.num_rows and found.num_rows):
+        found = _unpacked(side["data"]) if blocks.num_rows else None
+        if found is None:
             return _STRETCH.empty_table()
         raw, ends, ids, is_copy = _block_of(blocks, _copies(side))
-        keys = [_unpacked(x.as_py()) for x in found["keys"]]
-        hot = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=len(k)) for x, k in zip(found["hot"], keys, strict=True)]).astype("?")
-        keys = np.concatenate(keys)
+        keys, hot = found["key"].to_numpy(), found["hot"].to_numpy(zero_copy_only=False)
         o = np.argsort(keys)
         keys, hot = keys[o], hot[o]
         start, windows, key, doc = stretches(raw, ends, length)
@@ -227,23 +292,21 @@ def _send_stretches(buckets: int, length: int):
         start, key, doc, by_window = np.repeat(start, many) + place, np.repeat(key, many), np.repeat(doc, many), np.repeat(is_hot, many)
         windows = np.where(by_window, 1, np.repeat(windows, many))
         to, data, block = _bucket(mixed(key), buckets).astype("i8"), raw.tobytes(), blocks["block"][0].as_py()
+        items: dict[bytes, int] = {}
+        home, least, which = [], [], []
         for s, n, b, d, single in zip(start.tolist(), windows.tolist(), to.tolist(), ids[doc].tolist(), by_window.tolist(), strict=True):
             text = data[s : s + n + length - 1]
-            if single:
-                b = zlib.crc32(text) % buckets
-            if b not in out:
-                out[b] = ({}, [], [], [])
-            seen, least, starts, which = out[b]
-            i = seen.setdefault(text, len(least))
+            i = items.setdefault(text, len(least))
             if i == len(least):
+                home.append(zlib.crc32(text) % buckets if single else b)
                 least.append(d)
             elif d < least[i]:
                 least[i] = d
-            starts.append(s)
             which.append(i)
-        z = zstandard.ZstdCompressor(level=1)
-        rows = [(block, b, _squeezed(np.array([len(t) for t in seen])), z.compress(b"".join(seen)), _squeezed(np.array(least)), _squeezed(np.array(starts)), _squeezed(np.array(which))) for b, (seen, least, starts, which) in out.items()]
-        return pa.table([pa.array([x[i] for x in rows], t.type) for i, t in enumerate(_STRETCH)], schema=_STRETCH)
+        table = pa.table({"home": np.array(home), "block": np.full(len(home), block), "item": np.arange(len(home), dtype="i4"), "least": np.array(least), "text": pa.array(list(items), pa.large_binary())})
+        own = pa.table({"start": start, "windows": windows.astype("i4"), "item": np.array(which, "i4")})
+        mine = pa.table([pa.array([OWN], pa.int64()), pa.array([_packed(own)], pa.binary()), pa.array([block], pa.int64())], schema=_STRETCH)
+        return pa.concat_tables([mine, _dealt(table, _home(table), buckets, schema=_STRETCH, block=block)])
 
     return run
 
@@ -307,26 +370,14 @@ def intervals(s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, np.cumsum(new) - 1
 
 
-_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("runs", pa.binary()), ("least", pa.binary())])
-
-
-def _expand(length: int):
+def _expand(length: int, blocks: int):
     def run(group: pa.Table) -> pa.Table:
         """The smallest id that each window's string starts in, run by run, for the stretches of each block."""
+        table = _unpacked(group["data"])
         seen: dict[bytes, int] = {}
-        least: list[int] = []
-        asked, z = [], zstandard.ZstdDecompressor()
-        for lens, data, ids in zip(*(group[c].to_pylist() for c in ("lens", "data", "least")), strict=True):
-            at, mine, data = 0, [], z.decompress(data)
-            for n, d in zip(_restored(lens).tolist(), _restored(ids).tolist(), strict=True):
-                i = seen.setdefault(data[at : at + n], len(least))
-                if i == len(least):
-                    least.append(d)
-                elif d < least[i]:
-                    least[i] = d
-                at += n
-                mine.append(i)
-            asked.append(mine)
+        which = np.array([seen.setdefault(t, len(seen)) for t in table["text"].to_pylist()])
+        least = np.full(len(seen), LAST, "i8")
+        np.minimum.at(least, which, table["least"].to_numpy())
         sizes = np.array([len(t) for t in seen], "i8")
         text = np.frombuffer(b"\0".join(seen) + b"\0", "u1").astype("u2") + np.uint16(1)
         ends = np.cumsum(sizes + 1)
@@ -339,20 +390,23 @@ def _expand(length: int):
         of_rank = np.empty(len(text), "i8")
         of_rank[sa] = number
         mine = of_rank[place]
-        ids = np.repeat(np.array(least, "i8"), windows)
+        ids = np.repeat(least, windows)
         best = np.full(int(number[-1]) + 1, LAST, "i8")
         o = np.argsort(mine, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(mine[o]) != 0])
         best[mine[o][cut]] = np.minimum.reduceat(ids[o], cut)
+        # runs of equal values within each stretch; a block is told those of the stretches that it sent
         value = best[mine]
-        out = []
-        for block, bucket, which in zip(group["block"].to_pylist(), group["bucket"].to_pylist(), asked, strict=True):
-            which = np.array(which)
-            n = windows[which]
-            v = value[np.repeat(off[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            cut = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            out.append((block, bucket, _squeezed(np.diff(np.r_[cut, len(v)])), _squeezed(v[cut])))
-        return pa.table([pa.array([x[i] for x in out], t.type) for i, t in enumerate(_ANSWER)], schema=_ANSWER)
+        new = np.r_[True, value[1:] != value[:-1]]
+        new[off] = True
+        run_at = np.flatnonzero(new)
+        first = np.searchsorted(run_at, off)
+        n = np.diff(np.r_[first, len(run_at)])
+        size = np.diff(np.r_[run_at, len(value)]).astype("i4")
+        at = np.repeat(first[which] - (np.cumsum(n[which]) - n[which]), n[which]) + np.arange(n[which].sum())
+        bounds = pa.array(np.r_[0, np.cumsum(n[which])], pa.int32())
+        out = pa.table({"home": table["block"], "item": table["item"], "runs": pa.ListArray.from_arrays(bounds, pa.array(size[at])), "least": pa.ListArray.from_arrays(bounds, pa.array(value[run_at][at]))})
+        return _dealt(out, _home(out), blocks)
 
     return run
 
@@ -363,23 +417,19 @@ def _remove(length: int, schema: pa.Schema):
             return schema.empty_table()
         rest = blocks["rest"].combine_chunks().flatten()
         raw, ends, ids, is_copy = _block_of(blocks, _copies(side))
-        side = side.filter(pc.is_valid(side["bucket"]))
+        own, said = _unpacked(side["own"]), _unpacked(side["said"])
         hit = np.zeros(len(raw), "?")
-        sent, said = {}, {}
-        for bucket, lens, starts, which, runs, least in zip(*(side[c].to_pylist() for c in ("bucket", "lens", "starts", "which", "runs", "least")), strict=True):
-            if runs is None:
-                sent[bucket] = [_restored(x) for x in (lens, starts, which)]
-            else:
-                said[bucket] = np.repeat(_restored(least), _restored(runs))
-        for bucket, (lens, starts, which) in sent.items():
-            windows = lens - length + 1
-            off = np.cumsum(windows) - windows
-            n = windows[which]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(starts, n) + step
-            least = said[bucket][np.repeat(off[which], n) + step]
-            at = at[least < ids[np.searchsorted(ends, at, "right")]]
-            hit[at] = True
+        if own is not None:
+            said = said.sort_by("item")
+            least = np.repeat(said["least"].combine_chunks().flatten().to_numpy(), said["runs"].combine_chunks().flatten().to_numpy())
+            start, windows, item = (own[c].to_numpy() for c in ("start", "windows", "item"))
+            n_of = np.zeros(said.num_rows, "i8")
+            n_of[item] = windows
+            off = np.cumsum(n_of) - n_of
+            step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = np.repeat(start, windows) + step
+            value = least[np.repeat(off[item], windows) + step]
+            hit[at[value < ids[np.searchsorted(ends, at, "right")]]] = True
         begun = np.cumsum(hit, dtype="i4")
         gone = begun > 0
         gone[length:] = begun[length:] > begun[:-length]  # windows end within their text
@@ -417,32 +467,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks, name = _bucketed(spark, made, "block", max(8, -(-size // (8 * BLOCK))))
     schema = rows.select("rest").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("kept_sha256", "string")
 
-    with workspace(spark):
-        texts = blocks.select("block", "ids", "sizes", "data").groupBy("block")
-        each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("i", "x"))
-        each = each.select("block", "i", F.coalesce("x.ids", F.lit(LAST)).alias("id"), F.col("x.digests").alias("digest"))
-        first = each.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        copies = each.join(first, "digest").filter("id > first").groupBy("block").agg(F.collect_list("i").alias("copies"))
-        copies = written(spark, copies, "repeat-copies")
-
-        buckets = max(1, size * 4 // 9 // KEYS)
-        sent = texts.cogroup(copies.groupBy("block")).applyInArrow(_send_keys(buckets, length), SENT)
-        found = written(spark, sent.groupBy("bucket").applyInArrow(_repeated, FOUND), "repeat-keys")
-
-        buckets = max(1, total(found, "n") * (length + 9) // STRETCHES)
-        side = found.select("block", "keys", "hot").unionByName(copies, allowMissingColumns=True)
-        sent = texts.cogroup(side.groupBy("block")).applyInArrow(_send_stretches(buckets, length), STRETCH)
-        sent = written(spark, sent, "repeat-stretches")
-        done_with(found)
-        said = sent.select("block", "bucket", "lens", "data", "least").groupBy("bucket").applyInArrow(_expand(length), "block long, bucket int, runs binary, least binary")
-        said = written(spark, said, "repeat-answers")
-
-        side = sent.select("block", "bucket", "lens", "starts", "which").unionByName(said, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
-        texts = blocks.select("block", "ids", "sizes", "data", "rest").groupBy("block")
-        out = texts.cogroup(side.groupBy("block")).applyInArrow(_remove(length, to_arrow_schema(schema)), schema)
-        out = written(spark, out, "repeat-result", keep=True)
-    spark.sql(f"drop table {name}")
-    return out
+    try:
+        with workspace(spark):
+            texts = blocks.select("block", "ids", "sizes", "data").groupBy("block")
+            each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("i", "x"))
+            each = each.select("block", "i", F.coalesce("x.ids", F.lit(LAST)).alias("id"), F.col("x.digests").alias("digest"))
+            copies = with_least(each, "digest", "id").filter("id > least").groupBy("block").agg(F.collect_list("i").alias("copies"))
+            copies = written(spark, copies, "repeat-copies")
+            n_blocks = max(1, blocks.select("block").count())
+
+            buckets = max(1, size * 4 // 9 // KEYS)
+            sent = texts.cogroup(copies.groupBy("block")).applyInArrow(_send_keys(buckets, length), DEALT)
+            found = deal(sent, buckets, _key_home(buckets)).groupBy("group").applyInArrow(_repeated(n_blocks), FOUND)
+            found = written(spark, found, "repeat-keys")
+
+            buckets = max(1, total(found, "n") * (length + 9) // STRETCHES)
+            told = deal(found.select("group", "data"), n_blocks, _home).select(F.col("group").alias("block"), "data")
+            side = told.unionByName(copies, allowMissingColumns=True)
+            sent = texts.cogroup(side.groupBy("block")).applyInArrow(_send_stretches(buckets, length), STRETCH)
+            sent = written(spark, sent, "repeat-stretches")
+            done_with(found)
+            asked = deal(sent.filter(F.col("group") != OWN).select("group", "data"), buckets, _home)
+            said = written(spark, asked.groupBy("group").applyInArrow(_expand(length, n_blocks), DEALT), "repeat-answers")
+
+            own = sent.filter(F.col("group") == OWN).select("block", F.col("data").alias("own"))
+            said = deal(said, n_blocks, _home).select(F.col("group").alias("block"), F.col("data").alias("said"))
+            side = own.unionByName(said, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
+            texts = blocks.select("block", "ids", "sizes", "data", "rest").groupBy("block")
+            out = texts.cogroup(side.groupBy("block")).applyInArrow(_remove(length, to_arrow_schema(schema)), schema)
+            return written(spark, out, "repeat-result", keep=True)
+    finally:
+        spark.sql(f"drop table {name}")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,5 +508,7 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; what is left of a character cut in two goes as well."""
-    out = remove_repeats(docs).select("rest.*", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    valid = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    # the mark of what isn't valid goes, but for texts that hold it themselves and are valid
+    out = remove_repeats(docs).select("rest.*", F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(valid).alias("text"))
     return like(out, docs)
