@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -137,6 +138,26 @@ def log_loss(prob_of_outcome, floor: float = 1e-12) -> Column:
     return -F.ln(F.greatest(col(prob_of_outcome), F.lit(floor)))
 
 
+#: The polynomial of Abramowitz and Stegun's approximation 26.2.17 of the normal distribution.
+_NORMAL, _NORMAL_P = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 0.2316419
+
+
+def normal_cdf(x) -> Column:
+    """The normal distribution function, to 7.5e-8."""
+    x = col(x)
+    t = 1 / (1 + _NORMAL_P * F.abs(x))
+    p = reduce(lambda a, b: (a + b) * t, reversed(_NORMAL), F.lit(0.0))
+    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * p
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def normal_cdf_sql(x: str) -> str:
+    t = f"(1 / (1 + {_NORMAL_P} * abs({x})))"
+    p = reduce(lambda a, b: f"({a} + ({b!r})) * {t}", reversed(_NORMAL), "0e0")
+    tail = f"(exp(-{x} * {x} / 2) / {math.sqrt(2 * math.pi)!r} * ({p}))"
+    return f"(case when {x} >= 0 then 1 - {tail} else {tail} end)"
+
+
 def shin_z(odds: Column, steps: int = 60) -> Column:
     """Shin's share of insiders for an array of decimal odds; 0 for a book without margin.
 
