@@ -1,13 +1,20 @@
 """Known answers, invariants and look-ahead checks."""
 
 import datetime as dt
+import hashlib
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from touchline.functions import grid as g
 from touchline.functions import odds as o
 from touchline.operators import asof, fit, ratings, resample, store
+from touchline.plans import models
+from touchline.plans.registry import QUERIES
 from touchline.sources import feeds
 
 
@@ -93,6 +100,172 @@ def test_elo_keeps_points_and_does_not_look_ahead(spark):
     assert again[1] == got[1] and again[3]["diff"] == got[3]["diff"]
 
 
+def played(spark):
+    return sorted((r for r in models.played(spark, DATA).collect()), key=lambda r: (r["match_date"], r["event_id"]))
+
+
+def brute_elo(rows, home=100.0, half=4.0, weight=lambda r: {"1-URGENT": 60.0, "2-HIGH": 50.0, "4-NOT SPECIFIED": 40.0}.get(r["tournament"], 30.0) * (1.0 if abs(r["home_score"] - r["away_score"]) <= 1 else 1.5 if abs(r["home_score"] - r["away_score"]) == 2 else 1.75 + (abs(r["home_score"] - r["away_score"]) - 3) / 8)):
+    now, seen, out = {}, {}, {}
+    for r in rows:
+        for t in (r["home"], r["away"]):
+            now.setdefault(t, 1500.0)
+            if half and t in seen:
+                now[t] = 1500 + (now[t] - 1500) * 2 ** (-(r["match_date"] - seen[t]).days / 365.25 / half)
+            seen[t] = r["match_date"]
+        diff = now[r["home"]] + (0 if r["is_neutral"] else home) - now[r["away"]]
+        won = 1.0 if r["home_score"] > r["away_score"] else 0.5 if r["home_score"] == r["away_score"] else 0.0
+        step = weight(r) * (won - 1 / (1 + 10 ** (-diff / 400)))
+        now[r["home"]] += step
+        now[r["away"]] -= step
+        out[r["event_id"]] = (diff, now[r["home"]], now[r["away"]])
+    return now, out
+
+
+def test_elo_of_all_matches_is_that_of_brute_force(spark):
+    rows = played(spark)
+    now, want = brute_elo(rows)
+    got = {r["event_id"]: (r["diff"], r["home_rating"], r["away_rating"]) for r in QUERIES["w11_elo"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    at = dt.date(1998, 1, 1)
+    before, _ = brute_elo([r for r in rows if at - dt.timedelta(1461) <= r["match_date"] < at])
+    shot = {r["team"]: r["rating"] for r in QUERIES["w12_elo_snapshots"](spark, DATA).filter("at = date '1998-01-01'").collect()}
+    assert shot and shot.keys() == before.keys() and all(shot[t] == pytest.approx(before[t], abs=1e-3) for t in shot)
+    top = QUERIES["w14_top_rated"](spark, DATA).collect()
+    assert len(top) == 20 and [r["rating"] for r in top] == sorted((r["rating"] for r in top), reverse=True)
+
+
+def test_pools_of_teams_are_rated_by_themselves(spark):
+    rows = [_match(1, 1, "A", "B", 2, 0), _match(2, 2, "X", "Y", 0, 4), _match(3, 3, "B", "A", 1, 1), _match(4, 4, "Y", "X", 2, 2)]
+    every = {r["event_id"]: r for r in ratings.elo(spark.createDataFrame(rows, MATCH)).collect()}
+    alone = {r["event_id"]: r for r in ratings.elo(spark.createDataFrame(rows[::2], MATCH)).collect()}
+    assert len(every) == 4 and all(every[i] == r for i, r in alone.items())
+
+
+def test_plain_baseline_is_that_of_brute_force(spark):
+    rows = played(spark)
+    got = {r["event_id"]: r for r in QUERIES["w13_plain_baseline"](spark, DATA).collect()}
+    days = sorted({r["match_date"] for r in rows})
+    for day in days[:: len(days) // 12]:
+        before = [r for r in rows if r["match_date"] < day]
+        now, _ = brute_elo([r | {"is_neutral": 0} for r in (x.asDict() for x in before)], 80.0, None, lambda r: 20.0)
+        for r in (r for r in rows if r["match_date"] == day):
+            if len(before) < ratings.PLAIN_LEAST:
+                assert r["event_id"] not in got
+                continue
+            p = 1 / (1 + 10 ** (-(now.get(r["home"], 1500) + 80 - now.get(r["away"], 1500)) / 400))
+            d = sum(x["home_score"] == x["away_score"] for x in before) / len(before)
+            g_ = got[r["event_id"]]
+            assert (g_["home"], g_["draw"], g_["away"]) == pytest.approx((p * (1 - d), d, (1 - p) * (1 - d)), abs=1e-9)
+
+
+def test_goal_model_finds_its_parameters():
+    rng = np.random.default_rng(11)
+    d = np.round(rng.normal(0, 150, 60_000) / 5) * 5
+    mean = np.exp(0.15 + np.array([[1], [-1]]) * 0.5 * d / 400)
+    goals = rng.poisson(mean * rng.gamma(1 / 0.2, 0.2, mean.shape))
+    cells = pd.DataFrame({"d": d, "hs": goals[0], "aws": goals[1], "w": 1}).groupby(["d", "hs", "aws"], as_index=False).sum()
+    p = fit.fit_goals(cells)
+    assert p["converged"] and p["at_bound"] == "" and (p["a"], p["b"], p["alpha"]) == pytest.approx((0.15, 0.5, 0.2), abs=0.03) and abs(p["rho"]) < 0.03
+    f, best = fit.goal_nll(cells), np.array([p["a"], p["b"], np.log(p["alpha"]), p["rho"]])
+    assert all(f(best + step) >= p["nll"] - 1e-6 for step in np.r_[np.eye(4), -np.eye(4)] * 1e-3)
+    x = cells.assign(x=0.0)
+    assert fit.fit_goals(x)["nll"] == pytest.approx(p["nll"], rel=1e-6)
+    few = fit.fit_goals(pd.DataFrame({"d": [400.0], "hs": [9], "aws": [0], "w": [50]}))
+    assert few["at_bound"] != ""
+
+
+def test_team_fit_finds_strengths_and_its_gradient_is_right():
+    rng = np.random.default_rng(12)
+    names, attack, defence = list("ABCDEF"), np.array([1.6, 1.3, 1.1, 0.9, 0.8, 0.7]), np.array([0.8, 0.9, 1.0, 1.0, 1.1, 1.3])
+    rows = [(names[i], names[j], h, a) for i in range(6) for j in range(6) if i != j for h, a in zip(rng.poisson(1.3 * attack[i] * defence[j], 400), rng.poisson(attack[j] * defence[i], 400), strict=True)]
+    cells = pd.DataFrame(rows, columns=["home", "away", "hs", "aws"]).groupby(["home", "away", "hs", "aws"], as_index=False).size().rename(columns={"size": "w"}).assign(fold=1)
+    f = fit.team_nll(cells, {t: k for k, t in enumerate(names)})
+    at = rng.normal(0, 0.2, 14)
+    assert f(at)[1] == pytest.approx(fit.numeric(lambda p: f(p)[0])(at)[1], rel=1e-3, abs=0.5)
+    got = fit._fit_teams(cells)
+    level = attack.prod() ** (1 / 6)
+    assert got["converged"].all() and got["home_advantage"][0] == pytest.approx(1.3, abs=0.05) and abs(got["rho"][0]) < 0.03
+    assert got["attack"].to_numpy() == pytest.approx(attack / level, abs=0.08) and got["defence"].to_numpy() == pytest.approx(defence * level, abs=0.08)
+
+
+def test_fits_of_all_folds_use_earlier_days_only(spark):
+    m = models.played(spark, DATA).filter("season <= 1997")
+    later = m.withColumn("home_score", F.when(F.col("season") == 1997, 9).otherwise(F.col("home_score")))
+    teams = {(r["fold"], r["team"]): r for r in fit.teams_by_fold(m, "season", 0.001).collect()}
+    assert {k[0] for k in teams} == {1996, 1997} and {(r["fold"], r["team"]): r for r in fit.teams_by_fold(later, "season", 0.001).collect()} == teams
+    x = m.withColumns({"home_xg": F.when(F.col("event_id") % 3 > 0, F.col("home_score") + 0.1), "away_xg": F.when(F.col("event_id") % 3 > 0, F.col("away_score") + 0.1)})
+    got = fit.xg_by_fold(x, "season").collect()
+    assert {r["fold"] for r in got} == {1996, 1997} and all(r["converged"] for r in got)
+    goals = m.filter("season < 1997").agg(F.avg(F.col("home_score") + F.col("away_score"))).first()[0] / 2
+    assert np.mean([np.exp(r["base"] + r["home_edge"] / 2) for r in got if r["fold"] == 1997]) == pytest.approx(goals, abs=0.35)
+    best = fit.strengths_by_fold(models.played(spark, DATA).filter("season <= 1998"), "season").collect()
+    assert {r["penalty"] for r in best} <= {1.0, *fit.PENALTIES}
+
+
+def test_counts_find_their_parameters(spark):
+    rng = np.random.default_rng(13)
+    d = np.round(rng.normal(0, 150, 20_000) / 5) * 5
+    h, a = (rng.poisson(np.exp(1.5 + s * 0.3 * d / 400)) for s in (1, -1))
+    rows = spark.createDataFrame(pd.DataFrame({"f": np.repeat([0, 1], 10_000).astype("i4"), "diff": d, "home_score": h.astype("i4"), "away_score": a.astype("i4")}))
+    got = fit.counts_by_fold(rows, "f").collect()
+    assert [r["fold"] for r in got] == [1] and (got[0]["a"], got[0]["b"]) == pytest.approx((1.5, 0.3), abs=0.03) and (got[0]["alpha"] is None or got[0]["alpha"] < 0.01)
+
+
+def test_ridge_solution_is_that_of_numpy(spark):
+    rng = np.random.default_rng(14)
+    x = rng.integers(-1, 2, (60, 12)).astype("f8")
+    a, b = x.T @ x, x.T @ rng.normal(size=60)
+    e = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(12)], "i long, j long, v double")
+    got = {r["i"]: r["x"] for r in fit.ridge_solution(e, spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i long, b double"), 2.0).collect()}
+    assert [got[i] for i in range(12)] == pytest.approx(np.linalg.solve(a + 2 * np.eye(12), b).tolist(), abs=1e-6)
+
+
+def numpy_offset(y, offset, x, ridge):
+    m, s = x.mean(0), x.std(0)
+    z = np.c_[np.ones(len(x)), (x - m) / s]
+    keep, beta = np.diag([1e-3] + [ridge] * x.shape[1]), np.zeros(x.shape[1] + 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(offset + z @ beta)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + keep
+        beta = beta + np.clip(np.linalg.solve(h, z.T @ (y - p) - keep @ beta), -2, 2)
+    return lambda o_, v: (lambda zz, cov: (o_ + zz @ beta, np.sqrt(np.einsum("ij,jk,ik->i", zz, cov, zz))))(np.c_[np.ones(len(v)), (v - m) / s], np.linalg.inv(h))
+
+
+def test_residual_model_and_walk_forward_are_those_of_numpy(spark):
+    rows = models.residual_rows(spark, DATA).toPandas().sort_values(["bet_date", "game_id", "line_no"]).reset_index(drop=True)
+    x = rows[["x1", "x2"]].to_numpy("f8")
+    eta, se = numpy_offset(rows["y"].to_numpy(), rows["offset"].to_numpy(), x, 1.0)(rows["offset"].to_numpy(), x)
+    got = models.m23_predictions(spark, DATA).toPandas()
+    assert np.sort(got["p"]) == pytest.approx(np.sort(1 / (1 + np.exp(-eta))), abs=1e-6) and np.sort(got["low"]) == pytest.approx(np.sort(1 / (1 + np.exp(-eta + 1.96 * se))), abs=1e-6)
+    assert (got["high"] > got["p"]).all()
+    fold = np.arange(len(rows)) * models.FOLDS // len(rows)
+    day = pd.to_datetime(rows["bet_date"])
+    for r in models.q07(spark, DATA).collect():
+        test = fold == r["fold"]
+        train = (day + pd.Timedelta(days=2) <= day[test].min()).to_numpy()
+        of = numpy_offset(rows["y"][train].to_numpy(), rows["offset"][train].to_numpy(), x[train], 5.0)
+        eta, se = of(rows["offset"][test].to_numpy(), x[test])
+        y, odd = rows["y"][test].to_numpy(), rows["odd"][test].to_numpy()
+        bet = odd / (1 + np.exp(-eta + 1.96 * se)) - 1 > 0.02
+        assert (r["n"], r["selected"]) == (test.sum(), bet.sum()) and r["model_brier"] == pytest.approx(((1 / (1 + np.exp(-eta)) - y) ** 2).mean(), abs=1e-6)
+        assert r["roi"] == pytest.approx(np.where(y == 1, odd - 1, -1)[bet].mean(), abs=1e-6)
+
+
+def test_student_distribution():
+    for stat, freedom, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (1.96, 1e6, 0.05), (0.0, 5, 1.0)):
+        assert fit.student_two_sided(stat, freedom) == pytest.approx(p, abs=1e-4)
+
+
+def test_tournament_has_one_winner(spark):
+    got = {r["team"]: r for r in QUERIES["m25_tournament"](spark, DATA).collect()}
+    assert len(got) == 16
+    for n, c in ratings.STAGES:
+        assert sum(r[c] for r in got.values()) == pytest.approx(n)
+    assert all(r["p_quarter"] >= r["p_semi"] >= r["p_final"] >= r["p_title"] for r in got.values())
+    strong = spark.createDataFrame([(f"t{k}", k % 4, 2500.0 if k == 0 else 1500.0) for k in range(16)], "team string, grp int, rating double")
+    assert {r["team"]: r["p_title"] for r in ratings.tournament(spark, strong, 200).collect()}["t0"] > 0.6
+
+
 def test_as_known_at_sees_what_was_ingested(spark):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     obs = spark.createDataFrame([("m", 1, t(11), t(12), 1), ("m", 1, t(13), t(13), 2)], "kind string, id int, published_at timestamp_ntz, ingested_at timestamp_ntz, seq int")
@@ -129,6 +302,11 @@ def test_goal_model_uses_earlier_folds_only(spark):
     assert {r["fold"]: r for r in fit.goal_model_by_fold(later, "season").collect()} == p
 
 
+def test_manifest_names_every_file(spark):
+    want = sorted((f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in Path(DATA).glob("*.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["s28_manifest"](spark, DATA).collect()) == want
+
+
 def test_labels_of_groups(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(100, 101)], "a long, b long")
     assert {r["component"] for r in ratings.component_labels(e).collect()} == {1, 100}

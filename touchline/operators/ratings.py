@@ -1,59 +1,162 @@
-"""Ratings by recursion in date order, labels of connected groups, and a seeded tournament."""
+"""Ratings by recursion in date order, labels of connected groups, and a seeded tournament.
+
+A rating is a recursion over all matches of the teams that are linked by playing each other. Such pools don't meet, so they
+are worked on side by side: matches are sorted by pool and date, and a stream over them keeps the ratings of one pool and
+nothing of the matches. Competitions of one pool share it, each with its own weight.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.functions.odds import col
+
 from .lineage import cut
 
-BASE, HOME, K, HALF_LIFE_YEARS = 1500.0, 100.0, 30.0, 4.0
-ELO = "tournament string, event_id long, match_date date, season int, home string, away string, diff double, home_score int, away_score int, home_rating double, away_rating double"
+BASE, HOME, HALF_LIFE_YEARS = 1500.0, 100.0, 4.0
+#: Weights of competitions by name; those that name a qualification, and all others.
+K_FACTORS, K_QUALIFICATION, K_OTHER = {"1-URGENT": 60.0, "2-HIGH": 50.0}, 40.0, 30.0
+YEAR = 365.25
+
+
+def k_factor(competition, factors: dict[str, float] | None = None, qualification: str = "specified") -> Column:
+    """The weight of a match's competition."""
+    c = col(competition)
+    out = F.when(F.lower(c).contains(qualification), K_QUALIFICATION).otherwise(K_OTHER)
+    for name, k in (K_FACTORS if factors is None else factors).items():
+        out = F.when(c == name, k).otherwise(out)
+    return out
+
+
+def with_pool(matches: DataFrame) -> DataFrame:
+    """``matches`` with ``pool``, the least name of the teams that are linked with them."""
+    pairs = matches.select(F.col("home").alias("a"), F.col("away").alias("b")).distinct()
+    return matches.join(component_labels(pairs).select(F.col("id").alias("home"), F.col("component").alias("pool")), "home")
+
+
+class _Ratings:
+    """Ratings of one pool as of the last match that was put in."""
+
+    def __init__(self, home: float, half_life: float | None):
+        self.home, self.half_life = home, half_life
+        self.now: dict[str, float] = {}
+        self.seen: dict[str, dt.date] = {}
 
+    def expected(self, home: str, away: str, neutral: bool) -> tuple[float, float]:
+        """The difference and the expected score of the home side."""
+        diff = self.now.get(home, BASE) - self.now.get(away, BASE) + (0.0 if neutral else self.home)
+        return diff, 1 / (1 + 10 ** (-diff / 400))
 
-def _margin(d: int) -> float:
-    d = abs(d)
+    def aged(self, team: str, day: dt.date) -> None:
+        """What a team has above or below the base fades with the time since its last match."""
+        if self.half_life and team in self.seen:
+            fade = 0.5 ** ((day - self.seen[team]).days / YEAR / self.half_life)
+            self.now[team] = BASE + fade * (self.now[team] - BASE)
+
+    def play(self, m, k: float) -> float:
+        """Puts a match in: what one side wins the other loses. Returns the difference before it."""
+        self.aged(m.home, m.match_date)
+        self.aged(m.away, m.match_date)
+        diff, expected = self.expected(m.home, m.away, bool(m.is_neutral))
+        step = k * ((m.home_score > m.away_score) + 0.5 * (m.home_score == m.away_score) - expected)
+        for team, won in ((m.home, step), (m.away, -step)):
+            self.now[team] = self.now.get(team, BASE) + won
+            self.seen[team] = m.match_date
+        return diff
+
+
+def _margin(goals: int) -> float:
+    d = abs(goals)
     return 1.0 if d <= 1 else 1.5 if d == 2 else 1.75 + (d - 3) / 8
 
 
-def _recursion(league: pd.DataFrame) -> pd.DataFrame:
-    """Each row's difference before the match and both ratings after it; what one wins the other loses."""
-    league = league.sort_values(["match_date", "event_id"])
-    rating: dict[str, float] = {}
-    seen: dict[str, object] = {}
-    rows = []
-    for m in league.itertuples(index=False):
-        for team in (m.home, m.away):
-            if team in seen:
-                years = (m.match_date - seen[team]).days / 365.25
-                rating[team] = BASE + (rating[team] - BASE) * 0.5 ** (years / HALF_LIFE_YEARS)
-            else:
-                rating[team] = BASE
-            seen[team] = m.match_date
-        diff = rating[m.home] + (0.0 if m.is_neutral else HOME) - rating[m.away]
-        expected = 1 / (1 + 10 ** (-diff / 400))
-        result = 1.0 if m.home_score > m.away_score else 0.5 if m.home_score == m.away_score else 0.0
-        step = K * _margin(m.home_score - m.away_score) * (result - expected)
-        rating[m.home] += step
-        rating[m.away] -= step
-        rows.append((diff, rating[m.home], rating[m.away]))
-    league[["diff", "home_rating", "away_rating"]] = rows
-    return league[[c.split()[0] for c in ELO.split(", ")]]
-
-
-def elo(matches: DataFrame) -> DataFrame:
-    """Elo with decay to the mean, a recursion for each competition. What a task holds are one competition's results."""
-    return matches.groupBy("tournament").applyInPandas(_recursion, ELO)
-
-
-def snapshots(matches: DataFrame) -> DataFrame:
-    """(tournament, team, season, rating): the rating of each team before the first day of each later season."""
-    e = elo(matches)
-    sides = e.select("tournament", "season", F.explode(F.array(*[F.struct(F.col(s).alias("team"), F.col(f"{s}_rating").alias("rating"), "match_date", "event_id") for s in ("home", "away")])).alias("x")).select("tournament", "season", "x.*")
-    last = sides.groupBy("tournament", "team", "season").agg(F.max(F.struct("match_date", "event_id", "rating"))["rating"].alias("rating"))
-    return last.select("tournament", "team", (F.col("season") + 1).alias("season"), F.round("rating", 4).alias("rating"))
+RATED = "tournament string, event_id long, match_date date, season int, home string, away string, home_score int, away_score int, diff double, home_rating double, away_rating double"
+_PLAYED = ["tournament", "event_id", "match_date", "season", "home", "away", "home_score", "away_score", "is_neutral"]
+
+
+def _rated(it):
+    pool, r = None, None
+    for batch in it:
+        rows = []
+        for m in batch.itertuples(index=False):
+            if m.pool != pool:
+                pool, r = m.pool, _Ratings(HOME, HALF_LIFE_YEARS)
+            diff = r.play(m, m.k * _margin(m.home_score - m.away_score))
+            rows.append((diff, r.now[m.home], r.now[m.away]))
+        batch[["diff", "home_rating", "away_rating"]] = rows
+        yield batch[[c.split()[0] for c in RATED.split(", ")]]
+
+
+def elo(matches: DataFrame, k: Column | None = None) -> DataFrame:
+    """Each match with the difference before it and both ratings after it; differences fade, and margins count."""
+    m = with_pool(matches).select(*_PLAYED, "pool", (k_factor("tournament") if k is None else k).alias("k"))
+    return m.repartition("pool").sortWithinPartitions("pool", "match_date", "event_id").mapInPandas(_rated, RATED)
+
+
+def _last(it):
+    key, r = None, None
+
+    def told():
+        return pd.DataFrame({"at": key[0], "team": list(r.now), "rating": list(r.now.values())})
+
+    for batch in it:
+        for m in batch.itertuples(index=False):
+            if (m.at, m.pool) != key:
+                if r is not None:
+                    yield told()
+                key, r = (m.at, m.pool), _Ratings(HOME, HALF_LIFE_YEARS)
+            r.play(m, m.k * _margin(m.home_score - m.away_score))
+    if r is not None:
+        yield told()
+
+
+def snapshots(matches: DataFrame, dates: list[dt.date], years: float = 4.0) -> DataFrame:
+    """(at, team, rating): ratings from the matches of the ``years`` strictly before each of ``dates``, afresh for each."""
+    at = F.filter(F.array(*[F.lit(d) for d in dates]), lambda d: (d > F.col("match_date")) & (F.date_sub(d, int(years * YEAR)) <= F.col("match_date")))
+    m = with_pool(matches).select(*_PLAYED, "pool", k_factor("tournament").alias("k"), F.explode(at).alias("at"))
+    return m.repartition("at", "pool").sortWithinPartitions("at", "pool", "match_date", "event_id").mapInPandas(_last, "at date, team string, rating double")
+
+
+PLAIN_K, PLAIN_HOME, PLAIN_LEAST = 20.0, 80.0, 200
+
+
+def _plain(it):
+    """Chances of the home side before each day; matches of one day don't see each other."""
+    pool, day, r, todo = None, None, None, []
+    for batch in it:
+        rows = []
+        for m in batch.itertuples(index=False):
+            if (m.pool, m.match_date) != (pool, day):
+                if m.pool != pool:
+                    r = _Ratings(PLAIN_HOME, None)
+                else:
+                    for x in todo:
+                        r.play(x, PLAIN_K)
+                pool, day, todo = m.pool, m.match_date, []
+            rows.append((m.event_id, m.match_date, r.expected(m.home, m.away, False)[1]))
+            todo.append(m._replace(is_neutral=0))
+        yield pd.DataFrame(rows, columns=["event_id", "match_date", "p"])
+
+
+def plain_baseline(matches: DataFrame, least: int = PLAIN_LEAST) -> DataFrame:
+    """(event_id, home, draw, away): a plain rating and the share of draws, of all matches strictly before the day.
+
+    Matches with fewer than ``least`` before them have no row. Draws are counted by running sums over days.
+    """
+    from pyspark.sql import Window
+
+    m = with_pool(matches).select(*_PLAYED, "pool")
+    p = m.repartition("pool").sortWithinPartitions("pool", "match_date", "event_id").mapInPandas(_plain, "event_id long, match_date date, p double")
+    days = matches.groupBy("match_date").agg(F.count("*").alias("n"), F.count_if(F.col("home_score") == F.col("away_score")).alias("draws"))
+    before = Window.orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("match_date", F.sum("n").over(before).alias("n"), (F.sum("draws").over(before) / F.sum("n").over(before)).alias("d"))
+    p = p.join(days.filter(F.col("n") >= least), "match_date")
+    return p.select("event_id", (F.col("p") * (1 - F.col("d"))).alias("home"), F.col("d").alias("draw"), ((1 - F.col("p")) * (1 - F.col("d"))).alias("away"))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -66,30 +169,60 @@ def component_labels(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
         labels = cut(near.join(up, "component").select("id", F.least("component", "top").alias("component")), "labels")
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        now = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels
         before = now
 
 
-def tournament(spark: SparkSession, strengths: dict[str, float], reps: int) -> DataFrame:
-    """(team, p_semi, p_final, p_title) of a knock-out with random draws; every replicate has its own seed."""
-    teams, rating = list(strengths), np.array(list(strengths.values()))
+STAGES = ((8, "p_quarter"), (4, "p_semi"), (2, "p_final"), (1, "p_title"))
+
+
+def _played(rng, a: np.ndarray, b: np.ndarray, rating: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Goals of both sides of matches at once; a side that is sent off scores less and concedes more."""
+    d = (rating[a] - rating[b]) / 400
+    red = rng.random((2, len(a))) < 0.06
+    more = np.where(red[1], 1.35, 1.0) * np.where(red[0], 0.7, 1.0)
+    less = np.where(red[0], 1.35, 1.0) * np.where(red[1], 0.7, 1.0)
+    return rng.poisson(np.exp(0.2 + 0.9 * d) * more), rng.poisson(np.exp(0.2 - 0.9 * d) * less)
+
+
+def _winners(rng, a: np.ndarray, b: np.ndarray, rating: np.ndarray) -> np.ndarray:
+    """Who goes on; a draw is shot out by the ratings."""
+    f, g = _played(rng, a, b, rating)
+    shoot = rng.random(len(a)) < 1 / (1 + 10 ** (-(rating[a] - rating[b]) / 400))
+    return np.where((f > g) | ((f == g) & shoot), a, b)
+
+
+def tournament(spark: SparkSession, teams: DataFrame, reps: int, seed: int = 20260821) -> DataFrame:
+    """(team, p_quarter, p_semi, p_final, p_title) of ``teams`` (team, grp, rating): groups of four, then a knock-out.
+
+    Two of each group go on, by points, goal difference and goals; a draw in the knock-out is decided by the ratings. Every
+    replicate has its own seed, so replicates are dealt over tasks and can be run again. The field of a tournament is a few
+    dozen teams.
+    """
+    field = teams.orderBy("grp", "team").collect()
+    names, rating = [r["team"] for r in field], np.array([float(r["rating"]) for r in field])
+    groups = np.arange(len(names)).reshape(-1, 4)
+    home, away = (groups[:, list(k)].ravel() for k in ((0, 2, 0, 1, 0, 1), (1, 3, 2, 3, 3, 2)))
 
     def play(it):
         for batch in it:
-            rows = []
-            for r in batch["id"]:
-                rng = np.random.Generator(np.random.PCG64([20260821, int(r)]))
-                left = rng.permutation(len(teams))
-                while len(left) > 1:
-                    a, b = left[0::2], left[1::2]
-                    p = 1 / (1 + 10 ** (-(rating[a] - rating[b]) / 400))
-                    left = np.where(rng.random(len(a)) < p, a, b)
-                    if len(left) <= 4:
-                        rows += [(teams[t], len(left)) for t in left]
-            yield pd.DataFrame(rows, columns=["team", "last"])
-
-    got = spark.range(reps).mapInPandas(play, "team string, last int").groupBy("team").agg(*[(F.count_if(F.col("last") == n) / reps).alias(c) for n, c in ((4, "p_semi"), (2, "p_final"), (1, "p_title"))])
-    every = spark.createDataFrame([(t,) for t in teams], "team string")
-    return every.join(got, "team", "left").fillna(0.0)
+            reached = np.zeros((len(names), len(STAGES)), "i8")
+            for number in batch["id"]:
+                rng = np.random.Generator(np.random.PCG64([seed, int(number)]))
+                h, a = _played(rng, home, away, rating)
+                table = np.zeros(len(names))
+                for who, f, g in ((home, h, a), (away, a, h)):
+                    np.add.at(table, who, 1e6 * (3.0 * (f > g) + (f == g)) + 1e3 * (f - g) + f)
+                order = np.argsort(-(table + rng.random(len(names)) * 0.5)[groups], axis=1)
+                first, second = (np.take_along_axis(groups, order[:, [k]], 1).ravel() for k in (0, 1))
+                left = np.stack([first, np.roll(second, 1)], axis=1).ravel()
+                for k, (n, _) in enumerate(STAGES):
+                    while len(left) > n:
+                        left = _winners(rng, left[0::2], left[1::2], rating)
+                    reached[left, k] += 1
+            yield pd.DataFrame({"team": names, **{c: reached[:, k] for k, (_, c) in enumerate(STAGES)}})
+
+    got = spark.range(reps).mapInPandas(play, "team string, " + ", ".join(f"{c} long" for _, c in STAGES))
+    return got.groupBy("team").agg(*[(F.sum(c) / reps).alias(c) for _, c in STAGES])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import grid as g
 from touchline.functions import odds as o
-from touchline.operators import asof, fit, ratings
+from touchline.operators import asof, fit, ratings, resample
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
@@ -284,52 +288,162 @@ def q20(spark, sf):
     return s.select("match_id", state.alias("state"))
 
 
+def played(spark, sf) -> DataFrame:
+    return fixture(spark, sf, "match").filter("home_score is not null")
+
+
 @query("w11_elo")
 def w11(spark, sf):
-    """Ratings before each match, a recursion in date order for each competition."""
-    return ratings.elo(fixture(spark, sf, "match").filter("home_score is not null"))
+    """Ratings before and after each match, a recursion in date order over all competitions of a pool of teams."""
+    return ratings.elo(played(spark, sf))
+
+
+def snapshot_dates(m: DataFrame) -> list[dt.date]:
+    """The first day of every year but the first."""
+    low, high = m.agg(F.min("season"), F.max("season")).first()
+    return [dt.date(y, 1, 1) for y in range(low + 1, high + 1)] if low else []
 
 
 @query("w12_elo_snapshots")
 def w12(spark, sf):
-    """Ratings of every team before each first day of a year."""
-    return ratings.snapshots(fixture(spark, sf, "match").filter("home_score is not null"))
+    """Ratings of every team before each first day of a year, each from the four years before it."""
+    m = played(spark, sf)
+    return ratings.snapshots(m, snapshot_dates(m)).select("at", "team", F.round("rating", 4).alias("rating"))
+
+
+@query("w13_plain_baseline")
+def w13(spark, sf):
+    """A plain rating without decay or margins, and the share of draws: what other models are held against."""
+    return ratings.plain_baseline(played(spark, sf))
 
 
 @query("w14_top_rated")
 def w14(spark, sf):
-    return ratings.snapshots(fixture(spark, sf, "match").filter("home_score is not null")).orderBy(F.desc("rating"), "team", "season").limit(20)
+    return w12(spark, sf).orderBy(F.desc("rating"), "team", "at").limit(20)
 
 
 @query("m17_goal_model_fit")
 def m17(spark, sf):
     """Parameters by fold, each fitted on what was played strictly before its season."""
-    return fit.goal_model_by_fold(ratings.elo(fixture(spark, sf, "match").filter("home_score is not null")), "season")
+    return fit.goal_model_by_fold(ratings.elo(played(spark, sf)), "season")
+
+
+@query("m18_team_fit")
+def m18(spark, sf):
+    """Attack and defence of each season's teams by weighted likelihood on what came before, with a half-life of 120 days."""
+    return fit.teams_by_fold(played(spark, sf), "season", math.log(2) / 120)
+
+
+@query("m19_xg_fit")
+def m19(spark, sf):
+    """The two-stage fit on expected goals, which some matches lack."""
+    side = lambda t: F.max(F.when(F.col("team") == t, F.col("value") / 20)).alias(f"{t}_xg")
+    xg = fixture(spark, sf, "stat").filter("period = 'ALL'").groupBy("event_id").agg(side("home"), side("away"))
+    return fit.xg_by_fold(played(spark, sf).join(xg, "event_id", "left"), "season")
+
+
+@query("m20_count_fit")
+def m20_fit(spark, sf):
+    """Counts of both sides with a tilt by the difference of the teams, fitted on earlier folds."""
+    side = lambda t: F.max(F.when(F.col("team") == t, F.round("value").cast("int"))).alias(f"{t}_score")
+    d = 100.0 + (F.col("event_id") * 37 % 401) - 200
+    rows = fixture(spark, sf, "stat").filter("period = 'ALL'").groupBy("event_id").agg(side("home"), side("away")).dropna()
+    return fit.counts_by_fold(rows.select((F.col("event_id") % 6).cast("int").alias("fold_no"), d.alias("diff"), "home_score", "away_score"), "fold_no")
 
 
 @query("q03_prequential")
 def q03(spark, sf):
     """Scores of each season under the parameters fitted on earlier seasons."""
-    return fit.prequential(ratings.elo(fixture(spark, sf, "match").filter("home_score is not null")), "season")
+    return fit.prequential(ratings.elo(played(spark, sf)), "season")
 
 
 @query("m22_design_products", "with l as (select l_orderkey k, l_suppkey s, sum(case when l_linenumber % 2 = 0 then 1 else -1 end) v from lineitem group by 1, 2) select a.s, b.s t, sum(a.v * b.v) xtx from l a join l b on a.k = b.k and a.s <= b.s group by 1, 2 having sum(a.v * b.v) <> 0")
 def m22(spark, sf):
     """Entries of X'X of a sparse presence matrix, the normal equations of a ridge over players."""
-    line = spark.read.parquet(f"{sf}/lineitem.parquet")
-    x = line.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).agg(F.sum(F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)).alias("v"))
+    x = presence(spark, sf)
     y = x.select("k", F.col("s").alias("t"), F.col("v").alias("w"))
     return x.join(y, "k").filter("s <= t").groupBy("s", "t").agg(F.sum(F.col("v") * F.col("w")).alias("xtx")).filter("xtx <> 0")
 
 
+def presence(spark, sf) -> DataFrame:
+    """(k, s, v): rows, columns and entries of a sparse matrix of players' presence, +1 and -1 for the sides."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return line.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).agg(F.sum(F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)).alias("v"))
+
+
+@query("m22_right_side", "with l as (select l_orderkey k, l_suppkey s, sum(case when l_linenumber % 2 = 0 then 1 else -1 end) v from lineitem group by 1, 2), m as (select o_orderkey k, (o_orderkey * 7 + o_custkey) % 5 - (o_orderkey * 3 + o_custkey * 11) % 4 y from orders) select s, sum(v * y) xty from l join m using (k) group by 1")
+def m22b(spark, sf):
+    """Entries of X'y: what each column has in common with the matches' differences."""
+    return right_side(spark, sf)
+
+
+def right_side(spark, sf) -> DataFrame:
+    o_ = spark.read.parquet(f"{sf}/orders.parquet")
+    y = o_.select(F.col("o_orderkey").alias("k"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 5 - (F.col("o_orderkey") * 3 + F.col("o_custkey") * 11) % 4).alias("y"))
+    return presence(spark, sf).join(y, "k").groupBy("s").agg(F.sum(F.col("v") * F.col("y")).alias("xty"))
+
+
+@query("m22_player_values")
+def m22c(spark, sf):
+    """Ridge values of players, and their values above replacement: the mean of the lowest fifth."""
+    half = m22(spark, sf)
+    entries = half.select(F.col("s").alias("i"), F.col("t").alias("j"), F.col("xtx").cast("double").alias("v"))
+    entries = entries.union(entries.filter("i <> j").select(F.col("j"), F.col("i"), "v"))
+    x = fit.ridge_solution(entries, right_side(spark, sf).select(F.col("s").alias("i"), F.col("xty").alias("b")), 100.0)
+    x = resample.numbered(x.withColumnRenamed("i", "player"), "x", "player")
+    level = x.filter("i < greatest(1, n * 2 div 10)").agg(F.avg("x").alias("level"))
+    return x.join(F.broadcast(level)).select("player", F.col("x").alias("value"), (F.col("x") - F.col("level")).alias("above_replacement"))
+
+
+def residual_rows(spark, sf) -> DataFrame:
+    b = fixture(spark, sf, "bet")
+    return b.select("game_id", "line_no", "odd", "bet_date", F.col("won").cast("double").alias("y"), F.ln(F.col("model_prob") / (1 - F.col("model_prob"))).alias("offset"), (1 / F.col("odd")).alias("x1"), (F.col("line_no") / 7).alias("x2"), "model_prob")
+
+
 @query("m23_residual_fit")
 def m23(spark, sf):
     """Logistic regression with the market's log-odds as offset, by Newton steps whose sums are Spark aggregates."""
-    b = fixture(spark, sf, "bet").select(F.col("won").cast("double").alias("y"), F.ln(F.col("model_prob") / (1 - F.col("model_prob"))).alias("offset"), (1 / F.col("odd")).alias("x1"), (F.col("line_no") / 7).alias("x2"))
-    return fit.offset_logistic(spark, b, ["x1", "x2"])
+    return fit.offset_logistic(spark, residual_rows(spark, sf), ["x1", "x2"])
+
+
+@query("m23_residual_predictions")
+def m23_predictions(spark, sf):
+    """Probabilities with their intervals by the delta method, from the model as it is stored."""
+    rows = residual_rows(spark, sf)
+    m = fit.offset_models(rows.withColumn("fold", F.lit(0)), ["x1", "x2"])[0]
+    p, low, high = fit.OffsetModel.from_json(m.to_json()).columns(F.col("offset"))
+    return rows.select("game_id", "line_no", p.alias("p"), low.alias("low"), high.alias("high"))
+
+
+FOLDS = 6
+
+
+@query("q07_residual_walk_forward")
+def q07(spark, sf):
+    """Each later sixth of the bets, in order, under a model of those that were settled before its first prediction.
+
+    A bet is predicted on its day and settled two days later. It counts where even the low end of its chance pays 2 %.
+    """
+    rows = resample.numbered(residual_rows(spark, sf), "bet_date", "game_id", "line_no").withColumn("fold", F.floor(F.col("i") * FOLDS / F.col("n")).cast("int"))
+    first = rows.groupBy(F.col("fold").alias("of")).agg(F.min("bet_date").alias("first")).filter("of > 0")
+    train = rows.drop("fold").join(F.broadcast(first), F.date_add("bet_date", 2) <= F.col("first")).withColumnRenamed("of", "fold")
+    models = fit.offset_models(train, ["x1", "x2"], ridge=5.0)
+    if not models:
+        return spark.createDataFrame([], "fold int, n long, selected long, model_brier double, market_brier double, model_log_loss double, market_log_loss double, roi double")
+    of = lambda k: reduce(lambda a, f: F.when(F.col("fold") == f, models[f].columns(F.col("offset"))[k]).otherwise(a), models, F.lit(None))
+    x = rows.filter(F.col("fold").isin(list(models))).withColumns({"p": of(0), "low": of(1)})
+    bet = o.expected_value("low", "odd") > 0.02
+    own = lambda p: F.when(F.col("y") == 1, p).otherwise(1 - p)
+    loss = {"brier": lambda p: F.pow(p - F.col("y"), F.lit(2)), "log_loss": lambda p: o.log_loss(own(p))}
+    means_ = [F.avg(f(F.col(p))).alias(f"{n}_{k}") for k, f in loss.items() for n, p in (("model", "p"), ("market", "model_prob"))]
+    pnl = F.when(F.col("y") == 1, F.col("odd") - 1).otherwise(-1.0)
+    return x.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(bet).alias("selected"), *means_, F.avg(F.when(bet, pnl)).alias("roi"))
 
 
 @query("m25_tournament")
 def m25(spark, sf):
-    """Chances of stages by seeded simulation, replicates dealt over tasks."""
-    return ratings.tournament(spark, {f"T{k}": 1500.0 + 20 * k for k in range(16)}, 2000)
+    """Chances of stages of the sixteen best rated teams, drawn into groups by their ranks, by seeded simulation."""
+    last = w12(spark, sf).groupBy("team").agg(F.max_by("rating", "at").alias("rating"))
+    n = Window.orderBy(F.desc("rating"), "team")  # the teams of the last year
+    best = last.withColumn("n", F.row_number().over(n)).filter("n <= 16")
+    return ratings.tournament(spark, best.select("team", ((F.col("n") - 1) % 4).alias("grp"), "rating"), 2000)

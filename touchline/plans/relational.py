@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import odds as o
-from touchline.operators import asof, store
+from touchline.operators import asof, ratings, store
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
@@ -162,10 +162,8 @@ def p14(spark, sf):
 @query("p15_k_factor", M + """ select event_id, case tournament when '1-URGENT' then 60 when '2-HIGH' then 50 else case when contains(lower(tournament), 'specified') then 40 else 30 end end
 * case when abs(home_score - away_score) <= 1 then 1e0 when abs(home_score - away_score) = 2 then 15e-1 else 175e-2 + (abs(home_score - away_score) - 3) / 8e0 end k from fx_match where home_score is not null""")
 def p15(spark, sf):
-    t = F.col("tournament")
-    k = F.when(t == "1-URGENT", 60).when(t == "2-HIGH", 50).when(F.lower(t).contains("specified"), 40).otherwise(30)
     m = fixture(spark, sf, "match").filter("home_score is not null")
-    return m.select("event_id", (k * o.margin_factor(F.col("home_score") - F.col("away_score"))).alias("k"))
+    return m.select("event_id", (ratings.k_factor("tournament") * o.margin_factor(F.col("home_score") - F.col("away_score"))).alias("k"))
 
 
 @query("p16_decays", M + ", l as (select max(match_date) d from fx_match) select event_id, round(pow(5e-1, date_diff('day', match_date, d) / 120e0), 9) half, round(exp(-65e-4 * date_diff('day', match_date, d)), 9) expo from fx_match, l")
