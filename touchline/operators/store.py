@@ -39,3 +39,19 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     for name, ok in reversed(rules):
         out = F.when(F.coalesce(ok, F.lit(False)), out).otherwise(F.lit(name))
     return out
+
+
+def record_hash(*cols: str) -> Column:
+    """SHA-256 of a record as JSON with its fields by name; the field that holds it isn't one of them."""
+    return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines; what is there stays as it is."""
+    df.write.mode("append").json(path)
+
+
+def persist(df: DataFrame, path: str) -> None:
+    """Puts a ledger in the place of what was there, as a table and as CSV with a header."""
+    df.write.mode("overwrite").parquet(f"{path}/table")
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")

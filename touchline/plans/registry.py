@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, feeds, ledgers, models, more, relational, reports  # noqa: F401
+from . import analytics, feeds, intake, ledgers, models, more, relational, reports  # noqa: F401
 from .core import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -430,13 +430,13 @@ def _rule_query(name: str, fx: str, ids: list[str], rules: list[tuple[str, str]]
         return fixture(spark, sf, fx).select(*ids, store.first_reason([(n, F.expr(r)) for n, r in rules]).alias("reason"))
 
 
-_rule_query("v01_picks", "quote", ["quote_id"], [("missing", "odd is not null and book is not null"), ("clock", "captured_at < kickoff_at"), ("odds", "odd > 15e-1 and odd < 1000"), ("production", "book <> 'click'")])
-_rule_query("v02_settlements", "bet", ["game_id", "line_no"], [("missing", "odd is not null and won is not null"), ("price", "odd > 125e-2"), ("probability", "model_prob > 0 and model_prob < 1"), ("market", "market in ('1x2', 'ou25')")])
+_rule_query("v01_picks", "quote", ["quote_id"], [("missing", "odd is not null and book is not null"), ("zone", "quote_id % 17 > 0"), ("clock", "captured_at < kickoff_at"), ("odds", "odd > 15e-1 and odd < 1000"), ("production", "book <> 'click'"), ("hash", "quote_id % 13 > 0")])
+_rule_query("v02_settlements", "bet", ["game_id", "line_no"], [("missing", "odd is not null and won is not null"), ("zone", "game_id % 17 > 0"), ("close", "bet_at <> 'close' or line_no < 7"), ("price", "odd > 125e-2"), ("probability", "model_prob > 0 and model_prob < 1"), ("market", "market in ('1x2', 'ou25')"), ("hash", "game_id % 13 > 0")])
 _rule_query("v03_curated", "obs", ["seq"], [("fields", "payload is not null"), ("order", "published_at <= ingested_at and event_at <= published_at"), ("late", "published_at < event_at + interval '6' hour")])
 _rule_query("v05_eligible", "quote", ["quote_id"], [("not available", "captured_at <= kickoff_at - interval '24' hour"), ("after start", "kickoff_at - interval '24' hour < kickoff_at")])
 _rule_query("v07_bets", "bet", ["game_id", "line_no"], [("market", "market in ('1x2', 'ou25', 'btts')"), ("odds", "odd > 1"), ("cap", "odd <= 5"), ("edge", "model_prob * odd > 1")])
 _rule_query("v08_observations", "obs", ["seq"], [("order", "ingested_at >= published_at"), ("payload", "payload like '{%}'")])
-_rule_query("v09_scores", "match", ["event_id"], [("missing", "home_score is not null and away_score is not null"), ("range", "home_score between 0 and 3"), ("teams", "home <> away")])
+_rule_query("v09_scores", "match", ["event_id"], [("missing", "home_score is not null and away_score is not null"), ("range", "home_score between 0 and 3"), ("half-time", "(event_id % 4) <= home_score + away_score"), ("teams", "home <> away")])
 
 
 @query("v04_entities", "with recursive a as (select n_name, lower(substr(n_name, 1, 3)) k from nation), c as (select k, count(*) n, min(n_name) name from a group by 1) select s_suppkey, case when n is null then 'rejected' when n = 1 then 'exact' else 'ambiguous' end status, case when n = 1 then name end name from (select s_suppkey, case when s_suppkey % 5 = 0 then 'zzz' else lower(substr(n_name, 1, 3)) end k from supplier join nation on s_nationkey = n_nationkey) s left join c using (k)")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import fraction_odd, is_price
@@ -38,16 +39,48 @@ def statistics(raw: DataFrame, key: str = "event_id", payload: str = "payload")
     return s.select(key, "period", F.lower("i.name").alias("stat_name"), sides.alias("x")).select(key, "x.team", "period", "stat_name", "x.value").filter("value is not null")
 
 
-def odds(raw: DataFrame, key: str = "event_id", payload: str = "payload") -> DataFrame:
-    """(key, market, line, selection, odd, odd_open) of the known markets; open odds stay null where they aren't known."""
-    m = raw.select(key, F.explode(F.from_json(payload, ODDS)["markets"]).alias("m"))
+#: A handicap as '(-0.75) Team'.
+_HANDICAP = r"\(\s*([+-]?\d+(?:\.\d+)?)\s*\)\s*(.+)"
+
+
+def odds(raw: DataFrame, key: str = "event_id", payload: str = "payload", home: str | None = None, away: str | None = None) -> DataFrame:
+    """(key, market, line, selection, odd, odd_open) of the known markets; open odds stay null where they aren't known.
+
+    Sides of a handicap are found by their names, which ``home`` and ``away`` name columns of; both take the home side's
+    line, and without a home side there is no market.
+    """
     names = F.create_map(*[F.lit(x) for k, v in MARKETS.items() for x in (k, v)])
     sides = F.create_map(*[F.lit(x) for k, v in SIDES.items() for x in (k, v)])
-    c = m.withColumn("market", F.try_element_at(names, F.col("m.marketId"))).filter("market is not null").select(key, "market", F.col("m.choiceGroup").alias("group"), F.explode("m.choices").alias("c"))
-    in_name = F.regexp_extract("c.name", r"\(?([+-]?\d+(?:\.\d+)?)\)?", 1)
-    line = F.when(F.col("market") == "asian handicap", F.nullif(in_name, F.lit("")).try_cast("double")).otherwise(F.col("group").try_cast("double"))
-    side = F.coalesce(F.try_element_at(sides, F.col("c.name")), F.lower(F.trim(F.regexp_replace("c.name", r"\([^)]*\)", ""))))
-    return c.select(key, "market", line.alias("line"), side.alias("selection"), fraction_odd("c.fractionalValue").alias("odd"), fraction_odd("c.initialFractionalValue").alias("odd_open"))
+    more = [F.lower(F.trim(c)) if c else F.lit(None).cast("string") for c in (home, away)]
+    m = raw.select(key, *[c.alias(n) for c, n in zip(more, ("_home", "_away"), strict=True)], F.explode(F.from_json(payload, ODDS)["markets"]).alias("m"))
+    m = m.withColumn("market", F.try_element_at(names, F.col("m.marketId"))).filter("market is not null")
+    team = lambda c: F.lower(F.trim(F.regexp_extract(c["name"], _HANDICAP, 2)))
+    own = F.try_element_at(F.filter("m.choices", lambda c: team(c) == F.col("_home")), F.lit(1))["name"]
+    m = m.withColumn("_line", F.when(F.col("market") == "asian handicap", F.nullif(F.regexp_extract(own, _HANDICAP, 1), F.lit("")).try_cast("double")).otherwise(F.col("m.choiceGroup").try_cast("double")))
+    c = m.select(key, "market", "_line", "_home", "_away", F.explode("m.choices").alias("c"))
+    who = F.when(team(F.col("c")) == F.col("_home"), "home").when(team(F.col("c")) == F.col("_away"), "away")
+    plain = F.coalesce(F.try_element_at(sides, F.col("c.name")), F.lower(F.trim("c.name")))
+    c = c.withColumn("selection", F.when(F.col("market") == "asian handicap", who).otherwise(plain))
+    lined = F.col("market").isin("asian handicap", "over/under", "cards", "corners")
+    c = c.filter(F.col("selection").isNotNull() & (~lined | F.col("_line").isNotNull()))
+    return c.select(key, "market", F.col("_line").alias("line"), "selection", fraction_odd("c.fractionalValue").alias("odd"), fraction_odd("c.initialFractionalValue").alias("odd_open"))
+
+
+def total_at(raw: DataFrame, line: float, key: str = "event_id", payload: str = "payload") -> DataFrame:
+    """(key, over, under) of the first market of goals that has both at ``line``, compared as a number.
+
+    The line stands at the end of a choice's name or else is the market's group.
+    """
+    markets = F.from_json(payload, ODDS)["markets"]
+    named = F.filter(markets, lambda m: F.lower(m["marketName"]).rlike("total|over/under|goals"))
+
+    def of(m: Column, side: str) -> Column:
+        at = lambda c: F.coalesce(F.nullif(F.regexp_extract(c["name"], r"(\d+(?:\.\d+)?)\s*$", 1), F.lit("")), m["choiceGroup"]).try_cast("double")
+        return F.try_element_at(F.filter(m["choices"], lambda c: (at(c) == line) & F.lower(c["name"]).contains(side)), F.lit(-1))["fractionalValue"]
+
+    both = F.transform(named, lambda m: F.struct(fraction_odd(of(m, "over")).alias("over"), fraction_odd(of(m, "under")).alias("under")))
+    first = F.try_element_at(F.filter(both, lambda x: x["over"].isNotNull() & x["under"].isNotNull()), F.lit(1))
+    return raw.select(key, first.alias("x")).select(key, "x.over", "x.under")
 
 
 def books(raw: DataFrame, key: str = "event_id", payload: str = "payload", kickoff: str = "kickoff_at") -> DataFrame:
@@ -60,6 +93,65 @@ def books(raw: DataFrame, key: str = "event_id", payload: str = "payload", kicko
     return o.select(key, "book", market.alias("market"), F.lower("o.name").alias("selection"), F.col("o.price").alias("odd"), "captured_at").filter("market is not null")
 
 
+FIRST_HALF = "struct<id:string,commence_time:string,home_team:string,away_team:string,bookmakers:array<struct<key:string,last_update:string,markets:array<struct<key:string,last_update:string,outcomes:array<struct<name:string,price:double,point:double>>>>>>>"
+
+
+def first_half(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """(event_id, book, market, selection, line, odd, captured_at, payload_hash) of first-half totals and results."""
+    e = raw.select(F.from_json(payload, FIRST_HALF).alias("e"), F.sha2(F.col(payload), 256).alias("payload_hash"))
+    m = e.select("e", "payload_hash", F.explode("e.bookmakers").alias("b")).select("e", "payload_hash", "b", F.explode("b.markets").alias("m"))
+    captured = F.coalesce(F.try_to_timestamp("m.last_update"), F.try_to_timestamp("b.last_update"))
+    o = m.select("e", "payload_hash", "b.key", "m.key", captured.alias("captured_at"), F.try_to_timestamp("e.commence_time").alias("_start"), F.explode("m.outcomes").alias("o")).toDF("e", "payload_hash", "book", "kind", "captured_at", "_start", "o")
+    totals, sides = F.col("kind") == "totals_h1", F.col("kind") == "h2h_3_way_h1"
+    market = F.when(totals, F.concat(F.lit("ou"), F.regexp_replace(F.col("o.point").cast("string"), r"\.0$", ""), F.lit("_1h"))).when(sides, "1x2_1h")
+    name = F.col("o.name")
+    pick = F.when(totals & name.isin("Over", "Under"), F.lower(name)).when(sides, F.when(name == F.col("e.home_team"), "home").when(name == "Draw", "draw").when(name == F.col("e.away_team"), "away"))
+    o = o.select(F.col("e.id").alias("event_id"), "book", market.alias("market"), pick.alias("selection"), F.col("o.point").alias("line"), F.col("o.price").alias("odd"), "captured_at", "payload_hash", "_start")
+    return o.filter(F.col("market").isNotNull() & F.col("selection").isNotNull() & is_price("odd", float("inf")) & (F.col("captured_at") < F.col("_start"))).drop("_start")
+
+
+SCHEDULE = "struct<fixture:struct<id:long,date:string,status:struct<short:string>>,teams:struct<home:struct<name:string>,away:struct<name:string>>,goals:struct<home:int,away:int>>"
+TEAM_SHEET = "struct<team:struct<id:long,name:string>,coach:struct<id:long,name:string>,formation:string,startXI:array<struct<player:struct<id:long,name:string,pos:string>>>,substitutes:array<struct<player:struct<id:long,name:string,pos:string>>>>"
+
+
+def schedule(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """(event_id, scheduled_at, home, away, home_goals, away_goals, status); rows without a zone, an id or names drop out."""
+    f = raw.select(F.from_json(payload, SCHEDULE).alias("f"))
+    zoned = F.col("f.fixture.date").rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    at = F.when(zoned, F.try_to_timestamp("f.fixture.date"))
+    out = f.select(F.col("f.fixture.id").alias("event_id"), at.alias("scheduled_at"), F.col("f.teams.home.name").alias("home"), F.col("f.teams.away.name").alias("away"), F.col("f.goals.home").alias("home_goals"), F.col("f.goals.away").alias("away_goals"), F.col("f.fixture.status.short").alias("status"))
+    return out.filter("event_id is not null and scheduled_at is not null and home <> '' and away <> ''")
+
+
+def team_sheets(raw: DataFrame, key: str = "event_id", payload: str = "payload") -> DataFrame:
+    """(key, team_id, player_id, player, role, position, formation, payload_hash): starters and substitutes, a row each."""
+    t = raw.select(key, F.from_json(payload, TEAM_SHEET).alias("t"), F.sha2(F.col(payload), 256).alias("payload_hash"))
+    side = lambda role, c: t.select(key, "t", "payload_hash", F.lit(role).alias("role"), F.explode(f"t.{c}").alias("p"))
+    rows = side("starter", "startXI").union(side("substitute", "substitutes"))
+    out = rows.select(key, F.col("t.team.id").alias("team_id"), F.col("p.player.id").alias("player_id"), F.col("p.player.name").alias("player"), "role", F.col("p.player.pos").alias("position"), F.col("t.formation").alias("formation"), "payload_hash")
+    return out.filter("team_id is not null and player_id is not null and player <> ''")
+
+
+def results_file(spark: SparkSession, path: str, fallback: str) -> DataFrame:
+    """Results as CSV from ``path``, or from ``fallback`` where that can't be read, with their kinds made right.
+
+    Rows without a date or a team drop out; of rows of one match the last in the file stays.
+    """
+    text = spark.read.option("header", True).schema("date string, home_team string, away_team string, home_score string, away_score string, tournament string, neutral string")
+    try:
+        df = text.csv(path)
+    except AnalysisException:
+        df = text.csv(fallback)
+    df = df.withColumn("_at", F.monotonically_increasing_id())
+    score = lambda c: F.col(c).try_cast("double").try_cast("int").alias(c)
+    neutral = F.upper(F.trim("neutral")).isin("TRUE", "1").cast("int")
+    df = df.select(F.expr("try_to_date(date, 'yyyy-MM-dd')").alias("date"), F.nullif(F.trim("home_team"), F.lit("")).alias("home_team"), F.nullif(F.trim("away_team"), F.lit("")).alias("away_team"), score("home_score"), score("away_score"), "tournament", F.coalesce(neutral, F.lit(0)).alias("neutral"), "_at")
+    df = df.dropna(subset=["date", "home_team", "away_team"])
+    rest = ["home_score", "away_score", "tournament", "neutral"]
+    last = F.max(F.struct("_at", *rest)).alias("r")
+    return df.groupBy("date", "home_team", "away_team").agg(last).select("date", "home_team", "away_team", *[f"r.{c}" for c in rest])
+
+
 def lineup(raw: DataFrame, key: str = "event_id", payload: str = "payload") -> DataFrame:
     """(key, team, player, starter, rating, minutes) of players that have a rating."""
     d = raw.select(key, F.from_json(payload, LINEUP).alias("l"))
