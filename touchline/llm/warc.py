@@ -1,8 +1,9 @@
 """WARC: writing whole-file gzip archives, normalising them to a member for each record, reading by offset.
 
-``write_archives`` writes one gzip stream a file. ``normalise`` inflates each such stream once, rewrites every
-record as a gzip member of its own and writes a sidecar index of offsets. ``read_archives`` takes records out of
-the normalised archives by that index alone.
+``write_archives`` writes one gzip stream a file. ``normalise`` inflates each such stream once, from front to back and a
+record at a time, rewrites every record as a gzip member of its own and writes a sidecar index of offsets. A long stream
+becomes several archives of ``ARCHIVE_BYTES`` or so, so no task holds a whole file. ``read_archives`` takes records out
+of the normalised archives by that index alone.
 
 Defined results: a null payload is an empty one; a null id is the largest (its record revisits an equal payload
 that has an id, and is a response where none has); rows that repeat both id and payload have the same type; a null
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,10 @@ from .common import table
 
 CRLF = "\r\n"
 RECORDS_A_FILE = 1000
+#: Bytes of members after which an archive ends, and parts that what refers to one record is dealt into.
+ARCHIVE_BYTES, SALTS = 1 << 25, 64
+#: What every record begins with; streams are read in pieces between these marks.
+MARK = b"WARC/1."
 INDEX = "archive string, seq int, offset long, length long, record_id string"
 
 
@@ -43,14 +49,16 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     """A WARC record (string, without the blank lines that end it) for each row of ``pages``.
 
     Of equal payloads of at least ``least`` bytes the one with the smallest id is a response, the others are
-    revisits without payload. The smallest id by digest is summed up before the shuffle, and a digest that
-    many rows share meets it in a join that adaptive execution can split.
+    revisits without payload. The smallest id by digest is summed up before the shuffle; rows of one digest meet it in
+    ``SALTS`` parts, each with a row of its own.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20").alias("url"), body.alias("body"))
     p = p.withColumn("digest", F.sha1(F.encode("body", "utf-8")))
-    first = p.groupBy("digest").agg(F.min("id").alias("first"))
-    p = p.join(first, "digest", "left")
+    p = p.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+    parts = p.groupBy("digest", "salt").agg(F.min("id").alias("low"))
+    first = parts.select("digest", "salt").join(parts.groupBy("digest").agg(F.min("low").alias("first")), "digest")
+    p = p.join(first, ["digest", "salt"], "left")
     revisit = (F.octet_length("body") >= least) & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), F.octet_length("body"), F.lit(CRLF * 2))
     sha1 = F.concat(F.lit("sha1:"), base32_sha1(F.col("digest")))
@@ -78,46 +86,28 @@ def write_archives(recs: DataFrame, path: str) -> None:
     recs.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-class _Stream:
-    """Records of one gzip file, inflated once from front to back; holds one record and one piece at a time."""
-
-    def __init__(self, data: bytes, piece: int = 1 << 18):
-        self.data, self.at, self.piece, self.have = data, 0, piece, b""
-        self.gz = zlib.decompressobj(31)
-
-    def more(self) -> bool:
-        if self.at >= len(self.data):
-            return False
-        got = self.gz.decompress(self.data[self.at : self.at + self.piece])
-        self.at += self.piece
-        while self.gz.eof and self.gz.unused_data:  # files that already have several members
-            rest, self.gz = self.gz.unused_data, zlib.decompressobj(31)
-            got += self.gz.decompress(rest)
-        self.have += got
-        return True
-
-    def __iter__(self):
-        while True:
-            while (end := self.have.find(b"\r\n\r\n")) < 0:
-                if not self.more():
-                    if self.have.strip(b"\r\n"):
-                        raise ValueError("a WARC file ends within a header")
-                    return
-            need = end + 4 + _length(self.have[:end]) + 4
-            parts, size = [self.have], len(self.have)
-            while size < need and self.more_into(parts):
-                size += len(parts[-1])
-            self.have = b"".join(parts)
-            if len(self.have) < need - 4:
-                raise ValueError("a WARC file ends within a record")
-            yield self.have[:need]
-            self.have = self.have[need:].lstrip(b"\r\n") if self.have[need : need + 2] == b"\r\n" else self.have[need:]
-
-    def more_into(self, parts: list) -> bool:
-        self.have = b""
-        ok = self.more()
-        parts.append(self.have)
-        return ok
+def _records(pieces):
+    """Records of one stream from its pieces between marks; a mark within a payload joins its pieces again."""
+    held, size, need = [], 0, None
+    for n, piece in enumerate(pieces):
+        if n == 0:
+            if piece.strip(b"\r\n"):
+                raise ValueError("a WARC file begins with something else")
+            continue
+        held += [MARK, piece]
+        size += len(MARK) + len(piece)
+        if need is None:
+            held = [b"".join(held)]
+            if (end := held[0].find(b"\r\n\r\n")) >= 0:
+                need = end + 4 + _length(held[0][:end])
+        if need is not None and size >= need:
+            have = b"".join(held)
+            if have[need:].strip(b"\r\n"):
+                raise ValueError("a WARC record is longer than it says")
+            yield have[:need] + b"\r\n\r\n"
+            held, size, need = [], 0, None
+    if held:
+        raise ValueError("a WARC file ends within a record")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -147,38 +137,55 @@ ARCHIVE = "archive string, offsets array<long>, lengths array<long>, record_ids
 
 
 def _members(it):
-    for batch in it:
-        for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            offset, rows = 0, []
-            for rec in _Stream(data.as_py()):
-                m = _member(rec)
-                rows.append((offset, len(m), _fields(rec[: rec.find(b"\r\n\r\n")]).get("warc-record-id"), m))
-                offset += len(m)
-            if rows:
-                cols = [[path.rpartition("/")[2]], *([list(x)] for x in zip(*rows, strict=True))]
-                yield pa.record_batch([pa.array(x, t.type) for x, t in zip(cols, _ARCHIVE, strict=True)], schema=_ARCHIVE)
+    """From the pieces of files, one file after another, archives of members."""
+
+    def pieces():
+        for batch in it:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+    for path, part in groupby(pieces(), key=lambda x: x[0]):
+        name = f"{hashlib.md5(path.encode()).hexdigest()[:8]}-{path.rpartition('/')[2].removesuffix('.gz')}"
+        number, rows, offset = 0, [], 0
+
+        def archive():
+            cols = [[f"{name}-{number}"], *([list(x)] for x in zip(*rows, strict=True))]
+            return pa.record_batch([pa.array(x, t.type) for x, t in zip(cols, _ARCHIVE, strict=True)], schema=_ARCHIVE)
+
+        for rec in _records(piece for _, piece in part):
+            m = _member(rec)
+            if rows and offset + len(m) > ARCHIVE_BYTES:
+                yield archive()
+                number, rows, offset = number + 1, [], 0
+            rows.append((offset, len(m), _fields(rec[: rec.find(b"\r\n\r\n")]).get("warc-record-id"), m))
+            offset += len(m)
+        if rows:
+            yield archive()
 
 
 def normalise(spark: SparkSession, source: str, archives: str, index: str, drop_source: bool = False) -> None:
     """Rewrites whole-file gzip WARCs under ``source`` with a member for each record, and writes their index.
 
-    A file is one row of at most ``spark.sql.sources.binaryFile.maxLength`` bytes and becomes one file, so its members
-    stay in order without a shuffle. Spark's text sink writes the members as they are: each ends in the zero byte that
-    stands as the line separator. ``drop_source`` removes the source once all its records are staged.
+    Spark's text source inflates each file as one stream and hands on what stands between marks, in order, so what a task
+    holds are a record and an archive of members. An archive is one row and becomes one file, so its members stay in order
+    without a shuffle. Spark's text sink writes the members as they are: each ends in the zero byte that stands as the
+    line separator. ``drop_source`` removes the source once all is staged.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(source)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").option("lineSep", MARK.decode()).text(source)
     staged = scratch(spark, "warc-members")
-    with tidy_shuffles(spark):
-        files.select("path", "content").mapInArrow(_members, ARCHIVE).write.option("compression", "none").parquet(staged)
-        if drop_source:
-            removed(spark, source)
-        rows = spark.read.schema(ARCHIVE).parquet(staged)
-        at = rows.select("archive", F.posexplode(F.arrays_zip("offsets", "lengths", "record_ids")).alias("seq", "at"))
-        at.select("archive", "seq", F.col("at.offsets").alias("offset"), F.col("at.lengths").alias("length"), F.col("at.record_ids").alias("record_id")).write.parquet(index)
-        line = F.expr("cast(substring(member, 1, length(member) - 1) as string)")
-        lines = rows.select("archive", F.explode("members").alias("member")).select("archive", line.alias("line"))
-        lines.write.partitionBy("archive").option("lineSep", "\0").text(archives)
-    removed(spark, staged)
+    try:
+        with tidy_shuffles(spark):
+            files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+            files.mapInArrow(_members, ARCHIVE).write.option("compression", "none").parquet(staged)
+            if drop_source:
+                removed(spark, source)
+            rows = spark.read.schema(ARCHIVE).parquet(staged)
+            at = rows.select("archive", F.posexplode(F.arrays_zip("offsets", "lengths", "record_ids")).alias("seq", "at"))
+            at.select("archive", "seq", F.col("at.offsets").alias("offset"), F.col("at.lengths").alias("length"), F.col("at.record_ids").alias("record_id")).write.parquet(index)
+            line = F.expr("cast(substring(member, 1, length(member) - 1) as string)")
+            lines = rows.select("archive", F.explode("members").alias("member")).select("archive", line.alias("line"))
+            lines.write.partitionBy("archive").option("lineSep", "\0").text(archives)
+    finally:
+        removed(spark, staged)
 
 
 _READ = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("declared_digest", pa.string()), ("payload", pa.binary()), ("payload_sha1", pa.string())])
@@ -215,11 +222,17 @@ def read_archives(spark: SparkSession, archives: str, index: str) -> DataFrame:
 
 
 def resolve(recs: DataFrame) -> DataFrame:
-    """Records with what revisits refer to; written once, without payloads, as both sides of the join read it."""
+    """Records with what revisits refer to; written once, without payloads, as both sides of the join read it.
+
+    Revisits of one record are dealt over ``SALTS`` parts, each of which gets a row of the record, so a record that a
+    third of all others refer to isn't met in one task.
+    """
     slim = recs.select("record_type", "record_id", "refers_to_record", "url", "page_id", "declared_digest", F.octet_length("payload").cast("long").alias("own_bytes"), "payload_sha1")
-    r = written(recs.sparkSession, slim, "warc-read").withColumn("own_digest", base32_sha1(F.col("payload_sha1")))
+    r = written(recs.sparkSession, slim, "warc-read", keep=True).withColumn("own_digest", base32_sha1(F.col("payload_sha1")))
+    r = r.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    asked = r.filter("refers_to_record is not null").select("refers_to_record", "salt").distinct()
     first = r.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min("page_id").alias("first_page"), F.max("own_bytes").alias("first_bytes"), F.max("own_digest").alias("first_digest"))
-    r = r.join(first, "refers_to_record", "left")
+    r = r.join(asked.join(first, "refers_to_record"), ["refers_to_record", "salt"], "left")
     digest = F.coalesce("own_digest", "first_digest")
     return r.select("page_id", F.coalesce("own_bytes", "first_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("first_page").alias("refers_to"), "url", (digest == F.col("declared_digest")).alias("verified"))
 
@@ -227,10 +240,14 @@ def resolve(recs: DataFrame) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` written as whole-file gzip WARCs, normalised, and read back by offset."""
     raw, archives, index = (scratch(spark, f"warc-{x}") for x in ("raw", "archives", "index"))
-    with tidy_shuffles(spark):
-        write_archives(records(table(spark, sf_dir, "pages")), raw)
-    normalise(spark, raw, archives, index, drop_source=True)
-    return resolve(read_archives(spark, archives, index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    try:
+        with tidy_shuffles(spark):
+            write_archives(records(table(spark, sf_dir, "pages")), raw)
+        normalise(spark, raw, archives, index, drop_source=True)
+        return resolve(read_archives(spark, archives, index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    finally:
+        for path in (raw, archives, index):
+            removed(spark, path)
 
 
 OP1_SQL = """
