@@ -5,10 +5,13 @@ sqrt(2 - 2c) apart, so on most lines they fall into each other's window. The wid
 such a distance's projection, and ``collisions_needed`` is calibrated so that a pair at the limit fails it with
 probability ``MISS`` at most. Pairs that pass are verified in double precision; only those are linked.
 
-Rows that equal each other are one class with a multiplicity. The classes of a label are sorted by their first projection
-and cut into cells of ``CELL``; two cells meet only if their ranges on that line are close enough for a pair that isn't
-missed. In a meeting, windows are counted line by line over the sorted projections, and what comes out are counts of
-links and the edges of a spanning forest, never the pairs: its rows are as many as the cells' vectors.
+Rows that equal each other are one class with a multiplicity. The classes of a label are sorted along a curve through
+their first ``BOX`` projections, bit by bit in turn, and cut into cells of ``CELL``; two cells meet only if their ranges on
+each of these lines are close enough for a pair that isn't missed. In a meeting, windows are counted line by line over the
+sorted projections; once so many lines are counted that few pairs can still reach the count, only those are looked at.
+What comes out are counts of links and the edges of a spanning forest, never the pairs: its rows are as many as the
+cells' vectors. Single lines part vectors of many dimensions only weakly, so the meetings of a very large label still grow
+faster than its rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite values, and rows with a null label, have
 no links and are a component each; vectors of other lengths than each other don't link; rows that repeat vec_id count as
@@ -18,6 +21,7 @@ label are read, so other columns can't clash.
 
 from __future__ import annotations
 
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -30,15 +34,19 @@ from touchline.operators.lineage import workspace, written
 from .common import components, table
 
 LINES, CELL, MISS, WIDTH = 48, 1024, 1e-9, 2.0
+#: Lines that cells are boxes on, and bits of each that the curve goes by.
+BOX, CURVE_BITS = 4, 15
 COSINE = 0.98
 
 
+@cache
 def directions(dim: int) -> np.ndarray:
     """``LINES`` unit directions, the same on every machine."""
     d = np.random.Generator(np.random.PCG64(dim)).standard_normal((LINES, dim))
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+@cache
 def collisions_needed(dim: int, miss: float = MISS) -> int:
     """The largest count of lines that a pair at the limit collides on with probability 1 - ``miss`` at least."""
     u = np.random.Generator(np.random.PCG64(1)).standard_normal((200_000, min(dim, 64)))
@@ -51,12 +59,22 @@ def collisions_needed(dim: int, miss: float = MISS) -> int:
     return LINES
 
 
-_UNIT = pa.schema([("label", pa.int64()), ("vec", pa.binary()), ("dim", pa.int32()), ("line", pa.float64()), ("id", pa.int64())])
-UNIT = "label long, vec binary, dim int, line double, id long"
+_UNIT = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("curve", pa.int64()), ("vec", pa.binary()), ("lines", pa.list_(pa.float64())), ("id", pa.int64())])
+UNIT = "label long, dim int, curve long, vec binary, lines array<double>, id long"
+
+
+def curve(lines: np.ndarray) -> int:
+    """The place of projections, each from -1 to 1, on a curve that takes a bit of each in turn."""
+    at = np.clip((lines + 1) * 2 ** (CURVE_BITS - 1), 0, 2**CURVE_BITS - 1).astype("i8").tolist()
+    out = 0
+    for b in range(CURVE_BITS - 1, -1, -1):
+        for x in at:
+            out = out << 1 | (x >> b & 1)
+    return out
 
 
 def _measured(it):
-    """Valid vectors as bytes, with their place on the first line."""
+    """Valid vectors as bytes, with their places on the first lines and on the curve."""
     for batch in it:
         rows = []
         for i, v, label in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -66,51 +84,68 @@ def _measured(it):
             norm = float(np.sqrt(x @ x))
             if not np.isfinite(x).all() or not np.isfinite(norm) or norm == 0:
                 continue
-            rows.append((label, (x + 0.0).tobytes(), len(x), float(directions_of(len(x))[0] @ x / norm), i))
+            lines = directions(len(x))[:BOX] @ x / norm
+            rows.append((label, len(x), curve(lines), (x + 0.0).tobytes(), lines, i))
         if rows:
             yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _UNIT, strict=True)], schema=_UNIT)
 
 
-_KEPT: dict[int, np.ndarray] = {}
-
-
-def directions_of(dim: int) -> np.ndarray:
-    if dim not in _KEPT:
-        _KEPT[dim] = directions(dim)
-    return _KEPT[dim]
+_CELL = pa.schema([("cell", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("vecs", pa.binary()), ("weights", pa.list_(pa.int64()))])
+CELLS = "cell long, label long, dim int, low array<double>, high array<double>, ids array<long>, vecs binary, weights array<long>"
 
 
 def _cells(it):
-    """From classes sorted by (label, dim, line), cells of ``CELL`` rows of one label, numbered within the task."""
+    """From classes sorted by (label, dim, curve), cells of ``CELL`` rows of one label, numbered within the task."""
     from pyspark import TaskContext
 
     number, held, key = TaskContext.get().partitionId() << 32, [], None
 
     def cell():
         ids, vecs, lines, weights = (list(x) for x in zip(*held, strict=True))
-        return pa.record_batch([pa.array([number], pa.int64()), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([lines[0]]), pa.array([lines[-1]]), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(vecs)], pa.binary()), pa.array([weights], pa.list_(pa.int64()))], names=["cell", "label", "dim", "low", "high", "ids", "vecs", "weights"])
+        lines = np.array(lines)
+        cols = [number, *key, lines.min(0), lines.max(0), ids, b"".join(vecs), weights]
+        return pa.record_batch([pa.array([x], t.type) for x, t in zip(cols, _CELL, strict=True)], schema=_CELL)
 
     for batch in it:
-        for label, dim, line, i, v, w in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        for label, dim, lines, i, v, w in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
             if held and ((label, dim) != key or len(held) == CELL):
                 yield cell()
                 number, held = number + 1, []
             key = (label, dim)
-            held.append((i, v, line, w))
+            held.append((i, v, lines, w))
     if held:
         yield cell()
 
 
-def collisions(a: np.ndarray, b: np.ndarray, width: float) -> np.ndarray:
-    """On how many lines each row of ``b`` is in the window around each row of ``a``; both are projections."""
-    out = np.zeros((len(a), len(b)), "u1")
-    for j in range(a.shape[1]):
-        o = np.argsort(b[:, j])
-        line = b[o, j]
-        low, high = np.searchsorted(line, a[:, j] - width, "left"), np.searchsorted(line, a[:, j] + width, "right")
-        for i in np.flatnonzero(low < high).tolist():
-            out[i, o[low[i] : high[i]]] += 1
-    return out
+def collided(a: np.ndarray, b: np.ndarray, width: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i of ``a``, j of ``b``) that fall into each other's window on ``need`` lines at least; both are projections.
+
+    Line by line, the window around each row of ``a`` is a run of the sorted ``b``. A pair that has missed too many lines
+    can't reach the count, so once few others are left, the remaining lines are looked at for them alone.
+    """
+    lines = a.shape[1]
+    missed = lines - need
+    count = np.zeros((len(a), len(b)), "u1")
+    rows = np.arange(len(a))
+    for k in range(lines):
+        o = np.argsort(b[:, k])
+        low, high = (np.searchsorted(b[o, k], a[:, k] + s, side) for s, side in ((-width, "left"), (width, "right")))
+        edge = np.zeros((len(a), len(b) + 1), "i1")
+        edge[rows, low] += 1
+        edge[rows, high] -= 1
+        at = np.empty(len(b), "i8")
+        at[o] = np.arange(len(b))
+        count += np.take(np.cumsum(edge, axis=1, dtype="i1"), at, axis=1).view("u1")
+        if k >= missed and k % 4 == 3 or k == lines - 1:
+            i, j = np.nonzero(count >= k + 1 - missed) if k + 1 > missed else np.nonzero(count >= 0)
+            if len(i) * 16 <= count.size or k == lines - 1:
+                break
+    n = count[i, j].astype("i4")
+    for k in range(k + 1, lines):
+        n += np.abs(a[i, k] - b[j, k]) <= width
+        left = n >= k + 1 - missed
+        i, j, n = i[left], j[left], n[left]
+    return i, j
 
 
 _MET = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
@@ -124,11 +159,11 @@ def _met(cosine: float):
                 dim, same = row["dim"], row["cell"] == row["cell2"]
                 x, y = (np.frombuffer(row[c], "f8").reshape(-1, dim) for c in ("vecs", "vecs2"))
                 nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-                d = directions_of(dim)
+                d = directions(dim)
                 px, py = x @ d.T / nx[:, None], y @ d.T / ny[:, None]
                 width = WIDTH * np.sqrt((2 - 2 * cosine) / dim) * (1 + 1e-9)
                 need = collisions_needed(dim)
-                i, j = np.nonzero(collisions(px, py, width) >= need)
+                i, j = collided(px, py, width, need)
                 if same:
                     i, j = i[i < j], j[i < j]
                 sure = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) / (nx[i[k : k + 65536]] * ny[j[k : k + 65536]]) >= cosine for k in range(0, max(1, len(i)), 65536)])
@@ -165,22 +200,25 @@ def _near_vectors(rows: DataFrame, cosine: float, id_col: str, vec_col: str, lab
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.col(label_col).cast("long").alias("label")).filter("id is not null")
     valid = written(spark, rows.mapInArrow(_measured, UNIT), "vectors-valid")
-    classes = valid.groupBy("label", "dim", "line", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classes = written(spark, classes, "vectors-classes")
-    members = valid.join(classes.filter("n > 1"), ["label", "dim", "line", "vec"]).select("id", "rep", "n")
-    members = written(spark, members, "vectors-members")
-
-    in_order = classes.select("label", "dim", "line", "rep", "vec", "n").repartitionByRange("label", "dim", "line", "rep").sortWithinPartitions("label", "dim", "line", "rep")
-    cells = in_order.mapInArrow(_cells, "cell long, label long, dim int, low double, high double, ids array<long>, vecs binary, weights array<long>")
-    cells = written(spark, cells, "vectors-cells")
-    # a pair further apart on the first line than this has, at the limit, probability 1e-9: 6.1 deviations of its projection
+    same = ["label", "dim", "curve", "vec", "lines"]
+    classes = written(spark, valid.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vectors-classes")
+    members = written(spark, valid.join(classes.filter("n > 1"), same).select("id", "rep", "n"), "vectors-members")
+
+    order = ["label", "dim", "curve", "rep"]
+    in_order = classes.select("label", "dim", "lines", "rep", "vec", "n", "curve").repartitionByRange(*order).sortWithinPartitions(*order)
+    cells = written(spark, in_order.mapInArrow(_cells, CELLS), "vectors-cells")
+    # a pair further apart on one line than this has, at the limit, probability 1e-9: 6.1 deviations of its projection
     reach = F.least(F.lit(6.1 * float(np.sqrt(2 - 2 * cosine))) / F.sqrt("dim"), F.lit(float(np.sqrt(2 - 2 * cosine)))) * (1 + 1e-9)
     other = cells.select(*[F.col(c).alias(f"{c}2" if c not in ("label", "dim") else c) for c in cells.columns])
-    slot = lambda x: F.floor(x / reach)  # noqa: E731  slots as wide as the reach make it an equi-join
-    index = cells.select("cell", "label", "dim", "low", "high", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))).alias("slot"))
-    other_index = other.select("cell2", "label", "dim", "low2", "high2", F.explode(F.sequence(slot(F.col("low2")) - 1, slot(F.col("high2")) + 1)).alias("slot"))
-    near = (F.col("low2") <= F.col("high") + reach) & (F.col("high2") >= F.col("low") - reach)
-    close = index.join(other_index, ["label", "dim", "slot"]).filter((F.col("cell") <= F.col("cell2")) & near).select("cell", "cell2").distinct()
+    slots = lambda side, k, more: F.explode(F.sequence(F.floor(F.col(f"low{side}")[k] / reach) - more, F.floor(F.col(f"high{side}")[k] / reach) + more))
+    index, other_index = cells.select("cell", "label", "dim", "low", "high"), other.select("cell2", "label", "dim", "low2", "high2")
+    for k in (0, 1):  # slots as wide as the reach, on two lines, make it an equi-join; all lines are looked at then
+        index = index.withColumn(f"slot{k}", slots("", k, 0))
+        other_index = other_index.withColumn(f"slot{k}", slots("2", k, 1))
+    near = F.col("cell") <= F.col("cell2")
+    for k in range(BOX):
+        near &= (F.col("low2")[k] <= F.col("high")[k] + reach) & (F.col("high2")[k] >= F.col("low")[k] - reach)
+    close = index.join(other_index, ["label", "dim", "slot0", "slot1"]).filter(near).select("cell", "cell2").distinct()
     meet = close.repartition("cell", "cell2").join(cells.select("cell", "dim", "ids", "vecs", "weights"), "cell").join(other.select("cell2", "ids2", "vecs2", "weights2"), "cell2")
     met = written(spark, meet.mapInArrow(_met(cosine), "id long, links long, to long"), "vectors-met")
 
