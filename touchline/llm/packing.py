@@ -2,9 +2,10 @@
 
 Texts longer than the greatest length are split; the pieces are dealt by hash into shards of bounded size, and each
 shard is packed by itself. Within a shard pieces go, longest first, to the open bin that they fill best. Where none
-fits, a bin is opened. Which size to open is decided for all permitted lengths jointly: the shard is packed for every
-least size to open, bins are downsized to the smallest permitted length that holds their contents, and the packing with
-the least cost stays. A bin costs its length plus ``BIN_COST`` tokens.
+fits, a bin is opened, of the size that costs least for a token: each permitted length that holds the piece is filled in
+thought with the longest pieces still to come that fit, and downsized. In the end every bin is downsized to the smallest
+permitted length that holds its contents. A bin costs its length plus ``BIN_COST`` tokens. The shard is also packed with
+one least size for all bins, for each permitted length, and the cheapest packing stays.
 
 Defined results: a null or empty text has no tokens and one row without a bin (capacity 0); rows that repeat are packed
 one by one; an empty table packs nothing. Only the id and the text are read, so other columns can't clash.
@@ -12,13 +13,15 @@ one by one; an empty table packs nothing. Only the id and the text are read, so
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.operators.lineage import written
+
 from .common import table, total
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -28,20 +31,40 @@ SHARD_ROWS = 50_000
 
 def word_count(text_col: str = "text") -> Column:
     """Tokens of a text: its runs of other than white space."""
-    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("long")
+    return F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(r"\S+")).cast("long")
+
 
+def cheapest(lengths: list[int], k: int, sums: list[int], capacities: tuple[int, ...]) -> int:
+    """The size to open for piece ``k`` of decreasing ``lengths``: the least cost a token, smaller sizes first.
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], least: int) -> tuple[np.ndarray, np.ndarray]:
+    ``sums`` are running sums, so a run of pieces that fit one after another is found at once.
+    """
+    best = (float("inf"), 0)
+    for c in capacities[bisect_left(capacities, lengths[k]) :]:
+        fill, at = lengths[k], k + 1
+        while at < len(lengths) and fill < c:
+            at = bisect_left(lengths, fill - c, at, key=lambda n: -n)  # the first piece that fits into what is left
+            last = bisect_right(sums, sums[at] + c - fill, at) - 1
+            if last <= at:
+                break
+            fill += sums[last] - sums[at]
+            at = last
+        held = capacities[bisect_left(capacities, fill)]
+        best = min(best, ((held + BIN_COST) / fill, c))
+    return best[1]
+
+
+def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length, by best fit in the given (decreasing) order.
 
-    A new bin has the smallest permitted size that is at least ``least`` and holds the piece.
+    A new bin has the cheapest size, or the smallest permitted one that is at least ``least`` and holds the piece.
     """
     bins, offsets = np.empty(len(lengths), "i8"), np.empty(len(lengths), "i8")
+    sums, sizes = [0, *np.cumsum(lengths).tolist()], lengths.tolist()
     free: dict[int, list[int]] = {}
     rooms: list[int] = []
     fill: list[int] = []
-    size: list[int] = []
-    for k, n in enumerate(lengths.tolist()):
+    for k, n in enumerate(sizes):
         at = bisect_left(rooms, n)
         if at < len(rooms):
             room = rooms[at]
@@ -49,10 +72,9 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], least: int) -> tu
             if not free[room]:
                 del free[room], rooms[at]
         else:
-            room = capacities[bisect_left(capacities, max(n, least))]
+            room = capacities[bisect_left(capacities, max(n, least))] if least else cheapest(sizes, k, sums, capacities)
             b = len(fill)
             fill.append(0)
-            size.append(room)
         bins[k], offsets[k] = b, fill[b]
         fill[b] += n
         if room > n:
@@ -64,10 +86,10 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], least: int) -> tu
 
 
 def pack_jointly(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset, capacity) of each length: the cheapest packing over the sizes to open, bins downsized."""
+    """(bin, offset, capacity) of each length: the cheapest packing, bins downsized."""
     order = np.argsort(-lengths, kind="stable")
     caps, best = np.array(capacities), None
-    for least in capacities:
+    for least in (0, *capacities):
         bins, offsets = best_fit(lengths[order], capacities, least)
         fill = np.bincount(bins, lengths[order])
         size = caps[np.searchsorted(caps, fill)]
@@ -102,7 +124,8 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
     n = word_count() if length is None else length
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), n.alias("n"))
+    rows = written(docs.sparkSession, rows, "pack-lengths", keep=True)  # texts are looked at once
     shards = max(1, -(-total(rows, F.ceil(F.col("n") / most)) // shard_rows))
     pieces = rows.filter("n > 0").select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("long").alias("n_tokens"))
