@@ -366,10 +366,10 @@ def _decoded(path: str):
     def run(it):
         v = vocabulary(path)
         for batch in it:
-            ids = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, "i8") for x in batch.column(batch.num_columns - 1)]
+            ids = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, "i8") for x in batch.column(1)]
             texts = pa.array([v.bytes_of(x).tobytes()[1:] for x in ids], pa.binary())
             texts = texts.cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
-            yield pa.record_batch([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "text"])
+            yield pa.record_batch([batch.column(0), texts], names=["rest", "text"])
 
     return run
 
@@ -377,7 +377,8 @@ def _decoded(path: str):
 def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFrame:
     """``rows`` with the text that ``ids_col`` stands for in its place, as ``text``."""
     keep = [F.col(f"`{c}`") for c in rows.columns if c not in (ids_col, "text")]
-    return rows.select(*keep, F.col(f"`{ids_col}`")).mapInArrow(_decoded(path), rows.select(*keep).schema.add("text", "string"))
+    d = rows.select(F.struct(*(keep or [F.lit(0)])).alias("rest"), F.col(f"`{ids_col}`").alias("ids"))
+    return d.mapInArrow(_decoded(path), d.select("rest").schema.add("text", "string")).select(*(["rest.*"] if keep else []), "text")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
