@@ -6,8 +6,8 @@ L1 penalty, and keeps those with a weight. ``score`` compiles them into one Spar
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other; with no labelled rows, or
 with one class only, the score is the smoothed share of good rows (0.5 without rows); rows that repeat a doc_id are
-scored one by one; labels whose quality is null are left out; an empty table gives no rows. ``statistics`` keeps all
-columns of its input and adds only ``_stats``.
+scored one by one, and count once where they are labelled, with the least of their statistics; labels whose quality is
+null are left out; an empty table gives no rows. All columns of the input stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 
 SAMPLE_ROWS = 20_000
 STATS = ["log_bytes", "words", "word_length", "upper", "digits", "symbols", "pipes", "marks", "stops", "distinct_words", "top_word", "distinct_lines", "symbol_words", "line_words", "long_words"]
@@ -49,16 +49,15 @@ def _measured(text: bytes) -> list[float]:
 def _with_stats(it):
     for batch in it:
         stats = [[round(x, 6) for x in _measured((t.as_py() or "").encode())] for t in batch.column(0)]
-        cols = batch.columns[1:] + [pa.array(stats, pa.list_(pa.float64()))]
-        yield pa.record_batch(cols, names=[*batch.schema.names[1:], "_stats"])
+        yield pa.record_batch([batch.column(1), pa.array(stats, pa.list_(pa.float64()))], names=["rest", "stats"])
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of each row (all by default) and ``_stats``: the values of ``STATS``."""
-    keep = docs.columns if keep is None else keep
-    df = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = docs.select(*keep).schema.add("_stats", T.ArrayType(T.DoubleType()))
-    return df.mapInArrow(_with_stats, schema)
+def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, name: str = "_stats") -> DataFrame:
+    """The columns ``keep`` of each row (all by default) and ``name``: the values of ``STATS``."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), rest.alias("rest"))
+    out = rows.mapInArrow(_with_stats, rows.select("rest").schema.add("stats", T.ArrayType(T.DoubleType())))
+    return out.select("rest.*", F.col("stats").alias(name))
 
 
 @dataclass
@@ -72,7 +71,8 @@ class Rules:
         """The score, 0 to 1, as one Spark column."""
         terms = [F.lit(self.intercept)]
         for weight, rule in self.rules:
-            parts = [F.col(stats)[i] > t if above else F.col(stats)[i] <= t for i, t, above in rule]
+            at = F.col(f"`{stats}`")
+            parts = [at[i] > t if above else at[i] <= t for i, t, above in rule]
             terms.append(F.when(reduce(Column.__and__, parts), F.lit(weight)).otherwise(F.lit(0.0)))
         return 1 / (1 + F.exp(-reduce(Column.__add__, terms)))
 
@@ -154,15 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = statistics(rows, keep=["doc_id", "_quality"]).select("_stats", "_quality", "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["_stats"]))
+    rows = statistics(rows, keep=["doc_id", "_quality"]).groupBy("doc_id").agg(F.min("_stats").alias("_stats"), F.max("_quality").alias("_quality")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["_stats"] for r in rows], "f8").reshape(-1, len(STATS))
     return fit_rules(x, np.array([float(r["_quality"] == 1) for r in rows]))
 
 
-def score(docs: DataFrame, model: Rules, keep: list[str] | None = None) -> DataFrame:
-    """``statistics`` of each row and its score as ``_score``."""
-    return statistics(docs, keep=keep).withColumn("_score", model.column())
+def score(docs: DataFrame, model: Rules, keep: list[str] | None = None, name: str = "_score") -> DataFrame:
+    """The columns ``keep`` of each row (all by default) and its score as ``name``."""
+    stats = free_name(docs, "_stats")
+    out = statistics(docs, keep=keep, name=stats)
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != stats], model.column(stats).alias(name))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,5 +176,6 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier accepts."""
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.filter("_score >= 0.5").select(*docs.columns)
+    name = free_name(docs, "_score")
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")), name=name)
+    return out.filter(F.col(f"`{name}`") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
