@@ -173,6 +173,34 @@ def test_vectors_with_hostile_rows(spark, monkeypatch, cell):
     assert got == brute_vectors(rows)
 
 
+def test_cells_that_are_far_apart_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 64)
+    seen = []
+    monkeypatch.setattr(vectors, "meetings", lambda cells, cosine, real=vectors.meetings: seen.append((cells.count(), (m := real(cells, cosine)).count())) or m)
+    rng = np.random.default_rng(2)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(rng.standard_normal((3000, 3)))]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.9999)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == brute_of(rows, 0.9999)
+    cells, pairs = seen[0]
+    assert pairs < cells * (cells + 1) / 4
+
+
+def brute_of(rows, cosine):
+    x = np.array([v for _, v, _ in rows])
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= cosine) & ~np.eye(len(x), dtype=bool)
+    top = roots(range(len(x)), zip(*(i.tolist() for i in np.nonzero(near)), strict=True))
+    return {i: (int(near[i].sum()), top[i], top[i] == i) for i in range(len(x))}
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal(20_000)
+    rows = [(1, a.tolist(), 0), (2, (a + 0.05 * rng.standard_normal(20_000)).tolist(), 0), (3, rng.standard_normal(20_000).tolist(), 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r["vec_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_vectors_of_no_rows(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

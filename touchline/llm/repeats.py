@@ -8,7 +8,7 @@ stretch, and every window is in one stretch.
      Whole texts equal to that of a smaller id go as they are.
   2. Each block sends the hashes of its stretches' common parts, dealt into buckets; those of one document drop out.
   3. Each block sends its remaining stretches, each distinct one once with its smallest id. A common part of more than
-     ``HOT`` stretches is dealt by whole windows instead, so that no bucket gathers what surrounds a frequent string.
+     ``HOT`` of them is dealt by whole windows instead, so that no bucket gathers what surrounds a frequent string.
   4. Each bucket sorts its suffixes, takes the transform, and extends all intervals backward, breadth first: prefixes
      shared by neighbours come out by increasing length, intervals of one suffix drop out, and expansion ends at
      ``LENGTH``. Each interval left is a repeated string; its smallest id goes back to the blocks.
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.operators.lineage import done_with, tidy_shuffles, workspace, written
 
@@ -50,11 +51,11 @@ _LOW = np.uint64((1 << 20) - 1)
 
 
 def stretches(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
-    """(first window, windows, hash of the common part, text number) of each stretch of texts one after another."""
+    """(first window, windows, hash of the common part, text number, hash of both ends) of each stretch of texts one after another."""
     n, w = len(raw), length - K + 1
     none = np.zeros(0, "i8")
     if n < length:
-        return none, none, np.zeros(0, "u8"), none
+        return none, none, np.zeros(0, "u8"), none, np.zeros(0, "u8")
     h, at = np.empty(n - K + 1, "u8"), np.empty(n - length + 1, "i8")
     for a in range(0, n - length + 1, PIECE):  # pieces that stay in a core's cache
         x, size = _BYTE[raw[a : a + PIECE + length - 1]], 1
@@ -84,7 +85,9 @@ def stretches(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     left, right = turn > start, turn < end
     before = h[at[left] - K] * _STEP[2] + h[at[left]] * _STEP[3]
     after = h[at[right]] * _STEP[4] + h[at[right] + K] * _STEP[5]
-    return np.r_[start[left], turn[right]], np.r_[(turn - start)[left], (end - turn)[right]], mixed(np.r_[before, after]), np.r_[doc[left], doc[right]]
+    first, windows = np.r_[start[left], turn[right]], np.r_[(turn - start)[left], (end - turn)[right]]
+    around = h[first] * _STEP[6] + h[first + windows - 1 + length - K] * _STEP[7]
+    return first, windows, mixed(np.r_[before, after]), np.r_[doc[left], doc[right]], around
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -115,14 +118,14 @@ _DEALT = pa.schema([("group", pa.int64()), ("data", pa.binary())])
 DEALT = "group long, data binary"
 
 
-def rounds(homes: int) -> int:
-    """How many rounds deal ``homes`` destinations."""
-    return max(1, -(-(homes - 1).bit_length() // FAN_BITS))
+def rounds(homes: int, bits: int) -> int:
+    """How many rounds of ``bits`` deal ``homes`` destinations."""
+    return max(1, -(-(homes - 1).bit_length() // bits))
 
 
-def _dealt(table: pa.Table, home: np.ndarray, homes: int, level: int = 1, schema: pa.Schema = _DEALT, **more) -> pa.Table:
+def _dealt(table: pa.Table, home: np.ndarray, homes: int, bits: int, level: int = 1, schema: pa.Schema = _DEALT, **more) -> pa.Table:
     """Rows of a round: in the last one a row for each home, before that one for each value of some bits of its hash."""
-    group = home if level >= rounds(homes) else (mixed(home.astype("u8")) >> np.uint64(64 - FAN_BITS * level)).astype("i8")
+    group = home if level >= rounds(homes, bits) else (mixed(home.astype("u8")) >> np.uint64(64 - bits * level)).astype("i8")
     o = np.argsort(group, kind="stable")
     table, group = table.take(pa.array(o)), group[o]
     cut = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(group)] if len(group) else np.zeros(1, "i8")
@@ -137,7 +140,7 @@ def _again(homes: int, level: int, home_of):
 
         def out():
             table = _unpacked(pa.chunked_array([pa.array(held, pa.binary())]))
-            return _dealt(table, home_of(table), homes, level).to_batches()
+            return _dealt(table, home_of(table), homes, FAN_BITS, level).to_batches()
 
         for batch in it:
             for g, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -158,7 +161,7 @@ def deal(rows: DataFrame, homes: int, home_of) -> DataFrame:
 
     A later round takes the rows of a group together, but not all in one task: they are salted as the homes' count asks.
     """
-    for level in range(2, rounds(homes) + 1):
+    for level in range(2, rounds(homes, FAN_BITS) + 1):
         tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), homes // 64)
         salt = F.pmod(F.xxhash64("data"), F.lit(max(1, tasks >> (FAN_BITS * (level - 1)))))
         rows = rows.repartition(tasks, "group", salt).sortWithinPartitions("group").mapInArrow(_again(homes, level, home_of), DEALT)
@@ -168,30 +171,33 @@ def deal(rows: DataFrame, homes: int, home_of) -> DataFrame:
 _BLOCK_COLS = [("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("digests", pa.list_(pa.binary()))]
 
 
-def _blocks(it):
-    from pyspark import TaskContext
+def _in_blocks(least: int):
+    def run(it):
+        from pyspark import TaskContext
 
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-    def block():
-        ids, texts, rest = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
-        sizes = [len(t.as_buffer()) for t in texts]
-        cols = [[number], [sum(sizes)], [ids.to_pylist()], [sizes], [b"".join([t.as_py() for t in texts])], [[hashlib.sha256(t.as_buffer()).digest() for t in texts]]]
-        arrays = [pa.array(x, t) for x, (_, t) in zip(cols, _BLOCK_COLS, strict=True)] + [pa.ListArray.from_arrays([0, len(rest)], rest)]
-        return pa.record_batch(arrays, names=[*(n for n, _ in _BLOCK_COLS), "rest"])
+        def block():
+            ids, texts, rest = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+            sizes = [len(t.as_buffer()) for t in texts]
+            cols = [[number], [sum(sizes)], [ids.to_pylist()], [sizes], [b"".join([t.as_py() for t in texts])], [[hashlib.sha256(t.as_buffer()).digest() for t in texts]]]
+            arrays = [pa.array(x, t) for x, (_, t) in zip(cols, _BLOCK_COLS, strict=True)] + [pa.ListArray.from_arrays([0, len(rest)], rest)]
+            return pa.record_batch(arrays, names=[*(n for n, _ in _BLOCK_COLS), "rest"])
 
-    for batch in it:
-        texts, last = batch.column(1), 0
-        for i, t in enumerate(texts):
-            size += len(t.as_buffer())
-            if size >= BLOCK:
-                held.append(batch.slice(last, i + 1 - last))
-                yield block()
-                number, held, size, last = number + 1, [], 0, i + 1
-        if last < batch.num_rows:
-            held.append(batch.slice(last))
-    if held:
-        yield block()
+        for batch in it:
+            texts, last = batch.column(1), 0
+            for i, t in enumerate(texts):
+                size += len(t.as_buffer())
+                if size >= least:
+                    held.append(batch.slice(last, i + 1 - last))
+                    yield block()
+                    number, held, size, last = number + 1, [], 0, i + 1
+            if last < batch.num_rows:
+                held.append(batch.slice(last))
+        if held:
+            yield block()
+
+    return run
 
 
 def _block_of(blocks: pa.Table, copies: list[int]):
@@ -228,17 +234,25 @@ def _send_keys(buckets: int, length: int):
         if not blocks.num_rows:
             return _DEALT.empty_table()
         raw, ends, _, is_copy = _block_of(blocks, _copies(side))
-        _, _, keys, doc = stretches(raw, ends, length)
-        keys, doc = keys[~is_copy[doc]] >> np.uint64(64 - SENT_BITS), doc[~is_copy[doc]]
+        _, _, keys, doc, around = stretches(raw, ends, length)
+        own = ~is_copy[doc]
+        keys, doc, around = keys[own] >> np.uint64(64 - SENT_BITS), doc[own], around[own]
         if not len(keys):
             return _DEALT.empty_table()
         o = np.argsort(keys)
         keys, doc = keys[o], doc[o]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        n = np.diff(np.r_[first, len(keys)]).astype("i4")
+        # how many different stretches have the part in common
+        size = np.diff(np.r_[first, len(keys)])
+        n, many = np.ones(len(first), "i4"), np.flatnonzero(np.repeat(size > 1, size))
+        if len(many):
+            part, around = np.repeat(np.arange(len(first)), size)[many], around[o][many]
+            at = np.lexsort((around, part))
+            new = np.r_[True, (np.diff(part[at]) != 0) | (np.diff(around[at]) != 0)]
+            n = np.maximum(n, np.bincount(part[at][new], minlength=len(first)).astype("i4"))
         table = pa.table({"key": keys[first], "home": np.full(len(first), blocks["block"][0].as_py()), "n": n, "several": several})
-        return _dealt(table, _key_home(buckets)(table), buckets)
+        return _dealt(table, _key_home(buckets)(table), buckets, FAN_BITS)
 
     return run
 
@@ -261,7 +275,7 @@ def _repeated(blocks: int):
         table = table.select(["key", "home"]).append_column("hot", pa.array(hot)).filter(pa.array(keep))
         if not table.num_rows:
             return _FOUND.empty_table()
-        out = _dealt(table, _home(table), blocks)
+        out = _dealt(table, _home(table), blocks, FAN_BITS)
         return out.append_column("n", pa.array([table.num_rows] + [0] * (out.num_rows - 1), pa.int64()))
 
     return run
@@ -282,7 +296,7 @@ def _send_stretches(buckets: int, length: int):
         keys, hot = found["key"].to_numpy(), found["hot"].to_numpy(zero_copy_only=False)
         o = np.argsort(keys)
         keys, hot = keys[o], hot[o]
-        start, windows, key, doc = stretches(raw, ends, length)
+        start, windows, key, doc, _ = stretches(raw, ends, length)
         short = key >> np.uint64(64 - SENT_BITS)
         where = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
         is_in = (keys[where] == short) & ~is_copy[doc]
@@ -306,7 +320,7 @@ def _send_stretches(buckets: int, length: int):
         table = pa.table({"home": np.array(home), "block": np.full(len(home), block), "item": np.arange(len(home), dtype="i4"), "least": np.array(least), "text": pa.array(list(items), pa.large_binary())})
         own = pa.table({"start": start, "windows": windows.astype("i4"), "item": np.array(which, "i4")})
         mine = pa.table([pa.array([OWN], pa.int64()), pa.array([_packed(own)], pa.binary()), pa.array([block], pa.int64())], schema=_STRETCH)
-        return pa.concat_tables([mine, _dealt(table, _home(table), buckets, schema=_STRETCH, block=block)])
+        return pa.concat_tables([mine, _dealt(table, _home(table), buckets, FAN_BITS, schema=_STRETCH, block=block)])
 
     return run
 
@@ -406,7 +420,7 @@ def _expand(length: int, blocks: int):
         at = np.repeat(first[which] - (np.cumsum(n[which]) - n[which]), n[which]) + np.arange(n[which].sum())
         bounds = pa.array(np.r_[0, np.cumsum(n[which])], pa.int32())
         out = pa.table({"home": table["block"], "item": table["item"], "runs": pa.ListArray.from_arrays(bounds, pa.array(size[at])), "least": pa.ListArray.from_arrays(bounds, pa.array(value[run_at][at]))})
-        return _dealt(out, _home(out), blocks)
+        return _dealt(out, _home(out), blocks, FAN_BITS)
 
     return run
 
@@ -461,9 +475,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes"), rest.alias("rest"))
-    kind = rows.schema["rest"].dataType.simpleString()
+    of_blocks = T.StructType().add("block", "long").add("n_bytes", "long").add("ids", T.ArrayType(T.LongType())).add("sizes", T.ArrayType(T.LongType()))
+    of_blocks = of_blocks.add("data", "binary").add("digests", T.ArrayType(T.BinaryType())).add("rest", T.ArrayType(rows.schema["rest"].dataType))
     size = total(docs, F.octet_length(text_col).cast("long"))
-    made = rows.mapInArrow(_blocks, f"block long, n_bytes long, ids array<long>, sizes array<long>, data binary, digests array<binary>, rest array<{kind}>")
+    made = rows.mapInArrow(_in_blocks(BLOCK), of_blocks)
     blocks, name = _bucketed(spark, made, "block", max(8, -(-size // (8 * BLOCK))))
     schema = rows.select("rest").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("kept_sha256", "string")
 

@@ -94,27 +94,31 @@ _CELL = pa.schema([("cell", pa.int64()), ("label", pa.int64()), ("dim", pa.int32
 CELLS = "cell long, label long, dim int, low array<double>, high array<double>, ids array<long>, vecs binary, weights array<long>"
 
 
-def _cells(it):
-    """From classes sorted by (label, dim, curve), cells of ``CELL`` rows of one label, numbered within the task."""
-    from pyspark import TaskContext
+def _in_cells(most: int):
+    """From classes sorted by (label, dim, curve), cells of ``most`` rows of one label, numbered within the task."""
 
-    number, held, key = TaskContext.get().partitionId() << 32, [], None
+    def run(it):
+        from pyspark import TaskContext
 
-    def cell():
-        ids, vecs, lines, weights = (list(x) for x in zip(*held, strict=True))
-        lines = np.array(lines)
-        cols = [number, *key, lines.min(0), lines.max(0), ids, b"".join(vecs), weights]
-        return pa.record_batch([pa.array([x], t.type) for x, t in zip(cols, _CELL, strict=True)], schema=_CELL)
+        number, held, key = TaskContext.get().partitionId() << 32, [], None
 
-    for batch in it:
-        for label, dim, lines, i, v, w in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            if held and ((label, dim) != key or len(held) == CELL):
-                yield cell()
-                number, held = number + 1, []
-            key = (label, dim)
-            held.append((i, v, lines, w))
-    if held:
-        yield cell()
+        def cell():
+            ids, vecs, lines, weights = (list(x) for x in zip(*held, strict=True))
+            lines = np.array(lines)
+            cols = [number, *key, lines.min(0), lines.max(0), ids, b"".join(vecs), weights]
+            return pa.record_batch([pa.array([x], t.type) for x, t in zip(cols, _CELL, strict=True)], schema=_CELL)
+
+        for batch in it:
+            for label, dim, lines, i, v, w in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if held and ((label, dim) != key or len(held) == most):
+                    yield cell()
+                    number, held = number + 1, []
+                key = (label, dim)
+                held.append((i, v, lines, w))
+        if held:
+            yield cell()
+
+    return run
 
 
 def collided(a: np.ndarray, b: np.ndarray, width: float, need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +194,22 @@ def _met(cosine: float):
     return run
 
 
+def meetings(cells: DataFrame, cosine: float) -> DataFrame:
+    """(cell, cell2) of cells of one label that may hold a near pair, each with itself, no pair twice."""
+    # a pair further apart on one line than this has, at the limit, probability 1e-9: 6.1 deviations of its projection
+    reach = F.least(F.lit(6.1 * float(np.sqrt(2 - 2 * cosine))) / F.sqrt("dim"), F.lit(float(np.sqrt(2 - 2 * cosine)))) * (1 + 1e-9)
+    other = cells.select(*[F.col(c).alias(f"{c}2" if c not in ("label", "dim") else c) for c in cells.columns])
+    slots = lambda side, k, more: F.explode(F.sequence(F.floor(F.col(f"low{side}")[k] / reach) - more, F.floor(F.col(f"high{side}")[k] / reach) + more))
+    index, other_index = cells.select("cell", "label", "dim", "low", "high"), other.select("cell2", "label", "dim", "low2", "high2")
+    for k in (0, 1):  # slots as wide as the reach, on two lines, make it an equi-join; all lines are looked at then
+        index = index.withColumn(f"slot{k}", slots("", k, 0))
+        other_index = other_index.withColumn(f"slot{k}", slots("2", k, 1))
+    near = F.col("cell") <= F.col("cell2")
+    for k in range(BOX):
+        near &= (F.col("low2")[k] <= F.col("high")[k] + reach) & (F.col("high2")[k] >= F.col("low")[k] - reach)
+    return index.join(other_index, ["label", "dim", "slot0", "slot1"]).filter(near).select("cell", "cell2").distinct()
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector; see the module's text."""
     with workspace(rows.sparkSession):
@@ -206,19 +226,8 @@ def _near_vectors(rows: DataFrame, cosine: float, id_col: str, vec_col: str, lab
 
     order = ["label", "dim", "curve", "rep"]
     in_order = classes.select("label", "dim", "lines", "rep", "vec", "n", "curve").repartitionByRange(*order).sortWithinPartitions(*order)
-    cells = written(spark, in_order.mapInArrow(_cells, CELLS), "vectors-cells")
-    # a pair further apart on one line than this has, at the limit, probability 1e-9: 6.1 deviations of its projection
-    reach = F.least(F.lit(6.1 * float(np.sqrt(2 - 2 * cosine))) / F.sqrt("dim"), F.lit(float(np.sqrt(2 - 2 * cosine)))) * (1 + 1e-9)
-    other = cells.select(*[F.col(c).alias(f"{c}2" if c not in ("label", "dim") else c) for c in cells.columns])
-    slots = lambda side, k, more: F.explode(F.sequence(F.floor(F.col(f"low{side}")[k] / reach) - more, F.floor(F.col(f"high{side}")[k] / reach) + more))
-    index, other_index = cells.select("cell", "label", "dim", "low", "high"), other.select("cell2", "label", "dim", "low2", "high2")
-    for k in (0, 1):  # slots as wide as the reach, on two lines, make it an equi-join; all lines are looked at then
-        index = index.withColumn(f"slot{k}", slots("", k, 0))
-        other_index = other_index.withColumn(f"slot{k}", slots("2", k, 1))
-    near = F.col("cell") <= F.col("cell2")
-    for k in range(BOX):
-        near &= (F.col("low2")[k] <= F.col("high")[k] + reach) & (F.col("high2")[k] >= F.col("low")[k] - reach)
-    close = index.join(other_index, ["label", "dim", "slot0", "slot1"]).filter(near).select("cell", "cell2").distinct()
+    cells = written(spark, in_order.mapInArrow(_in_cells(CELL), CELLS), "vectors-cells")
+    close, other = meetings(cells, cosine), cells.select(*[F.col(c).alias(f"{c}2") for c in cells.columns])
     meet = close.repartition("cell", "cell2").join(cells.select("cell", "dim", "ids", "vecs", "weights"), "cell").join(other.select("cell2", "ids2", "vecs2", "weights2"), "cell2")
     met = written(spark, meet.mapInArrow(_met(cosine), "id long, links long, to long"), "vectors-met")
 
