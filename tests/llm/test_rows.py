@@ -2,7 +2,9 @@
 
 import datetime as dt
 import hashlib
+import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -59,12 +61,65 @@ def test_packing_fills_bins_without_overlap(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def costs(n, caps, least):
+    order = np.sort(n)[::-1]
+    bins, _ = packing.best_fit(order, caps, least)
+    return sum(min(c for c in caps if c >= f) + packing.BIN_COST for f in np.bincount(bins, order))
+
+
 def test_joint_packing_costs_no_more_than_one_size():
     n = np.random.default_rng(2).integers(1, 3000, 500)
     b, _, c = packing.pack_jointly(n)
-    cost = sum(dict(zip(b.tolist(), c.tolist(), strict=True)).values())
-    ones, _ = packing.best_fit(np.sort(n)[::-1], packing.CAPACITIES, 8192)
-    assert cost + packing.BIN_COST * len(set(b)) <= (8192 + packing.BIN_COST) * len(set(ones))
+    cost = sum(dict(zip(b.tolist(), c.tolist(), strict=True)).values()) + packing.BIN_COST * len(set(b))
+    assert cost <= min(costs(n, packing.CAPACITIES, least) for least in (0, *packing.CAPACITIES))
+
+
+def test_small_shards_are_near_the_optimum():
+    caps, rng, over = (10, 20, 40), np.random.default_rng(3), []
+    for _ in range(30):
+        n = rng.integers(1, 25, 7)
+        price = lambda f: min((c for c in caps if c >= f), default=None)
+        best = [0.0] + [np.inf] * (2 ** len(n) - 1)
+        for got in range(2 ** len(n)):  # the first piece that is left goes with every subset of the others
+            first = next((i for i in range(len(n)) if not got >> i & 1), None)
+            if first is None or best[got] == np.inf:
+                continue
+            rest = [i for i in range(first + 1, len(n)) if not got >> i & 1]
+            for k in range(len(rest) + 1):
+                for more in itertools.combinations(rest, k):
+                    c = price(n[[first, *more]].sum())
+                    if c:
+                        to = got | 1 << first | sum(1 << i for i in more)
+                        best[to] = min(best[to], best[got] + c + packing.BIN_COST)
+        b, _, c = packing.pack_jointly(n, caps)
+        fills = np.bincount(b, n)
+        assert all(c[b == k][0] == price(f) for k, f in enumerate(fills))
+        over.append((sum(price(f) for f in fills) + packing.BIN_COST * len(fills)) / best[-1])
+    assert np.mean(over) < 1.05 and max(over) < 1.3
+
+
+def test_packing_query_holds_every_word_once(spark):
+    rows = packing.op3_packing(spark, DATA).collect()
+    words = {r["doc_id"]: len(re.findall(r"\S+", r["text"] or "", re.ASCII)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    by_doc, bins = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["n_tokens"], r["piece"]))
+        if r["bin_id"]:
+            bins.setdefault(r["bin_id"], []).append((r["bin_offset"], r["n_tokens"], r["capacity"]))
+    assert sorted(by_doc) == sorted(words)
+    for doc, pieces_ in by_doc.items():
+        at = 0
+        for k, (start, n, piece) in enumerate(sorted(pieces_)):
+            assert (start, piece) == (at, k)
+            at += n
+        assert at == words[doc]
+    # one shard: the same pieces packed without Spark, in the order that the shard is sorted in
+    n = np.array([r["n_tokens"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])) if r["bin_id"]])
+    b, _, c = packing.pack_jointly(n)
+    assert sorted(zip(*np.unique(c[np.unique(b, return_index=True)[1]], return_counts=True), strict=True)) == sorted(zip(*np.unique([x[0][2] for x in bins.values()], return_counts=True), strict=True))
+    for x in bins.values():
+        x.sort()
+        assert x[0][0] == 0 and all(p[0] + p[1] == q[0] for p, q in zip(x, x[1:], strict=False)) and x[-1][0] + x[-1][1] <= x[0][2]
 
 
 def _digest(*parts):
@@ -316,17 +371,36 @@ def test_permutations_are_one_to_one(spark):
     assert d.distinct().count() == 1000 and d.filter("length(p) <> 3").count() == 0
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.fill(x, width, break_long_words=False) + "\n" for x in text.split("\n"))
+
+
 def test_licences(spark):
     mit = "Copyright (c) 2020 A. B.\n\n" + licences.KNOWN["MIT"].upper().replace(" ", "  ").replace("SUBLICENSE", "SUB-LICENSE")
-    rows = [(1, mit), (2, "intro\nReleased under the MIT Licence!\nmore"), (3, None), (4, ""), (5, "..."), (5, "..."), (6, "x " * 50_000)]
-    df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, name string")
+    rows = [(1, mit), (2, "intro\nReleased under the MIT Licence!\nmore\n// SPDX-License-Identifier: MPL-2.0"), (3, None), (4, ""), (5, "..."), (5, "..."), (6, "x " * 50_000)]
+    df = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, name string, row int")
     got = licences.scan(df).orderBy("doc_id").collect()
     assert [r["licence"] for r in got] == ["MIT"] + [None] * 6
-    assert [[(n["line"], n["name"]) for n in r["notices"]] for r in got] == [[], [(2, "MIT notice")], [], [], [], [], []]
+    assert [[(n["line"], n["name"]) for n in r["notices"]] for r in got] == [[], [(2, "MIT notice"), (4, "MPL-2.0 notice")], [], [], [], [], []]
     assert [r["digest"] is None for r in got] == [False, False, True, True, True, True, False]
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licences_as_they_are_published(spark):
+    files, want = [], []
+    for name, text in licences.KNOWN.items():
+        for title in ("", *licences.TITLES[name]):
+            for width in (20, 40, 72):
+                text = text.replace("COPYRIGHT HOLDERS AND", "COPYRIGHT OWNERS AND")
+                files.append(f"{title}\n\nCopyright (c) 1999, 2024 The Authors of It\nCopyright 2001 B\nAll rights reserved.\n\n{wrapped(text, width)}")
+                want.append(name)
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, text string")
+    assert [r["licence"] for r in licences.scan(df).orderBy("doc_id").collect()] == want
+    own = spark.createDataFrame([("Own-1.0", "You may do all.\nBut not that."), ("Own notice", "Under Own 1.0")], "name string, text string")
+    got = licences.scan(spark.createDataFrame([(1, "YOU MAY\ndo all but not that"), (2, "x\nunder own-1.0")], "doc_id long, text string"), own).orderBy("doc_id").collect()
+    assert [r["licence"] for r in got] == ["Own-1.0", None] and [n["name"] for n in got[1]["notices"]] == ["Own notice"]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_with_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
@@ -355,6 +429,30 @@ def test_quality_of_hostile_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_stage_keeps_other_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.lit("s").alias("_stats"), F.lit("o").alias("_score"), F.lit("t").alias("_text"), F.lit("d").alias("a.b"))
+    got = quality.stage(spark, docs, DATA)
+    rows = got.collect()
+    assert got.columns == docs.columns and 0 < len(rows) < docs.count()
+    assert all(tuple(r)[2:] == ("s", "o", "t", "d") for r in rows)
+    kept = {r["doc_id"] for r in quality.op7_quality(spark, DATA).collect() if r["predicted"]}
+    assert {r["doc_id"] for r in rows} == kept
+
+
+def test_compiled_rules_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, len(quality.STATS)))
+    y = ((x[:, 0] > 0.5) & (x[:, 3] < 0.7)).astype("f8")
+    model = quality.fit_rules(x, y)
+    assert model.rules
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, _stats array<double>").select("i", model.column().alias("p"))
+    for r in df.collect():
+        z = model.intercept
+        for weight, rule in model.rules:
+            z += weight if all((x[r["i"], k] > t) if above else (x[r["i"], k] <= t) for k, t, above in rule) else 0.0
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
 def naive_pieces(v, text, key, bar):
     """All neighbours of a whole text are looked at again at each step."""
     if not text:
@@ -437,21 +535,22 @@ def test_pieces_query(spark):
         assert r["ids"] == (v.run_long(b" " + b, int(key[0]), 0, bar) if b else [])
 
 
-def test_media_are_rebuilt(spark):
+def test_media_are_rebuilt(spark, tmp_path):
     rng = np.random.default_rng(4)
     long = "".join(map(chr, rng.integers(32, 127, 200_000)))
     rows = [(1, None), (2, ""), (3, "a"), (4, "b" * 192), (5, long), (6, "head" + long), (6, "head" + long), (7, "é" * 100)]
     df = spark.createDataFrame([(i, t, b"d") for i, t in rows], "doc_id long, text string, digest binary")
-    store = media.write_chunks(df, "media_test", buckets=3)
-    lists = media.chunk_lists(df)
+    lists = media.chunk(df, f"file://{tmp_path}/a")
+    store = media.write_chunks(spark, f"file://{tmp_path}/a", "media_test", buckets=3)
     got = {r["media_key"]: r["media"] for r in media.rebuild(lists, store).collect()}
     for r in lists.collect():
         text = dict(rows)[r["doc_id"]] or ""
         assert got[r["media_key"]] == media.media_of(text.encode())
     stored, sent = store.agg(F.sum("size")).first()[0], sum(len(media.media_of((t or "").encode())) for _, t in rows)
     assert stored < 0.5 * sent  # shifted copies share their chunks
-    assert media.write_chunks(df, "media_more", existing=store, buckets=3).count() == 0
-    assert media.chunk_lists(df.limit(0)).count() == 0
+    media.chunk(df, f"file://{tmp_path}/b")
+    assert media.write_chunks(spark, f"file://{tmp_path}/b", "media_more", existing=store, buckets=3).count() == 0
+    assert media.chunk(df.limit(0), f"file://{tmp_path}/c").count() == 0
     for t in ("media_test", "media_more"):
         spark.sql(f"drop table {t}")
 
@@ -463,12 +562,19 @@ def test_media_query(spark):
     for r in rows:
         b = texts[r["doc_id"]].encode()
         p = b + b" " * (-len(b) % 192 if b else 192)
+        wav = b"RIFF" + (36 + len(p)).to_bytes(4, "little") + b"WAVEfmt \x10\0\0\0\x01\0\x01\0\x40\x1f\0\0\x40\x1f\0\0\x01\0\x08\0data" + len(p).to_bytes(4, "little") + p
+        high = [x >= 128 for x in p]
+        feature = f"mean={sum(p) // len(p)};energy={sum(abs(x - 128) for x in p) // len(p)};turns={sum(x != y for x, y in zip(high, high[1:], strict=False))};peak={max(p)}"
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dup", "repeats", "pii", "packing"]
-    out = corpus_pipeline.run(spark, DATA).collect()
-    assert out and sum(r["n_tokens"] for r in out) > 0
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(wav), hashlib.sha256(wav).hexdigest(), feature)
+
+
+def test_chunks_end_where_brute_force_ends_them():
+    data = np.random.default_rng(8).integers(0, 256, 150_000).astype("u1").tobytes()
+    ends, last, h = [], 0, 0
+    for n, x in enumerate(data, 1):  # the hash of the last 32 bytes, a byte at a time
+        h = (h << 1) + int(media.GEAR[x]) & 0xFFFFFFFF
+        if n - last == media.MOST or n - last >= media.LEAST and h >> (32 - media.ZEROS) == 0:
+            ends.append(n)
+            last = n
+    assert media.cut(data) == ends + [len(data)] * (ends[-1] != len(data))
