@@ -39,7 +39,7 @@ from .common import like, table, total, utf8, with_least
 from .shingles import mixed, seeds
 
 LENGTH, K = 50, 16
-BLOCK, HOT = 1 << 22, 4096
+BLOCK, HOT = 1 << 22, 20_000
 #: Bits of a destination that a round deals by, and bytes that a row of a later round gathers.
 FAN_BITS, GATHER = 9, 1 << 23
 #: Bytes that a bucket gathers, of hashes and of stretches.
