@@ -1,6 +1,6 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import harmonic, licences, media, near_dup, packing, pieces, pii, quality, repeats, vectors, warc
+from . import harmonic, licences, media, near_dup, packing, pieces, pii, quality, repeats, runs, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_pieces": pieces.op9_pieces,
     "op10_media": media.op10_media,
+    "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_harmonic": harmonic.op12_harmonic,
 }
 
