@@ -1,6 +1,6 @@
 """Queries of this package, and SQL that gives the same rows where SQL can express them."""
 
-from . import harmonic, licences, media, near_dup, packing, pieces, pii, quality, repeats, runs, vectors, warc
+from . import harmonic, licences, media, near_dup, packing, pieces, pii, quality, repeats, runs, turns, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_media": media.op10_media,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_harmonic": harmonic.op12_harmonic,
+    "op13_turns": turns.op13_turns,
 }
 
 ORACLE_SQL = {
