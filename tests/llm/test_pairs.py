@@ -88,6 +88,33 @@ def test_near_duplicates_of_no_rows(spark):
     assert [(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).orderBy("doc_id").collect()] == [(None, None), (1, 1)]
 
 
+def repeated_ids(rng):
+    """Ids that repeat over different texts, whose near copies have ids of their own."""
+    docs = []
+    for k in range(12):
+        a, b = words(rng, 300), words(rng, rng.choice([200, 300]))
+        near = [list(a), list(b)]
+        for w in near:
+            w[rng.randrange(len(w))] = "changed"
+        docs += [(10 * k, " ".join(a)), (10 * k, " ".join(b)), (10 * k + 1, " ".join(near[0])), (10 * k + 2, " ".join(near[1]))]
+        docs += rng.choice([[], [(10 * k, None), (10 * k, " ".join(a))], [(10 * k + 3, " ".join(b)), (10 * k + 3, "two words")], [(10 * k + 4, "two words")]])
+    return docs
+
+
+@pytest.mark.parametrize("shift", [0, (1 << 63) - 120, -(1 << 63)])
+def test_near_duplicates_where_ids_repeat_over_different_texts(spark, shift):
+    docs = [(i + shift, t) for i, t in repeated_ids(random.Random(9))]
+    docs.append((-7 if shift <= 0 else 7, "other text"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = [(i, shingles(t)) for i, t in docs]
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    want = roots(sorted({i for i, _ in docs}), links)
+    most = {i: max(len(x) for j, x in sets if j == i) for i in want}
+    got = {r["doc_id"]: r for r in near_dup.near_duplicates(df).collect()}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (most[i], want[i], want[i] == i) for i in want}
+    assert len(got) < len(docs) and len(set(want.values())) > 5
+
+
 def test_near_duplicates_of_the_documents(spark):
     t = pq.read_table(f"{DATA}/documents.parquet")
     check_near(spark, list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True)))

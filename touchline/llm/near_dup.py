@@ -13,8 +13,11 @@ first common shingle early in both sets. So every pair that shares a region is c
 Pairs are confirmed on their full sets; nothing but confirmed pairs is linked. Texts with equal sets are one class and
 are compared once.
 
+What is compared are units: a document is one, and where rows repeat a doc_id with different sets, each of these is one
+under a number that no document has, with links to the others of that doc_id.
+
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows that repeat a doc_id count as
-one document with the union of their classes; a row with a null doc_id is given back by itself, kept and without a
+one document with the links of all its texts; a row with a null doc_id is given back by itself, kept and without a
 component, as nothing can be linked with it by name; an empty table gives no rows. Only the id and the text are read, so
 other columns can't clash.
 """
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.lineage import workspace, written
+from touchline.operators.resample import numbered
 
 from .common import batches, components, table, utf8, with_least
 from .shingles import mixed, seeds, shingle_sets
@@ -83,6 +87,11 @@ def signature(shingles: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    """What texts with equal sets have in common; nothing for texts without shingles."""
+    return hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None
+
+
 def _signed(percent: int):
     def run(it):
         k = shape(percent).values
@@ -90,7 +99,7 @@ def _signed(percent: int):
             rows = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 sig = signature(s, k).astype(">u4").tobytes() if len(s) else None
-                rows.append((doc, len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None, sig))
+                rows.append((doc, len(s), _digest(s), sig))
             if rows:
                 yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _SIG, strict=True)], schema=_SIG)
 
@@ -179,14 +188,14 @@ def neighbour_pairs(rows: DataFrame, least: int) -> DataFrame:
     return got.filter("part is null").select("a", "b").union(before.join(after, ["part", "edge"]).select("x", "y"))
 
 
-_SETS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("items", pa.binary())])
 
 
 def _sets(it):
     for batch in it:
         rows, held = [], 0
         for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-            rows.append((doc, len(s), s.tobytes()))
+            rows.append((doc, _digest(s), len(s), s.tobytes()))
             held += s.nbytes
             if held > 1 << 23:
                 yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _SETS, strict=True)], schema=_SETS)
@@ -275,6 +284,21 @@ def dense_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _split(sigs: DataFrame, name: str) -> DataFrame:
+    """(doc_id, digest, unit) of those documents that have several sets: numbers from the end of the ids on that is free."""
+    odd = sigs.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
+    odd = numbered(sigs.select("doc_id", "digest").join(odd, "doc_id").distinct(), "doc_id", "digest")
+    low, high, n = sigs.agg(F.min("doc_id"), F.max("doc_id")).crossJoin(odd.agg(F.count("*"))).first()
+    unit = F.lit(0).cast("long")
+    if n and high + n < 1 << 63:
+        unit = F.col("i") + (high + 1)
+    elif n and low - n >= -(1 << 63):
+        unit = F.lit(low - 1) - F.col("i")
+    elif n:
+        raise ValueError("the ids leave no numbers free")
+    return written(sigs.sparkSession, odd.select("doc_id", "digest", unit.alias("unit")), name)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document; see the module's text."""
     with workspace(docs.sparkSession):
@@ -285,18 +309,26 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str)
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), utf8(text_col).alias("bytes"))
     every = written(spark, texts.mapInArrow(_signed(percent), SIG), "forest-sig")
-    sigs, texts = every.filter("doc_id is not null"), texts.filter("doc_id is not null")
-    members = with_least(sigs.filter("n > 0").select("digest", "doc_id"), "digest", "doc_id").filter("least <> doc_id")
-    members = written(spark, members.select(F.col("least").alias("a"), F.col("doc_id").alias("b")), "forest-members")
-    reps = sigs.filter("n > 0").join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    texts = texts.filter("doc_id is not null")
+    sigs = every.filter("doc_id is not null and n > 0")
+    split = _split(sigs, "forest-split")
+    unit = F.coalesce("unit", "doc_id").alias("unit")
+    named = sigs.select("doc_id", "digest").join(split, ["doc_id", "digest"], "left").select("digest", unit)
+    members = with_least(named.distinct(), "digest", "unit").filter("least <> unit")
+    members = written(spark, members.select(F.col("least").alias("a"), F.col("unit").alias("b")), "forest-members")
+    plain = sigs.join(split.select("doc_id"), "doc_id", "left_anti").select("doc_id", "sig")
+    units = plain.union(sigs.join(split, ["doc_id", "digest"]).select("unit", "sig"))
+    reps = units.join(members.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.first("sig").alias("sig"))
 
     keys = written(spark, reps.select("doc_id", "sig").mapInArrow(_first_keys(percent), "k long, doc long"), "forest-keys")
     dense = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     live = written(spark, keys.join(dense, "k").groupBy("doc").agg(F.sum("n").alias("score")), "forest-live")
     rows = reps.join(live.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "sig", "score").mapInArrow(_paths(percent), _PATHS)
     rows = written(spark, rows, "forest-paths")
-    sets = texts.join(live.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bytes").mapInArrow(_sets, "doc long, n long, items binary")
-    sets = written(spark, sets.groupBy("doc").agg(F.max_by("n", "n").alias("n"), F.max_by("items", "n").alias("items")), "forest-sets")
+    wanted = live.select(F.col("doc").alias("unit")).join(split.select("unit", F.col("doc_id").alias("of")), "unit", "left").select(F.coalesce("of", "unit").alias("doc_id"))
+    sets = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "bytes").mapInArrow(_sets, "doc_id long, digest binary, n long, items binary").filter("n > 0")
+    sets = sets.groupBy("doc_id", "digest").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    sets = written(spark, sets.join(split, ["doc_id", "digest"], "left").select(unit.alias("doc"), "n", "items"), "forest-sets")
 
     def pivots(k: str) -> DataFrame:
         best = rows.groupBy(k).agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("b"), F.count("*").alias("n"))
@@ -319,8 +351,13 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str)
     held = written(spark, held.join(mixed_up, "k").select("doc", "g").distinct(), "forest-held")
     far = written(spark, confirmed(dense_pairs(sets.join(held, "doc").select("doc", "g", "n", "items"), percent), sets, percent), "forest-far")
 
-    found = components(spark, members.union(links).union(far)).withColumnRenamed("id", "doc_id")
-    each = sigs.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
+    # texts of one doc_id are linked, and a component has the smallest of its documents, not of its units
+    together = split.join(split.groupBy("doc_id").agg(F.min("unit").alias("a")), "doc_id").select("a", F.col("unit").alias("b"))
+    found = written(spark, components(spark, members.union(links).union(far).union(together)), "forest-found")
+    ids = found.join(split.select("unit", "doc_id"), found["id"] == split["unit"], "left").select("component", F.coalesce("doc_id", "id").alias("doc_id"), F.col("doc_id").isNotNull().alias("odd"))
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("least"), F.max("odd").alias("odd")).filter("odd").select("component", "least")
+    found = ids.join(least, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component")).distinct()
+    each = every.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = each.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     nameless = every.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
