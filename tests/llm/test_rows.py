@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -578,3 +579,13 @@ def test_chunks_end_where_brute_force_ends_them():
             ends.append(n)
             last = n
     assert media.cut(data) == ends + [len(data)] * (ends[-1] != len(data))
+
+
+@pytest.mark.parametrize("unit", ["eyJaaaaaaa-", "-eyJ" * 250 + ".eyJ" + "a" * 32000 + " ", "ghp_", "sk-", "xoxb-", "github_pat_", "AKIA", "password=", "token: "])
+def test_work_on_a_hostile_text_grows_with_its_length(spark, unit):
+    text = unit * (1_000_000 // len(unit) + 1)
+    began = time.perf_counter()
+    pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).select(F.sha2("text", 256)).collect()
+    assert time.perf_counter() - began < 30  # far more than it takes; from each beginning to the end of the text would be half an hour
+    pii_of = pii.pseudonymise(spark.createDataFrame([(1, "AWS_SECRET_ACCESS_KEY=abcdef123 x-eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl")], "doc_id long, text string"), KEY).first()
+    assert pii_of["_pii"] == ["secret", "secret"]

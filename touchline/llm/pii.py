@@ -13,7 +13,8 @@ Dates that can only be read month first stay such dates, so no two values share
 
 Defined results: a null text stays null and an empty one empty, both without findings; rows that repeat are treated
 alike; an empty table gives no rows; all other columns stay, whatever their names. Work grows in proportion to a text's
-length: no pattern recurs or looks back further than a fixed count of characters.
+length: no pattern recurs, looks back further than a fixed count of characters or, where it can begin at many places of
+one stretch, looks on further than such a count. Secrets behind a keyword end at the first blank, quoted or not.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ ROUNDS = 8
 KEY_SETTING = "spark.touchline.pii.key"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-SECRET = r"(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?"
+SECRET = r"(?i:password|passwd|secret|token|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"']?"
+#: The most characters of a web token's first and second part. A part may begin anew behind each ``-`` of a long stretch
+#: of its characters, so that without a bound each beginning would be followed to the end of the stretch.
+HEADER, PAYLOAD = 1024, 1 << 15
 #: What tokens of known issuers start with and what follows.
-TOKENS = {"AKIA": "[0-9A-Z]{16}", "gh[pousr]_": "[0-9A-Za-z]{30,}+", "github_pat_": "[0-9A-Za-z_]{22,}+", "xox[abprs]-": "[0-9A-Za-z-]{10,}+", "sk-": "[0-9A-Za-z_-]{20,}+", "eyJ": r"[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"}
+TOKENS = {"AKIA": "[0-9A-Z]{16}", "gh[pousr]_": "[0-9A-Za-z]{30,}+", "github_pat_": "[0-9A-Za-z_]{22,}+", "xox[abprs]-": "[0-9A-Za-z-]{10,}+", "sk-": "[0-9A-Za-z_-]{20,}+", "eyJ": rf"[0-9A-Za-z_-]{{8,{HEADER}}}+\.eyJ[0-9A-Za-z_-]{{8,{PAYLOAD}}}+\.[0-9A-Za-z_-]{{8,}}+"}
 _TOKEN = "|".join(f"{a}{b}" for a, b in TOKENS.items())
 #: Lengths of bank account numbers by country, so that one in groups of four ends where it does.
 IBAN_LENGTHS = {
