@@ -1,8 +1,11 @@
 """Ratings by recursion in date order, labels of connected groups, and a seeded tournament.
 
 A rating is a recursion over all matches of the teams that are linked by playing each other. Such pools don't meet, so they
-are worked on side by side: matches are sorted by pool and date, and a stream over them keeps the ratings of one pool and
-nothing of the matches. Competitions of one pool share it, each with its own weight.
+are worked on side by side, and the calendar of a pool is cut into slices of ``SLICE_ROWS`` matches or so, between days,
+that are worked on side by side as well: every slice starts from guessed ratings, what its teams end with is where their
+next slice starts, and slices whose start has moved are run again. A rating forgets where it started, as each result pulls
+both sides to what they are worth, so that a few rounds do; in round k the first k slices are exact whatever they hold, so
+the rounds end. Competitions of one pool share it, each with its own weight.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import col
 
+from .asof import as_of
 from .lineage import cut
 
 BASE, HOME, HALF_LIFE_YEARS = 1500.0, 100.0, 4.0
@@ -77,25 +81,79 @@ def _margin(goals: int) -> float:
 
 RATED = "tournament string, event_id long, match_date date, season int, home string, away string, home_score int, away_score int, diff double, home_rating double, away_rating double"
 _PLAYED = ["tournament", "event_id", "match_date", "season", "home", "away", "home_score", "away_score", "is_neutral"]
-
-
-def _rated(it):
-    pool, r = None, None
-    for batch in it:
-        rows = []
-        for m in batch.itertuples(index=False):
-            if m.pool != pool:
-                pool, r = m.pool, _Ratings(HOME, HALF_LIFE_YEARS)
-            diff = r.play(m, m.k * _margin(m.home_score - m.away_score))
-            rows.append((diff, r.now[m.home], r.now[m.away]))
-        batch[["diff", "home_rating", "away_rating"]] = rows
-        yield batch[[c.split()[0] for c in RATED.split(", ")]]
-
-
-def elo(matches: DataFrame, k: Column | None = None) -> DataFrame:
+#: Matches of a slice, and how far a rating may move without its slice being run again.
+SLICE_ROWS, STILL = 20_000, 1e-9
+_STARTS = "pool string, slice long, team string, rating double, seen date"
+_ENDS = "pool string, slice long, team string, rating double"
+
+
+def with_slice(matches: DataFrame, rows: int) -> DataFrame:
+    """``matches`` with ``slice``: the days of a pool in runs of ``rows`` matches or so. Days are the only rows of a window."""
+    days = matches.groupBy("pool", "match_date").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("pool").orderBy("match_date")) - F.col("_n")
+    return matches.join(days.select("pool", "match_date", F.floor(before / rows).alias("slice")), ["pool", "match_date"])
+
+
+def _over_slice(rule: tuple, play, ends: bool):
+    """Plays the matches of a slice from the ratings of its start; gives back what its teams end with, or rows of ``play``."""
+
+    def run(key, matches: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        r = _Ratings(*rule)
+        r.now = dict(zip(start["team"], start["rating"], strict=True))
+        r.seen = {t: d for t, d in zip(start["team"], start["seen"], strict=True) if isinstance(d, dt.date)}
+        out = play(r, matches.sort_values(["match_date", "event_id"], kind="stable"))
+        return pd.DataFrame({"pool": key[0], "slice": key[1], "team": list(r.now), "rating": list(r.now.values())}) if ends else out
+
+    return run
+
+
+def in_slices(m: DataFrame, rule: tuple, play, schema: str, rows: int | None = None) -> DataFrame:
+    """``play`` over all matches of each pool in date order, slices side by side; ``m`` has ``pool``."""
+    m = cut(with_slice(m, rows or SLICE_ROWS), "rating-slices")
+    by = ["pool", "slice"]
+    teams = m.select(*by, "match_date", F.explode(F.array("home", "away")).alias("team")).groupBy(*by, "team").agg(F.max("match_date").alias("last"))
+    w = Window.partitionBy("pool", "team").orderBy("slice")
+    plays = cut(teams.select(*by, "team", F.lag("last").over(w).alias("seen")), "rating-teams")
+    start = plays.select(*by, "team", F.lit(BASE).alias("rating"), "seen")
+    todo, ends = plays.select(*by).distinct(), None
+    many = plays.agg(F.max("slice")).first()[0]
+    while many:
+        new = m.join(todo, by, "left_semi").groupBy(*by).cogroup(start.join(todo, by, "left_semi").groupBy(*by)).applyInPandas(_over_slice(rule, play, True), _ENDS)
+        ends = cut(new if ends is None else new.union(ends.join(todo, by, "left_anti")), "rating-ends")
+        now = plays.join(ends, [*by, "team"]).select(*by, "team", F.coalesce(F.lag("rating").over(w), F.lit(BASE)).alias("rating"), "seen")
+        now = cut(now, "rating-starts")
+        moved = now.join(start.select(*by, "team", F.col("rating").alias("_was")), [*by, "team"]).filter(F.abs(F.col("rating") - F.col("_was")) > STILL)
+        todo, start = cut(moved.select(*by).distinct(), "rating-todo"), now
+        if todo.isEmpty():
+            break
+    return m.groupBy(*by).cogroup(start.groupBy(*by)).applyInPandas(_over_slice(rule, play, False), schema)
+
+
+def _rated(r: _Ratings, matches: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    for m in matches.itertuples(index=False):
+        diff = r.play(m, m.k * _margin(m.home_score - m.away_score))
+        rows.append((diff, r.now[m.home], r.now[m.away]))
+    out = matches.copy()
+    out[["diff", "home_rating", "away_rating"]] = np.array(rows).reshape(-1, 3)
+    return out[[c.split()[0] for c in RATED.split(", ")]]
+
+
+def elo(matches: DataFrame, k: Column | None = None, rows: int | None = None) -> DataFrame:
     """Each match with the difference before it and both ratings after it; differences fade, and margins count."""
     m = with_pool(matches).select(*_PLAYED, "pool", (k_factor("tournament") if k is None else k).alias("k"))
-    return m.repartition("pool").sortWithinPartitions("pool", "match_date", "event_id").mapInPandas(_rated, RATED)
+    return in_slices(m, (HOME, HALF_LIFE_YEARS), _rated, RATED, rows)
+
+
+def before_each_day(matches: DataFrame, rated: DataFrame) -> DataFrame:
+    """(event_id, home_rating, away_rating) of any matches: what ``elo`` says of both sides before the day, else ``BASE``."""
+    sides = ("home", "away")
+    asked = matches.select("event_id", "match_date", F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("team")) for x in sides])).alias("s")).select("event_id", "match_date", "s.*")
+    known = rated.select("match_date", "event_id", F.explode(F.array(*[F.struct(F.col(x).alias("team"), F.col(f"{x}_rating").alias("rating")) for x in sides])).alias("s"))
+    known = known.select("match_date", "s.*", F.col("event_id").alias("_event"))
+    got = as_of(asked, known, ["team"], "match_date", "match_date", ["rating"], order=["_event"])
+    one = [F.coalesce(F.max(F.when(F.col("side") == x, F.col("rating"))), F.lit(BASE)).alias(f"{x}_rating") for x in sides]
+    return got.groupBy("event_id").agg(*one)
 
 
 def _last(it):
@@ -125,33 +183,23 @@ def snapshots(matches: DataFrame, dates: list[dt.date], years: float = 4.0) -> D
 PLAIN_K, PLAIN_HOME, PLAIN_LEAST = 20.0, 80.0, 200
 
 
-def _plain(it):
+def _plain(r: _Ratings, matches: pd.DataFrame) -> pd.DataFrame:
     """Chances of the home side before each day; matches of one day don't see each other."""
-    pool, day, r, todo = None, None, None, []
-    for batch in it:
-        rows = []
-        for m in batch.itertuples(index=False):
-            if (m.pool, m.match_date) != (pool, day):
-                if m.pool != pool:
-                    r = _Ratings(PLAIN_HOME, None)
-                else:
-                    for x in todo:
-                        r.play(x, PLAIN_K)
-                pool, day, todo = m.pool, m.match_date, []
-            rows.append((m.event_id, m.match_date, r.expected(m.home, m.away, False)[1]))
-            todo.append(m._replace(is_neutral=0))
-        yield pd.DataFrame(rows, columns=["event_id", "match_date", "p"])
-
-
-def plain_baseline(matches: DataFrame, least: int = PLAIN_LEAST) -> DataFrame:
+    rows = []
+    for _, today in matches.groupby("match_date", sort=False):
+        todo = list(today.assign(is_neutral=0).itertuples(index=False))
+        rows += [(m.event_id, m.match_date, r.expected(m.home, m.away, False)[1]) for m in todo]
+        for m in todo:
+            r.play(m, PLAIN_K)
+    return pd.DataFrame(rows, columns=["event_id", "match_date", "p"])
+
+
+def plain_baseline(matches: DataFrame, least: int = PLAIN_LEAST, rows: int | None = None) -> DataFrame:
     """(event_id, home, draw, away): a plain rating and the share of draws, of all matches strictly before the day.
 
     Matches with fewer than ``least`` before them have no row. Draws are counted by running sums over days.
     """
-    from pyspark.sql import Window
-
-    m = with_pool(matches).select(*_PLAYED, "pool")
-    p = m.repartition("pool").sortWithinPartitions("pool", "match_date", "event_id").mapInPandas(_plain, "event_id long, match_date date, p double")
+    p = in_slices(with_pool(matches).select(*_PLAYED, "pool"), (PLAIN_HOME, None), _plain, "event_id long, match_date date, p double", rows)
     days = matches.groupBy("match_date").agg(F.count("*").alias("n"), F.count_if(F.col("home_score") == F.col("away_score")).alias("draws"))
     before = Window.orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("match_date", F.sum("n").over(before).alias("n"), (F.sum("draws").over(before) / F.sum("n").over(before)).alias("d"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key (nulls equal) ``existing`` lacks, one a key."""
-    cond = [new[k].eqNullSafe(existing[k]) for k in keys]
     e = existing.select(*keys).distinct()
     cond = [new[k].eqNullSafe(e[k]) for k in keys]
     return new.join(e, cond, "left_anti").dropDuplicates(keys)

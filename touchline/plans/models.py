@@ -292,10 +292,55 @@ def played(spark, sf) -> DataFrame:
     return fixture(spark, sf, "match").filter("home_score is not null")
 
 
-@query("w11_elo")
+#: The same recursion match by match: both ratings fade, then one side wins what the other loses. Teams are T0 to T19.
+ELO_SQL = (
+    with_fixtures("match")
+    + """, mm as (select row_number() over (order by match_date, event_id) i, *, datediff('day', date '1970-01-01', match_date) d,
+  cast(substr(home, 2) as int) + 1 h, cast(substr(away, 2) as int) + 1 a,
+  case when tournament = '1-URGENT' then 60e0 when tournament = '2-HIGH' then 50e0 when lower(tournament) like '%specified%' then 40e0 else 30e0 end
+  * case when abs(home_score - away_score) <= 1 then 1e0 when abs(home_score - away_score) = 2 then 1.5e0 else 1.75e0 + (abs(home_score - away_score) - 3) / 8e0 end k,
+  case when home_score > away_score then 1e0 when home_score = away_score then 5e-1 else 0e0 end won
+  from fx_match where home_score is not null),
+st as (select cast(0 as bigint) i, cast(null as bigint) event_id, list_transform(range(20), lambda x: 1500e0) rt, list_transform(range(20), lambda x: cast(null as bigint)) seen, cast(null as double) diff, cast(null as double) hr, cast(null as double) ar
+ union all
+ select i, event_id, list_transform(rt, lambda x, j: case when j = h then hr + step when j = a then ar - step else x end), list_transform(seen, lambda x, j: case when j = h or j = a then d else x end), diff, hr + step, ar - step
+ from (select *, k * (won - 1 / (1 + pow(10, -diff / 400))) step from (select *, hr - ar + case when is_neutral = 1 then 0 else 100 end diff
+ from (select mm.*, rt, seen, 1500 + (rt[h] - 1500) * coalesce(pow(0.5, (d - seen[h]) / 365.25 / 4), 1) hr, 1500 + (rt[a] - 1500) * coalesce(pow(0.5, (d - seen[a]) / 365.25 / 4), 1) ar from st join mm on mm.i = st.i + 1)))),
+elo as (select mm.tournament, mm.event_id, mm.match_date, mm.season, mm.home, mm.away, mm.home_score, mm.away_score, st.diff, st.hr home_rating, st.ar away_rating, mm.i from st join mm using (i))"""
+)
+
+
+@query("w11_elo", ELO_SQL + " select tournament, event_id, match_date, season, home, away, home_score, away_score, round(diff, 4) diff, round(home_rating, 4) home_rating, round(away_rating, 4) away_rating from elo")
 def w11(spark, sf):
     """Ratings before and after each match, a recursion in date order over all competitions of a pool of teams."""
-    return ratings.elo(played(spark, sf))
+    return ratings.elo(played(spark, sf)).withColumns({c: F.round(c, 4) for c in ("diff", "home_rating", "away_rating")})
+
+
+@query(
+    "j23_rating_lookup",
+    ELO_SQL
+    + """, known as (select team, match_date, arg_max(rating, i) rating from (select home team, match_date, home_rating rating, i from elo union all select away, match_date, away_rating, i from elo) group by 1, 2)
+ select m.event_id, round(coalesce(h.rating, 1500e0), 4) home_rating, round(coalesce(a.rating, 1500e0), 4) away_rating from fx_match m
+ asof left join known h on h.team = m.home and h.match_date < m.match_date asof left join known a on a.team = m.away and a.match_date < m.match_date""",
+)
+def j23(spark, sf):
+    """Every match, played or not, with the ratings of both sides as they were before its day."""
+    m = fixture(spark, sf, "match")
+    got = ratings.before_each_day(m, ratings.elo(played(spark, sf)))
+    return got.withColumns({c: F.round(c, 4) for c in ("home_rating", "away_rating")})
+
+
+#: The recursion afresh for each first day of a year, over what it is to see.
+SNAPSHOT_SQL = (
+    ELO_SQL.replace("row_number() over (order by match_date, event_id) i, *", "row_number() over (partition by asof_day order by match_date, event_id) i, *")
+    .replace("from fx_match where home_score is not null)", "from (select * from fx_match where home_score is not null) m join (select make_date(y, 1, 1) asof_day from (select unnest(range(min(season) + 1, max(season) + 1)) y from fx_match where home_score is not null)) on match_date < asof_day and match_date >= asof_day - 1461)")
+    .replace("st as (select cast(0 as bigint) i", "st as (select distinct asof_day, cast(0 as bigint) i")
+    .replace("cast(null as double) ar\n union", "cast(null as double) ar from mm\n union")
+    .replace("select i, event_id, list_transform(rt", "select asof_day, i, event_id, list_transform(rt")
+    .replace("on mm.i = st.i + 1", "on mm.asof_day = st.asof_day and mm.i = st.i + 1")
+    .partition(",\nelo as")[0]
+    + ", shot as (select asof_day \"at\", concat('T', t - 1) team, round(rt[t], 4) rating from (select asof_day, arg_max(rt, i) rt, arg_max(seen, i) seen from st group by asof_day), range(1, 21) x(t) where seen[t] is not null)"
+)
 
 
 def snapshot_dates(m: DataFrame) -> list[dt.date]:
@@ -304,20 +349,34 @@ def snapshot_dates(m: DataFrame) -> list[dt.date]:
     return [dt.date(y, 1, 1) for y in range(low + 1, high + 1)] if low else []
 
 
-@query("w12_elo_snapshots")
+@query("w12_elo_snapshots", SNAPSHOT_SQL + " select * from shot")
 def w12(spark, sf):
     """Ratings of every team before each first day of a year, each from the four years before it."""
     m = played(spark, sf)
     return ratings.snapshots(m, snapshot_dates(m)).select("at", "team", F.round("rating", 4).alias("rating"))
 
 
-@query("w13_plain_baseline")
+PLAIN_SQL = (
+    with_fixtures("match")
+    + """, mm as (select row_number() over (order by match_date, event_id) i, *, cast(substr(home, 2) as int) + 1 h, cast(substr(away, 2) as int) + 1 a,
+  case when home_score > away_score then 1e0 when home_score = away_score then 5e-1 else 0e0 end won from fx_match where home_score is not null),
+st as (select cast(0 as bigint) i, cast(null as date) on_day, list_transform(range(20), lambda x: 1500e0) rt, list_transform(range(20), lambda x: 1500e0) morning, cast(null as double) p
+ union all
+ select i, match_date, list_transform(rt, lambda x, j: case when j = h then x + step when j = a then x - step else x end), known, 1 / (1 + pow(10, -(known[h] + 80 - known[a]) / 400))
+ from (select mm.*, rt, 20 * (won - 1 / (1 + pow(10, -(rt[h] + 80 - rt[a]) / 400))) step, case when match_date = on_day then morning else rt end known from st join mm on mm.i = st.i + 1)),
+dd as (select match_date, count(*) n, count(*) filter (where home_score = away_score) x from mm group by 1),
+db as (select match_date, sum(n) over w n, sum(x) over w / sum(n) over w d from dd window w as (order by match_date rows between unbounded preceding and 1 preceding))
+select event_id, round(p * (1 - d), 6) home, round(d, 6) draw, round((1 - p) * (1 - d), 6) away from mm join st using (i) join db using (match_date) where n >= 200"""
+)
+
+
+@query("w13_plain_baseline", PLAIN_SQL)
 def w13(spark, sf):
     """A plain rating without decay or margins, and the share of draws: what other models are held against."""
-    return ratings.plain_baseline(played(spark, sf))
+    return ratings.plain_baseline(played(spark, sf)).select("event_id", *[r6(F.col(c)).alias(c) for c in ("home", "draw", "away")])
 
 
-@query("w14_top_rated")
+@query("w14_top_rated", SNAPSHOT_SQL + " select * from shot order by rating desc, team, \"at\" limit 20")
 def w14(spark, sf):
     return w12(spark, sf).orderBy(F.desc("rating"), "team", "at").limit(20)
 

@@ -79,15 +79,6 @@ def j20(spark, sf):
     return a.join(b, ["event_id", "home", "away"]).agg(F.count("*").alias("pairs"), F.sum(F.col("x") - F.col("y")).alias("diff")).join(F.broadcast(n))
 
 
-@query("j23_rating_lookup", M + ", d as (select home team, season + 1 season, round(1500 + avg(home_score - away_score) * 100, 6) rating from fx_match where home_score is not null group by 1, 2) select event_id, coalesce(h.rating, 1500e0) home_rating, coalesce(a.rating, 1500e0) away_rating from fx_match m left join d h on h.team = m.home and h.season = m.season left join d a on a.team = m.away and a.season = m.season")
-def j23(spark, sf):
-    m = fixture(spark, sf, "match")
-    d = m.filter("home_score is not null").groupBy(F.col("home").alias("team"), (F.col("season") + 1).alias("season")).agg(r6(1500 + F.avg(F.col("home_score") - F.col("away_score")) * 100).alias("rating"))
-    for side in ("home", "away"):
-        m = m.join(d.withColumnsRenamed({"team": side, "rating": f"{side}_rating"}), [side, "season"], "left")
-    return m.select("event_id", *[F.coalesce(f"{s}_rating", F.lit(1500.0)).alias(f"{s}_rating") for s in ("home", "away")])
-
-
 @query("a08_bet_log", B + f" select line_no > 3 validated, count(*) n, round(sum({PNL}) / count(*), 6) roi, round(avg(case when bet_at = 'open' then odd * model_prob - 1 end), 6) clv from fx_bet group by 1")
 def a08(spark, sf):
     clv = F.when(F.col("bet_at") == "open", F.col("odd") * F.col("model_prob") - 1)
