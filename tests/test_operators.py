@@ -356,3 +356,28 @@ def test_bad_json_lines_are_left_out_or_fail(spark):
     assert [r["a"] for r in feeds.json_lines(df, "a long").collect()] == [1]
     with pytest.raises(Exception):  # noqa: B017
         feeds.json_lines(df, "a long", strict=True).collect()
+
+
+def test_xg_fit_is_at_the_maximum_of_its_likelihood():
+    rng = np.random.default_rng(17)
+    names = [f"t{k}" for k in range(5)]
+    cells = pd.DataFrame([(a, b, int(h), int(x)) for a in names for b in names if a != b for h, x in rng.poisson((1.6, 1.2), (60, 2))], columns=["home", "away", "hs", "aws"])
+    cells = cells.groupby(["home", "away", "hs", "aws"], as_index=False).size().rename(columns={"size": "w"}).assign(fold=1)
+    cells["gh"], cells["ga"] = cells["w"] * (cells["hs"] + 0.1), cells["w"] * cells["aws"]
+    got = fit._fit_xg(cells)
+    p = got.set_index("team")
+
+    def nll(attack=0.0, base=0.0, edge=0.0, alpha=None, rho=None):
+        up = p["attack"] + np.where(p.index == "t1", attack, 0)
+        x = np.exp(p["base"].iloc[0] + base + p["home_edge"].iloc[0] + edge + cells["home"].map(up) - cells["away"].map(p["defence"]))
+        y = np.exp(p["base"].iloc[0] + base + cells["away"].map(up) - cells["home"].map(p["defence"]))
+        if alpha is None and rho is None:
+            return float((cells["w"] * (x + y) - cells["gh"] * np.log(x) - cells["ga"] * np.log(y)).sum() + fit.XG_RIDGE * (up**2).sum())
+        h, a, x, y = (v.to_numpy() for v in (cells["hs"], cells["aws"], x, y))
+        return -float((cells["w"] * (fit.nb_log(h, x, alpha) + fit.nb_log(a, y, alpha) + np.log(fit.low_scores(h, a, x, y, rho)))).sum())
+
+    for step in ({"attack": 1e-3}, {"base": 1e-3}, {"edge": 1e-3}):
+        assert nll() <= min(nll(**step), nll(**{k: -v for k, v in step.items()}))
+    alpha, rho = got["alpha"][0], got["rho"][0]
+    best = min((nll(alpha=a, rho=r), a, r) for a in np.exp(np.linspace(*np.log(fit.ALPHA_RANGE), 60)) for r in np.linspace(-0.3, 0.3, 61))
+    assert nll(alpha=alpha, rho=rho) <= best[0] + 1e-6 and rho == pytest.approx(best[2], abs=0.011)
