@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators import ledger, lineage
 from touchline.sources import feeds
 from touchline.sources.fixtures import fixture, with_fixtures
 from touchline.streaming import jobs
@@ -90,22 +94,30 @@ def s18b(spark, sf):
 
 @query("s28_manifest")
 def s28(spark, sf):
-    """Name, size and digest of every file, for write-once stores and their verification.
+    """Name, size and digest of every file, for write-once stores and their verification."""
+    return ledger.digests(spark, sf)
+
 
-    A file is one row, of 2 GB at most, as Spark's reader of binary files has it.
-    """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf)
-    return f.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+def new_ledger(spark, name: str, df, keys: list[str]) -> ledger.Ledger:
+    """An empty ledger in the scratch folder for rows like those of ``df``; it goes when the driver ends."""
+    path = lineage.scratch(spark, name)
+    lineage.removed_at_exit(spark, path)
+    return ledger.Ledger(spark, path, df.schema, keys)
 
 
-@query("s28_verification", "select cast(0 as bigint) changed, cast(0 as bigint) missing, cast(0 as bigint) added, cast(0 as bigint) twice")
+@query("s28_verification", with_fixtures("quote") + """, n as (select count(*) filter (where quote_id % 2 = 0) a, count(*) n from fx_quote)
+select unnest([1, 2, 3]) "version", unnest([a, n - a, 0]) n_new, unnest([a, n, n]) n_rows, cast(0 as bigint) changed, cast(0 as bigint) missing, cast(0 as bigint) added, cast(0 as bigint) twice from n""")
 def s28b(spark, sf):
-    """What of a write-once store no longer is as its manifest says: here two readings of the same files."""
-    then, now = s28(spark, sf), s28(spark, sf).withColumnsRenamed({"length": "length_now", "sha256": "sha256_now"})
-    j = then.join(now, "name", "full")
-    changed = F.col("sha256").isNotNull() & F.col("sha256_now").isNotNull() & (F.col("sha256") != F.col("sha256_now"))
-    twice = then.groupBy("name").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice"))
-    return j.agg(F.count_if(changed).alias("changed"), F.count_if(F.col("sha256_now").isNull()).alias("missing"), F.count_if(F.col("sha256").isNull()).alias("added")).join(F.broadcast(twice))
+    """A ledger of quotes after three appends: every second quote, all, all again; and what no longer is as recorded."""
+    q = fixture(spark, sf, "quote").select("quote_id", "match_id", "book", "selection", "odd")
+    store = new_ledger(spark, "quotes", q, ["quote_id"])
+    out = []
+    for rows in (q.filter("quote_id % 2 = 0"), q, q):
+        n = store.append(rows)
+        v = store.versions()[-1]
+        numbers = store.read(v).agg(F.lit(v).alias("version"), F.lit(n).cast("long").alias("n_new"), F.count("*").alias("n_rows"))
+        out.append(numbers.join(F.broadcast(store.verified(v))))
+    return reduce(DataFrame.union, out)
 
 
 #: A match is a user's hour; rows of even ids are its home side.

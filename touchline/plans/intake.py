@@ -12,6 +12,7 @@ from touchline.sources import feeds
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
+from .feeds import new_ledger
 from .models import MEANS, MN, means, priced
 
 M, Q, B, S, O, P = (with_fixtures(n) for n in ("match", "quote", "bet", "stat", "obs", "price"))  # noqa: E741
@@ -242,27 +243,49 @@ def r08_deltas(spark, sf):
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start_at"), "n", "breaches", "most_published", "p50", "p95")
 
 
-@query("q10_shadow_funnel", with_fixtures("match", "quote") + """, f as (select match_id, match_id % 20 team, max(kickoff_at) ko from fx_quote group by 1, 2), mk as (select match_id, 45e-2 + (match_id % 10) / 1e2 p_over from f),
+def _picks_sql(hours: int) -> str:
+    """Picks on the prices that were there so many hours ahead."""
+    return f"""(select match_id, sel, odd, odd_open, prob from (select t.*, case when sel = 'over' then p_over else 1 - p_over end prob from
+  (select match_id, sel, arg_max(odd, (captured_at, quote_id)) odd, arg_min(odd, (captured_at, quote_id)) odd_open from q where captured_at < kickoff_at - interval '{hours}' hour group by 1, 2) t
+  join mk using (match_id)) where odd > 1 and prob - 1 / odd > 2e-2 and prob - 1 / odd <= 15e-2)"""
+
+
+@query(
+    "q10_shadow_funnel",
+    with_fixtures("match", "quote")
+    + f""", f as (select match_id, max(kickoff_at) ko from fx_quote group by 1), mk as (select match_id, 45e-2 + (match_id % 10) / 1e2 p_over from f),
 q as (select *, case when selection = 'home' then 'over' when selection = 'away' then 'under' end sel from fx_quote where book = 'click' and captured_at < kickoff_at and selection <> 'draw'),
-t as (select match_id, sel, arg_max(odd, (captured_at, quote_id)) odd, arg_min(odd, (captured_at, quote_id)) odd_open from q where captured_at < kickoff_at - interval '24' hour group by 1, 2), c as (select match_id, sel, arg_max(odd, (captured_at, quote_id)) close from q group by 1, 2),
-pk as (select t.*, case when sel = 'over' then p_over else 1 - p_over end prob from t join mk using (match_id)), e as (select * from pk where odd > 1 and prob - 1 / odd > 2e-2 and prob - 1 / odd <= 15e-2)
-select e.match_id, e.sel selection, round(odd, 3) odd, round(odd_open, 3) odd_open, round(prob - 1 / odd, 4) edge, round(a.close, 3) close_odd, case when z.close is null or a.close is null then null else round(odd * (1 / a.close) / (1 / a.close + 1 / z.close) - 1, 4) end clv from e left join c a on a.match_id = e.match_id and a.sel = e.sel left join c z on z.match_id = e.match_id and z.sel <> e.sel""")
+c as (select match_id, sel, arg_max(odd, (captured_at, quote_id)) close from q group by 1, 2),
+p1 as {_picks_sql(48)}, p2 as {_picks_sql(24)},
+e as (select *, 1 run from p1 union all select *, 2 from p2 where not exists (select 1 from p1 where p1.match_id = p2.match_id and p1.sel = p2.sel))
+select e.run, e.match_id, e.sel selection, round(odd, 3) odd, round(odd_open, 3) odd_open, round(prob - 1 / odd, 4) edge, round(a.close, 3) close_odd,
+ case when z.close is null or a.close is null then null else round(odd * (1 / a.close) / (1 / a.close + 1 / z.close) - 1, 4) end clv
+from e left join c a on a.match_id = e.match_id and a.sel = e.sel left join c z on z.match_id = e.match_id and z.sel <> e.sel""",
+)
 def q10(spark, sf):
-    """Picks on one named book's prices a day ahead, not taken before, and how that book closed on them."""
+    """Picks on one named book's prices, two days ahead and one, and how that book closed on them.
+
+    Both runs write to one ledger: what the first has taken, the second doesn't take again at another price.
+    """
     q = fixture(spark, sf, "quote").filter("book = 'click' and captured_at < kickoff_at and selection <> 'draw'").withColumn("selection", F.when(F.col("selection") == "home", "over").otherwise("under"))
     key, order = ["match_id", "selection"], ["captured_at", "quote_id"]
-    early = F.col("captured_at") < F.col("kickoff_at") - F.expr("interval '24' hour")
-    now = asof.latest(q, key, ["odd"], order, early).select(*key, "odd")
-    first = asof.latest(q, key, ["odd"], order, early, earliest=True).select(*key, F.col("odd").alias("odd_open"))
-    close = asof.latest(q, key, ["odd"], order).select(*key, F.col("odd").alias("close_odd"))
     over = 0.45 + (F.col("match_id") % 10) / 100
-    picks = now.join(first, key).withColumn("prob", F.when(F.col("selection") == "over", over).otherwise(1 - over)).filter((F.col("odd") > 1) & o.has_edge("prob", "odd"))
-    # a pick that the ledger holds already isn't taken again
-    picks = store.append_new(picks.filter("false").select("match_id", "selection"), picks, key)
+
+    def picks(run: int, hours: int):
+        early = F.col("captured_at") < F.col("kickoff_at") - F.expr(f"interval '{hours}' hour")
+        now = asof.latest(q, key, ["odd"], order, early).select(*key, "odd")
+        first = asof.latest(q, key, ["odd"], order, early, earliest=True).select(*key, F.col("odd").alias("odd_open"))
+        p = now.join(first, key).withColumn("prob", F.when(F.col("selection") == "over", over).otherwise(1 - over))
+        return p.filter((F.col("odd") > 1) & o.has_edge("prob", "odd")).withColumn("run", F.lit(run))
+
+    taken = new_ledger(spark, "shadow", picks(1, 48), key)
+    for run, hours in ((1, 48), (2, 24)):
+        taken.append(picks(run, hours))
+    close = asof.latest(q, key, ["odd"], order).select(*key, F.col("odd").alias("close_odd"))
     other = close.select("match_id", F.when(F.col("selection") == "over", "under").otherwise("over").alias("selection"), F.col("close_odd").alias("other"))
-    x = picks.join(close, key, "left").join(other, key, "left")
+    x = taken.read().join(close, key, "left").join(other, key, "left")
     fair = (1 / F.col("close_odd")) / (1 / F.col("close_odd") + 1 / F.col("other"))
-    return x.select("match_id", "selection", F.round("odd", 3).alias("odd"), F.round("odd_open", 3).alias("odd_open"), F.round(o.edge("prob", "odd"), 4).alias("edge"), F.round("close_odd", 3).alias("close_odd"), F.round(F.col("odd") * fair - 1, 4).alias("clv"))
+    return x.select("run", "match_id", "selection", F.round("odd", 3).alias("odd"), F.round("odd_open", 3).alias("odd_open"), F.round(o.edge("prob", "odd"), 4).alias("edge"), F.round("close_odd", 3).alias("close_odd"), F.round(F.col("odd") * fair - 1, 4).alias("clv"))
 
 
 @query("q21_collection", Q + """, v as (select * from fx_quote where captured_at < kickoff_at and odd > 1 and odd < 1000 and quote_id % 2 = 0), k as (select match_id || '|' || book || '|1x2|' || selection entity, captured_at, odd, quote_id from v)
@@ -275,8 +298,10 @@ def q21(spark, sf):
     ids = fixture(spark, sf, "quote").select(F.col("quote_id").alias("event_id"), "match_id")
     rows = got.join(ids, "event_id")
     obs = rows.select(F.concat_ws("|", "match_id", "book", "market", "selection").alias("entity"), F.col("captured_at").alias("published_at"), F.col("event_id").alias("seq"), "odd")
-    obs = store.append_new(obs.filter("false"), obs, ["entity", "published_at", "seq"])
-    return obs.groupBy("entity").agg(F.count("*").alias("versions"), F.max_by("odd", F.struct("published_at", "seq")).alias("odd"), F.max("published_at").alias("published_at"))
+    known = new_ledger(spark, "collection", obs, ["entity", "published_at", "seq"])
+    for part in (obs.filter("seq % 3 > 0"), obs):  # a collection that was broken off is run again over everything
+        known.append(part)
+    return known.read().groupBy("entity").agg(F.count("*").alias("versions"), F.max_by("odd", F.struct("published_at", "seq")).alias("odd"), F.max("published_at").alias("published_at"))
 
 
 FEATURES = ("stat_A", "stat_N", "stat_R")

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from touchline.functions import grid as g
 from touchline.functions import odds as o
+from touchline.functions import special
 from touchline.operators import asof, fit, ratings, resample
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
+from .feeds import new_ledger
 from .relational import COMPLETE, closing_books
 
 M, Q, B, S, O, P = (with_fixtures(n) for n in ("match", "quote", "bet", "stat", "obs", "price"))  # noqa: E741
@@ -126,11 +128,26 @@ def m10(spark, sf):
     return df.select("event_id", r6(0.7 * win(nb) + 0.3 * win(po)).alias("win"))
 
 
-@query("m12_count_over", M + ", " + MEANS + f" select event_id, round(1 - sum({POISSON.replace('ln(m)', 'ln(lam + mu)').replace('- m -', '- (lam + mu) -')}), 6) p_over from e, range(10) t(k) group by 1, lam, mu")
+LINES = [k + 0.5 for k in range(10)]
+
+
+@query(
+    "m12_count_over",
+    M + ", " + MEANS + f""", t as (select event_id, lam + mu m, k, {NB} nb, {POISSON} po from (select *, lam + mu m from e), range(10) x(k))
+select event_id, k + 5e-1 line, round(1 - sum(nb) over w, 6) p_over, round(sum(nb) over w, 6) p_under, round(1 - sum(po) over w, 6) p_over_poisson from t window w as (partition by event_id order by k)""",
+)
 def m12(spark, sf):
-    """Events over 9.5 with a Poisson total."""
-    under = F.aggregate(g.poisson_pmf(F.col("lam") + F.col("mu"), 9), F.lit(0.0), lambda a, x: a + x)
-    return means(spark, sf).select("event_id", r6(1 - under).alias("p_over"))
+    """Events over and under the half lines up to 9.5, with a negative binomial total and with a Poisson one.
+
+    The tail of the highest line is an incomplete beta function; below, each count between two lines is added to it.
+    """
+    d = means(spark, sf).select("event_id", (F.col("lam") + F.col("mu")).alias("m"))
+    d = d.withColumns({"po": g.poisson_pmf("m", 9), "nb": g.nb_pmf("m", ALPHA, 9), "top": special.count_over("m", F.lit(ALPHA), F.lit(9.5))})
+    d = d.select("*", F.posexplode(F.array(*map(F.lit, LINES))).alias("k", "line"))
+    total = lambda a, x: a + x
+    over = F.aggregate(F.slice("nb", F.col("k") + 2, 10), F.col("top"), total)
+    poisson = 1 - F.aggregate(F.slice("po", F.lit(1), F.col("k") + 1), F.lit(0.0), total)
+    return d.select("event_id", "line", r6(over).alias("p_over"), r6(1 - over).alias("p_under"), r6(poisson).alias("p_over_poisson"))
 
 
 @query("t01_top_scores", MN + " select event_id, i, j, r rank_no from (select *, row_number() over (partition by event_id order by round(p, 12) desc, i, j) r from gr) where r <= 5")
@@ -250,18 +267,38 @@ def q06(spark, sf):
     return w.groupBy("match_id").agg(F.count("*").alias("books"), F.max("h").alias("best"), r6(F.median("p")).alias("fair"), r6(F.stddev_pop("p")).alias("spread"), r6(F.log1p(F.count("*"))).alias("log_books"))
 
 
-@query("q08_emit", Q + """, c as (select match_id, book, selection, odd, quote_id, """ + MODEL + """ * odd - 1 ev from fx_quote where captured_at >= kickoff_at - interval '720' minute and captured_at < kickoff_at and book in ('view', 'click')),
-f as (select distinct match_id from fx_quote), b as (select * from (select *, row_number() over (partition by match_id order by ev desc, quote_id) n from c where ev > 2e-2) where n = 1)
-select f.match_id, case when c.match_id is null then 'NO_EXECUTABLE_QUOTE' when b.match_id is null then 'NO_SELECTION' else 'EMITTED' end status, b.book, b.selection, b.odd from f left join (select distinct match_id from c) c using (match_id) left join b using (match_id)""")
+def _emit_sql(start: int, end: int) -> str:
+    """The candidates of a window of minutes before kick-off, and the best of each match."""
+    return f"""(select match_id, book, selection, odd, quote_id, {MODEL} * odd - 1 ev from fx_quote where captured_at >= kickoff_at - interval '{start}' minute and captured_at < kickoff_at - interval '{end}' minute and book in ('view', 'click'))"""
+
+
+@query(
+    "q08_emit",
+    Q
+    + f""", c1 as {_emit_sql(1440, 720)}, c2 as {_emit_sql(720, 0)}, f as (select distinct match_id from fx_quote),
+b1 as (select * from (select *, row_number() over (partition by match_id order by ev desc, quote_id) n from c1 where ev > 2e-2) where n = 1),
+b2 as (select * from (select *, row_number() over (partition by match_id order by ev desc, quote_id) n from c2 where ev > 2e-2) where n = 1)
+select f.match_id, case when b1.match_id is not null then 'ALREADY_DECIDED' when c.match_id is null then 'NO_EXECUTABLE_QUOTE' when b2.match_id is null then 'NO_SELECTION' else 'EMITTED' end status,
+ coalesce(b1.book, b2.book) book, coalesce(b1.selection, b2.selection) selection, coalesce(b1.odd, b2.odd) odd
+from f left join (select distinct match_id from c2) c using (match_id) left join b1 using (match_id) left join b2 using (match_id)""",
+)
 def q08(spark, sf):
+    """Decisions of the last twelve hours; what the twelve hours before have decided stays as it is in the ledger."""
     q = fixture(spark, sf, "quote")
     prob = F.when(F.col("selection") == "home", 0.42).when(F.col("selection") == "draw", 0.28).otherwise(0.3)
-    c = q.filter("captured_at >= kickoff_at - interval '720' minute and captured_at < kickoff_at and book in ('view', 'click')").withColumn("ev", o.expected_value(prob, "odd"))
-    w = Window.partitionBy("match_id").orderBy(F.desc("ev"), "quote_id")
-    best = c.filter("ev > 2e-2").withColumn("n", F.row_number().over(w)).filter("n = 1").select("match_id", "book", "selection", "odd", F.lit(True).alias("has"))
+
+    def window(start: int, end: int):
+        c = q.filter(f"captured_at >= kickoff_at - interval '{start}' minute and captured_at < kickoff_at - interval '{end}' minute and book in ('view', 'click')").withColumn("ev", o.expected_value(prob, "odd"))
+        c = c.withColumn("first", -F.col("quote_id"))
+        return c, asof.latest(c, ["match_id"], ["book", "selection", "odd"], ["ev", "first"], F.col("ev") > 2e-2).select("match_id", "book", "selection", "odd", F.lit(start).alias("run"))
+
+    decided = new_ledger(spark, "decisions", window(720, 0)[1], ["match_id"])
+    for start, end in ((1440, 720), (720, 0)):
+        c, best = window(start, end)
+        decided.append(best)
     seen = c.select("match_id", F.lit(True).alias("seen")).distinct()
-    f = q.select("match_id").distinct().join(seen, "match_id", "left").join(best, "match_id", "left")
-    status = F.when(F.col("seen").isNull(), "NO_EXECUTABLE_QUOTE").when(F.col("has").isNull(), "NO_SELECTION").otherwise("EMITTED")
+    f = q.select("match_id").distinct().join(seen, "match_id", "left").join(decided.read(), "match_id", "left")
+    status = F.when(F.col("run") == 1440, "ALREADY_DECIDED").when(F.col("run") == 720, "EMITTED").when(F.col("seen").isNull(), "NO_EXECUTABLE_QUOTE").otherwise("NO_SELECTION")
     return f.select("match_id", status.alias("status"), "book", "selection", "odd")
 
 

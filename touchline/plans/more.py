@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from touchline.functions import grid as g
 from touchline.functions import odds as o
+from touchline.functions import special
 from touchline.operators import asof, fit, resample
 from touchline.sources import feeds
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .analytics import MP, PNL, bets, losses
 from .core import query
-from .models import MEANS, MN, MOST, NB, _grid_sql, means, priced
+from .models import ALPHA, MEANS, MN, MOST, NB, RHO, _grid_sql, means, priced
 
 M, Q, B, S, P = (with_fixtures(n) for n in ("match", "quote", "bet", "stat", "price"))
 
@@ -165,6 +166,38 @@ def m27(spark, sf):
     return df.groupBy("slope").agg(F.count("*").alias("n"), r6(F.avg(grid.probability(g.PICKS["win"]))).alias("mean_win"))
 
 
+RHOS, SIGMAS, DRAWS = (-0.2, -0.1, -0.03, 0.0, 0.1), (0, 40, 80, 160), 5
+
+
+@query(
+    "m27_rho_sweep",
+    M + ", x as (select k, rho from (select unnest(range(5)) k, unnest([-2e-1, -1e-1, -3e-2, 0e0, 1e-1]) rho)), b as (select event_id, exp(2e-1 + 3e-1 * d / 400) lam, exp(2e-1 - 3e-1 * d / 400) mu from (select event_id, 100e0 + (event_id * 37 % 401) - 200 d from fx_match)), e as (select event_id * 5 + k event_id, rho, lam, mu from b, x), "
+    + _grid_sql(NB).replace(str(RHO), "rho")
+    + " select rho, count(distinct e.event_id) n, round(sum(case when i = j then p else 0 end) / count(distinct e.event_id), 6) mean_draw, round(sum(case when i + j > 2 then p else 0 end) / count(distinct e.event_id), 6) mean_over25 from gr join e using (event_id) group by 1",
+)
+def m27_rho(spark, sf):
+    """The same fixtures under each dependence of low scores."""
+    d = means(spark, sf).withColumn("rho", F.explode(F.array(*map(F.lit, RHOS))))
+    df, grid = g.with_grid(d, MOST, "rho", alpha=ALPHA)
+    return df.groupBy("rho").agg(F.count("*").alias("n"), r6(F.avg(grid.probability(g.PICKS["draw"]))).alias("mean_draw"), r6(F.avg(grid.probability(g.PICKS["over25"]))).alias("mean_over25"))
+
+
+@query(
+    "m27_noise_sweep",
+    M + f", x as (select k, unnest([0, 40, 80, 160]) sigma from range({DRAWS}) r(k)), d as (select event_id, sigma, k, 100e0 + (event_id * 37 % 401) - 200 + sigma * z d from (select event_id, sigma, k, {special.normal_sql('event_id', 'k')} z from fx_match, x)), e as (select row_number() over (order by event_id, sigma, k) event_id, sigma, exp(2e-1 + 3e-1 * d / 400) lam, exp(2e-1 - 3e-1 * d / 400) mu from d), "
+    + _grid_sql(NB)
+    + ", w as (select event_id, sum(case when i > j then p else 0 end) p from gr group by 1) select sigma, count(*) n, round(avg(p), 6) mean_win, round(stddev_pop(p), 6) spread from w join e using (event_id) group by 1",
+)
+def m27_noise(spark, sf):
+    """Ratings known with an error: each difference is drawn five times around itself, by event and draw."""
+    m = fixture(spark, sf, "match").select("event_id", (100.0 + (F.col("event_id") * 37 % 401) - 200).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k"))
+    m = m.withColumn("z", special.normal("event_id", "k")).withColumn("sigma", F.explode(F.array(*map(F.lit, SIGMAS))))
+    d = F.col("d") + F.col("sigma") * F.col("z")
+    df, grid = priced(m.select("sigma", F.exp(0.2 + 0.3 * d / 400).alias("lam"), F.exp(0.2 - 0.3 * d / 400).alias("mu")))
+    win = grid.probability(g.PICKS["win"])
+    return df.select("sigma", win.alias("p")).groupBy("sigma").agg(F.count("*").alias("n"), r6(F.avg("p")).alias("mean_win"), r6(F.stddev_pop("p")).alias("spread"))
+
+
 def blocks(m: DataFrame, size: int = 190) -> DataFrame:
     """Matches with their block in date order; counts before each day make the order global without one task."""
     days = m.groupBy("match_date").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -201,18 +234,24 @@ def q02(spark, sf):
     return x.groupBy("block", "n_train", r6("gh").alias("home_mean"), r6("ga").alias("away_mean")).agg(F.count("*").alias("n_test"), r6(F.avg(F.abs(F.col("home_score") - F.col("gh")))).alias("error"))
 
 
-@query("q05_count_backtest", S + """, t as (select event_id, sum(value) total from fx_stat where period = 'ALL' and stat_name = 'stat_N' group by 1), r as (select *, row_number() over (order by event_id) i, count(*) over () n from t), c as (select avg(total) m from r where i <= floor(n * 8e-1)),
-p as (select event_id, total, least(9e-1, greatest(1e-1, m / (m + 30))) p_over, 17e-1 + (event_id % 7) / 10e0 o_over, 17e-1 + (event_id % 5) / 10e0 o_under from r, c where i > floor(n * 8e-1))
-select event_id, case when p_over - 1/o_over > 2e-2 then 'over' when 1 - p_over - 1/o_under > 2e-2 then 'under' end pick, case when p_over - 1/o_over > 2e-2 then total > 30 when 1 - p_over - 1/o_under > 2e-2 then total < 30 end won from p""")
+@query(
+    "q05_count_backtest",
+    S + """, t as (select event_id, sum(value) total from fx_stat where period = 'ALL' and stat_name = 'stat_N' group by 1), r as (select *, row_number() over (order by event_id) i, count(*) over () n from t),
+c as (select m, 1 / greatest((q - m * m - m) / (m * m), 1e-6) r from (select avg(total) m, avg(total * total) q from r where i <= floor(n * 8e-1))),
+o as (select 1 - sum(exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(r / (r + m)) + k * ln(m / (r + m)))) p_over from c, range(31) x(k)),
+p as (select event_id, total, p_over, 17e-1 + (event_id % 7) / 10e0 o_over, 17e-1 + (event_id % 5) / 10e0 o_under from r, o where i > floor((select max(n) from r) * 8e-1))
+select event_id, round(p_over, 6) p_over, case when p_over - 1/o_over > 2e-2 then 'over' when 1 - p_over - 1/o_under > 2e-2 then 'under' end pick, case when p_over - 1/o_over > 2e-2 then total > 30 when 1 - p_over - 1/o_under > 2e-2 then total < 30 end won from p""",
+)
 def q05(spark, sf):
-    """Chronological 80/20 split; over is looked at before under."""
+    """Chronological 80/20 split: a negative binomial by moments on the first part; over is looked at before under."""
     t = fixture(spark, sf, "stat").filter("period = 'ALL' and stat_name = 'stat_N'").groupBy("event_id").agg(F.sum("value").alias("total"))
     r = resample.numbered(t, "event_id").withColumn("cut", F.floor(F.col("n") * 0.8))
-    c = r.filter("i < cut").agg(F.avg("total").alias("m"))
-    p = r.filter("i >= cut").join(F.broadcast(c)).withColumn("p", F.least(F.lit(0.9), F.greatest(F.lit(0.1), F.col("m") / (F.col("m") + 30))))
+    c = r.filter("i < cut").agg(F.avg("total").alias("m"), F.avg(F.col("total") * F.col("total")).alias("q"))
+    c = c.select(special.count_over("m", (F.col("q") - F.col("m") * F.col("m") - F.col("m")) / (F.col("m") * F.col("m")), F.lit(30.5)).alias("p"))
+    p = r.filter("i >= cut").join(F.broadcast(c))
     over = o.edge("p", 1.7 + (F.col("event_id") % 7) / 10) > 0.02
     under = o.edge(1 - F.col("p"), 1.7 + (F.col("event_id") % 5) / 10) > 0.02
-    return p.select("event_id", F.when(over, "over").when(under, "under").alias("pick"), F.when(over, F.col("total") > 30).when(under, F.col("total") < 30).alias("won"))
+    return p.select("event_id", r6("p").alias("p_over"), F.when(over, "over").when(under, "under").alias("pick"), F.when(over, F.col("total") > 30).when(under, F.col("total") < 30).alias("won"))
 
 
 @query("q09_settle", Q + """, e as (select match_id, book, selection, arg_min(odd, (captured_at, quote_id)) taken from fx_quote where captured_at < kickoff_at group by 1, 2, 3), c as (select match_id, book, selection, arg_max(odd, (captured_at, quote_id)) closed from fx_quote where captured_at < kickoff_at and captured_at >= kickoff_at - interval '72' hour group by 1, 2, 3)
