@@ -27,11 +27,11 @@ PICKS = {
 }
 
 
-def nb_pmf(mean, alpha: float, most: int) -> Column:
+def nb_pmf(mean, alpha: Column | float, most: int) -> Column:
     """Array of negative-binomial probabilities of 0 to ``most`` with the given mean and dispersion, by recursion."""
     mu, r = col(mean), 1 / alpha
     q = mu / (r + mu)
-    first = F.pow(r / (r + mu), F.lit(float(r)))
+    first = F.pow(r / (r + mu), r if isinstance(r, Column) else F.lit(float(r)))
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(first), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * (k - 1 + r) / k * q)))
 
 
@@ -52,7 +52,7 @@ def rho_range(lam, mu) -> tuple[Column, Column]:
     return F.greatest(-1 / lam, -1 / mu), F.least(1 / (lam * mu), F.lit(1.0))
 
 
-def with_grid(df: DataFrame, most: int = 12, rho: Column | float = 0.0, home: str = "lam", away: str = "mu", alpha: float | None = None) -> tuple[DataFrame, Grid]:
+def with_grid(df: DataFrame, most: int = 12, rho: Column | float = 0.0, home: str = "lam", away: str = "mu", alpha: Column | float | None = None) -> tuple[DataFrame, Grid]:
     """``df`` with the parts of a grid for the means of each row, and the ``Grid`` that reads them.
 
     Each part is a column of its own, so that it is worked out once a row.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions import grid as g
 from touchline.functions import odds as o
-from touchline.operators import asof
+from touchline.operators import asof, fit, ratings, sliding
+from touchline.operators.lineage import cut
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
@@ -136,9 +137,14 @@ def q02_ledger(spark, sf):
     df, grid = g.with_grid(t, MOST)
     marks = grid.markets()
     t = df.select("block", (1 - F.exp(-(F.col("lam") + F.col("mu")) * F.col("share"))).alias("half"), *[marks[n].alias(n) for n in ("win", "draw", "loss", "over25")])
-    p = fixture(spark, sf, "price").select(F.col("price_id").alias("event_id"), "odd_home", "odd_draw", "odd_away", "odd_over", "odd_under")
     x = blocks(m).filter("block > 0 and home_score is not null").select("event_id", "block", F.col("home_score").alias("hs"), F.col("away_score").alias("aws"))
-    x = x.join(t, "block").join(p, "event_id", "left")
+    return picked(spark, sf, x.join(t, "block"), 6)
+
+
+def picked(spark, sf, x: DataFrame, places: int) -> DataFrame:
+    """The likeliest result, side of 2.5 goals and, from 60 %, a goal before the break; profit where there is a price."""
+    p = fixture(spark, sf, "price").select(F.col("price_id").alias("event_id"), "odd_home", "odd_draw", "odd_away", "odd_over", "odd_under")
+    x = x.join(p, "event_id", "left")
     home, draw = F.col("win") >= F.greatest("draw", "loss"), F.col("draw") >= F.col("loss")
     over, hs, aws = F.col("over25") >= 0.5, F.col("hs"), F.col("aws")
     pick = lambda a, b, c: F.when(home, a).when(draw, b).otherwise(c)
@@ -153,7 +159,40 @@ def q02_ledger(spark, sf):
     )
     out = x.select("event_id", "block", F.explode(legs).alias("x")).select("event_id", "block", "x.*").filter("market <> 'half' or prob >= 0.6")
     pnl = F.when(F.col("odd").isNull(), None).when(F.col("won"), F.round(F.col("odd") - 1, 3)).otherwise(-1.0)
-    return out.select("event_id", "block", "market", "selection", F.round("prob", 6).alias("prob"), "odd", "won", pnl.alias("pnl"))
+    return out.select("event_id", "block", "market", "selection", F.round("prob", places).alias("prob"), "odd", "won", pnl.alias("pnl"))
+
+
+@query("q02_fitted_ledger")
+def q02_fitted(spark, sf):
+    """The picks of ``q02_ledger`` under a goal model fitted for each block, on ratings before the match.
+
+    A block's parameters are those of the four years strictly before its first day. A goal before the break is priced by
+    the same model with means cut to the share of goals that fell so early.
+    """
+    from .more import training_sums
+
+    m = fixture(spark, sf, "match")
+    rated = ratings.elo(m.filter("home_score is not null")).select("event_id", "match_date", "diff", "home_score", "away_score")
+    rated = cut(rated, "ledger-rated")
+    b = cut(blocks(m).select("event_id", "match_date", F.col("block").alias("k")), "ledger-blocks")
+    fits = sliding.goal_model_by_block(rated, b.filter("k > 0").groupBy("k").agg(F.min("match_date").alias("first")))
+    half = F.floor(F.col("home_score") / 2) + F.floor(F.col("away_score") / 2)
+    share = training_sums(m.withColumns({"ht": half, "ft": F.col("home_score") + F.col("away_score")}), {"ht": "ht", "ft": "ft"})
+    share = share.select(F.col("block").alias("k"), (F.col("ht") / F.col("ft")).alias("share"))
+    x = rated.join(b.select("event_id", "k"), "event_id").join(fits.select("k", "a", "b", "alpha", "rho"), "k").join(share, "k")
+    d = F.round(F.col("diff") / fit.STEP) * fit.STEP / 400
+    x = x.withColumns({"lam": F.exp(F.col("a") + F.col("b") * d), "mu": F.exp(F.col("a") - F.col("b") * d)})
+
+    def priced(df, lam, mu):
+        low, high = g.rho_range(lam, mu)
+        return g.with_grid(df.withColumns({"_l": lam, "_m": mu}), 10, F.least(F.greatest("rho", low + 1e-6), high - 1e-6), "_l", "_m", F.col("alpha"))
+
+    df, grid = priced(x, F.col("lam"), F.col("mu"))
+    marks = grid.markets()
+    x = df.select("event_id", F.col("k").alias("block"), "home_score", "away_score", "lam", "mu", "alpha", "rho", "share", *[marks[n].alias(n) for n in ("win", "draw", "loss", "over25")])
+    df, grid = priced(x, F.col("lam") * F.col("share"), F.col("mu") * F.col("share"))
+    x = df.select(*x.columns, (1 - grid.cell(0, 0)).alias("half"))
+    return picked(spark, sf, x.withColumnsRenamed({"home_score": "hs", "away_score": "aws"}), 4)
 
 
 #: Open bets: teams in either order, a date for some, whole matches or first halves. Plain SQL for both engines.

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from touchline.functions import grid as g
 from touchline.functions import odds as o
 from touchline.functions import special
-from touchline.operators import asof, fit, ratings, resample
+from touchline.operators import asof, fit, ratings, resample, sliding
+from touchline.operators.lineage import cut
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
@@ -260,8 +261,8 @@ w as (select match_id, book, max(odd) filter (where selection = 'home') h, max(o
 select match_id, count(*) books, max(h) best, round(median(p), 6) fair, round(coalesce(stddev_pop(p), 0), 6) spread, round(ln(1 + count(*)), 6) log_books from c group by 1""")
 def q06(spark, sf):
     q = fixture(spark, sf, "quote")
-    cut = (F.col("captured_at") <= F.col("kickoff_at") - F.expr("interval '24' hour")) & o.is_price("odd")
-    a = asof.latest(q, ["match_id", "book", "selection"], ["odd"], ["captured_at", "quote_id"], cut)
+    early = (F.col("captured_at") <= F.col("kickoff_at") - F.expr("interval '24' hour")) & o.is_price("odd")
+    a = asof.latest(q, ["match_id", "book", "selection"], ["odd"], ["captured_at", "quote_id"], early)
     w = a.groupBy("match_id", "book").agg(*[F.max(F.when(F.col("selection") == s, F.col("odd"))).alias(c) for s, c in (("home", "h"), ("draw", "d"), ("away", "a"))]).dropna()
     w = w.withColumn("p", (1 / F.col("h")) / (1 / F.col("h") + 1 / F.col("d") + 1 / F.col("a")))
     return w.groupBy("match_id").agg(F.count("*").alias("books"), F.max("h").alias("best"), r6(F.median("p")).alias("fair"), r6(F.stddev_pop("p")).alias("spread"), r6(F.log1p(F.count("*"))).alias("log_books"))
@@ -453,6 +454,35 @@ def q03(spark, sf):
     return fit.prequential(ratings.elo(played(spark, sf)), "season")
 
 
+GUARD_LEAST, GUARD_EVERY, GUARD_HALF_LIFE = 200, 500, 120.0
+
+
+@query("q03_guarded")
+def q03_guarded(spark, sf):
+    """Scores by season of team strengths refitted as matches go by, and what the guard of kick-offs has kept out.
+
+    No fit sees the day of the match it is for; a team that no fit has seen counts as average.
+    """
+    obs, fits = sliding.guarded(played(spark, sf), math.log(2) / GUARD_HALF_LIFE, GUARD_LEAST, GUARD_EVERY)
+    fits = cut(fits, "guarded-fits")
+    x = obs.filter("k is not null")
+    for side in ("home", "away"):
+        x = x.join(fits.select("k", F.col("team").alias(side), F.col("attack").alias(f"{side}_attack"), F.col("defence").alias(f"{side}_defence")), ["k", side], "left")
+    x = x.join(fits.groupBy("k").agg(F.first("home_advantage").alias("edge"), F.first("rho").alias("rho")), "k")
+    own = lambda c: F.coalesce(c, F.lit(1.0))
+    x = x.withColumns({"lam": own("home_attack") * own("away_defence") * F.col("edge"), "mu": own("away_attack") * own("home_defence"), "y": o.ordinal("home_score", "away_score")})
+    low, high = g.rho_range("lam", "mu")
+    df, grid = g.with_grid(x, 10, F.least(F.greatest("rho", low + 1e-6), high - 1e-6))
+    x = df.select(F.year("match_date").alias("season"), "k", "y", *[grid.probability(g.PICKS[n]).alias(n) for n in ("win", "draw", "loss")])
+    p = F.when(F.col("y") == 2, F.col("win")).when(F.col("y") == 1, F.col("draw")).otherwise(F.col("loss"))
+    hit = [(F.col("y") == k).cast("int") for k in (2, 1, 0)]
+    mean = lambda c: F.round(F.avg(c), 4)
+    scores = x.groupBy("season").agg(F.count("*").alias("n"), F.count_distinct("k").alias("fits"), mean(o.rps("win", "draw", "y")).alias("rps"), mean(o.brier(["win", "draw", "loss"], hit)).alias("brier"), mean(o.log_loss(p)).alias("logloss"))
+    once = fits.groupBy("k", "blocked", "deferred").agg(F.lit(1).alias("x"))
+    kept = once.agg(F.count("*").alias("refits"), F.sum("blocked").alias("blocked_observations"), F.max("deferred").alias("deferred_refits"))
+    return scores.join(F.broadcast(kept))
+
+
 @query("m22_design_products", "with l as (select l_orderkey k, l_suppkey s, sum(case when l_linenumber % 2 = 0 then 1 else -1 end) v from lineitem group by 1, 2) select a.s, b.s t, sum(a.v * b.v) xtx from l a join l b on a.k = b.k and a.s <= b.s group by 1, 2 having sum(a.v * b.v) <> 0")
 def m22(spark, sf):
     """Entries of X'X of a sparse presence matrix, the normal equations of a ridge over players."""
