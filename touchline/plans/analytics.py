@@ -79,8 +79,7 @@ def a11(spark, sf):
 
 @query("a12_segments", B + f" select market, bet_at, line_no, count(*) n, round(avg({PNL}), 6) roi from fx_bet group by grouping sets ((market), (bet_at), (line_no))")
 def a12(spark, sf):
-    bets(spark, sf).createOrReplaceTempView("touchline_bets")
-    return spark.sql("select market, bet_at, line_no, count(*) n, round(avg(pnl), 6) roi from touchline_bets group by grouping sets ((market), (bet_at), (line_no))")
+    return spark.sql("select market, bet_at, line_no, count(*) n, round(avg(pnl), 6) roi from {b} group by grouping sets ((market), (bet_at), (line_no))", b=bets(spark, sf))
 
 
 @query("a13_calibration", B + " select floor(model_prob * 10) / 10 bin, count(*) n, round(avg(model_prob), 6) predicted, round(avg(won), 6) observed, round(abs(avg(model_prob) - avg(won)), 6) gap from fx_bet group by 1")
@@ -104,8 +103,7 @@ def a14(spark, sf):
 
 @query("a15_strata", B + " select market, year(bet_date) season, month(bet_date) month_no, count(*) n, round(avg(pow(model_prob - won, 2)), 6) brier from fx_bet group by grouping sets ((market, year(bet_date)), (month(bet_date)), ())")
 def a15(spark, sf):
-    fixture(spark, sf, "bet").createOrReplaceTempView("touchline_strata")
-    return spark.sql("select market, year(bet_date) season, month(bet_date) month_no, count(*) n, round(avg(pow(model_prob - won, 2)), 6) brier from touchline_strata group by grouping sets ((market, year(bet_date)), (month(bet_date)), ())")
+    return spark.sql("select market, year(bet_date) season, month(bet_date) month_no, count(*) n, round(avg(pow(model_prob - won, 2)), 6) brier from {b} group by grouping sets ((market, year(bet_date)), (month(bet_date)), ())", b=fixture(spark, sf, "bet"))
 
 
 @query("a16_climatology", M + """, r as (select case when home_score > away_score then 'home' when home_score = away_score then 'draw' else 'away' end x, count(*) n from fx_match where home_score is not null group by 1)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions import grid as g
 from touchline.operators import ledger, lineage
 from touchline.sources import feeds
 from touchline.sources.fixtures import fixture, with_fixtures
@@ -14,6 +15,11 @@ from touchline.streaming import jobs
 
 from .core import query
 
+#: The grid at the plans' fixed parameters over ``e`` (event_id, lam, mu).
+_PMF = "exp(lgamma({0} + 10) - lgamma(10) - lgamma({0} + 1) + 10 * ln(10 / (10 + {1})) + {0} * ln({1} / (10 + {1})))"
+_TAU = "case when i = 0 and j = 0 then 1 + lam * mu * 3e-2 when i = 0 and j = 1 then 1 - lam * 3e-2 when i = 1 and j = 0 then 1 - mu * 3e-2 when i = 1 and j = 1 then 1 + 3e-2 else 1 end"
+GRID = f"gr0 as (select event_id, i, j, greatest({_PMF.format('i', 'lam')} * {_PMF.format('j', 'mu')} * {_TAU}, 0) w from e, range(9) a(i), range(9) b(j)), gr as (select event_id, i, j, w / sum(w) over (partition by event_id) p from gr0)"
+
 M, Q, B, S, P = (with_fixtures(n) for n in ("match", "quote", "bet", "stat", "price"))
 
 
@@ -150,6 +156,42 @@ def r05(spark, sf):
     return jobs.collected(jobs.claimed(s, ["user_id", "event_type", "minute_no"]).select("user_id", "event_type", "minute_no"), "claims")
 
 
+#: Requests as text: some are broken off, some speak another protocol, some have no identifiers. Plain SQL for both engines.
+PAYLOAD = """case when event_id % 50 = 7 then concat('{"match_id": "', event_id) else concat('{"protocol_version": "', case when event_id % 41 = 3 then 'other/2' else 'touchline/1' end,
+'", "match_id": "', user_id, '", "job_id": "', event_id, '", "run_id": "', case when event_id % 31 = 5 then '' else 'r1' end, '", "idempotency_key": "', user_id % 7, '-', event_type, '", "elo_a": ', 1400 + event_id % 300, ', "elo_b": ', 1500 - event_id % 90, '}') end"""
+_REASON = "case when event_id % 50 = 7 then 'json' when event_id % 41 = 3 then 'protocol' when event_id % 31 = 5 then 'identifiers' end"
+
+
+def requests(spark, sf):
+    return jobs.decoded(jobs.event_stream(spark, sf).withColumn("payload", F.expr(PAYLOAD)))
+
+
+@query("r12_rejects", f"select {_REASON} reason, count(*) n, min(event_id) first_id from events where {_REASON} is not null group by 1")
+def r12_rejects(spark, sf):
+    """The side output: requests that can't be decoded or lack something, by reason."""
+    bad = jobs.collected(requests(spark, sf).filter("reason is not null").select("event_id", "payload", "reason"), "rejects")
+    return bad.groupBy("reason").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(
+    "r05_priced_claims",
+    f"""with recursive q as (select event_id, ts, concat(user_id % 7, '-', event_type) k, 1400 + event_id % 300 ea, 1500 - event_id % 90 eb from events where {_REASON} is null),
+o as (select *, row_number() over (partition by k order by ts, event_id) i from q),
+fi as (select k, ts, min(i) i from o group by 1, 2), n as materialized (select o.k, o.i, fi.i nxt from o asof join fi on fi.k = o.k and fi.ts >= o.ts + interval '60' second),
+c as (select k, cast(1 as bigint) i from o where i = 1 union all select c.k, n.nxt from c join n on n.k = c.k and n.i = c.i),
+e as (select event_id, exp(2e-1 + 3e-1 * (ea - eb) / 400) lam, exp(2e-1 - 3e-1 * (ea - eb) / 400) mu from o join c on c.k = o.k and c.i = o.i), """
+    + GRID
+    + " select event_id, round(sum(case when i > j then p else 0 end), 6) win, round(sum(case when i = j then p else 0 end), 6) draw, round(sum(case when i + j > 2 then p else 0 end), 6) over25 from gr group by 1",
+)
+def r05_priced(spark, sf):
+    """Requests of a key that nobody has claimed in the minute before, priced. Rejects and replays go without an answer."""
+    good = requests(spark, sf).filter("reason is null").select("event_id", "ts", "idempotency_key", "elo_a", "elo_b")
+    c = jobs.collected(jobs.claims(good), "priced-claims")
+    d = (F.col("elo_a") - F.col("elo_b")) / 400
+    df, grid = g.with_grid(c.withColumns({"lam": F.exp(0.2 + 0.3 * d), "mu": F.exp(0.2 - 0.3 * d)}), 8, -0.03, alpha=0.1)
+    return df.select("event_id", *[F.round(grid.probability(g.PICKS[n]), 6).alias(n) for n in ("win", "draw", "over25")])
+
+
 @query("r06_fresh_join", "select f.event_id fair_id, m.event_id market_id from events f join events m on f.user_id = m.user_id and m.ts between f.ts - interval '30' minute and f.ts where f.event_type = 'click' and m.event_type = 'view'")
 def r06(spark, sf):
     s = jobs.event_stream(spark, sf)

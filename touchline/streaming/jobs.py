@@ -37,6 +37,49 @@ def claimed(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
 
 
+REQUEST = "protocol_version string, match_id string, job_id string, run_id string, idempotency_key string, elo_a double, elo_b double"
+PROTOCOL, CLAIM_S = "touchline/1", 60
+
+
+def decoded(stream: DataFrame, payload: str = "payload") -> DataFrame:
+    """``stream`` with the fields of its requests and ``reason``: why a request isn't one, null if it is.
+
+    Rows that fail stay in the stream, so that a side output can take them: bad JSON, another protocol, no identifiers.
+    """
+    r = stream.withColumn("r", F.from_json(payload, REQUEST, {"mode": "PERMISSIVE"}))
+    names = ("match_id", "job_id", "run_id", "idempotency_key")
+    given = [F.coalesce(F.col(f"r.{n}"), F.lit("")) != "" for n in names]
+    broken = F.col("r").isNull() | F.try_parse_json(payload).isNull()
+    reason = F.when(broken, "json").when(F.coalesce(F.col("r.protocol_version") != PROTOCOL, F.lit(True)), "protocol").when(~(given[0] & given[1] & given[2] & given[3]), "identifiers")
+    return r.select(*stream.columns, *[F.col(f"r.{n}").alias(n) for n in names], F.coalesce("r.elo_a", F.lit(1500.0)).alias("elo_a"), F.coalesce("r.elo_b", F.lit(1500.0)).alias("elo_b"), reason.alias("reason"))
+
+
+def _granted(key, batches, state: GroupState):
+    """Requests of a key in order of time: one is granted if none was in the ``CLAIM_S`` seconds before it."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last = state.get[0] if state.exists else None
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+    at = (rows["ts"].astype("int64") if rows["ts"].dtype == "datetime64[us]" else rows["ts"].map(lambda t: int(t.timestamp() * 1_000_000))).tolist()
+    keep = []
+    for t in at:
+        keep.append(last is None or t >= last + CLAIM_S * 1_000_000)
+        last = t if keep[-1] else last
+    state.update((last,))
+    state.setTimeoutTimestamp(max(last // 1000 + CLAIM_S * 1000, state.getCurrentWatermarkMs() + 1))
+    yield rows[keep][["event_id", "idempotency_key", "elo_a", "elo_b"]]
+
+
+def claims(requests: DataFrame) -> DataFrame:
+    """Requests (event_id, ts, idempotency_key, elo_a, elo_b) that nobody has claimed in the last minute of event time.
+
+    What a key remembers is its last claim, and that goes once the watermark has passed its end.
+    """
+    s = requests.withWatermark("ts", LATE).groupBy("idempotency_key")
+    return s.applyInPandasWithState(_granted, "event_id long, idempotency_key string, elo_a double, elo_b double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def latest(stream: DataFrame) -> DataFrame:
     """The newest value of each user."""
     return stream.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
