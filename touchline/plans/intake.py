@@ -317,3 +317,11 @@ def q14(spark, sf):
     from .screens import feature_screen
 
     return feature_screen(spark, sf, FEATURES)
+
+
+@query("q14_combinations")
+def q14_all(spark, sf):
+    """All eight subsets of the statistics as tilts of the goal model, each fitted and scored like one."""
+    from .screens import combination_screen
+
+    return combination_screen(spark, sf, FEATURES)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from touchline.functions import grid as g
 from touchline.functions import odds as o
 from touchline.operators import fit, ratings, resample
+from touchline.operators.lattice import lattice
+from touchline.operators.lineage import cut
 from touchline.sources.fixtures import fixture
 
 from .models import played
@@ -57,3 +59,26 @@ def feature_screen(spark: SparkSession, sf: str, features: tuple[str, ...]) -> D
         t = t.withColumn(name, o.brier(marks, hit)).drop("lam", "mu", *grid.columns)
     out = t.groupBy("feature", "theta").agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("brier_base").alias("brier_base"))
     return out.withColumn("gain", F.col("brier_base") - F.col("brier"))
+
+
+def combination_screen(spark: SparkSession, sf: str, features: tuple[str, ...]) -> DataFrame:
+    """(subset, thetas, nll, n, brier, gain): every subset of features fitted on the first four fifths of the matches and
+    scored on the rest; gain is over no feature at all."""
+    rated = resample.numbered(ratings.elo(played(spark, sf)), "match_date", "event_id").withColumn("late", F.col("i") >= F.floor(F.col("n") * 0.8)).drop("i", "n")
+    x = feature_rows(spark, sf, features).groupBy("event_id").agg(*[F.max(F.when(F.col("feature") == f, F.col("x"))).alias(f) for f in features])
+    rows = rated.join(x, "event_id").withColumn("d", F.round(F.col("diff") / fit.STEP) * fit.STEP)
+    rows = cut(rows.select("event_id", "late", "d", *features, "home_score", "away_score"), "combination-rows")
+    cells = rows.filter("not late").groupBy("d", *features, F.col("home_score").alias("hs"), F.col("away_score").alias("aws")).agg(F.count("*").cast("double").alias("w"))
+    p = lattice(cells, list(features))
+    t = rows.filter("late").crossJoin(F.broadcast(p.select("subset", "theta", "nll", "a", "b", "rho"))).withColumn("y", o.ordinal("home_score", "away_score"))
+    # a subset's thetas are in the order of the features, so they are met by their place in it
+    terms = [F.coalesce(F.get("theta", (F.array_position(F.split("subset", r"\+"), f) - 1).cast("int")), F.lit(0.0)) * F.col(f) for f in features]
+    tilt = F.col("b") * F.col("d") / 400 + sum(terms[1:], terms[0])
+    t = t.withColumns({"lam": F.exp(F.col("a") + tilt), "mu": F.exp(F.col("a") - tilt)})
+    low, high = g.rho_range("lam", "mu")
+    t, grid = g.with_grid(t, 10, F.least(F.greatest("rho", low + 1e-6), high - 1e-6))
+    hit = [(F.col("y") == k).cast("int") for k in (2, 1, 0)]
+    t = t.withColumn("score", o.brier([grid.probability(g.PICKS[n]) for n in ("win", "draw", "loss")], hit))
+    out = t.groupBy("subset", "theta", "nll").agg(F.count("*").alias("n"), F.avg("score").alias("brier"))
+    none = out.filter("subset = ''").select(F.col("brier").alias("base"))
+    return out.crossJoin(F.broadcast(none)).select("subset", "theta", "nll", "n", "brier", (F.col("base") - F.col("brier")).alias("gain"))
