@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import odds as o
 from touchline.operators import asof, ratings, store
+from touchline.operators.lineage import cut
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
@@ -421,22 +422,76 @@ def u07(spark, sf):
     return m.select(F.col("home").alias("team")).union(m.select("away")).distinct()
 
 
-def _rule_query(name: str, fx: str, ids: list[str], rules: list[tuple[str, str]]):
-    """A validation: rows with the first rule they break; the rules are predicates that both engines read alike."""
-    case = " ".join(f"when not coalesce({r}, false) then '{n}'" for n, r in rules)
+#: What the two engines call the same.
+SPARK_NAMES = {"{like}": "regexp_like", "{sha}": "sha2", "{bits}": ", 256", "{time}": "date_format", "{format}": "yyyy-MM-dd HH:mm:ss"}
+OTHER_NAMES = {"{like}": "regexp_matches", "{sha}": "sha256", "{bits}": "", "{time}": "strftime", "{format}": "%Y-%m-%d %H:%M:%S"}
 
-    @query(name, with_fixtures(fx) + f" select {', '.join(ids)}, case {case} end reason from fx_{fx}")
-    def run(spark, sf):
-        return fixture(spark, sf, fx).select(*ids, store.first_reason([(n, F.expr(r)) for n, r in rules]).alias("reason"))
+
+def _spelt(text: str, names: dict[str, str]) -> str:
+    for k, v in names.items():
+        text = text.replace(k, v)
+    return text
 
 
-_rule_query("v01_picks", "quote", ["quote_id"], [("missing", "odd is not null and book is not null"), ("zone", "quote_id % 17 > 0"), ("clock", "captured_at < kickoff_at"), ("odds", "odd > 15e-1 and odd < 1000"), ("production", "book <> 'click'"), ("hash", "quote_id % 13 > 0")])
-_rule_query("v02_settlements", "bet", ["game_id", "line_no"], [("missing", "odd is not null and won is not null"), ("zone", "game_id % 17 > 0"), ("close", "bet_at <> 'close' or line_no < 7"), ("price", "odd > 125e-2"), ("probability", "model_prob > 0 and model_prob < 1"), ("market", "market in ('1x2', 'ou25')"), ("hash", "game_id % 13 > 0")])
-_rule_query("v03_curated", "obs", ["seq"], [("fields", "payload is not null"), ("order", "published_at <= ingested_at and event_at <= published_at"), ("late", "published_at < event_at + interval '6' hour")])
+def _rule_query(name, fx, ids, rules, more=None):
+    """A validation: rows with the first rule they break; the rules are predicates that both engines read alike.
+
+    ``more`` are columns that the rules read beside those of the fixture, each one after those before it.
+    """
+    more = more or {}
+    case = " ".join(f"when not coalesce({r}, false) then '{n}'" for n, r in rules)
+    inner = f"fx_{fx}"
+    for c, text in more.items():
+        inner = f"(select *, {text} {c} from {inner})"
+    sql = with_fixtures(fx) + _spelt(f" select {', '.join(ids)}, case {case} end reason from {inner}", OTHER_NAMES)
+
+    def run(spark, sf):
+        df = fixture(spark, sf, fx)
+        for c, text in more.items():
+            df = df.withColumn(c, F.expr(_spelt(text, SPARK_NAMES)))
+        return df.select(*ids, store.first_reason([(n, F.expr(_spelt(r, SPARK_NAMES))) for n, r in rules]).alias("reason"))
+
+    query(name, sql)(run)
+    return run, sql
+
+
+#: Instants as texts, some without a zone, and records with the digest that their writer gave them; some were changed since.
+ZONE = "{like}(said, '(Z|[+-][0-9]{2}:[0-9]{2})$')"
+_SAID = "concat({time}(%s, '{format}'), case when %s %% 17 = 0 then '' when %s %% 3 = 0 then 'Z' else '+00:00' end)"
+PICK = {
+    "said": _SAID % ("captured_at", "quote_id", "quote_id"),
+    "record": "concat_ws('|', cast(quote_id as varchar(20)), book, selection, said, cast(cast(round(odd * 100) as bigint) as varchar(20)))",
+    "given": "{sha}(case when quote_id % 13 = 0 then concat(record, '0') else record end{bits})",
+}
+SETTLED = {
+    "said": _SAID % ("cast(bet_date as timestamp)", "game_id", "game_id"),
+    "record": "concat_ws('|', cast(game_id as varchar(20)), cast(line_no as varchar(20)), market, said, cast(won as varchar(20)))",
+    "given": "{sha}(case when game_id % 13 = 0 then concat(record, '0') else record end{bits})",
+}
+#: Half-time scores as texts: most are half of the final ones, some are missing, no numbers or more than the final ones.
+HALF_TIME = {
+    "half": "case when event_id % 19 = 0 then null when event_id % 23 = 0 then 'n-a' else concat(cast(floor(home_score / 2) + case when event_id % 11 = 0 then 3 else 0 end as int), '-', cast(floor(away_score / 2) as int)) end",
+    "ht_home": "cast(case when {like}(half, '^[0-9]+-[0-9]+$') then split_part(half, '-', 1) end as int)",
+    "ht_away": "cast(case when {like}(half, '^[0-9]+-[0-9]+$') then split_part(half, '-', 2) end as int)",
+}
+AGAIN = {"nth": "row_number() over (partition by game_id, market, bet_at order by line_no, odd, model_prob, won, bet_date)"}
+
+_rule_query("v01_picks", "quote", ["quote_id"], [("missing", "odd is not null and book is not null"), ("zone", ZONE), ("clock", "captured_at < kickoff_at"), ("odds", "odd > 15e-1 and odd < 1000"), ("production", "book <> 'click'"), ("hash", "given = {sha}(record{bits})")], PICK)
+_rule_query("v02_settlements", "bet", ["game_id", "line_no"], [("missing", "odd is not null and won is not null"), ("zone", ZONE), ("close", "bet_at <> 'close' or line_no < 7"), ("price", "odd > 125e-2"), ("probability", "model_prob > 0 and model_prob < 1"), ("market", "market in ('1x2', 'ou25')"), ("hash", "given = {sha}(record{bits})")], SETTLED)
+v03, V03_SQL = _rule_query("v03_curated", "obs", ["seq"], [("fields", "payload is not null"), ("order", "published_at <= ingested_at and event_at <= published_at"), ("late", "published_at < event_at + interval '6' hour")])
 _rule_query("v05_eligible", "quote", ["quote_id"], [("not available", "captured_at <= kickoff_at - interval '24' hour"), ("after start", "kickoff_at - interval '24' hour < kickoff_at")])
-_rule_query("v07_bets", "bet", ["game_id", "line_no"], [("market", "market in ('1x2', 'ou25', 'btts')"), ("odds", "odd > 1"), ("cap", "odd <= 5"), ("edge", "model_prob * odd > 1")])
+_rule_query("v07_bets", "bet", ["game_id", "line_no"], [("market", "market in ('1x2', 'ou25', 'btts')"), ("odds", "odd > 1"), ("duplicate", "nth = 1"), ("cap", "odd <= 5"), ("edge", "model_prob * odd > 1")], AGAIN)
 _rule_query("v08_observations", "obs", ["seq"], [("order", "ingested_at >= published_at"), ("payload", "payload like '{%}'")])
-_rule_query("v09_scores", "match", ["event_id"], [("missing", "home_score is not null and away_score is not null"), ("range", "home_score between 0 and 3"), ("half-time", "(event_id % 4) <= home_score + away_score"), ("teams", "home <> away")])
+_rule_query("v09_scores", "match", ["event_id"], [("missing", "home_score is not null and away_score is not null"), ("range", "home_score between 0 and 3"), ("half-time text", "half is null or ht_home is not null"), ("half-time", "half is null or (ht_home <= home_score and ht_away <= away_score)"), ("teams", "home <> away")], HALF_TIME)
+
+
+@query("v03_tables", f"with r as ({V03_SQL}) select case when reason is null then 'curated' else 'rejected' end kept_in, reason, count(*) n, min(seq) first_seq from r group by 1, 2")
+def v03_tables(spark, sf):
+    """What goes on and what a reject table keeps, written apart: both together are all rows."""
+    rows = cut(v03(spark, sf), "v03-rows")
+    kept, rejected = cut(rows.filter("reason is null"), "v03-curated"), cut(rows.filter("reason is not null"), "v03-rejects")
+    both = kept.withColumn("kept_in", F.lit("curated")).union(rejected.withColumn("kept_in", F.lit("rejected")))
+    return both.groupBy("kept_in", "reason").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
 @query("v04_entities", "with recursive a as (select n_name, lower(substr(n_name, 1, 3)) k from nation), c as (select k, count(*) n, min(n_name) name from a group by 1) select s_suppkey, case when n is null then 'rejected' when n = 1 then 'exact' else 'ambiguous' end status, case when n = 1 then name end name from (select s_suppkey, case when s_suppkey % 5 = 0 then 'zzz' else lower(substr(n_name, 1, 3)) end k from supplier join nation on s_nationkey = n_nationkey) s left join c using (k)")
