@@ -215,3 +215,10 @@ def r11(spark, sf):
 @query("r08_latency", "select event_type, count(*) n, count(*) filter (where value > 300) breaches, max(value) most from events group by 1")
 def r08(spark, sf):
     return jobs.collected(jobs.latency(jobs.event_stream(spark, sf), 300.0), "latency", "complete")
+
+
+@query("r08_percentiles", "select date_trunc('day', ts) start, event_type, count(value) n, count(*) filter (where value > 300) breaches, quantile_disc(cast(value as double), 5e-1) p50, quantile_disc(cast(value as double), 95e-2) p95, quantile_disc(cast(value as double), 99e-2) p99 from events group by 1, 2")
+def r08_percentiles(spark, sf):
+    """Percentiles by day and kind from sketches in a stream's state; days of fewer rows than a sketch holds are exact."""
+    got = jobs.collected(jobs.percentiles(jobs.event_stream(spark, sf), "1 day", "value", 300.0), "percentiles", "complete")
+    return jobs.quantiles(got, p50=0.5, p95=0.95, p99=0.99).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -101,6 +101,31 @@ def latency(stream: DataFrame, limit: float) -> DataFrame:
     return stream.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > limit).alias("breaches"), F.max("value").alias("most"))
 
 
+SKETCH_K = 1600
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """How far the rank of a percentile of a sketch may be off, as a share of the rows, with 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
+def percentiles(stream: DataFrame, width: str, value: str, limit: float, k: int = SKETCH_K) -> DataFrame:
+    """Counts, breaches of a limit and a quantile sketch of each window and kind.
+
+    State holds a sketch of bounded size for each of them, whatever their rows; sketches merge, so rows are summed up before
+    the shuffle and across batches. Up to ``k`` rows nothing is rounded; beyond, see ``rank_error``.
+    """
+    s = stream.withWatermark("ts", LATE).groupBy(F.window("ts", width), "event_type")
+    b = s.agg(F.count(value).alias("n"), F.count_if(F.col(value) > limit).alias("breaches"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+    return b.select(F.col("window.start").alias("start"), "event_type", "n", "breaches", "sketch")
+
+
+def quantiles(sketches: DataFrame, **ranks: float) -> DataFrame:
+    """``sketches`` with a column for each named rank; null where a window has no values."""
+    at = {n: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(r))) for n, r in ranks.items()}
+    return sketches.withColumns(at).drop("sketch")
+
+
 def fresh(fair: DataFrame, market: DataFrame, age: str) -> DataFrame:
     """Pairs of a user whose market row is at most ``age`` older than the fair one; older rows leave the state."""
     f, m = fair.withWatermark("fair_ts", LATE), market.withWatermark("ts", LATE)
