@@ -23,15 +23,17 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("s07_first_statistic", S + ", a as (select event_id, arg_min(value, stat_name) filter (where team = 'home') h, arg_min(value, stat_name) filter (where team = 'away') a from fx_stat where period = 'ALL' and stat_name in ('stat_N', 'stat_R') group by 1) select event_id, h home_value, a away_value from a")
+@query(
+    "s07_first_statistic",
+    S + """, a as (select * from fx_stat where period = 'ALL' and stat_name in ('stat_N', 'stat_R')), f as (select event_id, min(stat_name) stat_name from a group by 1)
+select event_id, round(max(value) filter (where team = 'home'), 4) home_value, round(max(value) filter (where team = 'away'), 4) away_value from a join f using (event_id, stat_name) group by 1""",
+)
 def s07(spark, sf):
-    """The first item of the whole-match period whose name contains a text, from nested arrays without exploding them."""
-    s = fixture(spark, sf, "stat").filter("stat_name in ('stat_N', 'stat_R')").groupBy("event_id", "period", "stat_name").agg(*[F.max(F.when(F.col("team") == t, F.col("value"))).alias(t) for t in ("home", "away")])
-    items = F.array_sort(F.collect_list(F.struct("period", "stat_name", "home", "away")))
-    n = s.groupBy("event_id").agg(items.alias("items"))
-    whole = F.filter("items", lambda i: (i["period"] == "ALL") & F.lower(i["stat_name"]).contains("stat_"))
-    first = lambda side: F.try_element_at(F.filter(whole, lambda i: i[side].isNotNull()), F.lit(1))[side]
-    return n.filter(F.size(whole) > 0).select("event_id", first("home").alias("home_value"), first("away").alias("away_value"))
+    """The first item of the whole-match period whose name contains a text, from JSON payloads."""
+    s = fixture(spark, sf, "stat").filter("stat_name in ('stat_N', 'stat_R')").groupBy("event_id", "period", "stat_name").agg(*[F.max(F.when(F.col("team") == t, F.round("value", 4).cast("string"))).alias(t) for t in ("home", "away")])
+    groups = s.groupBy("event_id", "period").agg(F.array_sort(F.collect_list(F.struct(F.col("stat_name").alias("name"), "home", "away"))).alias("statisticsItems"))
+    periods = groups.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("period", F.array(F.struct("statisticsItems")).alias("groups")))).alias("statistics"))
+    return feeds.first_statistic(periods.select("event_id", F.to_json(F.struct("statistics")).alias("payload")), "stat_")
 
 
 @query("s15_totals_only", Q + " select quote_id event_id, book, selection, odd from fx_quote where captured_at < kickoff_at and odd > 1 and odd < 1000 and quote_id % 2 = 1")
@@ -45,14 +47,13 @@ def s15(spark, sf):
     return got.filter("market = 'ou2.5'").select("event_id", "book", "selection", "odd")
 
 
-@query("s17_participants", M + " select event_id, home, away, home_score from fx_match where home_score is not null")
+@query("s17_participants", M + " select event_id, home, away, home_score, away_score from fx_match")
 def s17(spark, sf):
-    """Participants found by their location within an array."""
-    m = fixture(spark, sf, "match").filter("home_score is not null")
-    p = F.array(*[F.struct(F.lit(t).alias("location"), F.col(t).alias("name"), F.col(f"{t}_score").alias("score")) for t in ("away", "home")])
-    d = m.select("event_id", p.alias("participants"))
-    at = lambda where: F.try_element_at(F.filter("participants", lambda x: x["location"] == where), F.lit(1))
-    return d.select("event_id", at("home")["name"].alias("home"), at("away")["name"].alias("away"), at("home")["score"].alias("home_score"))
+    """Participants found by the location in their meta data, from JSON payloads in which the away side comes first."""
+    m = fixture(spark, sf, "match")
+    sides = F.array(*[F.struct(F.col(t).alias("name"), F.struct(F.lit(t).alias("location")).alias("meta")) for t in ("away", "home")])
+    scores = F.filter(F.array(*[F.struct(F.lit(t).alias("participant"), F.col(f"{t}_score").alias("goals")) for t in ("away", "home")]), lambda x: x["goals"].isNotNull())
+    return feeds.participants(m.select("event_id", F.to_json(F.struct(sides.alias("participants"), scores.alias("scores"))).alias("payload")))
 
 
 @query("s25_lines", P + """, l as (select price_id, unnest([15e-1, 25e-1, 35e-1]) line, unnest([odd_home, odd_draw, odd_away]) odd from fx_price), f as (select price_id, unnest([25e-1, 35e-1]) line, unnest([odd_under, odd_home]) first from fx_price) select price_id, line, odd, first from l left join f using (price_id, line)""")
@@ -254,22 +255,42 @@ def q05(spark, sf):
     return p.select("event_id", r6("p").alias("p_over"), F.when(over, "over").when(under, "under").alias("pick"), F.when(over, F.col("total") > 30).when(under, F.col("total") < 30).alias("won"))
 
 
-@query("q09_settle", Q + """, e as (select match_id, book, selection, arg_min(odd, (captured_at, quote_id)) taken from fx_quote where captured_at < kickoff_at group by 1, 2, 3), c as (select match_id, book, selection, arg_max(odd, (captured_at, quote_id)) closed from fx_quote where captured_at < kickoff_at and captured_at >= kickoff_at - interval '72' hour group by 1, 2, 3)
-select match_id, book, selection, case when closed is null then 'QUOTE_HISTORY_MISSING' else 'SETTLED' end status, round((taken - closed) / closed, 6) clv from e left join c using (match_id, book, selection)""")
+@query(
+    "q09_settle",
+    with_fixtures("quote", "match") + """, e as (select match_id, book, selection, arg_min(odd, (captured_at, quote_id)) taken, max(kickoff_at) kickoff_at from fx_quote where captured_at < kickoff_at group by 1, 2, 3),
+c as (select match_id, book, selection, arg_max(odd, (captured_at, quote_id)) closed from fx_quote where captured_at < kickoff_at and captured_at >= kickoff_at - interval '72' hour group by 1, 2, 3),
+r as (select event_id match_id, home_score hs, away_score aws, 60 + event_id % 5 * 30 after from fx_match where home_score is not null),
+s as (select e.*, closed, hs, aws, case when hs is null then 'RESULT_MISSING' when after < 120 then 'RESULT_TOO_EARLY' when closed is null then 'QUOTE_HISTORY_MISSING' else 'SETTLED' end status from e left join c using (match_id, book, selection) left join r using (match_id))
+select match_id, book, selection, status, case when status = 'SETTLED' then round((taken - closed) / closed, 6) end clv, case when status = 'SETTLED' then case selection when 'home' then hs > aws when 'draw' then hs = aws else hs < aws end end won from s""",
+)
 def q09(spark, sf):
+    """Decisions with their result, which counts from two hours after kick-off on, and the same book's close.
+
+    What isn't settled says why: no result, one too early to be final, or no price of that book in the last 72 hours.
+    """
     q, key = fixture(spark, sf, "quote"), ["match_id", "book", "selection"]
     pre = F.col("captured_at") < F.col("kickoff_at")
-    taken = asof.latest(q, key, ["odd"], ["captured_at", "quote_id"], pre, earliest=True).select(*key, F.col("odd").alias("taken"))
+    taken = asof.latest(q, key, ["odd", "kickoff_at"], ["captured_at", "quote_id"], pre, earliest=True).select(*key, F.col("odd").alias("taken"), "kickoff_at")
     closed = asof.latest(q, key, ["odd"], ["captured_at", "quote_id"], pre & (F.col("captured_at") >= F.col("kickoff_at") - F.expr("interval '72' hour"))).select(*key, F.col("odd").alias("closed"))
-    return taken.join(closed, key, "left").select(*key, F.when(F.col("closed").isNull(), "QUOTE_HISTORY_MISSING").otherwise("SETTLED").alias("status"), r6((F.col("taken") - F.col("closed")) / F.col("closed")).alias("clv"))
+    r = fixture(spark, sf, "match").filter("home_score is not null").select(F.col("event_id").alias("match_id"), F.col("home_score").alias("hs"), F.col("away_score").alias("aws"), (60 + F.col("event_id") % 5 * 30).alias("minutes"))
+    x = taken.join(closed, key, "left").join(r, "match_id", "left").withColumn("result_at", F.expr("kickoff_at + make_dt_interval(0, 0, minutes)"))
+    early = F.col("result_at") < F.expr("kickoff_at + interval '2' hour")
+    status = F.when(F.col("hs").isNull(), "RESULT_MISSING").when(early, "RESULT_TOO_EARLY").when(F.col("closed").isNull(), "QUOTE_HISTORY_MISSING").otherwise("SETTLED")
+    x = x.withColumn("status", status)
+    settled, hs, aws = F.col("status") == "SETTLED", F.col("hs"), F.col("aws")
+    won = F.when(F.col("selection") == "home", hs > aws).when(F.col("selection") == "draw", hs == aws).otherwise(hs < aws)
+    return x.select(*key, "status", F.when(settled, r6((F.col("taken") - F.col("closed")) / F.col("closed"))).alias("clv"), F.when(settled, won).alias("won"))
 
 
-@query("q16_bias_audit", MN + " select m.home_score - m.away_score = 0 is_draw, count(*) n, round(avg(w), 6) mean_win, round(avg(l), 6) mean_total, round(avg(home_score + away_score), 6) goals from (select event_id, sum(case when i > j then p else 0 end) w, sum(p * (i + j)) l from gr group by 1) x join fx_match m using (event_id) where home_score is not null group by 1")
+@query("q16_bias_audit", MN + " select m.home_score - m.away_score = 0 is_draw, count(*) n, round(avg(w), 6) mean_win, round(avg(d), 6) mean_draw, round(avg(d0), 6) p_00, round(avg(d1), 6) p_11, round(avg(d2), 6) p_22, count(*) filter (where home_score = 0 and away_score = 0) n_00, count(*) filter (where home_score = 1 and away_score = 1) n_11, count(*) filter (where home_score = 2 and away_score = 2) n_22, round(avg(l), 6) mean_total, round(avg(home_score + away_score), 6) goals from (select event_id, sum(case when i > j then p else 0 end) w, sum(case when i = j then p else 0 end) d, sum(case when i = 0 and j = 0 then p else 0 end) d0, sum(case when i = 1 and j = 1 then p else 0 end) d1, sum(case when i = 2 and j = 2 then p else 0 end) d2, sum(p * (i + j)) l from gr group by 1) x join fx_match m using (event_id) where home_score is not null group by 1")
 def q16(spark, sf):
     m = fixture(spark, sf, "match").filter("home_score is not null").select("event_id", "home_score", "away_score")
     df, grid = priced(means(spark, sf).join(m, "event_id"))
-    x = df.select("home_score", "away_score", grid.probability(g.PICKS["win"]).alias("w"), grid.mean(lambda i, j: i + j).alias("l"))
-    return x.groupBy((F.col("home_score") == F.col("away_score")).alias("is_draw")).agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_win"), r6(F.avg("l")).alias("mean_total"), r6(F.avg(F.col("home_score") + F.col("away_score"))).alias("goals"))
+    cells = range(3)
+    x = df.select("home_score", "away_score", grid.probability(g.PICKS["win"]).alias("w"), grid.probability(g.PICKS["draw"]).alias("d"), *[grid.cell(k, k).alias(f"d{k}") for k in cells], grid.mean(lambda i, j: i + j).alias("l"))
+    expected = [r6(F.avg(f"d{k}")).alias(f"p_{k}{k}") for k in cells]
+    seen = [F.count_if((F.col("home_score") == k) & (F.col("away_score") == k)).alias(f"n_{k}{k}") for k in cells]
+    return x.groupBy((F.col("home_score") == F.col("away_score")).alias("is_draw")).agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_win"), r6(F.avg("d")).alias("mean_draw"), *expected, *seen, r6(F.avg("l")).alias("mean_total"), r6(F.avg(F.col("home_score") + F.col("away_score"))).alias("goals"))
 
 
 @query("q17_serving", with_fixtures("match", "price") + ", " + MEANS + ", " + _grid_sql(NB) + ", w as (select event_id, sum(case when i > j then p else 0 end) w, sum(case when i + j > 2 then p else 0 end) o from gr group by 1) select m.event_id, round(w, 6) win, round(o, 6) over25, round(w - (1/odd_home) / (1/odd_home + 1/odd_draw + 1/odd_away), 6) versus_market from fx_match m join w using (event_id) left join fx_price p on p.price_id = m.event_id where m.home_score is null")

@@ -39,6 +39,29 @@ def statistics(raw: DataFrame, key: str = "event_id", payload: str = "payload")
     return s.select(key, "period", F.lower("i.name").alias("stat_name"), sides.alias("x")).select(key, "x.team", "period", "stat_name", "x.value").filter("value is not null")
 
 
+def first_statistic(raw: DataFrame, needle: str, key: str = "event_id", payload: str = "payload") -> DataFrame:
+    """(key, home_value, away_value) of the first item of the whole match whose name contains ``needle``, without exploding.
+
+    Payloads that are no JSON, have no such period or no such item have no row; a side that is no number is null.
+    """
+    periods = F.filter(F.from_json(payload, STATISTICS)["statistics"], lambda p: p["period"] == "ALL")
+    items = F.flatten(F.transform(periods, lambda p: F.flatten(F.transform(p["groups"], lambda g: g["statisticsItems"]))))
+    hit = F.try_element_at(F.filter(items, lambda i: F.lower(i["name"]).contains(needle)), F.lit(1))
+    found = raw.select(key, hit.alias("_hit")).filter("_hit is not null")
+    return found.select(key, *[_number(F.col(f"_hit.{t}")).alias(f"{t}_value") for t in ("home", "away")])
+
+
+PARTICIPANTS = "struct<participants:array<struct<name:string,meta:struct<location:string>>>,scores:array<struct<participant:string,goals:int>>>"
+
+
+def participants(raw: DataFrame, key: str = "event_id", payload: str = "payload") -> DataFrame:
+    """(key, home, away, home_score, away_score): sides are found by the location that each participant's meta data name."""
+    d = raw.select(key, F.from_json(payload, PARTICIPANTS).alias("_p"))
+    name = lambda side: F.try_element_at(F.filter("_p.participants", lambda x: x["meta"]["location"] == side), F.lit(1))["name"]
+    goals = lambda side: F.try_element_at(F.filter("_p.scores", lambda x: x["participant"] == side), F.lit(1))["goals"]
+    return d.select(key, name("home").alias("home"), name("away").alias("away"), goals("home").alias("home_score"), goals("away").alias("away_score"))
+
+
 #: A handicap as '(-0.75) Team'.
 _HANDICAP = r"\(\s*([+-]?\d+(?:\.\d+)?)\s*\)\s*(.+)"
 
