@@ -304,9 +304,24 @@ def q17(spark, sf):
     return m.join(p, "event_id", "left").select("event_id", r6("win").alias("win"), r6("over25").alias("over25"), r6(F.col("win") - F.col("market")).alias("versus_market"))
 
 
-@query("q19_close_only", B + f" select market, count(*) n, round(avg({PNL}), 6) roi from fx_bet where bet_at = 'close' and model_prob - 1/odd > 2e-2 and model_prob - 1/odd <= 15e-2 group by 1")
+_AT_CLOSE = "select b.*, coalesce(c.close_odd, b.odd) price from fx_bet b left join c on c.game_id = b.game_id and c.market = b.market"
+
+
+@query(
+    "q19_close_only",
+    B + f""", c as (select game_id, market, max_by(odd, (line_no, odd)) close_odd from fx_bet where bet_at = 'close' group by 1, 2), p as ({_AT_CLOSE}), x as (select market, won, price, case when won = 1 then price - 1 else -1 end pnl from p where price > 1 and model_prob - 1 / price > 2e-2 and model_prob - 1 / price <= 15e-2)
+select market, count(*) n, round(avg(won), 6) hit, round(avg(pnl), 6) roi, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) sharpe from x group by 1""",
+)
 def q19(spark, sf):
-    return bets(spark, sf).filter((F.col("bet_at") == "close") & o.has_edge("model_prob", "odd")).groupBy("market").agg(F.count("*").alias("n"), r6(F.avg("pnl")).alias("roi"))
+    """The same bets with the price of each replaced by the last closing price of its game and market: trigger and profit.
+
+    Opening prices are thrown away, so what is left of an edge doesn't come from prices that could not be had.
+    """
+    b = fixture(spark, sf, "bet")
+    close = asof.latest(b, ["game_id", "market"], [], ["line_no", "odd"], F.col("bet_at") == "close").select("game_id", "market", F.col("odd").alias("close_odd"))
+    x = b.join(close, ["game_id", "market"], "left").withColumn("price", F.coalesce("close_odd", "odd"))
+    x = x.filter((F.col("price") > 1) & o.has_edge("model_prob", "price")).withColumn("pnl", F.when(F.col("won") == 1, F.col("price") - 1).otherwise(-1.0))
+    return x.groupBy("market").agg(F.count("*").alias("n"), r6(F.avg("won")).alias("hit"), r6(F.avg("pnl")).alias("roi"), r6(F.try_divide(F.avg("pnl"), F.nullif(F.stddev_samp("pnl"), F.lit(0.0)))).alias("sharpe"))
 
 
 @query("r07_edge_signals", Q + " select quote_id, selection, round(case selection when 'home' then 42e-2 when 'draw' then 28e-2 else 3e-1 end - 1/odd, 6) edge, round(least(greatest(25e-2 * (case selection when 'home' then 42e-2 when 'draw' then 28e-2 else 3e-1 end * odd - 1) / (odd - 1), 0), 5e-2), 6) stake from fx_quote where case selection when 'home' then 42e-2 when 'draw' then 28e-2 else 3e-1 end - 1/odd >= 2e-2 and odd > 1")
@@ -328,14 +343,47 @@ def m20(spark, sf):
     return fit.count_model_by_fold(y, "fold", "value").select("fold", "n", r6("mean").alias("mean"), r6("alpha").alias("alpha"))
 
 
-@query("q11_cohort", with_fixtures("match", "bet") + """, b as (select b.*, m.home_score hs, row_number() over (partition by game_id, market order by line_no, odd, model_prob) n from fx_bet b left join fx_match m on m.event_id = b.game_id),
-r as (select *, case when n > 1 then 'duplicate' when hs is null then 'open' when odd < 13e-1 then 'price' else 'settled' end status from b) select status, count(*) n, round(avg(case when status = 'settled' then """ + PNL + """ end), 6) roi from r group by 1""")
+#: Picks as they were sent: some without a kick-off or a book, some with an instant that has no zone. Plain SQL for both engines.
+SENT = """select quote_id, match_id, case when quote_id % 31 = 0 then null else book end book, selection, captured_at, case when quote_id % 29 = 0 then null else kickoff_at end kickoff_at, kickoff_at starts,
+quote_id % 17 <> 0 zoned, odd, match_id % 5 * 60 - 60 wait, match_id % 13 = 0 altered"""
+#: What a pick is rejected for, in this order; the first that holds counts.
+REJECTED = [
+    ("duplicate_pick", "quote_id <> first_id"),
+    ("legacy_incomplete", "kickoff_at is null"),
+    ("missing_required_field", "book is null"),
+    ("timezone_or_timestamp_invalid", "not zoned"),
+    ("pre_event_clock_violation", "captured_at >= kickoff_at"),
+    ("invalid_odds", "odd < 13e-1 or odd >= 1000"),
+    ("settlement_hash_invalid", "hs is not null and altered"),
+    ("settlement_clock_invalid", "hs is not null and wait < 0"),
+]
+_WHY = "case " + " ".join(f"when {rule} then '{name}'" for name, rule in REJECTED) + " end"
+
+
+@query(
+    "q11_cohort",
+    with_fixtures("quote", "match") + f""", p as ({SENT} from fx_quote), f as (select match_id, coalesce(book, '') k, selection, min(quote_id) first_id from p group by 1, 2, 3),
+r as (select p.*, first_id, m.home_score hs, m.away_score aws from p join f on f.match_id = p.match_id and f.k = coalesce(p.book, '') and f.selection = p.selection left join (select * from fx_match where home_score is not null) m on m.event_id = p.match_id),
+x as (select *, {_WHY} reason from r), y as (select *, case when reason = 'legacy_incomplete' then 'LEGACY_INCOMPLETE' when reason is not null then 'PROSPECTIVE_REJECTED' when hs is not null then 'MATURED_ELIGIBLE' else 'PROSPECTIVE_ELIGIBLE' end class from x)
+select class, reason, count(*) n, round(avg(case when class = 'MATURED_ELIGIBLE' then case when case selection when 'home' then hs > aws when 'draw' then hs = aws else hs < aws end then odd - 1 else -1e0 end end), 6) roi from y group by 1, 2""",
+)
 def q11(spark, sf):
-    b = bets(spark, sf).join(fixture(spark, sf, "match").select(F.col("event_id").alias("game_id"), F.col("home_score").alias("hs")), "game_id", "left")
-    n = F.row_number().over(Window.partitionBy("game_id", "market").orderBy("line_no", "odd", "model_prob"))
-    status = F.when(F.col("n") > 1, "duplicate").when(F.col("hs").isNull(), "open").when(F.col("odd") < 1.3, "price").otherwise("settled")
-    r = b.withColumn("n", n).withColumn("status", status)
-    return r.groupBy("status").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("status") == "settled", F.col("pnl")))).alias("roi"))
+    """Picks by class and by the first reason that they are rejected for; profit of those whose result counts.
+
+    A pick is sent again if an earlier one has its match, book and selection; which is the earliest is an aggregate, so a
+    key with many picks isn't sorted.
+    """
+    p = fixture(spark, sf, "quote")
+    p = spark.sql(SENT + " from {q}", q=p).withColumn("k", F.coalesce("book", F.lit("")))
+    key = ["match_id", "k", "selection"]
+    first = p.groupBy(*key).agg(F.min("quote_id").alias("first_id"))
+    m = fixture(spark, sf, "match").filter("home_score is not null").select(F.col("event_id").alias("match_id"), F.col("home_score").alias("hs"), F.col("away_score").alias("aws"))
+    x = p.join(first, key).join(m, "match_id", "left").withColumn("reason", F.expr(_WHY))
+    kind = F.when(F.col("reason") == "legacy_incomplete", "LEGACY_INCOMPLETE").when(F.col("reason").isNotNull(), "PROSPECTIVE_REJECTED").when(F.col("hs").isNotNull(), "MATURED_ELIGIBLE").otherwise("PROSPECTIVE_ELIGIBLE")
+    hs, aws = F.col("hs"), F.col("aws")
+    won = F.when(F.col("selection") == "home", hs > aws).when(F.col("selection") == "draw", hs == aws).otherwise(hs < aws)
+    pnl = F.when(F.col("class") == "MATURED_ELIGIBLE", F.when(won, F.col("odd") - 1).otherwise(-1.0))
+    return x.withColumn("class", kind).groupBy("class", "reason").agg(F.count("*").alias("n"), r6(F.avg(pnl)).alias("roi"))
 
 
 @query("q13_survival", MP + ", b as (select season, avg(brier) model, count(*) n from l group by 1), c as (select season, y, count(*) k from l group by 1, 2), s as (select season, sum(k * k) / pow(sum(k), 2) sq, sum(k) t from c group by 1) select season, n, round(model, 6) model, round(1 - sq, 6) base, case when model < 1 - sq then 'SURVIVES' else 'FAILS' end verdict from b join s using (season)")
