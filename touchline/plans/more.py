@@ -293,6 +293,34 @@ def q16(spark, sf):
     return x.groupBy((F.col("home_score") == F.col("away_score")).alias("is_draw")).agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_win"), r6(F.avg("d")).alias("mean_draw"), *expected, *seen, r6(F.avg("l")).alias("mean_total"), r6(F.avg(F.col("home_score") + F.col("away_score"))).alias("goals"))
 
 
+#: What the totals of a model have to keep: calibration within 5 points, a slope near 1, and some sharpness.
+ECE_MOST, SLOPE_LOW, SLOPE_HIGH, SHARP_LEAST = 0.05, 0.9, 1.1, 0.005
+
+
+@query(
+    "q04_totals",
+    MN + f""", q as (select event_id, sum(case when i + j > 2 then p else 0 end) po, sum(p * (i + j)) goals from gr group by 1), x as (select q.*, case when home_score + away_score > 2 then 1 else 0 end y from q join fx_match using (event_id) where home_score is not null),
+c as (select count(*) n, avg(po) a, avg(y) b from x group by floor(po * 10)), t as (select sum(n) n, sum(n * a) / sum(n) ma, sum(n * b) / sum(n) mb from c),
+s as (select round(sum(c.n * abs(a - b)) / max(t.n), 6) ece, round(sum(c.n * pow(b - mb, 2)) / max(t.n), 6) resolution, round(sum(c.n * (a - ma) * (b - mb)) / nullif(sum(c.n * pow(a - ma, 2)), 0), 6) slope from c, t),
+m as (select count(*) n, round(avg(2 * pow(po - y, 2)), 6) brier_ou25, round(avg(case when (po > 5e-1) = (y = 1) then 1e0 else 0e0 end), 6) hit_rate, round(avg(goals), 6) mean_goals, round(var_pop(po), 6) sharpness from x)
+select m.*, s.*, ece <= {ECE_MOST} ece_ok, slope between {SLOPE_LOW} and {SLOPE_HIGH} slope_ok, sharpness >= {SHARP_LEAST} sharp_ok from m, s""",
+)
+def q04_totals(spark, sf):
+    """The panel's totals: scores of over 2.5 goals, and guardrails on calibration, slope and sharpness by deciles."""
+    m = fixture(spark, sf, "match").filter("home_score is not null").select("event_id", (F.col("home_score") + F.col("away_score") > 2).cast("int").alias("y"))
+    df, grid = priced(means(spark, sf).join(m, "event_id"))
+    x = df.select("y", grid.probability(g.PICKS["over25"]).alias("po"), grid.mean(lambda i, j: i + j).alias("goals"))
+    c = x.groupBy(F.floor(F.col("po") * 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("po").alias("a"), F.avg("y").alias("b"))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    t = c.agg(F.sum("n").alias("t"), (F.sum(n * a) / F.sum(n)).alias("ma"), (F.sum(n * b) / F.sum(n)).alias("mb"))
+    da, db = a - F.col("ma"), b - F.col("mb")
+    s = c.join(F.broadcast(t)).agg(r6(F.sum(n * F.abs(a - b)) / F.max("t")).alias("ece"), r6(F.sum(n * db * db) / F.max("t")).alias("resolution"), r6(F.try_divide(F.sum(n * da * db), F.sum(n * da * da))).alias("slope"))
+    hit = ((F.col("po") > 0.5) == (F.col("y") == 1)).cast("double")
+    scores = x.agg(F.count("*").alias("n"), r6(F.avg(2 * F.pow(F.col("po") - F.col("y"), F.lit(2)))).alias("brier_ou25"), r6(F.avg(hit)).alias("hit_rate"), r6(F.avg("goals")).alias("mean_goals"), r6(F.var_pop("po")).alias("sharpness"))
+    out = scores.join(F.broadcast(s))
+    return out.withColumns({"ece_ok": F.col("ece") <= ECE_MOST, "slope_ok": F.col("slope").between(SLOPE_LOW, SLOPE_HIGH), "sharp_ok": F.col("sharpness") >= SHARP_LEAST})
+
+
 @query("q17_serving", with_fixtures("match", "price") + ", " + MEANS + ", " + _grid_sql(NB) + ", w as (select event_id, sum(case when i > j then p else 0 end) w, sum(case when i + j > 2 then p else 0 end) o from gr group by 1) select m.event_id, round(w, 6) win, round(o, 6) over25, round(w - (1/odd_home) / (1/odd_home + 1/odd_draw + 1/odd_away), 6) versus_market from fx_match m join w using (event_id) left join fx_price p on p.price_id = m.event_id where m.home_score is null")
 def q17(spark, sf):
     """Open fixtures priced in one batch and held against the market where there is one."""
