@@ -282,7 +282,16 @@ def q09(spark, sf):
     return x.select(*key, "status", F.when(settled, r6((F.col("taken") - F.col("closed")) / F.col("closed"))).alias("clv"), F.when(settled, won).alias("won"))
 
 
-@query("q16_bias_audit", MN + " select m.home_score - m.away_score = 0 is_draw, count(*) n, round(avg(w), 6) mean_win, round(avg(d), 6) mean_draw, round(avg(d0), 6) p_00, round(avg(d1), 6) p_11, round(avg(d2), 6) p_22, count(*) filter (where home_score = 0 and away_score = 0) n_00, count(*) filter (where home_score = 1 and away_score = 1) n_11, count(*) filter (where home_score = 2 and away_score = 2) n_22, round(avg(l), 6) mean_total, round(avg(home_score + away_score), 6) goals from (select event_id, sum(case when i > j then p else 0 end) w, sum(case when i = j then p else 0 end) d, sum(case when i = 0 and j = 0 then p else 0 end) d0, sum(case when i = 1 and j = 1 then p else 0 end) d1, sum(case when i = 2 and j = 2 then p else 0 end) d2, sum(p * (i + j)) l from gr group by 1) x join fx_match m using (event_id) where home_score is not null group by 1")
+@query(
+    "q16_bias_audit",
+    MN + """ select m.home_score - m.away_score = 0 is_draw, count(*) n, round(avg(w), 6) mean_win, round(avg(d), 6) mean_draw,
+round(avg(d0), 6) p_00, round(avg(d1), 6) p_11, round(avg(d2), 6) p_22,
+count(*) filter (where home_score = 0 and away_score = 0) n_00, count(*) filter (where home_score = 1 and away_score = 1) n_11, count(*) filter (where home_score = 2 and away_score = 2) n_22,
+round(avg(l), 6) mean_total, round(avg(home_score + away_score), 6) goals
+from (select event_id, sum(case when i > j then p else 0 end) w, sum(case when i = j then p else 0 end) d,
+sum(case when i = 0 and j = 0 then p else 0 end) d0, sum(case when i = 1 and j = 1 then p else 0 end) d1, sum(case when i = 2 and j = 2 then p else 0 end) d2, sum(p * (i + j)) l
+from gr group by 1) x join fx_match m using (event_id) where home_score is not null group by 1""",
+)
 def q16(spark, sf):
     m = fixture(spark, sf, "match").filter("home_score is not null").select("event_id", "home_score", "away_score")
     df, grid = priced(means(spark, sf).join(m, "event_id"))
