@@ -82,7 +82,7 @@ def _margin(goals: int) -> float:
 RATED = "tournament string, event_id long, match_date date, season int, home string, away string, home_score int, away_score int, diff double, home_rating double, away_rating double"
 _PLAYED = ["tournament", "event_id", "match_date", "season", "home", "away", "home_score", "away_score", "is_neutral"]
 #: Matches of a slice, and how far a rating may move without its slice being run again.
-SLICE_ROWS, STILL = 20_000, 1e-9
+SLICE_ROWS, STILL = 200_000, 1e-9
 _STARTS = "pool string, slice long, team string, rating double, seen date"
 _ENDS = "pool string, slice long, team string, rating double"
 
