@@ -132,54 +132,77 @@ def fresh(fair: DataFrame, market: DataFrame, age: str) -> DataFrame:
     return f.join(m, F.expr(f"u = user_id and ts >= fair_ts - interval {age} and ts <= fair_ts")).select("fair_id", "market_id")
 
 
-WAIT_MS = 6 * 3600 * 1000
+WAIT_MS, DEADLINE_MS, BUCKETS = 6 * 3600 * 1000, 55 * 60_000, 4096
+OPEN = ("match_id", "home", "away", "told", "due")
 
 
-def _both(key, batches, state: GroupState):
-    """A row once both sides of a match have been seen; a side is forgotten when the other hasn't come in time."""
-    if state.hasTimedOut:
-        state.remove()
+def _by_bucket(stream: DataFrame, late: str, step, schema: str, buckets: int) -> DataFrame:
+    """``step`` over matches by buckets of their ids: a call into Python and a row of state for many matches, not for each.
+
+    The state of a bucket is the columns ``OPEN`` of its matches as arrays, and its timeout is the first time at which one of
+    them is due; ``step`` keeps each match by its own time. Matches without an id are one match, in a bucket of their own.
+    """
+    bucket = F.when(F.col("match_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("match_id"), F.lit(buckets)))
+    home, no = F.col("is_home"), F.lit(False)
+    s = stream.withWatermark("ts", late).select("ts", bucket.cast("long").alias("bucket"), F.coalesce("match_id", F.lit(0)).cast("long").alias("match_id"), F.coalesce(home, no).alias("home"), F.coalesce(~home, no).alias("away"), F.coalesce(F.unix_millis("ts"), F.lit(0)).cast("long").alias("ms"))
+    arrays = "match_id array<long>, home array<boolean>, away array<boolean>, told array<boolean>, due array<long>"
+    return s.groupBy("bucket").applyInPandasWithState(step, schema, arrays, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _merged(batches, state: GroupState, wait: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(matches that have new rows, with what was known of them; the others that are known), with the time each is due."""
+    known = pd.DataFrame(dict(zip(OPEN, state.get, strict=True))) if state.exists else None
+    new = [] if state.hasTimedOut else [b.groupby("match_id", as_index=False).agg({"home": "any", "away": "any", "ms": "max"}) for b in batches if len(b)]
+    rows = pd.concat(new) if new else pd.DataFrame({"match_id": [], "home": [], "away": [], "ms": []}).astype({"match_id": "int64", "home": bool, "away": bool, "ms": "int64"})
+    rows = rows.assign(told=False, due=rows["ms"] + wait)[list(OPEN)]
+    if known is None:
+        others = rows.iloc[:0]
+    else:
+        seen = known["match_id"].isin(rows["match_id"])
+        rows, others = pd.concat([rows, known[seen]]), known[~seen]
+    return rows.groupby("match_id", as_index=False).agg({"home": "any", "away": "any", "told": "any", "due": "max"}), others
+
+
+def _kept(left: pd.DataFrame, state: GroupState) -> None:
+    """Remembers the matches of ``left``; none are due before the watermark."""
+    if left.empty:
+        if state.exists:
+            state.remove()
         return
-    home, away, told = state.get if state.exists else (False, False, False)
-    last = 0
-    for b in batches:
-        home |= bool(b["is_home"].any())
-        away |= bool((~b["is_home"]).any())
-        last = max(last, int(b["ts"].max().timestamp() * 1000))
-    if home and away and not told:
-        told = True
-        yield pd.DataFrame({"match_id": [key[0]]})
-    state.update((home, away, told))
-    state.setTimeoutTimestamp(max(last + WAIT_MS, state.getCurrentWatermarkMs() + 1))
+    state.update(tuple(left[c].tolist() for c in OPEN))
+    state.setTimeoutTimestamp(max(int(left["due"].min()), state.getCurrentWatermarkMs(), 1))
 
 
-def assembled(stream: DataFrame) -> DataFrame:
-    """Matches both of whose sides (is_home) have arrived, each once; state goes ``WAIT_MS`` after its last row."""
-    s = stream.withWatermark("ts", LATE).groupBy("match_id")
-    return s.applyInPandasWithState(_both, "match_id long", "home boolean, away boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def _ids(key, rows: pd.DataFrame) -> pd.Series:
+    return rows["match_id"] if key[0] >= 0 else pd.Series([None] * len(rows), dtype="Int64")
 
 
-def _deadline(key, batches, state: GroupState):
-    """A widening signal for a match whose other side hasn't come 55 minutes after the first."""
-    if state.hasTimedOut:
-        home, away = state.get
-        state.remove()
-        yield pd.DataFrame({"match_id": [key[0]], "missing": ["away" if home else "home"], "factor": [1.35]})
-        return
-    home, away = state.get if state.exists else (False, False)
-    last = None
-    for b in batches:
-        home |= bool(b["is_home"].any())
-        away |= bool((~b["is_home"]).any())
-        last = b["ts"].max() if last is None else max(last, b["ts"].max())
-    if home and away:
-        if state.exists:
-            state.remove()
-        return
-    state.update((home, away))
-    due = int(last.timestamp() * 1000) + 55 * 60_000
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+def _both(key, batches, state: GroupState):
+    """A row once both sides of a match have been seen; a side is forgotten when the other hasn't come in time."""
+    rows, others = _merged(batches, state, WAIT_MS)
+    got = rows[rows["home"] & rows["away"] & ~rows["told"]]
+    rows = rows.assign(told=rows["told"] | (rows["home"] & rows["away"]))
+    now = state.getCurrentWatermarkMs()
+    _kept(pd.concat([rows.assign(due=rows["due"].clip(lower=now)), others[others["due"] >= now]]), state)
+    if len(got):
+        yield pd.DataFrame({"match_id": _ids(key, got).array})
+
 
+def assembled(stream: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Matches both of whose sides (is_home) have arrived, each once; what is known of one goes ``WAIT_MS`` after its last row."""
+    return _by_bucket(stream, LATE, _both, "match_id long", buckets)
 
-def watched(stream: DataFrame) -> DataFrame:
-    return stream.withWatermark("ts", "0 seconds").groupBy("match_id").applyInPandasWithState(_deadline, "match_id long, missing string, factor double", "home boolean, away boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+def _deadline(key, batches, state: GroupState):
+    """A widening signal for a match whose other side hasn't come 55 minutes after its last row."""
+    rows, others = _merged(batches, state, DEADLINE_MS)
+    now = state.getCurrentWatermarkMs()
+    late = others[others["due"] < now]
+    rows = rows[~(rows["home"] & rows["away"])]
+    _kept(pd.concat([rows.assign(due=rows["due"].clip(lower=now)), others[others["due"] >= now]]), state)
+    if len(late):
+        yield pd.DataFrame({"match_id": _ids(key, late).array, "missing": late["home"].map({True: "away", False: "home"}).array, "factor": 1.35})
+
+
+def watched(stream: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return _by_bucket(stream, "0 seconds", _deadline, "match_id long, missing string, factor double", buckets)
