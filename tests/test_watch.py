@@ -21,3 +21,11 @@ def test_many_matches_take_little_time(spark, tmp_path):
     got = jobs.collected(jobs.assembled(source(spark, tmp_path, rows), 64), "many").collect()
     assert time.perf_counter() - start < 20  # a call for each match took 5 ms of a core
     assert sorted(r[0] for r in got) == [m for m in range(n) if m % 3 == 0]
+
+
+def test_each_match_has_its_own_clock(spark, tmp_path):
+    files = ([(1, True, 0), (2, True, 30), (2**60 + 1, False, 1), (4, True, 2), (None, True, 3)], [(1, False, 40), (5, True, 58)], [(2, False, 60), (4, False, 57), (None, False, 58), (6, True, 200)], [(7, True, 500)])
+    stream = source(spark, tmp_path, *files)
+    assert sorted((r[0] or 0) for r in jobs.collected(jobs.assembled(stream, 2), "clock").collect()) == [0, 1, 2, 4]
+    got = {(r["match_id"], r["missing"]) for r in jobs.collected(jobs.watched(stream, 1), "clock").collect()}
+    assert {(2**60 + 1, "home"), (5, "away"), (6, "away")} <= got and not {m for m, _ in got} & {1, 2, 7}
