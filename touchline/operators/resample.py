@@ -53,6 +53,20 @@ def times(r: Column, k: Column, rate: float = 1.0) -> Column:
     return out
 
 
+def with_times(df: DataFrame, r: str, k: str, name: str, rate: float = 1.0) -> DataFrame:
+    """``df`` with ``times`` as a column. Each step of the draw is a column of its own, so that it is worked out once a row."""
+    x, y = F.col("_x"), F.col("_y")
+    d = df.withColumn("_x", (F.col(r).cast("long") * 1103515245 + F.col(k).cast("long") * 12345677 + 20260821) % P)
+    d = d.withColumn("_y", (x * x + 1013904223) % P)
+    z = (y * y + 362437069) % P
+    d = d.withColumn("_u", F.call_function("div", z, F.lit(97).cast("long")) % UNITS)
+    bounds = _thresholds(rate)[:-1]
+    out = F.when(F.col("_u") < bounds[0], 0)
+    for n, bound in enumerate(bounds[1:]):
+        out = out.when(F.col("_u") < bound, n + 1)
+    return d.withColumn(name, F.when(F.col("_u").isNotNull(), out.otherwise(len(bounds))).otherwise(0)).drop("_x", "_y", "_u")
+
+
 def times_sql(r: str, k: str, rate: float = 1.0) -> str:
     bounds = _thresholds(rate)[:-1]
     whens = " ".join(f"when u >= {b} then {n + 1}" for n, b in reversed(list(enumerate(bounds))))
@@ -85,8 +99,10 @@ def prefix_sums(df: DataFrame, i: str, value: str, chunk: int = 4096) -> DataFra
 def bootstrap(clusters: DataFrame, key: str, reps: int, rate: float = 1.0) -> DataFrame:
     """(r, v): the mean of each of ``reps`` resamples of clusters with (s, m): sum and count."""
     each = clusters.select("s", "m", F.col(key).cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("r"))
-    each = each.select("r", "s", "m", times(F.col("r"), F.col("k"), rate).alias("w")).filter("w > 0")
-    return each.groupBy("r").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("m") * F.col("w"))).alias("v"))
+    each = with_times(each, "r", "k", "w", rate).withColumn("w", F.when(F.col("w") > 0, F.col("w")))
+    # rows that aren't taken stay in, as nulls: a filter would be pushed below the columns and work out all of them again
+    v = each.groupBy("r").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("m") * F.col("w")).alias("m"), F.count("w").alias("n"))
+    return v.filter("n > 0").select("r", (F.col("s") / F.col("m")).alias("v"))
 
 
 def bootstrap_mean(clusters: DataFrame, key: str, reps: int, rate: float = 1.0) -> DataFrame:
