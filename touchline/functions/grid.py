@@ -52,6 +52,49 @@ def rho_range(lam, mu) -> tuple[Column, Column]:
     return F.greatest(-1 / lam, -1 / mu), F.least(1 / (lam * mu), F.lit(1.0))
 
 
+CHUNK = 4
+
+
+def _with_pmfs(df: DataFrame, name: str, means: dict[str, str], alpha: Column | float | None, most: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with an array of probabilities of 0 to ``most`` for each mean, and columns of their running sums.
+
+    The recursion is that of ``nb_pmf`` and ``poisson_pmf``, but each probability is a column, so that all is compiled; a
+    higher-order function is interpreted. ``CHUNK`` of them start from one column, which bounds both the depth of the plan
+    and what is worked out twice. Gives back the columns to drop as well.
+    """
+    one = {f"{name}_{v}": col(m) for v, m in means.items()}
+    parts = []
+    if alpha is None:
+        first, steps = {v: F.exp(-m) for v, m in one.items()}, {v: lambda p, k, m=m: p * m / float(k) for v, m in one.items()}
+    else:
+        r = 1 / alpha
+        if isinstance(r, Column):
+            df, r, parts = df.withColumn(f"{name}_r", r), F.col(f"{name}_r"), [f"{name}_r"]
+        df = df.withColumns({f"{v}q": m / (r + m) for v, m in one.items()})
+        parts += [f"{v}q" for v in one]
+        first = {v: F.pow(r / (r + m), r if isinstance(r, Column) else F.lit(float(r))) for v, m in one.items()}
+        steps = {v: lambda p, k, v=v: p * (k - 1 + r) / float(k) * F.col(f"{v}q") for v in one}
+    df = df.withColumns({f"{v}0": p for v, p in first.items()} | {f"{name}_s{v[-1]}0": F.lit(0.0) for v in one})
+    for low in range(0, most, CHUNK):
+        new = {}
+        for v, step in steps.items():
+            p = F.col(f"{v}{low}")
+            for k in range(low + 1, min(low + CHUNK, most) + 1):
+                p = step(p, k)
+                new[f"{v}{k}"] = p
+        df = df.withColumns(new)
+    for low in range(0, most + 1, CHUNK):
+        new = {}
+        for v in one:
+            s = F.col(f"{name}_s{v[-1]}{low}")
+            for k in range(low, min(low + CHUNK, most + 1)):
+                s = s + F.col(f"{v}{k}")
+                new[f"{name}_s{v[-1]}{k + 1}"] = s
+        df = df.withColumns(new)
+    parts += [f"{v}{k}" for v in one for k in range(most + 1)] + [f"{name}_s{v[-1]}{k}" for v in one for k in range(most + 2)]
+    return df.withColumns({v: F.array(*[F.col(f"{v}{k}") for k in range(most + 1)]) for v in one}), parts
+
+
 def with_grid(df: DataFrame, most: int = 12, rho: Column | float = 0.0, home: str = "lam", away: str = "mu", alpha: Column | float | None = None) -> tuple[DataFrame, Grid]:
     """``df`` with the parts of a grid for the means of each row, and the ``Grid`` that reads them.
 
@@ -60,13 +103,12 @@ def with_grid(df: DataFrame, most: int = 12, rho: Column | float = 0.0, home: st
     name = "_g"
     while any(c.startswith(name) for c in df.columns):
         name += "g"
-    pmf = (lambda m: poisson_pmf(m, most)) if alpha is None else (lambda m: nb_pmf(m, alpha, most))
-    df = df.withColumns({f"{name}_x": pmf(home), f"{name}_y": pmf(away), f"{name}_rho": col(rho) if isinstance(rho, (Column, str)) else F.lit(float(rho))})
+    df = df.withColumn(f"{name}_rho", col(rho) if isinstance(rho, (Column, str)) else F.lit(float(rho)))
+    df, parts = _with_pmfs(df, name, {"x": home, "y": away}, alpha, most)
     x, y = F.col(f"{name}_x"), F.col(f"{name}_y")
-    running = lambda a: F.aggregate(a, F.array(F.lit(0.0)), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
     low = [(i, j) for i in (0, 1) for j in (0, 1)]
     more = [F.greatest(x[i] * y[j] * tau(F.lit(i), F.lit(j), home, away, f"{name}_rho"), F.lit(0.0)) - x[i] * y[j] for i, j in low]
-    df = df.withColumns({f"{name}_c": running(y), f"{name}_a": F.element_at(running(x), -1), f"{name}_d": F.array(*more)})
+    df = df.withColumns({f"{name}_c": F.array(*[F.col(f"{name}_sy{k}") for k in range(most + 2)]), f"{name}_a": F.col(f"{name}_sx{most + 1}"), f"{name}_d": F.array(*more)}).drop(*parts)
     d = F.col(f"{name}_d")
     total = F.col(f"{name}_a") * F.element_at(f"{name}_c", -1) + d[0] + d[1] + d[2] + d[3]
     return df.withColumn(f"{name}_t", total), Grid(name, most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .odds import col
@@ -93,5 +93,20 @@ def normal(*parts) -> Column:
     return F.sqrt(-2 * F.log(uniform(*parts, F.lit(1)))) * F.cos(2 * math.pi * uniform(*parts, F.lit(2)))
 
 
+def with_normal(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """``df`` with ``normal(*parts)`` as a column. A square names its number twice, so each of them is a column of its own:
+    in one expression the first would be worked out 128 times."""
+    mod, u = UNITS - 1, ["_u1", "_u2"]
+    df = df.withColumns({c: F.lit(0).cast("long") for c in u})
+    square = lambda d: d.withColumns({c: F.col(c) * F.col(c) % mod for c in u})
+    for salt, p in zip((20260821, 362437069, 521288629, 88675123), (*parts, None), strict=False):
+        by = [F.lit(n) if p is None else col(p).cast("long") for n in (1, 2)]
+        df = square(df.withColumns({c: (F.col(c) * 48271 + v * 69621 + salt) % mod for c, v in zip(u, by, strict=True)}))
+    for _ in range(3):
+        df = square(df.withColumns({c: (F.col(c) * 48271 + 12820163) % mod for c in u}))
+    one, two = ((F.col(c) + 0.5) / mod for c in u)
+    return df.withColumn(name, F.sqrt(-2 * F.log(one)) * F.cos(2 * math.pi * two)).drop(*u)
+
+
 def normal_sql(*parts: str) -> str:
     return f"(sqrt(-2 * ln({uniform_sql(*parts, '1')})) * cos({2 * math.pi!r} * {uniform_sql(*parts, '2')}))"

@@ -158,13 +158,21 @@ def m13(spark, sf):
 
 @query("m27_slope_sweep", M + ", s as (select k / 4e0 slope from range(0, 9) r(k)), e as (select event_id * 100 + cast(slope * 4 as bigint) event_id, slope, exp(2e-1 + slope * 3e-1 * d / 400) lam, exp(2e-1 - slope * 3e-1 * d / 400) mu from (select event_id, 100e0 + (event_id * 37 % 401) - 200 d from fx_match), s), " + _grid_sql(NB) + " select slope, count(distinct e.event_id) n, round(sum(case when i > j then p else 0 end) / count(distinct e.event_id), 6) mean_win from gr join e using (event_id) group by 1")
 def m27(spark, sf):
-    """The same fixtures under each slope: a cross of a bounded parameter table, then one grid."""
+    """The same fixtures under each slope: a cross of a bounded parameter table, then one grid for fixtures of equal means."""
     d = 100.0 + (F.col("event_id") * 37 % 401) - 200
-    m = fixture(spark, sf, "match").select("event_id", d.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    m = fixture(spark, sf, "match").groupBy(d.alias("d")).agg(F.count("*").alias("n"))
+    m = m.select("d", "n", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
     m = m.withColumn("slope", F.col("k") / 4)
-    m = m.select("slope", F.exp(0.2 + F.col("slope") * 0.3 * F.col("d") / 400).alias("lam"), F.exp(0.2 - F.col("slope") * 0.3 * F.col("d") / 400).alias("mu"))
+    m = m.select("slope", "n", F.exp(0.2 + F.col("slope") * 0.3 * F.col("d") / 400).alias("lam"), F.exp(0.2 - F.col("slope") * 0.3 * F.col("d") / 400).alias("mu"))
     df, grid = priced(m)
-    return df.groupBy("slope").agg(F.count("*").alias("n"), r6(F.avg(grid.probability(g.PICKS["win"]))).alias("mean_win"))
+    return weighted(df, "slope", mean_win=grid.probability(g.PICKS["win"]))
+
+
+def weighted(df: DataFrame, key: str, **values) -> DataFrame:
+    """(key, n, means): means of ``values``, each row counting ``n`` times; nulls don't count."""
+    df = df.select(key, "n", *[v.alias(c) for c, v in values.items()])
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+    return df.groupBy(key).agg(F.sum("n").alias("n"), *[r6(mean(c)).alias(c) for c in values])
 
 
 RHOS, SIGMAS, DRAWS = (-0.2, -0.1, -0.03, 0.0, 0.1), (0, 40, 80, 160), 5
@@ -177,10 +185,10 @@ RHOS, SIGMAS, DRAWS = (-0.2, -0.1, -0.03, 0.0, 0.1), (0, 40, 80, 160), 5
     + " select rho, count(distinct e.event_id) n, round(sum(case when i = j then p else 0 end) / count(distinct e.event_id), 6) mean_draw, round(sum(case when i + j > 2 then p else 0 end) / count(distinct e.event_id), 6) mean_over25 from gr join e using (event_id) group by 1",
 )
 def m27_rho(spark, sf):
-    """The same fixtures under each dependence of low scores."""
-    d = means(spark, sf).withColumn("rho", F.explode(F.array(*map(F.lit, RHOS))))
+    """The same fixtures under each dependence of low scores; one grid for fixtures of equal means."""
+    d = means(spark, sf).groupBy("lam", "mu").agg(F.count("*").alias("n")).withColumn("rho", F.explode(F.array(*map(F.lit, RHOS))))
     df, grid = g.with_grid(d, MOST, "rho", alpha=ALPHA)
-    return df.groupBy("rho").agg(F.count("*").alias("n"), r6(F.avg(grid.probability(g.PICKS["draw"]))).alias("mean_draw"), r6(F.avg(grid.probability(g.PICKS["over25"]))).alias("mean_over25"))
+    return weighted(df, "rho", mean_draw=grid.probability(g.PICKS["draw"]), mean_over25=grid.probability(g.PICKS["over25"]))
 
 
 @query(
@@ -192,7 +200,7 @@ def m27_rho(spark, sf):
 def m27_noise(spark, sf):
     """Ratings known with an error: each difference is drawn five times around itself, by event and draw."""
     m = fixture(spark, sf, "match").select("event_id", (100.0 + (F.col("event_id") * 37 % 401) - 200).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k"))
-    m = m.withColumn("z", special.normal("event_id", "k")).withColumn("sigma", F.explode(F.array(*map(F.lit, SIGMAS))))
+    m = special.with_normal(m, "z", "event_id", "k").withColumn("sigma", F.explode(F.array(*map(F.lit, SIGMAS))))
     d = F.col("d") + F.col("sigma") * F.col("z")
     df, grid = priced(m.select("sigma", F.exp(0.2 + 0.3 * d / 400).alias("lam"), F.exp(0.2 - 0.3 * d / 400).alias("mu")))
     win = grid.probability(g.PICKS["win"])
