@@ -128,3 +128,22 @@ def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:
     d = numbered(df, group, *order).drop("n")
     first = d.groupBy(group).agg(F.min("i").alias("_first"), F.count("*").alias("n"))
     return d.join(first, group).withColumn("r", F.col("i") - F.col("_first")).drop("i", "_first")
+
+
+def weighted_quantiles(counts: DataFrame, keys: list[str], value: str, n: str, **ranks: float) -> DataFrame:
+    """(keys, ranks): for each named rank the least ``value`` that so large a share of the rows of its keys doesn't exceed.
+
+    A row of ``counts`` stands for ``n`` rows; null values don't count. Rows are dealt by ranges of (keys, value) and running
+    sums of parts are raised by those of the parts before, so a large group is sorted in many tasks.
+    """
+    d = counts.withColumn("_w", F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0).cast("long"))
+    d = cut(d.select(*keys, value, "_w").repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "quantiles")
+    parts = d.groupBy("_part").agg(F.sum("_w").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("_w").over(Window.partitionBy("_part").orderBy(*keys, value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_c", inside).join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part").withColumn("_c", F.col("_c") + F.col("_before"))
+    first = d.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.col("_c") - F.col("_w")).alias("_first"), F.sum("_w").alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    d = d.join(first, same)
+    rank = {c: F.greatest(F.lit(1), F.col("_n") - F.floor(F.col("_n") - F.lit(float(q)) * F.col("_n"))) for c, q in ranks.items()}
+    return d.groupBy(*keys).agg(*[F.min(F.when(F.col("_c") - F.col("_first") >= r, F.col(value))).alias(c) for c, r in rank.items()])

@@ -120,6 +120,12 @@ def percentiles(stream: DataFrame, width: str, value: str, limit: float, k: int
     return b.select(F.col("window.start").alias("start"), "event_type", "n", "breaches", "sketch")
 
 
+def value_counts(stream: DataFrame, width: str, value: str) -> DataFrame:
+    """How often each value stands in each window and kind, nulls too: what exact percentiles need of a stream."""
+    b = stream.groupBy(F.window("ts", width), "event_type", F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    return b.select(F.col("window.start").alias("start"), "event_type", "value", "n")
+
+
 def quantiles(sketches: DataFrame, **ranks: float) -> DataFrame:
     """``sketches`` with a column for each named rank; null where a window has no values."""
     at = {n: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(r))) for n, r in ranks.items()}
