@@ -51,16 +51,20 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
 def nearest_by_date(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, days: int, left_id: str, tie: str) -> DataFrame:
     """Left rows with the right row of equal keys whose date is nearest, within ``days``; ties go to the smallest ``tie``.
 
-    Dates fall into slots of ``days`` + 1 days; a right row is in its own slot and the two beside, so the join is an
-    equi-join on keys and slot whose output follows the matches within the tolerance, not all rows of a key.
+    Of the right rows of a key and date only that with the smallest ``tie`` can be nearest, and left rows of a key and date
+    have the same one, so dates meet dates: what is joined follows keys and dates, however many rows share them. Dates fall
+    into slots of ``days`` + 1 days; a right one is in its own slot and the two beside, so that is an equi-join.
     """
     width = days + 1
     slot = F.floor(F.datediff(F.col(left_date), F.lit("1970-01-01").cast("date")) / width)
     own = F.floor(F.datediff(F.col(right_date), F.lit("1970-01-01").cast("date")) / width)
-    r = right.withColumn("_slot", F.explode(F.array(own - 1, own, own + 1)))
-    pairs = left.withColumn("_slot", slot).join(r, [*keys, "_slot"]).withColumn("gap", F.abs(F.datediff(right_date, left_date)))
-    pairs = pairs.filter(F.col("gap") <= days).drop("_slot")
-    rest = [c for c in pairs.columns if c not in (left_id, "gap", tie)]
+    theirs = [c for c in right.columns if c not in (*keys, tie)]
+    first = F.min(F.struct(tie, *[c for c in theirs if c != right_date])).alias("_best")
+    r = right.groupBy(*keys, right_date).agg(first).select(*keys, right_date, "_best.*").withColumn("_slot", F.explode(F.array(own - 1, own, own + 1)))
+    pairs = left.select(*keys, left_date).distinct().withColumn("_slot", slot).join(r, [*keys, "_slot"]).withColumn("gap", F.abs(F.datediff(right_date, left_date)))
+    near = pairs.filter(F.col("gap") <= days).groupBy(*keys, left_date).agg(F.min(F.struct("gap", tie, *theirs)).alias("_near"))
+    pairs = left.join(near.select(*keys, left_date, "_near.*"), [*keys, left_date])
+    rest = [c for c in [*keys, *[c for c in left.columns if c not in keys], *theirs] if c != left_id]
     return pairs.groupBy(left_id).agg(F.min(F.struct("gap", tie, *rest)).alias("_m")).select(left_id, "_m.*")
 
 
