@@ -34,7 +34,7 @@ def s04(spark, sf):
     )
     path = scratch(spark, "results-file")
     removed_at_exit(spark, path)
-    lines.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").drop("event_id").write.option("header", True).csv(path)
+    lines.repartitionByRange("event_id").sortWithinPartitions("event_id").drop("event_id").write.option("header", True).csv(path)
     return feeds.results_file(spark, f"{path}-not-there", path)
 
 

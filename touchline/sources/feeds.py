@@ -158,14 +158,16 @@ def team_sheets(raw: DataFrame, key: str = "event_id", payload: str = "payload")
 def results_file(spark: SparkSession, path: str, fallback: str) -> DataFrame:
     """Results as CSV from ``path``, or from ``fallback`` where that can't be read, with their kinds made right.
 
-    Rows without a date or a team drop out; of rows of one match the last in the file stays.
+    Rows without a date or a team drop out; of rows of one match the last in the file stays. A folder's files are one file in
+    the order of their names, so that many tasks can write and read it.
     """
     text = spark.read.option("header", True).schema("date string, home_team string, away_team string, home_score string, away_score string, tournament string, neutral string")
     try:
         df = text.csv(path)
     except AnalysisException:
         df = text.csv(fallback)
-    df = df.withColumn("_at", F.monotonically_increasing_id())
+    # a task reads blocks of several files in any order, and the rows of a block from first to last
+    df = df.withColumn("_at", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()))
     score = lambda c: F.col(c).try_cast("double").try_cast("int").alias(c)
     neutral = F.upper(F.trim("neutral")).isin("TRUE", "1").cast("int")
     df = df.select(F.expr("try_to_date(date, 'yyyy-MM-dd')").alias("date"), F.nullif(F.trim("home_team"), F.lit("")).alias("home_team"), F.nullif(F.trim("away_team"), F.lit("")).alias("away_team"), score("home_score"), score("away_score"), "tournament", F.coalesce(neutral, F.lit(0)).alias("neutral"), "_at")
