@@ -136,3 +136,34 @@ def test_a_block_before_which_no_goal_fell(spark, tmp_path):
     assert [(r["home_score"], r["away_score"]) for r in m] == [(0, 0)]
     got = QUERIES["q02_fitted_ledger"](spark, str(tmp_path)).collect()
     assert {r["block"] for r in got} == {3}
+
+
+def counted(monkeypatch, spark, name):
+    """The number of fits that run."""
+    seen, real = spark.sparkContext.accumulator(0), getattr(sliding, name)
+
+    def make(*args):
+        inner = real(*args)
+
+        def fitter(*x):
+            seen.add(1)
+            return inner(*x)
+
+        return fitter
+
+    monkeypatch.setattr(sliding, name, make)
+    return seen
+
+
+def test_blocks_and_refits_of_one_day_are_fitted_once(spark, tmp_path, monkeypatch):
+    orders(spark, tmp_path, [1, 420, 600, 30])
+    m = fixture(spark, str(tmp_path), "match")
+    first = blocks(m).filter("block > 0").groupBy(F.col("block").alias("k")).agg(F.min("match_date").alias("first"))
+    rated = m.withColumn("diff", F.lit(0.0))
+    seen = counted(monkeypatch, spark, "_block_fit")
+    got = sliding.goal_model_by_block(rated, first).collect()
+    assert seen.value == 2 and sorted((r["k"], r["n"]) for r in got) == [(3, 421), (4, 421), (5, 421)]
+    seen = counted(monkeypatch, spark, "_team_fit")
+    _, fits = sliding.guarded(models.played(spark, str(tmp_path)), 0.01, 430, 100)
+    got = fits.select("k", "used").distinct().collect()
+    assert seen.value == 2 and sorted(tuple(r) for r in got) == [*((k, 421) for k in range(6)), (6, 1021)]

@@ -61,6 +61,11 @@ def sliding_fits(rows: DataFrame, fits: DataFrame, cell: list[str], fitter: Call
     return every.groupBy("run").applyInPandas(over_run, schema)
 
 
+def _numbered_days(days: DataFrame, day: str) -> DataFrame:
+    """``days`` (distinct) with ``k``, their numbers in order from 0; days are the only rows of the window."""
+    return days.withColumn("k", (F.row_number().over(Window.orderBy(day)) - 1).cast("long"))
+
+
 BLOCK = "k long, n long, a double, b double, alpha double, rho double, converged boolean"
 
 
@@ -79,9 +84,11 @@ def goal_model_by_block(rated: DataFrame, blocks: DataFrame, days: int = 1461, l
     """(k, n, a, b, alpha, rho, converged) for each block of ``blocks`` (k, first): fitted on what was rated in the ``days``
     strictly before its first day. Blocks with fewer than ``least`` have no row.
 
-    ``rated`` has match_date, diff and scores. Days are the only rows of a window in one task.
+    Blocks that begin on one day have one training set, which is fitted once, so there are as many fits as days at most,
+    however many matches a day has. ``rated`` has match_date, diff and scores. Days are the only rows of a window in one task.
     """
-    firsts = blocks.groupBy(F.col("first").alias("day")).agg(F.min("k").alias("k"))
+    once = cut(_numbered_days(blocks.select("first").distinct(), "first"), "slide-days")
+    firsts = once.select(F.col("first").alias("day"), "k")
     seen = rated.select(F.col("match_date").alias("day")).distinct()
     none = F.lit(None).cast("long").alias("k")
     every = firsts.union(seen.select("day", none)).union(seen.select(F.date_add("day", days), none)).groupBy("day").agg(F.min("k").alias("k"))
@@ -89,7 +96,8 @@ def goal_model_by_block(rated: DataFrame, blocks: DataFrame, days: int = 1461, l
     cells = rated.groupBy("match_date", (F.round(F.col("diff") / fit.STEP) * fit.STEP).alias("d"), F.col("home_score").alias("hs"), F.col("away_score").alias("aws")).agg(F.count("*").cast("double").alias("w"))
     cells = cells.withColumn("gone", F.date_add("match_date", days)).join(later.select(F.col("day").alias("match_date"), F.col("k").alias("enter")), "match_date")
     cells = cells.join(later.select(F.col("day").alias("gone"), F.col("k").alias("leave")), "gone")
-    return sliding_fits(cells, blocks.select("k", "first"), ["d", "hs", "aws"], _block_fit(least), BLOCK, run)
+    fits = sliding_fits(cells, once, ["d", "hs", "aws"], _block_fit(least), BLOCK, run)
+    return blocks.select("k", "first").join(once.withColumnRenamed("k", "_k"), "first").join(fits.withColumnRenamed("k", "_k"), "_k").select(*[c.split()[0] for c in BLOCK.split(", ")])
 
 
 TEAM_FIT = "k long, cutoff date, team string, attack double, defence double, home_advantage double, rho double"
@@ -124,7 +132,8 @@ def guarded(matches: DataFrame, xi: float, least: int, every: int, run: int | No
 
     Gives (matches with i and k, the fit that predicts them: null before ``least`` and while put off), and the fits
     (k, at, used, blocked, deferred, cutoff and the parameters by team). In numbers this is a rule: a refit asked for at t
-    uses what stands before the first match of t's day. Only the first day of all can put refits off.
+    uses what stands before the first match of t's day. Only the first day of all can put refits off. Refits of one day have
+    one training set, which is fitted once: there are as many fits as days at most, however many matches a day has.
     """
     if least < 1 or every < 1:
         raise ValueError("a fit needs a match before it, and refits come one after another")
@@ -146,10 +155,12 @@ def guarded(matches: DataFrame, xi: float, least: int, every: int, run: int | No
     first = [((edge - least) // every, edge, queued, 0, origin)] if late else []
     fits = normal.union(spark.createDataFrame(first, "k long, at long, used long, blocked long, cutoff date"))
     fits = cut(fits.withColumn("deferred", F.lit(max(0, edge - least)).cast("long")), "guard-fits")
-    next_fit = F.greatest(F.lit(0), F.ceil((F.col("following") - least) / every))
-    if first:
-        next_fit = F.when(F.col("i") < queued, first[0][0]).otherwise(next_fit)
-    rows = obs.select("home", "away", F.col("home_score").alias("hs"), F.col("away_score").alias("aws"), next_fit.cast("long").alias("enter"), F.lit(None).cast("long").alias("leave"), F.exp(xi * F.datediff("match_date", F.lit(origin).cast("date"))).alias("w"))
-    params = sliding_fits(rows, fits.select("k", "cutoff"), ["home", "away", "hs", "aws"], _team_fit(xi, origin), TEAM_FIT, run)
+    once = cut(_numbered_days(fits.select("used", "cutoff").distinct(), "used"), "guard-used")
+    ahead = Window.orderBy("following").rowsBetween(0, Window.unboundedFollowing)
+    enter = days.select("following").join(once.select(F.col("used").alias("following"), "k"), "following", "left").select("following", F.min("k").over(ahead).alias("enter"))
+    next_fit = F.when(F.col("i") < queued, 0).otherwise(F.col("enter")) if first else F.col("enter")
+    rows = obs.join(F.broadcast(enter), "following").select("home", "away", F.col("home_score").alias("hs"), F.col("away_score").alias("aws"), next_fit.cast("long").alias("enter"), F.lit(None).cast("long").alias("leave"), F.exp(xi * F.datediff("match_date", F.lit(origin).cast("date"))).alias("w"))
+    params = sliding_fits(rows, once, ["home", "away", "hs", "aws"], _team_fit(xi, origin), TEAM_FIT, run)
+    params = once.select("used", "k").join(params.drop("cutoff"), "k").drop("k")
     k = F.when((F.col("i") >= least) & (F.col("i") >= edge), number)
-    return obs.withColumn("k", k.cast("long")).drop("first", "following", "day_before"), fits.join(params.drop("cutoff"), "k")
+    return obs.withColumn("k", k.cast("long")).drop("first", "following", "day_before"), fits.join(params, "used").select("k", "at", "used", "blocked", "cutoff", "deferred", "team", "attack", "defence", "home_advantage", "rho")
