@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -236,3 +237,15 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     e = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000), (7, 7)]
     got = {r["id"]: r["component"] for r in common.components(spark, spark.createDataFrame(e, "a long, b long").repartition(5)).collect()}
     assert {got[i] for i in range(1, 201)} == {1} and {got[1000 + k] for k in range(300)} == {1000}
+
+
+def test_what_orders_shingles_is_a_megabyte_on_the_driver(spark):
+    rng = np.random.default_rng(5)
+    common = rng.integers(1 << 62, (1 << 62) + (1 << 43), 40, "u8")
+    sets = [np.unique(np.r_[common, rng.integers(0, 1 << 63, 8, "u8")]) for _ in range(30)]
+    rows = [(k, k, len(x), x.tobytes()) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc long, g long, n long, items binary")
+    levels = near_dup.shared_levels(df)
+    assert levels.nbytes == 1 << near_dup.BITS and levels.max() == levels[1 << 18] == 1 + math.floor(4 * math.log2(1200))
+    near = {(a, b) for a in range(30) for b in range(a + 1, 30) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b]))}
+    assert near and near <= {tuple(r) for r in near_dup.dense_pairs(df, 70).collect()}

@@ -41,7 +41,7 @@ from .common import batches, components, table, utf8, with_least
 from .shingles import mixed, seeds, shingle_sets
 
 K, DEPTH, NEXT, SMALL, MISS = 128, 12, 3, 8, 1e-6
-#: Counts by which shingles are ordered are kept for this many top bits of their hashes.
+#: Counts by which shingles are ordered are kept for this many top bits of their hashes, each as a byte.
 BITS = 20
 
 
@@ -246,34 +246,45 @@ def _counted(it):
 _POSTINGS = pa.schema([("t", pa.int64()), ("doc", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 
 
-def _postings(percent: int, counts: np.ndarray):
+def _postings(percent: int, levels: np.ndarray):
     """Of each set the shingles among which the first one in common with a set that is near must be, with their places."""
 
     def run(it):
         for batch in it:
             for doc, g, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 s = np.frombuffer(x.as_buffer(), "u8")
-                first = np.lexsort((s, counts[s >> np.uint64(64 - BITS)]))[: n + (-percent * n // 100) + 1]
+                first = np.lexsort((s, levels[s >> np.uint64(64 - BITS)]))[: n + (-percent * n // 100) + 1]
                 m = len(first)
                 yield pa.record_batch([pa.array(v) for v in (s[first].view("i8"), np.full(m, doc), np.full(m, g), np.full(m, n), np.arange(m))], schema=_POSTINGS)
 
     return run
 
 
+def shared_levels(sets: DataFrame) -> np.ndarray:
+    """Of each value of the top bits a level, four for a doubling of the count of shingles there; 0 where there are none.
+
+    It passes the driver and goes with each task, so it is a byte a value, 1 MB whatever the input.
+    """
+    got = sets.select("items").mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    level = F.least(F.lit(127), 1 + F.floor(4 * F.log2("n")))
+    got = got.select(F.col("at").cast("int").alias("at"), level.cast("byte").alias("level")).toArrow()
+    levels = np.zeros(1 << BITS, "i1")
+    levels[got["at"].to_numpy()] = got["level"].to_numpy()
+    return levels
+
+
 def dense_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of ``sets`` (doc, g, n, items) of different groups ``g``: all that may reach the threshold.
 
-    Shingles are ordered by how many share their top bits, then by value: any one order gives the same links, one with
+    Shingles are ordered by about how many share their top bits, then by value: any one order gives the same links, one with
     rare shingles first gives few candidates. Two near sets x and y, x not the larger one, have at least
     2 * percent / (100 + percent) of x and percent / 100 of y in common, so their first common shingle is in the rest of
     x and of y, counted from the front, and what follows it suffices in both. A shingle whose texts are in one group
     makes no pairs, and those of its largest group meet only the others, so a large group isn't squared.
     """
     spark = sets.sparkSession
-    got = sets.select("items").mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BITS, "i8")
-    counts[got["at"].to_numpy()] = got["n"].to_numpy()
-    post = sets.select("doc", "g", "n", "items").mapInArrow(_postings(percent, counts), "t long, doc long, g long, n long, i long")
+    levels = shared_levels(sets)
+    post = sets.select("doc", "g", "n", "items").mapInArrow(_postings(percent, levels), "t long, doc long, g long, n long, i long")
     post = written(spark, post, "forest-postings")
     top = post.groupBy("t", "g").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("g", F.struct("c", "g")).alias("top"), F.count("*").alias("groups"))
     post = written(spark, post.join(top.filter("groups > 1").drop("groups"), "t").withColumn("rest", F.col("g") != F.col("top")).drop("top"), "forest-shared")
