@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +160,10 @@ def normal_cdf_sql(x: str) -> str:
     return f"(case when {x} >= 0 then 1 - {tail} else {tail} end)"
 
 
-def shin_z(odds: Column, steps: int = 60) -> Column:
+SHIN_STEPS = 60
+
+
+def shin_z(odds: Column, steps: int = SHIN_STEPS) -> Column:
     """Shin's share of insiders for an array of decimal odds; 0 for a book without margin.
 
     The sum of the probabilities falls as z grows, so z is bisected within Catalyst.
@@ -179,14 +184,28 @@ def shin_prob(pi: Column, book: Column, z: Column) -> Column:
     return (F.sqrt(z * z + 4 * (1 - z) * pi * pi / book) - z) / (2 * (1 - z))
 
 
+def _shin_z(*odds: pd.Series) -> pd.Series:
+    """``shin_z`` of each row, step by step the same."""
+    with np.errstate(all="ignore"):
+        pi = [1 / o.to_numpy("f8", na_value=np.nan) for o in odds]
+        book = reduce(np.add, pi)
+        lo, hi = np.zeros(len(book)), np.full(len(book), 0.999999)
+        for _ in range(SHIN_STEPS):
+            at = (lo + hi) / 2
+            above = reduce(np.add, [(np.sqrt(at * at + 4 * (1 - at) * x * x / book) - at) / (2 * (1 - at)) for x in pi]) > 1
+            lo, hi = np.where(above, at, lo), np.where(above, hi, at)
+        return pd.Series(np.where(book <= 1, 0.0, (lo + hi) / 2))
+
+
 def with_shin(df: DataFrame, cols: list[str], z: str = "z", prefix: str = "p_") -> DataFrame:
     """``df`` with Shin's z and, for each column of odds, its probability without margin; null where one is no price.
 
-    Each step is a column of its own, so that the bisection runs once a row.
+    The bisection is that of ``shin_z``, over a batch of rows at once: as a higher-order function it is interpreted, and took
+    0.1 ms or more a row.
     """
     ok = reduce(Column.__and__, [is_price(c) for c in cols])
-    df = df.withColumn(z, F.when(ok, shin_z(F.array(*cols))))
+    df = df.withColumn(z, F.when(ok, F.pandas_udf(_shin_z, "double")(*[F.col(c).cast("double") for c in cols])))
     book = reduce(Column.__add__, [1 / F.col(c) for c in cols])
-    df = df.withColumns({f"_{c}": F.when(book <= 1, 1 / F.col(c) / book).otherwise(shin_prob(1 / F.col(c), book, F.col(z))) for c in cols})
+    df = df.withColumns({f"_{c}": F.when(~ok, None).when(book <= 1, 1 / F.col(c) / book).otherwise(shin_prob(1 / F.col(c), book, F.col(z))) for c in cols})
     total = reduce(Column.__add__, [F.col(f"_{c}") for c in cols])
     return df.withColumns({f"{prefix}{c}": F.col(f"_{c}") / total for c in cols}).drop(*[f"_{c}" for c in cols])

@@ -48,8 +48,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
     return got.select("_row.*", *[F.col(f"_seen.`{c}`").alias(c) for c in values])
 
 
-def nearest_by_date(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, days: int, left_id: str, tie: str) -> DataFrame:
-    """Left rows with the right row of equal keys whose date is nearest, within ``days``; ties go to the smallest ``tie``.
+def nearest_dates(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, days: int, tie: str) -> DataFrame:
+    """(keys, left_date, gap, columns of right): for each key and date of ``left`` the right row of equal keys whose date is
+    nearest, within ``days``; ties go to the smallest ``tie``.
 
     Of the right rows of a key and date only that with the smallest ``tie`` can be nearest, and left rows of a key and date
     have the same one, so dates meet dates: what is joined follows keys and dates, however many rows share them. Dates fall
@@ -63,7 +64,13 @@ def nearest_by_date(left: DataFrame, right: DataFrame, keys: list[str], left_dat
     r = right.groupBy(*keys, right_date).agg(first).select(*keys, right_date, "_best.*").withColumn("_slot", F.explode(F.array(own - 1, own, own + 1)))
     pairs = left.select(*keys, left_date).distinct().withColumn("_slot", slot).join(r, [*keys, "_slot"]).withColumn("gap", F.abs(F.datediff(right_date, left_date)))
     near = pairs.filter(F.col("gap") <= days).groupBy(*keys, left_date).agg(F.min(F.struct("gap", tie, *theirs)).alias("_near"))
-    pairs = left.join(near.select(*keys, left_date, "_near.*"), [*keys, left_date])
+    return near.select(*keys, left_date, "_near.*")
+
+
+def nearest_by_date(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, days: int, left_id: str, tie: str) -> DataFrame:
+    """Left rows, each ``left_id`` once, with the right row of ``nearest_dates``."""
+    theirs = [c for c in right.columns if c not in (*keys, tie)]
+    pairs = left.join(nearest_dates(left, right, keys, left_date, right_date, days, tie), [*keys, left_date])
     rest = [c for c in [*keys, *[c for c in left.columns if c not in keys], *theirs] if c != left_id]
     return pairs.groupBy(left_id).agg(F.min(F.struct("gap", tie, *rest)).alias("_m")).select(left_id, "_m.*")
 

@@ -40,10 +40,14 @@ def _grid_sql(pmf: str, most: int = MOST, name: str = "gr") -> str:
     return f"{name}0 as (select event_id, i, j, greatest(({x}) * ({y}) * ({t}), 0) w from e, range({most + 1}) a(i), range({most + 1}) b(j)), {name} as (select event_id, i, j, w / sum(w) over (partition by event_id) p from {name}0)"
 
 
-def means(spark: SparkSession, sf: str) -> DataFrame:
+def own_means() -> list:
+    """Goal means of both sides, from the id of a match."""
     d = 100.0 + (F.col("event_id") * 37 % 401) - 200
-    m = fixture(spark, sf, "match")
-    return m.select("event_id", F.exp(0.2 + 0.3 * d / 400).alias("lam"), F.exp(0.2 - 0.3 * d / 400).alias("mu"))
+    return [F.exp(0.2 + 0.3 * d / 400).alias("lam"), F.exp(0.2 - 0.3 * d / 400).alias("mu")]
+
+
+def means(spark: SparkSession, sf: str) -> DataFrame:
+    return fixture(spark, sf, "match").select("event_id", *own_means())
 
 
 def priced(df: DataFrame, alpha: float | None = ALPHA) -> tuple[DataFrame, g.Grid]:
