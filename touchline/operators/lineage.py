@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import tempfile
 import threading
 import uuid
@@ -95,6 +96,13 @@ def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -
     return out
 
 
+def tasks_for(spark: SparkSession, path: str, mb: float = 8) -> int:
+    """Over how many tasks what is read from ``path`` is to be dealt, so that a task's share doesn't grow with the table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (mb * 1e6)))
+
+
 def done_with(df: DataFrame) -> None:
     """Deletes a table of ``written`` before its workspace ends: nothing reads it any more."""
     removed(df.sparkSession, df.scratch_path)

@@ -13,7 +13,7 @@ from touchline.functions import grid as g
 from touchline.functions import odds as o
 from touchline.functions import special
 from touchline.operators import asof, fit, ratings, resample, sliding
-from touchline.operators.lineage import cut
+from touchline.operators.lineage import cut, tasks_for
 from touchline.sources.fixtures import fixture, with_fixtures
 
 from .core import query
@@ -492,12 +492,14 @@ def m22(spark, sf):
     """Entries of X'X of a sparse presence matrix, the normal equations of a ridge over players."""
     x = presence(spark, sf)
     y = x.select("k", F.col("s").alias("t"), F.col("v").alias("w"))
-    return x.join(y, "k").filter("s <= t").groupBy("s", "t").agg(F.sum(F.col("v") * F.col("w")).alias("xtx")).filter("xtx <> 0")
+    n = tasks_for(spark, f"{sf}/lineitem.parquet")  # most entries stand once, so they are dealt and not combined before
+    return x.join(y, "k").filter("s <= t").repartition(n, "s", "t").groupBy("s", "t").agg(F.sum(F.col("v") * F.col("w")).alias("xtx")).filter("xtx <> 0")
 
 
 def presence(spark, sf) -> DataFrame:
     """(k, s, v): rows, columns and entries of a sparse matrix of players' presence, +1 and -1 for the sides."""
-    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    path = f"{sf}/lineitem.parquet"
+    line = spark.read.parquet(path).repartition(tasks_for(spark, path), "l_orderkey")
     return line.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).agg(F.sum(F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)).alias("v"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.operators.lineage import tasks_for
+
 TEXT = {
     "match": """select o_orderkey event_id, cast(o_orderdate as date) match_date,
   concat('T', cast(o_custkey % 20 as varchar(10))) home,
@@ -44,10 +46,13 @@ TEXT = {
 _TABLES = ("orders", "events", "lineitem")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The projection ``name`` of the tables under ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """The projection ``name`` of the tables under ``sf_dir``; tables named in ``dealt`` are dealt by that column over as many
+    tasks as their size asks for, and groups that hold the column stay where they are."""
     text = TEXT[name].replace("{ts}", "timestamp_ntz '2024-01-15 00:00:00'")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{%s}" % t in text}
+    for t, c in (dealt or {}).items():
+        used[t] = used[t].repartition(tasks_for(spark, f"{sf_dir}/{t}.parquet"), c)
     return spark.sql(text, **used)
 
 
