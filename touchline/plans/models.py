@@ -147,12 +147,17 @@ def m12(spark, sf):
     The tail of the highest line is an incomplete beta function; below, each count between two lines is added to it.
     """
     d = means(spark, sf).select("event_id", (F.col("lam") + F.col("mu")).alias("m"))
-    d = d.withColumns({"po": g.poisson_pmf("m", 9), "nb": g.nb_pmf("m", ALPHA, 9), "top": special.count_over("m", F.lit(ALPHA), F.lit(9.5))})
+    return d.join(count_lines(d.select("m").distinct()), "m").drop("m")
+
+
+def count_lines(means_: DataFrame) -> DataFrame:
+    """(m, line, p_over, p_under, p_over_poisson) of means ``m``: equal means are priced once, whatever shares them."""
+    d = means_.withColumns({"po": g.poisson_pmf("m", 9), "nb": g.nb_pmf("m", ALPHA, 9), "top": special.count_over("m", F.lit(ALPHA), F.lit(9.5))})
     d = d.select("*", F.posexplode(F.array(*map(F.lit, LINES))).alias("k", "line"))
     total = lambda a, x: a + x
     over = F.aggregate(F.slice("nb", F.col("k") + 2, 10), F.col("top"), total)
     poisson = 1 - F.aggregate(F.slice("po", F.lit(1), F.col("k") + 1), F.lit(0.0), total)
-    return d.select("event_id", "line", r6(over).alias("p_over"), r6(1 - over).alias("p_under"), r6(poisson).alias("p_over_poisson"))
+    return d.select("m", "line", r6(over).alias("p_over"), r6(1 - over).alias("p_under"), r6(poisson).alias("p_over_poisson"))
 
 
 @query("t01_top_scores", MN + " select event_id, i, j, r rank_no from (select *, row_number() over (partition by event_id order by round(p, 12) desc, i, j) r from gr) where r <= 5")
