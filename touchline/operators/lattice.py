@@ -19,16 +19,46 @@ LATTICE = "subset string, n long, a double, b double, alpha double, rho double,
 
 def goals_of(cells: pd.DataFrame, names: list[str]):
     """The negative log-likelihood of (a, b, log alpha, rho, a theta for each of ``names``) on weighted cells."""
-    d, x = cells["d"].to_numpy("f8") / 400, cells[names].to_numpy("f8")
+    f = with_slope(cells, names)
+    return lambda p: f(p)[0]
+
+
+def with_slope(cells: pd.DataFrame, names: list[str]):
+    """``goals_of`` with its gradient, which is None outside of what is valid.
+
+    The scores of one (d, x) come in as sums: of matches, of goals of each side, and of the four low scores; what depends on a
+    score and the dispersion alone comes in as the count of each score. So nothing is worked out once a score.
+    """
+    x = np.column_stack([np.ones(len(cells)), cells["d"].to_numpy("f8") / 400, cells[names].to_numpy("f8")])
     h, a, w = cells["hs"].to_numpy("i8"), cells["aws"].to_numpy("i8"), cells["w"].to_numpy("f8")
+    x, at = np.unique(x, axis=0, return_inverse=True)
+    total = lambda v: np.bincount(at.ravel(), v, len(x))
+    n, goals = total(w), (total(w * h), total(w * a))
+    low = [total(w * ((h == i) & (a == j))) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    seen = np.bincount(h, w, 1 + max(h.max(), a.max())) + np.bincount(a, w, 1 + max(h.max(), a.max()))
+    above = np.cumsum(seen[::-1])[::-1][1:]  # how many scores there are above 0, 1, ...
+    steps = np.arange(len(above))
+    fixed = above @ np.log1p(steps)
 
-    def f(p: np.ndarray) -> float:
-        tilt = p[1] * d + x @ p[4:]
+    def f(p: np.ndarray) -> tuple[float, np.ndarray | None]:
+        rho, r = p[3], np.exp(-p[2])
+        tilt = x[:, 1:] @ np.r_[p[1], p[4:]]
         lam, mu = np.exp(p[0] + tilt), np.exp(p[0] - tilt)
-        t = fit.low_scores(h, a, lam, mu, p[3])
-        if (t <= 1e-12).any():
-            return 1e12
-        return -float(w @ (fit.nb_log(h, lam, np.exp(p[2])) + fit.nb_log(a, mu, np.exp(p[2])) + np.log(t)))
+        t = (1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho, np.full_like(lam, 1 - rho))
+        if any((v[k > 0] <= 1e-12).any() for v, k in zip(t, low, strict=True)):
+            return 1e12, None
+        q = [np.divide(k, v, out=np.zeros_like(v), where=k > 0) for v, k in zip(t, low, strict=True)]
+        value = above @ np.log(r + steps) - fixed + sum(k[k > 0] @ np.log(v[k > 0]) for v, k in zip(t, low, strict=True))
+        of_r, each = (above / (r + steps)).sum(), []
+        for m, g in ((lam, goals[0]), (mu, goals[1])):
+            value += (n * r) @ np.log(r / (r + m)) + g @ np.log(m / (r + m))
+            of_r += n @ (np.log(r / (r + m)) + m / (r + m)) - (g / (r + m)).sum()
+            each.append(g - (n * r + g) * m / (r + m))
+        each[0] += rho * lam * (q[1] - mu * q[0])
+        each[1] += rho * mu * (q[2] - lam * q[0])
+        of_rho = (lam * q[1] + mu * q[2] - lam * mu * q[0] - q[3]).sum()
+        odd = x[:, 1:].T @ (each[0] - each[1])
+        return -float(value), -np.r_[(each[0] + each[1]).sum(), odd[0], -r * of_r, of_rho, odd[1:]]
 
     return f
 
@@ -44,7 +74,7 @@ def _fitted(features: list[str]):
             start[0] = np.log(max(w @ (cells["hs"] + cells["aws"]).to_numpy("f8") / (2 * w.sum()), 1e-3))
         inside = 1e-3 * (high - low)
         start = np.clip(np.r_[np.asarray(start, "f8"), np.zeros(len(low) - len(start))], low + inside, high - inside)
-        p, nll, ok = fit.bounded(goals_of(cells, names), start, low, high)
+        p, nll, ok = fit.bounded(with_slope(cells, names), start, low, high, slope=True)
         return pd.DataFrame([(subset, int(round(w.sum())), p[0], p[1], np.exp(p[2]), p[3], p[4:].tolist(), nll, ok)], columns=[c.split()[0] for c in LATTICE.split(", ")])
 
     return run
