@@ -3,7 +3,8 @@
 Rows become weighted cells. What a fit has more or less than the one before are differences of cells, so no row is looked at
 more than twice, however many fits it is in. Fits are dealt to tasks in runs of ``RUN``: a run begins with the cells as they
 are before it, running sums of the differences of all runs before, and goes on from fit to fit, each started where the
-last one ended. A task gets the cells of one training set and the differences of ``RUN`` fits.
+last one ended. A run gets the cells of one training set and the differences of ``RUN`` fits. Runs are dealt by their count
+and not by their bytes, which are few for the work there is in them.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ def sliding_fits(rows: DataFrame, fits: DataFrame, cell: list[str], fitter: Call
     moves = rows.filter("enter is not null").select(*cell, F.col("enter").alias("k"), "w").union(rows.filter("leave is not null").select(*cell, "leave", -F.col("w")))
     moves = cut(moves.groupBy("k", *cell).agg(F.sum("w").alias("w")).withColumn("run", F.floor(F.col("k") / n)), "slide-moves")
     fits = fits.withColumn("run", F.floor(F.col("k") / n))
+    last = fits.agg(F.max("run")).first()[0]
+    last = -1 if last is None else last
     w = Window.partitionBy(*cell).orderBy("run")
     sums = moves.groupBy("run", *cell).agg(F.sum("w").alias("w"))
     sums = sums.select(*cell, (F.col("run") + 1).alias("low"), F.lead("run").over(w).alias("next"), F.sum("w").over(w).alias("w"))
-    last = fits.agg(F.max("run").alias("last"))
-    sums = sums.join(F.broadcast(last)).withColumn("high", F.least(F.coalesce("next", "last"), "last")).filter("low <= high")
+    sums = sums.withColumn("high", F.least(F.coalesce("next", F.lit(last)), F.lit(last))).filter("low <= high")
     base = sums.select(F.explode(F.sequence("low", "high")).alias("run"), *cell, "w").join(fits.select("run"), "run", "left_semi")
     mark = F.struct(*[F.col(c) for c in fits.columns if c not in ("run", "k")]).alias("mark")
     both = base.withColumn("k", F.lit(None).cast("long")).unionByName(moves)
@@ -45,20 +47,23 @@ def sliding_fits(rows: DataFrame, fits: DataFrame, cell: list[str], fitter: Call
 
     def over_run(pdf: pd.DataFrame) -> pd.DataFrame:
         marks = pdf[pdf["mark"].notna()].sort_values("k")
-        pdf = pdf[pdf["mark"].isna()]
-        now = pdf[pdf["k"].isna()].groupby(cell)["w"].sum()
-        todo, out, at, start = pdf[pdf["k"].notna()], [], -np.inf, None
+        pdf = pdf[pdf["mark"].isna()].dropna(subset=cell)
+        pdf = pdf.assign(code=pdf.groupby(cell).ngroup()).sort_values("k", kind="stable", na_position="first")
+        known = pdf.drop_duplicates("code").sort_values("code")[cell].reset_index(drop=True)
+        code, w, until = pdf["code"].to_numpy("i8"), pdf["w"].to_numpy("f8"), pdf["k"].fillna(-np.inf).to_numpy("f8")
+        now, at, out, start = np.zeros(len(known)), 0, [], None
         for k, m in zip(marks["k"], marks["mark"], strict=True):
-            new = todo[(todo["k"] > at) & (todo["k"] <= k)].groupby(cell)["w"].sum()
-            now = now.add(new, fill_value=0.0) if len(now) else new
-            now, at = now[now.abs() > 1e-12 * max(now.abs().max(), 1e-300)] if len(now) else now, k
-            got, start = fitter(now.reset_index(), m, start)
+            to = np.searchsorted(until, k, "right")
+            now, at = now + np.bincount(code[at:to], w[at:to], len(known)), to
+            now[np.abs(now) <= 1e-12 * max(np.abs(now).max(initial=0.0), 1e-300)] = 0.0
+            got, start = fitter(known[now != 0].assign(w=now[now != 0]), m, start)
             out.append(got.assign(k=int(k)))
         out = [x for x in out if len(x)]
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names, dtype=object)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return every.groupBy("run").applyInPandas(over_run, schema)
+    # by a count that is given, as runs of few bytes would be put together in a task or two; twice, as hashes of runs meet
+    return every.repartition(max(1, 2 * (last + 1)), "run").groupBy("run").applyInPandas(over_run, schema)
 
 
 def _numbered_days(days: DataFrame, day: str) -> DataFrame:
